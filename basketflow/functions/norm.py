@@ -33,7 +33,7 @@ def iso_date(c: Column | str) -> Column:
     """Whole ``YYYY-MM-DD`` text → DATE, anything else (``2025``, ``2025-02-30``,
     trailing junk) → NULL."""
     x = col(c)
-    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_date(x, F.lit("yyyy-MM-dd")))
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_date(x, "yyyy-MM-dd"))
 
 
 def iso_ts(c: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.norm import ts_text
-from ..operators import metrics
+from ..operators import features, metrics
 from . import oracle as O
 from .tables import AS_OF, mart_table
 
@@ -63,3 +63,120 @@ def q_payments_breakdown_all_time(spark: SparkSession, d: str) -> DataFrame:
     breakdown falls back to all time."""
     p = mart_table(spark, d, "purchases", as_of=ALL_TIME_AS_OF)
     return metrics.payments_breakdown(p, ALL_TIME_AS_OF, days=90)
+
+
+# ----- feature matrix -----------------------------------------------------------
+
+PROFILE = C.DRIVER
+
+
+def feature_inputs(spark: SparkSession, d: str, as_of=AS_OF):
+    return (
+        mart_table(spark, d, "customers", as_of),
+        mart_table(spark, d, "purchases", as_of),
+        mart_table(spark, d, "products", as_of),
+        mart_table(spark, d, "purchase_items", as_of),
+    )
+
+
+def matrix(spark: SparkSession, d: str) -> DataFrame:
+    c, p, pr, i = feature_inputs(spark, d)
+    return features.feature_matrix(c, p, pr, i, AS_OF, PROFILE)
+
+
+@register("feat_matrix", O.with_features("SELECT * FROM f_matrix", PROFILE))
+def q_feat_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return matrix(spark, d)
+
+
+@register("feat_customers_base", O.with_features("SELECT customer_id FROM f_base", PROFILE))
+def q_feat_customers_base(spark: SparkSession, d: str) -> DataFrame:
+    return features.customers_base(mart_table(spark, d, "customers"))
+
+
+_PAGG_COLS = ["purchases_all_time", "purchases_last_7d", "purchases_last_14d", "purchases_last_30d",
+              "purchases_last_90d", "avg_total_amount", "cash_share", "card_share", "weekend_share", "weekday_share",
+              "night_share", "morning_share", "delivery_any", "delivery_any_30d", "max_total_amount_90d",
+              "distinct_stores_90d", "used_cash_90d", "used_card_90d"]
+
+
+def _round_sql(cols):
+    out = []
+    for c in cols:
+        if c.startswith(("avg_", "max_total")) or c.endswith("_share"):
+            out.append(f"round({c}, 4) AS {c}")
+        else:
+            out.append(f"CAST({c} AS BIGINT) AS {c}")
+    return ", ".join(out)
+
+
+@register("feat_purchase_agg", O.with_features(f"SELECT customer_id, {_round_sql(_PAGG_COLS)} FROM f_pagg", PROFILE))
+def q_feat_purchase_agg(spark: SparkSession, d: str) -> DataFrame:
+    agg = features.purchase_agg(features.purchase_flags(mart_table(spark, d, "purchases"), AS_OF, PROFILE))
+    return agg.select("customer_id", *[
+        (F.round(c, 4) if c.startswith(("avg_", "max_total")) or c.endswith("_share") else F.col(c).cast("long")).alias(c)
+        for c in _PAGG_COLS
+    ])
+
+
+@register("feat_purchase_flags", O.with_features(
+    "SELECT customer_id, store_id, payment_method, is_last_7d, is_last_14d, is_last_30d, is_last_90d, cash_flag, "
+    "card_flag, weekend_flag, weekday_flag, night_flag, morning_flag FROM f_pflags", PROFILE))
+def q_feat_purchase_flags(spark: SparkSession, d: str) -> DataFrame:
+    f = features.purchase_flags(mart_table(spark, d, "purchases"), AS_OF, PROFILE)
+    return f.select("customer_id", "store_id", "payment_method", "is_last_7d", "is_last_14d", "is_last_30d",
+                    "is_last_90d", "cash_flag", "card_flag", "weekend_flag", "weekday_flag", "night_flag",
+                    "morning_flag")
+
+
+@register("feat_products_clean", O.with_features("SELECT * FROM f_products", PROFILE))
+def q_feat_products_clean(spark: SparkSession, d: str) -> DataFrame:
+    return features.products_clean(mart_table(spark, d, "products"))
+
+
+@register("feat_items_enriched", O.with_features(
+    "SELECT customer_id, product_id, category_raw, product_group, is_organic_int, category_norm FROM f_items", PROFILE))
+def q_feat_items_enriched(spark: SparkSession, d: str) -> DataFrame:
+    e = features.items_enriched(mart_table(spark, d, "purchase_items"), mart_table(spark, d, "products"))
+    return e.select("customer_id", "product_id", "category_raw", "product_group", "is_organic_int", "category_norm")
+
+
+@register("feat_item_flags", O.with_features(
+    "SELECT customer_id, product_id, is_last_7d, is_last_30d, is_last_90d, is_milk_item, is_meat_item, "
+    "is_fruits_item, is_vegetables_item, is_bakery_item FROM f_items", PROFILE))
+def q_feat_item_flags(spark: SparkSession, d: str) -> DataFrame:
+    e = features.items_enriched(mart_table(spark, d, "purchase_items"), mart_table(spark, d, "products"))
+    f = features.item_flags(e, AS_OF, PROFILE)
+    return f.select("customer_id", "product_id", "is_last_7d", "is_last_30d", "is_last_90d", "is_milk_item",
+                    "is_meat_item", "is_fruits_item", "is_vegetables_item", "is_bakery_item")
+
+
+@register("feat_item_agg", O.with_features("SELECT * FROM f_iagg", PROFILE))
+def q_feat_item_agg(spark: SparkSession, d: str) -> DataFrame:
+    e = features.items_enriched(mart_table(spark, d, "purchase_items"), mart_table(spark, d, "products"))
+    return features.item_agg(features.item_flags(e, AS_OF, PROFILE), PROFILE)
+
+
+@register("feat_no_purchases_count", O.with_features(
+    "SELECT CAST(count_if(no_purchases = 1) AS BIGINT) AS no_purchases_customers FROM f_matrix", PROFILE))
+def q_feat_no_purchases_count(spark: SparkSession, d: str) -> DataFrame:
+    return features.no_purchases_count(matrix(spark, d))
+
+
+_UNPIVOT = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST(sum({c}) AS BIGINT) AS ones FROM f_matrix" for c in C.FEATURE_COLUMNS
+)
+
+
+@register("feat_summary", O.with_features(f"SELECT * FROM ({_UNPIVOT})", PROFILE))
+def q_feat_summary(spark: SparkSession, d: str) -> DataFrame:
+    return features.summary(matrix(spark, d))
+
+
+@register("feat_search_page", O.with_features(
+    "SELECT * FROM f_matrix WHERE contains(lower(customer_id), '0001') ORDER BY customer_id LIMIT 25 OFFSET 25",
+    PROFILE))
+def q_feat_search_page(spark: SparkSession, d: str) -> DataFrame:
+    """Page 2 (25 per page) of customers whose id contains ``00001``; the
+    limit is the feature (a UI page)."""
+    return features.search_page(matrix(spark, d), "0001", page=2, page_size=25)

@@ -163,3 +163,141 @@ def with_ctes(names: list[str], body: str, as_of: str = AS_OF, extra: dict[str,
         need(n)
     ctes = ",\n".join(f"{n} AS ({defs[n]}\n)" for n in order)
     return f"WITH {ctes}\n{body}"
+
+
+def feature_ctes(profile: C.FeatureProfile, as_of: str = AS_OF) -> dict[str, str]:
+    """Feature matrix in SQL (DuckDB ``dayofweek``: 0 = Sunday)."""
+    a = f"TIMESTAMP '{as_of}'"
+
+    def since(nominal: int) -> str:
+        return f"{a} - to_days({profile.days(nominal)})"
+
+    pw = ",\n".join(
+        f"    CASE WHEN purchase_dt >= {since(w)} THEN 1 ELSE 0 END AS is_last_{w}d" for w in C.PURCHASE_ACTIVITY_WINDOWS
+    )
+    iw = ",\n".join(
+        f"    CASE WHEN purchase_dt >= {since(w)} THEN 1 ELSE 0 END AS is_last_{w}d" for w in C.ITEM_ACTIVITY_WINDOWS
+    )
+    sums = ",\n".join(f"    sum(is_last_{w}d) AS purchases_last_{w}d" for w in C.PURCHASE_ACTIVITY_WINDOWS)
+    pr = profile
+
+    def rx(p: str) -> str:
+        return f"CASE WHEN regexp_matches(coalesce(category_norm, ''), '{p}') THEN 1 ELSE 0 END"
+
+    def z(c: str) -> str:
+        return f"coalesce({c}, 0)"
+
+    return {
+        "f_base": """
+  SELECT DISTINCT customer_id FROM mart_customers WHERE customer_id IS NOT NULL AND customer_id <> ''""",
+        "f_pflags": f"""
+  SELECT customer_id, lower(trim(store_id)) AS store_id, CAST(total_amount AS DOUBLE) AS total_amount,
+         lower(trim(payment_method)) AS payment_method, CAST(is_delivery AS INTEGER) AS is_delivery, purchase_dt,
+{pw},
+    CASE WHEN lower(trim(payment_method)) = 'cash' THEN 1 ELSE 0 END AS cash_flag,
+    CASE WHEN lower(trim(payment_method)) = 'card' THEN 1 ELSE 0 END AS card_flag,
+    CASE WHEN dayofweek(purchase_dt) IN (0, 6) THEN 1 ELSE 0 END AS weekend_flag,
+    CASE WHEN dayofweek(purchase_dt) BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS weekday_flag,
+    CASE WHEN hour(purchase_dt) >= {pr.night_start_hour} THEN 1 ELSE 0 END AS night_flag,
+    CASE WHEN hour(purchase_dt) < {pr.morning_end_hour} THEN 1 ELSE 0 END AS morning_flag
+  FROM mart_purchases WHERE customer_id IS NOT NULL AND customer_id <> ''""",
+        "f_pagg": f"""
+  SELECT customer_id, count(*) AS purchases_all_time,
+{sums},
+    avg(total_amount) AS avg_total_amount, avg(cash_flag) AS cash_share, avg(card_flag) AS card_share,
+    avg(weekend_flag) AS weekend_share, avg(weekday_flag) AS weekday_share, avg(night_flag) AS night_share,
+    avg(morning_flag) AS morning_share, max(is_delivery) AS delivery_any,
+    max(CASE WHEN is_last_30d = 1 AND is_delivery = 1 THEN 1 ELSE 0 END) AS delivery_any_30d,
+    max(CASE WHEN is_last_90d = 1 THEN total_amount END) AS max_total_amount_90d,
+    count(DISTINCT CASE WHEN is_last_90d = 1 THEN store_id END) AS distinct_stores_90d,
+    max(CASE WHEN is_last_90d = 1 AND payment_method = 'cash' THEN 1 ELSE 0 END) AS used_cash_90d,
+    max(CASE WHEN is_last_90d = 1 AND payment_method = 'card' THEN 1 ELSE 0 END) AS used_card_90d
+  FROM f_pflags GROUP BY customer_id""",
+        "f_products": """
+  SELECT product_id, lower(trim("group")) AS product_group, CAST(is_organic AS INTEGER) AS is_organic_int
+  FROM mart_products WHERE product_id IS NOT NULL AND product_id <> ''""",
+        "f_items": f"""
+  SELECT *,
+{iw},
+    {rx(pr.milk_pattern)} AS is_milk_item, {rx(pr.meat_pattern)} AS is_meat_item,
+    {rx(pr.fruits_pattern)} AS is_fruits_item, {rx(pr.vegetables_pattern)} AS is_vegetables_item,
+    {rx(pr.bakery_pattern)} AS is_bakery_item
+  FROM (
+    SELECT i.customer_id, i.product_id, lower(trim(i.category)) AS category_raw, CAST(i.quantity AS DOUBLE) AS quantity,
+           i.purchase_dt, p.product_group, p.is_organic_int,
+           coalesce(CASE WHEN length(lower(trim(i.category))) > 0 THEN lower(trim(i.category)) END, p.product_group)
+             AS category_norm
+    FROM mart_items i LEFT JOIN f_products p ON i.product_id = p.product_id
+    WHERE i.customer_id IS NOT NULL AND i.customer_id <> '' AND i.product_id IS NOT NULL AND i.product_id <> '')""",
+        "f_iagg": f"""
+  SELECT customer_id,
+    max(CASE WHEN is_milk_item = 1 AND is_last_7d = 1 THEN 1 ELSE 0 END) AS bought_milk_last_7d,
+    max(CASE WHEN is_milk_item = 1 AND is_last_30d = 1 THEN 1 ELSE 0 END) AS bought_milk_last_30d,
+    max(CASE WHEN is_meat_item = 1 AND is_last_7d = 1 THEN 1 ELSE 0 END) AS bought_meat_last_7d,
+    max(CASE WHEN is_meat_item = 1 AND is_last_30d = 1 THEN 1 ELSE 0 END) AS bought_meat_last_30d,
+    max(CASE WHEN is_fruits_item = 1 AND is_last_30d = 1 THEN 1 ELSE 0 END) AS bought_fruits_last_30d,
+    max(CASE WHEN is_vegetables_item = 1 AND is_last_30d = 1 THEN 1 ELSE 0 END) AS bought_vegetables_last_30d,
+    max(CASE WHEN is_bakery_item = 1 AND is_last_30d = 1 THEN 1 ELSE 0 END) AS bought_bakery_last_30d,
+    max(CASE WHEN is_organic_int = 1 AND is_last_90d = 1 THEN 1 ELSE 0 END) AS bought_organic_last_90d,
+    max(CASE WHEN quantity > {pr.high_quantity_30d} AND is_last_30d = 1 THEN 1 ELSE 0 END) AS high_quantity_buyer_last_30d,
+    max(CASE WHEN is_meat_item = 1 AND is_last_90d = 1 THEN 1 ELSE 0 END) AS has_meat_last_90d,
+    max(CASE WHEN (is_fruits_item = 1 OR is_vegetables_item = 1) AND is_last_90d = 1 THEN 1 ELSE 0 END)
+      AS has_plant_last_90d
+  FROM f_items GROUP BY customer_id""",
+        "f_matrix": f"""
+  SELECT b.customer_id,
+    CAST({z('pa.purchases_last_30d')} > {pr.recurrent_min_30d} AS INTEGER) AS recurrent_buyer,
+    CAST({z('pa.delivery_any')} > 0 AS INTEGER) AS delivery_user,
+    CAST({z('pa.avg_total_amount')} > {pr.bulk_avg} AND {z('pa.purchases_all_time')} > 0 AS INTEGER) AS bulk_buyer,
+    CAST({z('pa.avg_total_amount')} < {pr.low_cost_avg} AND {z('pa.purchases_all_time')} > 0 AS INTEGER) AS low_cost_buyer,
+    CAST({z('pa.cash_share')} >= {pr.payment_share} AND {z('pa.purchases_all_time')} > 0 AS INTEGER) AS prefers_cash,
+    CAST({z('pa.card_share')} >= {pr.payment_share} AND {z('pa.purchases_all_time')} > 0 AS INTEGER) AS prefers_card,
+    CAST({z('pa.weekend_share')} >= {pr.day_share} AND {z('pa.purchases_all_time')} > 0 AS INTEGER) AS weekend_shopper,
+    CAST({z('pa.weekday_share')} >= {pr.day_share} AND {z('pa.purchases_all_time')} > 0 AS INTEGER) AS weekday_shopper,
+    CAST({z('pa.night_share')} >= {pr.time_share} AND {z('pa.purchases_all_time')} > 0 AS INTEGER) AS night_shopper,
+    CAST({z('pa.morning_share')} >= {pr.time_share} AND {z('pa.purchases_all_time')} > 0 AS INTEGER) AS morning_shopper,
+    CAST({z('pa.purchases_all_time')} = 0 AS INTEGER) AS no_purchases,
+    CAST({z('pa.purchases_last_7d')} > 0 AS INTEGER) AS has_purchases_last_7d,
+    CAST({z('pa.purchases_last_14d')} > 0 AS INTEGER) AS has_purchases_last_14d,
+    CAST({z('pa.purchases_last_30d')} > 0 AS INTEGER) AS has_purchases_last_30d,
+    CAST({z('pa.purchases_last_90d')} > 0 AS INTEGER) AS has_purchases_last_90d,
+    CAST({z('pa.purchases_last_14d')} >= {pr.frequent_min_14d} AS INTEGER) AS frequent_shopper_last_14d,
+    CAST({z('pa.max_total_amount_90d')} > {pr.high_ticket_90d} AS INTEGER) AS high_ticket_last_90d,
+    CAST({z('pa.delivery_any_30d')} > 0 AS INTEGER) AS delivery_last_30d,
+    CAST({z('pa.distinct_stores_90d')} >= {pr.cross_store_min_90d} AS INTEGER) AS cross_store_shopper_last_90d,
+    CAST({z('pa.used_cash_90d')} = 1 AND {z('pa.used_card_90d')} = 1 AS INTEGER) AS mixed_payment_user_last_90d,
+    CAST({z('ia.bought_milk_last_7d')} AS INTEGER) AS bought_milk_last_7d,
+    CAST({z('ia.bought_milk_last_30d')} AS INTEGER) AS bought_milk_last_30d,
+    CAST({z('ia.bought_meat_last_7d')} AS INTEGER) AS bought_meat_last_7d,
+    CAST({z('ia.bought_meat_last_30d')} AS INTEGER) AS bought_meat_last_30d,
+    CAST({z('ia.bought_fruits_last_30d')} AS INTEGER) AS bought_fruits_last_30d,
+    CAST({z('ia.bought_vegetables_last_30d')} AS INTEGER) AS bought_vegetables_last_30d,
+    CAST({z('ia.bought_bakery_last_30d')} AS INTEGER) AS bought_bakery_last_30d,
+    CAST({z('ia.bought_organic_last_90d')} AS INTEGER) AS bought_organic_last_90d,
+    CAST({z('ia.high_quantity_buyer_last_30d')} AS INTEGER) AS high_quantity_buyer_last_30d,
+    CAST({z('ia.has_meat_last_90d')} = 0 AND {z('ia.has_plant_last_90d')} = 1 AND {z('pa.purchases_all_time')} > 0
+         AS INTEGER) AS vegetarian_profile
+  FROM f_base b LEFT JOIN f_pagg pa ON b.customer_id = pa.customer_id
+       LEFT JOIN f_iagg ia ON b.customer_id = ia.customer_id""",
+    }
+
+
+FEATURE_CTE_ORDER = ["f_base", "f_pflags", "f_pagg", "f_products", "f_items", "f_iagg", "f_matrix"]
+
+
+def with_features(body: str, profile: C.FeatureProfile, as_of: str = AS_OF) -> str:
+    extra = feature_ctes(profile, as_of)
+    base = ["mart_customers", "mart_purchases", "mart_products", "mart_items"]
+    defs = {**LENS, **norm_ctes(as_of), **MART_CTES, **extra}
+    order: list[str] = []
+
+    def need(n: str) -> None:
+        for dep in _DEPENDS.get(n, []):
+            need(dep)
+        if n not in order:
+            order.append(n)
+
+    for n in base + FEATURE_CTE_ORDER:
+        need(n)
+    ctes = ",\n".join(f"{n} AS ({defs[n]}\n)" for n in order)
+    return f"WITH {ctes}\n{body}"
