@@ -29,7 +29,7 @@ def _path(*keys: str) -> str:
 
 
 def _type_of(doc: Column, path: str) -> Column:
-    return F.schema_of_variant(F.variant_get(doc, path))
+    return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
 
 
 def js_str(doc: Column, *keys: str) -> Column:
@@ -69,3 +69,17 @@ def js_array(doc: Column, *keys: str) -> Column:
 def js_text(doc: Column) -> Column:
     """Canonical JSON text of a VARIANT value."""
     return F.to_json(doc)
+
+
+def with_doc(df, payload: str = "payload", name: str = "_doc"):
+    """Add the parsed document as a column, parsed exactly once per row.
+
+    A plain projection is not enough: the optimizer pushes later filters
+    (the MART rules) through projections, substituting the parse into every
+    predicate that reads a field, so one row would be parsed once per
+    reference.  Emitting the parsed value from a one-element ``inline`` makes
+    it a generator output, which predicates cannot be pushed beneath.
+    """
+    keep = [c for c in df.columns]
+    row = F.struct(parse(payload).alias(name), *[F.col(c) for c in keep])
+    return df.select(F.inline(F.array(row)))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..functions.jsonx import js_bool, js_double, js_str, parse
+from ..functions.jsonx import js_bool, js_double, js_str, with_doc
 from ..functions.norm import iso_date, iso_ts, norm
 
 
@@ -30,8 +30,8 @@ def as_of_col(as_of) -> Column:
 # ----- fields from payload ---------------------------------------------------
 
 def store_fields(raw: DataFrame) -> DataFrame:
-    d = parse("payload")
-    return raw.select(
+    d = F.col("_doc")
+    return with_doc(raw).select(
         js_str(d, "store_id").alias("store_id"),
         js_str(d, "store_network").alias("store_network"),
         js_str(d, "store_name").alias("store_name"),
@@ -42,8 +42,8 @@ def store_fields(raw: DataFrame) -> DataFrame:
 
 
 def product_fields(raw: DataFrame) -> DataFrame:
-    d = parse("payload")
-    return raw.select(
+    d = F.col("_doc")
+    return with_doc(raw).select(
         js_str(d, "id").alias("product_id"),
         js_str(d, "group").alias("group"),
         js_str(d, "name").alias("name"),
@@ -55,8 +55,8 @@ def product_fields(raw: DataFrame) -> DataFrame:
 
 
 def customer_fields(raw: DataFrame) -> DataFrame:
-    d = parse("payload")
-    return raw.select(
+    d = F.col("_doc")
+    return with_doc(raw).select(
         js_str(d, "customer_id").alias("customer_id"),
         js_str(d, "purchase_location", "store_id").alias("store_id"),
         js_str(d, "email").alias("email"),
@@ -69,8 +69,8 @@ def customer_fields(raw: DataFrame) -> DataFrame:
 
 
 def purchase_fields(raw: DataFrame) -> DataFrame:
-    d = parse("payload")
-    return raw.select(
+    d = F.col("_doc")
+    return with_doc(raw).select(
         js_str(d, "purchase_id").alias("purchase_id"),
         js_str(d, "customer", "customer_id").alias("customer_id"),
         js_str(d, "store", "store_id").alias("store_id"),

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import js_array, js_double, js_str, js_text, parse
+from ..functions.jsonx import js_array, js_double, js_str, js_text, with_doc
 from ..functions.norm import iso_ts, norm
 
 
 def raw_stores(msgs: DataFrame) -> DataFrame:
-    d = parse("payload")
-    return msgs.select(
+    d = F.col("_doc")
+    return with_doc(msgs).select(
         js_str(d, "store_id").alias("store_id"),
         js_str(d, "store_network").alias("store_network"),
         "payload",
@@ -24,8 +24,8 @@ def raw_stores(msgs: DataFrame) -> DataFrame:
 
 
 def raw_products(msgs: DataFrame) -> DataFrame:
-    d = parse("payload")
-    return msgs.select(
+    d = F.col("_doc")
+    return with_doc(msgs).select(
         js_str(d, "id").alias("product_id"),
         js_str(d, "group").alias("group"),
         "payload",
@@ -34,8 +34,8 @@ def raw_products(msgs: DataFrame) -> DataFrame:
 
 
 def raw_customers(msgs: DataFrame) -> DataFrame:
-    d = parse("payload")
-    return msgs.select(
+    d = F.col("_doc")
+    return with_doc(msgs).select(
         js_str(d, "customer_id").alias("customer_id"),
         js_str(d, "purchase_location", "store_id").alias("store_id"),
         js_str(d, "email").alias("email_enc"),
@@ -46,8 +46,8 @@ def raw_customers(msgs: DataFrame) -> DataFrame:
 
 
 def raw_purchases(msgs: DataFrame) -> DataFrame:
-    d = parse("payload")
-    return msgs.select(
+    d = F.col("_doc")
+    return with_doc(msgs).select(
         js_str(d, "purchase_id").alias("purchase_id"),
         js_str(d, "customer", "customer_id").alias("customer_id"),
         js_str(d, "store", "store_id").alias("store_id"),
@@ -63,8 +63,8 @@ def raw_purchase_items(purchases_raw: DataFrame) -> DataFrame:
     (``explode`` is an inner array join: a purchase with ``[]`` or no items
     yields no row).  Lines without a purchase or product id are dropped; the
     element's JSON is kept as the line's payload."""
-    d = parse("payload")
-    lines = purchases_raw.select(
+    d = F.col("_doc")
+    lines = with_doc(purchases_raw).select(
         norm("purchase_id").alias("purchase_id"),
         norm("customer_id").alias("customer_id"),
         norm("store_id").alias("store_id"),

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.norm import ts_text
-from ..operators import features, metrics
+from ..operators import features, latest, mart, metrics
 from . import oracle as O
-from .tables import AS_OF, mart_table
+from .tables import AS_OF, mart_table, payload_fields, raw_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -180,3 +180,138 @@ def q_feat_search_page(spark: SparkSession, d: str) -> DataFrame:
     """Page 2 (25 per page) of customers whose id contains ``00001``; the
     limit is the feature (a UI page)."""
     return features.search_page(matrix(spark, d), "0001", page=2, page_size=25)
+
+
+# ----- RAW layer (JSON messages → key columns) ------------------------------------
+
+def _tsq(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}"
+
+
+def _tss(c: str):
+    return ts_text(c).alias(c)
+
+
+_RAW_SQL = {
+    "raw_stores": f"SELECT store_id, store_network, {_tsq('ingested_at')} FROM msg_stores",
+    "raw_products": f'SELECT product_id, "group", {_tsq("ingested_at")} FROM msg_products',
+    "raw_customers": f"SELECT customer_id, store_id, email AS email_enc, phone AS phone_enc, {_tsq('ingested_at')} "
+                     "FROM msg_customers",
+    "raw_purchases": f"SELECT purchase_id, customer_id, store_id, total_amount, "
+                     f"strftime({O._ts('purchase_datetime')}, '%Y-%m-%d %H:%M:%S') AS purchase_datetime, "
+                     f"{_tsq('ingested_at')} FROM msg_purchases",
+    "raw_purchase_items": f"SELECT purchase_id, customer_id, store_id, product_id, category, quantity, price_per_unit, "
+                          f"total_price, {_tsq('purchase_dt')}, {_tsq('ingested_at')} FROM msg_items",
+}
+
+
+def _sql(names, body):
+    return O.with_ctes(names, body)
+
+
+def _msg_names(body: str) -> list[str]:
+    return [n for n in O.all_defs() if n in body]
+
+
+@register("raw_stores", _sql(["msg_stores"], _RAW_SQL["raw_stores"]))
+def q_raw_stores(spark, d):
+    return raw_table(spark, d, "stores").select("store_id", "store_network", _tss("ingested_at"))
+
+
+@register("raw_products", _sql(["msg_products"], _RAW_SQL["raw_products"]))
+def q_raw_products(spark, d):
+    return raw_table(spark, d, "products").select("product_id", "group", _tss("ingested_at"))
+
+
+@register("raw_customers", _sql(["msg_customers"], _RAW_SQL["raw_customers"]))
+def q_raw_customers(spark, d):
+    return raw_table(spark, d, "customers").select("customer_id", "store_id", "email_enc", "phone_enc",
+                                                   _tss("ingested_at"))
+
+
+@register("raw_purchases", _sql(["msg_purchases"], _RAW_SQL["raw_purchases"]))
+def q_raw_purchases(spark, d):
+    return raw_table(spark, d, "purchases").select("purchase_id", "customer_id", "store_id", "total_amount",
+                                                   _tss("purchase_datetime"), _tss("ingested_at"))
+
+
+@register("raw_purchase_items", _sql(["msg_items"], _RAW_SQL["raw_purchase_items"]))
+def q_raw_purchase_items(spark, d):
+    return raw_table(spark, d, "purchase_items").select(
+        "purchase_id", "customer_id", "store_id", "product_id", "category", "quantity", "price_per_unit",
+        "total_price", _tss("purchase_dt"), _tss("ingested_at"))
+
+
+# ----- MART layer (validation over the message path) ---------------------------------
+
+_MART_OUT = {
+    "stores": (["store_id", "store_network", "store_name", "city"], []),
+    "products": (["product_id", '"group"', "name", "price", "unit"], []),
+    "customers": (["customer_id", "store_id", "email_enc", "phone_enc", "birth_date"], ["registration_dt"]),
+    "purchases": (["purchase_id", "customer_id", "store_id", "total_amount", "payment_method", "is_delivery"],
+                  ["purchase_dt"]),
+    "purchase_items": (["purchase_id", "customer_id", "store_id", "product_id", "category", "quantity",
+                        "price_per_unit", "total_price"], ["purchase_dt"]),
+}
+_NORM_NAME = {"stores": "stores", "products": "products", "customers": "customers", "purchases": "purchases",
+              "purchase_items": "items"}
+
+
+def _mart_sql(entity: str, final: bool) -> str:
+    plain, times = _MART_OUT[entity]
+    cols = ", ".join(plain + [_tsq(t) for t in times] + [_tsq("ingested_at")])
+    src = f"mart_{_NORM_NAME[entity]}_m" if final else f"norm_{_NORM_NAME[entity]}_m"
+    where = "" if final else " WHERE is_valid"
+    return _sql([src], f"SELECT {cols} FROM {src}{where}")
+
+
+def _mart_spark(spark, d, entity: str, final: bool) -> DataFrame:
+    m = mart.mart(entity, payload_fields(spark, d, entity), AS_OF)
+    if final:
+        m = latest.latest_mart(entity, m)
+    plain, times = _MART_OUT[entity]
+    return m.select(*[c.strip('"') for c in plain], *[_tss(t) for t in times], _tss("ingested_at"))
+
+
+def _reg_mart(entity: str) -> None:
+    register(f"mart_{entity}", _mart_sql(entity, False))(lambda spark, d: _mart_spark(spark, d, entity, False))
+
+
+for _e in _MART_OUT:
+    _reg_mart(_e)
+
+
+@register("latest_by_key", _mart_sql("purchases", True))
+def q_latest_by_key(spark, d):
+    """Newest valid version per purchase over the re-sent message stream."""
+    return _mart_spark(spark, d, "purchases", True)
+
+
+@register("latest_by_key_customers", _mart_sql("customers", True))
+def q_latest_by_key_customers(spark, d):
+    return _mart_spark(spark, d, "customers", True)
+
+
+@register("latest_by_key_items", _mart_sql("purchase_items", True))
+def q_latest_by_key_items(spark, d):
+    """Lines keyed by (purchase, product): two lines of one product in one
+    purchase collapse to the newest/greatest one."""
+    return _mart_spark(spark, d, "purchase_items", True)
+
+
+@register("latest_by_key_raw_items", _sql(["msg_items"], f"""
+SELECT purchase_id, product_id, {_tsq('ingested_at')}, customer_id, store_id, category, quantity, price_per_unit,
+       total_price, {_tsq('purchase_dt')}
+FROM msg_items
+QUALIFY row_number() OVER (PARTITION BY purchase_id, product_id, ingested_at
+                           ORDER BY customer_id DESC, store_id DESC, category DESC, quantity DESC,
+                                    price_per_unit DESC, total_price DESC, purchase_dt DESC NULLS LAST) = 1"""))
+def q_latest_by_key_raw_items(spark, d):
+    """RAW line table keyed by (purchase, product, ingested_at): only exact
+    re-inserts collapse."""
+    r = raw_table(spark, d, "purchase_items").drop("payload")
+    out = latest.latest_by_key(r, ["purchase_id", "product_id", "ingested_at"], version="purchase_dt",
+                               tiebreak=["customer_id", "store_id", "category", "quantity", "price_per_unit",
+                                         "total_price"])
+    return out.select("purchase_id", "product_id", _tss("ingested_at"), "customer_id", "store_id", "category",
+                      "quantity", "price_per_unit", "total_price", _tss("purchase_dt"))

@@ -16,12 +16,12 @@ LENS = {
   SELECT printf('store-%03d', s.s_suppkey) AS store_id, s.s_name AS store_name,
          CASE WHEN n.n_regionkey % 2 = 0 THEN 'north' ELSE 'south' END AS store_network,
          coalesce(n.n_name, '') AS city,
-         TIMESTAMP '1995-12-01 00:00:00' + to_seconds(s.s_suppkey * 60) AS ingested_at
+         TIMESTAMP '1995-12-01 00:00:00' + to_seconds(s.s_suppkey * 60) AS ingested_at, s.s_suppkey AS _k
   FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey""",
     "lens_products": """
   SELECT printf('prd-%04d', p_partkey) AS product_id, p_name AS name, p_type AS "group",
          p_retailprice AS price, p_brand AS unit, (p_size % 2 = 0) AS is_organic,
-         TIMESTAMP '1995-12-01 00:00:00' + to_seconds(p_partkey * 60) AS ingested_at
+         TIMESTAMP '1995-12-01 00:00:00' + to_seconds(p_partkey * 60) AS ingested_at, p_partkey AS _k
   FROM part""",
     "lens_customers": """
   SELECT printf('cus-%06d', c_custkey) AS customer_id, printf('store-%03d', c_nationkey) AS store_id,
@@ -33,7 +33,7 @@ LENS = {
          CASE WHEN c_acctbal < 0 THEN ''
               ELSE strftime(TIMESTAMP '1990-01-01 00:00:00' + to_seconds(c_custkey * 3600), '%Y-%m-%dT%H:%M:%SZ') END
            AS registration_date,
-         TIMESTAMP '1995-12-01 00:00:00' + to_seconds(c_custkey * 60) AS ingested_at
+         TIMESTAMP '1995-12-01 00:00:00' + to_seconds(c_custkey * 60) AS ingested_at, c_custkey AS _k
   FROM customer""",
     "lens_purchases": """
   SELECT printf('ord-%06d', o_orderkey) AS purchase_id, printf('cus-%06d', o_custkey) AS customer_id,
@@ -43,7 +43,8 @@ LENS = {
          (o_orderstatus = 'F') AS is_delivery,
          strftime(CAST(o_orderdate AS TIMESTAMP) + to_seconds((o_orderkey % 24) * 3600), '%Y-%m-%dT%H:%M:%SZ')
            AS purchase_datetime,
-         CAST(o_orderdate AS TIMESTAMP) + to_seconds((o_orderkey % 24) * 3600 + 86400) AS ingested_at
+         CAST(o_orderdate AS TIMESTAMP) + to_seconds((o_orderkey % 24) * 3600 + 86400) AS ingested_at,
+         o_orderkey AS _k
   FROM orders""",
     "lens_items": """
   SELECT printf('ord-%06d', l.l_orderkey) AS purchase_id, printf('cus-%06d', o.o_custkey) AS customer_id,
@@ -70,21 +71,21 @@ def _hash_or_blank(x: str) -> str:
     return f"({x} = '' OR regexp_matches({x}, '{C.HASH_PATTERN}'))"
 
 
-def norm_ctes(as_of: str = AS_OF) -> dict[str, str]:
+def norm_ctes(as_of: str = AS_OF, src: str = "lens", sfx: str = "") -> dict[str, str]:
     a = f"TIMESTAMP '{as_of}'"
     methods = ", ".join(f"'{m}'" for m in C.PAYMENT_METHODS)
     return {
-        "norm_stores": f"""
+        f"norm_stores{sfx}": f"""
   SELECT *, ({_id('store_id', C.STORE_ID_PATTERN)} AND store_network <> '' AND city <> '') AS is_valid FROM (
     SELECT lower(trim(store_id)) AS store_id, lower(trim(store_network)) AS store_network,
            lower(trim(store_name)) AS store_name, lower(trim(city)) AS city, ingested_at
-    FROM lens_stores)""",
-        "norm_products": f"""
+    FROM {src}_stores)""",
+        f"norm_products{sfx}": f"""
   SELECT *, ({_id('product_id', C.PRODUCT_ID_PATTERN)} AND price >= 0 AND unit <> '') AS is_valid FROM (
     SELECT lower(trim(product_id)) AS product_id, lower(trim("group")) AS "group", lower(trim(name)) AS name,
            coalesce(CAST(price AS DOUBLE), 0.0) AS price, lower(trim(unit)) AS unit, is_organic, ingested_at
-    FROM lens_products)""",
-        "norm_customers": f"""
+    FROM {src}_products)""",
+        f"norm_customers{sfx}": f"""
   SELECT *, ({_id('customer_id', C.CUSTOMER_ID_PATTERN)} AND {_id('store_id', C.STORE_ID_PATTERN)}
              AND {_hash_or_blank('email_enc')} AND {_hash_or_blank('phone_enc')}
              AND birth_date IS NOT NULL AND birth_date <= CAST({a} AS DATE)
@@ -95,8 +96,8 @@ def norm_ctes(as_of: str = AS_OF) -> dict[str, str]:
                 THEN CAST(try_strptime(trim(birth_date), '%Y-%m-%d') AS DATE) END AS birth_date,
            trim(registration_date) AS registration_raw,
            {_ts('trim(registration_date)')} AS registration_dt, ingested_at
-    FROM lens_customers)""",
-        "norm_purchases": f"""
+    FROM {src}_customers)""",
+        f"norm_purchases{sfx}": f"""
   SELECT *, ({_id('purchase_id', C.PURCHASE_ID_PATTERN)} AND {_id('customer_id', C.CUSTOMER_ID_PATTERN)}
              AND {_id('store_id', C.STORE_ID_PATTERN)} AND total_amount >= 0
              AND payment_method IN ({methods}) AND purchase_dt IS NOT NULL AND purchase_dt <= {a}) AS is_valid FROM (
@@ -104,8 +105,8 @@ def norm_ctes(as_of: str = AS_OF) -> dict[str, str]:
            lower(trim(store_id)) AS store_id, coalesce(CAST(total_amount AS DOUBLE), 0.0) AS total_amount,
            lower(trim(payment_method)) AS payment_method, coalesce(CAST(is_delivery AS INTEGER), 0) AS is_delivery,
            {_ts('trim(purchase_datetime)')} AS purchase_dt, ingested_at
-    FROM lens_purchases)""",
-        "norm_items": f"""
+    FROM {src}_purchases)""",
+        f"norm_items{sfx}": f"""
   SELECT *, ({_id('purchase_id', C.PURCHASE_ID_PATTERN)} AND {_id('customer_id', C.CUSTOMER_ID_PATTERN)}
              AND {_id('store_id', C.STORE_ID_PATTERN)} AND {_id('product_id', C.PRODUCT_ID_PATTERN)}
              AND category <> '' AND purchase_dt IS NOT NULL AND purchase_dt <= {a}
@@ -116,7 +117,7 @@ def norm_ctes(as_of: str = AS_OF) -> dict[str, str]:
            coalesce(CAST(price_per_unit AS DOUBLE), 0.0) AS price_per_unit,
            coalesce(CAST(total_price AS DOUBLE), 0.0) AS total_price,
            CAST(purchase_dt AS TIMESTAMP) AS purchase_dt, ingested_at
-    FROM lens_items)""",
+    FROM {src}_items)""",
     }
 
 
@@ -127,34 +128,71 @@ def _latest(src: str, keys: list[str], order: list[str]) -> str:
   QUALIFY row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY {o}) = 1"""
 
 
-MART_CTES = {
-    "mart_stores": _latest("norm_stores", ["store_id"], ["ingested_at", "store_network", "store_name", "city"]),
-    "mart_products": _latest("norm_products", ["product_id"], ["ingested_at", '"group"', "name", "price", "unit", "is_organic"]),
-    "mart_customers": _latest("norm_customers", ["customer_id"],
-                              ["ingested_at", "store_id", "email_enc", "phone_enc", "birth_date", "registration_dt"]),
-    "mart_purchases": _latest("norm_purchases", ["purchase_id"],
-                              ["ingested_at", "customer_id", "store_id", "total_amount", "payment_method",
-                               "is_delivery", "purchase_dt"]),
-    "mart_items": _latest("norm_items", ["purchase_id", "product_id"],
-                          ["ingested_at", "customer_id", "store_id", "category", "quantity", "price_per_unit",
-                           "total_price", "purchase_dt"]),
-}
+def mart_ctes(sfx: str = "") -> dict[str, str]:
+    return {
+        f"mart_stores{sfx}": _latest(f"norm_stores{sfx}", ["store_id"], ["ingested_at", "store_network", "store_name", "city"]),
+        f"mart_products{sfx}": _latest(f"norm_products{sfx}", ["product_id"],
+                                       ["ingested_at", '"group"', "name", "price", "unit", "is_organic"]),
+        f"mart_customers{sfx}": _latest(f"norm_customers{sfx}", ["customer_id"],
+                                        ["ingested_at", "store_id", "email_enc", "phone_enc", "birth_date",
+                                         "registration_dt"]),
+        f"mart_purchases{sfx}": _latest(f"norm_purchases{sfx}", ["purchase_id"],
+                                        ["ingested_at", "customer_id", "store_id", "total_amount", "payment_method",
+                                         "is_delivery", "purchase_dt"]),
+        f"mart_items{sfx}": _latest(f"norm_items{sfx}", ["purchase_id", "product_id"],
+                                    ["ingested_at", "customer_id", "store_id", "category", "quantity",
+                                     "price_per_unit", "total_price", "purchase_dt"]),
+    }
+
+
+MART_CTES = mart_ctes()
+
 
-_DEPENDS = {
-    "norm_stores": ["lens_stores"], "norm_products": ["lens_products"], "norm_customers": ["lens_customers"],
-    "norm_purchases": ["lens_purchases"], "norm_items": ["lens_items"],
-    "mart_stores": ["norm_stores"], "mart_products": ["norm_products"], "mart_customers": ["norm_customers"],
-    "mart_purchases": ["norm_purchases"], "mart_items": ["norm_items"],
+def _resend(lens_name: str) -> str:
+    return f"""
+  SELECT * FROM {lens_name}
+  UNION ALL
+  SELECT * REPLACE (ingested_at + INTERVAL 1 HOUR AS ingested_at) FROM {lens_name} WHERE _k % 10 = 3"""
+
+
+# Stream messages as the RAW layer sees them (re-sent copies included) and the
+# array-joined purchase lines.
+MSG = {
+    "msg_stores": _resend("lens_stores"),
+    "msg_products": _resend("lens_products"),
+    "msg_customers": _resend("lens_customers"),
+    "msg_purchases": _resend("lens_purchases"),
+    "msg_items": f"""
+  SELECT * FROM (
+    SELECT lower(trim(m.purchase_id)) AS purchase_id, lower(trim(m.customer_id)) AS customer_id,
+           lower(trim(m.store_id)) AS store_id, lower(trim(printf('prd-%04d', l.l_partkey))) AS product_id,
+           lower(trim(CASE WHEN l.l_linenumber = 7 THEN '' ELSE coalesce(p.p_type, '') END)) AS category,
+           l.l_quantity AS quantity,
+           CASE WHEN l.l_quantity <> 0 THEN l.l_extendedprice / l.l_quantity ELSE 0.0 END AS price_per_unit,
+           l.l_extendedprice AS total_price,
+           {_ts('m.purchase_datetime')} AS purchase_dt, m.ingested_at
+    FROM msg_purchases m JOIN lineitem l ON m._k = l.l_orderkey LEFT JOIN part p ON l.l_partkey = p.p_partkey)
+  WHERE purchase_id <> '' AND product_id <> ''""",
 }
 
 
+def all_defs(as_of: str = AS_OF) -> dict[str, str]:
+    return {**LENS, **MSG, **norm_ctes(as_of), **MART_CTES, **norm_ctes(as_of, "msg", "_m"), **mart_ctes("_m")}
+
+
+def _deps(defs: dict[str, str], name: str) -> list[str]:
+    import re
+    text = defs[name]
+    return [n for n in defs if n != name and re.search(rf"\b{n}\b", text)]
+
+
 def with_ctes(names: list[str], body: str, as_of: str = AS_OF, extra: dict[str, str] | None = None) -> str:
     """``WITH`` clause holding the named CTEs (and what they need) + body."""
-    defs = {**LENS, **norm_ctes(as_of), **MART_CTES, **(extra or {})}
+    defs = {**all_defs(as_of), **(extra or {})}
     order: list[str] = []
 
     def need(n: str) -> None:
-        for dep in _DEPENDS.get(n, []):
+        for dep in _deps(defs, n):
             need(dep)
         if n not in order:
             order.append(n)
@@ -286,18 +324,4 @@ FEATURE_CTE_ORDER = ["f_base", "f_pflags", "f_pagg", "f_products", "f_items", "f
 
 
 def with_features(body: str, profile: C.FeatureProfile, as_of: str = AS_OF) -> str:
-    extra = feature_ctes(profile, as_of)
-    base = ["mart_customers", "mart_purchases", "mart_products", "mart_items"]
-    defs = {**LENS, **norm_ctes(as_of), **MART_CTES, **extra}
-    order: list[str] = []
-
-    def need(n: str) -> None:
-        for dep in _DEPENDS.get(n, []):
-            need(dep)
-        if n not in order:
-            order.append(n)
-
-    for n in base + FEATURE_CTE_ORDER:
-        need(n)
-    ctes = ",\n".join(f"{n} AS ({defs[n]}\n)" for n in order)
-    return f"WITH {ctes}\n{body}"
+    return with_ctes(FEATURE_CTE_ORDER, body, as_of, extra=feature_ctes(profile, as_of))
