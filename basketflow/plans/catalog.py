@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.norm import ts_text
-from ..operators import features, latest, mart, metrics
+from ..operators import alerts, features, latest, mart, metrics, quality
 from . import oracle as O
 from .tables import AS_OF, mart_table, payload_fields, raw_table
 
@@ -315,3 +315,165 @@ def q_latest_by_key_raw_items(spark, d):
                                          "total_price"])
     return out.select("purchase_id", "product_id", _tss("ingested_at"), "customer_id", "store_id", "category",
                       "quantity", "price_per_unit", "total_price", _tss("purchase_dt"))
+
+
+# ----- quality ---------------------------------------------------------------------
+
+_Q_ENTITIES = ["stores", "products", "customers", "purchases", "purchase_items"]
+
+
+def _quality_sql(entity: str) -> str:
+    e = _NORM_NAME[entity]
+    key = O.QUALITY_KEYS[e]
+    return f"""
+SELECT strftime(TIMESTAMP '{AS_OF}', '%Y-%m-%d %H:%M:%S') AS event_time, '{entity}' AS entity,
+       CAST(count(*) AS BIGINT) AS total_rows_raw,
+       CAST(count_if(coalesce(is_valid, false)) AS BIGINT) AS inserted_rows_mart,
+       CAST(count(*) - count_if(coalesce(is_valid, false)) AS BIGINT) AS invalid_rows,
+       CAST(count(*) - count(DISTINCT {key}) AS BIGINT) AS duplicates_rows,
+       CASE WHEN count(*) = 0 THEN 0.0 ELSE (count(*) - count(DISTINCT {key})) / count(*) END AS duplicates_ratio
+FROM norm_{e}_m"""
+
+
+def _quality_spark(spark, d, entity: str) -> DataFrame:
+    q = quality.quality(entity, payload_fields(spark, d, entity), AS_OF)
+    return q.withColumn("event_time", ts_text("event_time"))
+
+
+def _reg_quality(entity: str) -> None:
+    register(f"quality_{entity}", _sql([f"norm_{_NORM_NAME[entity]}_m"], _quality_sql(entity)))(
+        lambda spark, d: _quality_spark(spark, d, entity))
+
+
+for _e in _Q_ENTITIES:
+    _reg_quality(_e)
+
+
+@register("quality_snapshot", _sql([f"norm_{_NORM_NAME[e]}_m" for e in _Q_ENTITIES],
+                                   "\nUNION ALL\n".join(f"SELECT * FROM ({_quality_sql(e)})" for e in _Q_ENTITIES)))
+def q_quality_snapshot(spark, d):
+    snap = quality.snapshot({e: payload_fields(spark, d, e) for e in _Q_ENTITIES}, AS_OF)
+    return snap.withColumn("event_time", ts_text("event_time"))
+
+
+def quality_log(spark, d) -> DataFrame:
+    """The daily quality log replayed over the whole message history."""
+    return quality.history_all({e: payload_fields(spark, d, e) for e in _Q_ENTITIES})
+
+
+def _log_sql(body: str) -> str:
+    return _sql(["qlog"], body)
+
+
+_LOG_COLS = ("entity, total_rows_raw, inserted_rows_mart, invalid_rows, duplicates_rows, duplicates_ratio, "
+             "strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time")
+
+
+@register("quality_history", _log_sql(f"SELECT {_LOG_COLS} FROM qlog"))
+def q_quality_history(spark, d):
+    return quality_log(spark, d).withColumn("event_time", ts_text("event_time"))
+
+
+@register("quality_latest_purchases", _log_sql(
+    f"SELECT {_LOG_COLS} FROM qlog WHERE entity = 'purchases' ORDER BY event_time DESC LIMIT 1"))
+def q_quality_latest_purchases(spark, d):
+    return quality.latest_for(quality_log(spark, d), "purchases").withColumn("event_time", ts_text("event_time"))
+
+
+@register("quality_status", _log_sql(f"""
+SELECT round(coalesce(max(duplicates_ratio), 0.0), 6) AS duplicates_ratio, {C.DUPLICATES_BAD_THRESHOLD} AS target_ratio,
+       CASE WHEN coalesce(max(duplicates_ratio), 0.0) > {C.DUPLICATES_BAD_THRESHOLD} THEN 'bad' ELSE 'good' END AS status,
+       strftime(max(event_time), '%Y-%m-%d %H:%M:%S') AS event_time
+FROM (SELECT * FROM qlog WHERE entity = 'purchases' ORDER BY event_time DESC LIMIT 1)"""))
+def q_quality_status(spark, d):
+    return quality.status(quality_log(spark, d), "purchases").withColumn("event_time", ts_text("event_time"))
+
+
+@register("quality_trend", _log_sql("""
+SELECT CAST(row_number() OVER (ORDER BY event_time) AS INTEGER) AS run, round(duplicates_ratio, 6) AS ratio
+FROM (SELECT * FROM qlog WHERE entity = 'purchases' ORDER BY event_time DESC LIMIT 10)"""))
+def q_quality_trend(spark, d):
+    return quality.trend(quality_log(spark, d), "purchases", runs=10)
+
+
+_RANK = " ".join(f"WHEN '{e}' THEN {i + 1}" for i, e in enumerate(C.QUALITY_ENTITY_ORDER))
+
+
+@register("quality_latest_by_entity", _log_sql(f"""
+SELECT upper(substr(entity, 1, 1)) || lower(substr(entity, 2)) AS entity, total_rows_raw AS total_raw,
+       inserted_rows_mart AS valid_mart, duplicates_rows AS duplicates, invalid_rows AS invalid,
+       round(duplicates_ratio, 6) AS ratio
+FROM (SELECT * FROM (SELECT * FROM qlog ORDER BY event_time DESC, entity LIMIT {C.QUALITY_SCAN_ROWS})
+      QUALIFY row_number() OVER (PARTITION BY entity ORDER BY event_time DESC) = 1)
+WHERE entity IN ({', '.join(repr(e) for e in C.QUALITY_ENTITY_ORDER)})
+ORDER BY CASE entity {_RANK} END"""))
+def q_quality_latest_by_entity(spark, d):
+    return quality.latest_by_entity(quality_log(spark, d))
+
+
+@register("quality_last_any", _log_sql("""
+SELECT entity, duplicates_rows, inserted_rows_mart, invalid_rows, round(duplicates_ratio, 6) AS duplicates_ratio
+FROM qlog ORDER BY event_time DESC, entity LIMIT 1"""))
+def q_quality_last_any(spark, d):
+    return quality.last_any(quality_log(spark, d))
+
+
+# ----- alerts ----------------------------------------------------------------------
+
+ALERT_THRESHOLD = 0.05  # the driver data re-sends 10 % of keys: ratios sit near 0.09
+
+
+def _replay_sql(thr: float, cooldown_min: int) -> str:
+    fire = (f"s.duplicates_ratio > {thr} AND (r.last_fired IS NULL OR "
+            f"s.event_time - r.last_fired > INTERVAL {cooldown_min} MINUTE)")
+    body = f"""
+, s AS (SELECT entity, event_time, duplicates_ratio,
+               row_number() OVER (PARTITION BY entity ORDER BY event_time) AS rn FROM qlog),
+r AS (
+  SELECT entity, rn, event_time, duplicates_ratio,
+         CASE WHEN duplicates_ratio > {thr} THEN 1 ELSE 0 END AS fired,
+         CASE WHEN duplicates_ratio > {thr} THEN event_time END AS last_fired
+  FROM s WHERE rn = 1
+  UNION ALL
+  SELECT s.entity, s.rn, s.event_time, s.duplicates_ratio,
+         CASE WHEN {fire} THEN 1 ELSE 0 END,
+         CASE WHEN {fire} THEN s.event_time ELSE r.last_fired END
+  FROM r JOIN s ON s.entity = r.entity AND s.rn = r.rn + 1)"""
+    w = _sql(["qlog"], "").rstrip()
+    return "WITH RECURSIVE" + w[len("WITH"):] + body
+
+
+@register("alert_replay", _replay_sql(ALERT_THRESHOLD, C.ALERT_COOLDOWN_MINUTES) + """
+SELECT entity, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, duplicates_ratio, CAST(fired AS INTEGER) AS fired
+FROM r""")
+def q_alert_replay(spark, d):
+    r = alerts.replay(quality_log(spark, d), ALERT_THRESHOLD, C.ALERT_COOLDOWN_MINUTES)
+    return r.withColumn("event_time", ts_text("event_time"))
+
+
+@register("alert_duplicates_ratio", _replay_sql(ALERT_THRESHOLD, C.ALERT_COOLDOWN_MINUTES) + f"""
+, ev AS (SELECT entity, event_time AS created_at FROM r WHERE fired = 1),
+clock AS (SELECT max(event_time) + INTERVAL 10 MINUTE AS now FROM qlog),
+latest AS (SELECT entity, duplicates_ratio FROM qlog QUALIFY row_number() OVER (PARTITION BY entity ORDER BY event_time DESC) = 1)
+SELECT '{C.ALERT_RULE_NAME}' AS rule_name, l.entity, 'critical' AS severity, l.duplicates_ratio AS observed_value,
+       {ALERT_THRESHOLD} AS threshold_value, 'failed' AS status
+FROM latest l
+WHERE l.duplicates_ratio > {ALERT_THRESHOLD}
+  AND l.entity NOT IN (SELECT entity FROM ev, clock
+                       WHERE created_at >= clock.now - INTERVAL {C.ALERT_COOLDOWN_MINUTES} MINUTE)""")
+def q_alert_duplicates_ratio(spark, d):
+    """The online rule run ten minutes after the last snapshot, with the
+    replayed events as the event log: entities alerted inside the cooldown
+    stay silent."""
+    log = quality_log(spark, d)
+    events = alerts.replay(log, ALERT_THRESHOLD).where("fired = 1").select(
+        F.lit(C.ALERT_RULE_NAME).alias("rule_name"), "entity", F.col("event_time").alias("created_at"))
+    latest_rows = log.groupBy("entity").agg(
+        F.max_by("duplicates_ratio", "event_time").alias("duplicates_ratio"),
+        F.max("event_time").alias("_last"),
+    )
+    # the clock: ten minutes after the newest snapshot of any entity (a window
+    # over one row per entity)
+    now = F.timestamp_seconds(F.unix_seconds(F.max("_last").over(Window.partitionBy())) + 600)
+    out = alerts.dispatch(latest_rows, events, now, ALERT_THRESHOLD)
+    return out.select("rule_name", "entity", "severity", "observed_value", "threshold_value", "status")

@@ -71,8 +71,8 @@ def _hash_or_blank(x: str) -> str:
     return f"({x} = '' OR regexp_matches({x}, '{C.HASH_PATTERN}'))"
 
 
-def norm_ctes(as_of: str = AS_OF, src: str = "lens", sfx: str = "") -> dict[str, str]:
-    a = f"TIMESTAMP '{as_of}'"
+def norm_ctes(as_of: str = AS_OF, src: str = "lens", sfx: str = "", a_expr: str | None = None) -> dict[str, str]:
+    a = a_expr or f"TIMESTAMP '{as_of}'"
     methods = ", ".join(f"'{m}'" for m in C.PAYMENT_METHODS)
     return {
         f"norm_stores{sfx}": f"""
@@ -176,8 +176,38 @@ MSG = {
 }
 
 
+QUALITY_KEYS = {
+    "stores": "store_id", "products": "product_id", "customers": "customer_id", "purchases": "purchase_id",
+    "items": "purchase_id || '|' || product_id",
+}
+QUALITY_ENTITY = {"stores": "stores", "products": "products", "customers": "customers", "purchases": "purchases",
+                  "items": "purchase_items"}
+
+
+def _history(e: str) -> str:
+    w = "OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""
+  SELECT CAST(day AS TIMESTAMP) + INTERVAL 1 DAY AS event_time, '{QUALITY_ENTITY[e]}' AS entity,
+         CAST(sum(n) {w} AS BIGINT) AS total_rows_raw, CAST(sum(v) {w} AS BIGINT) AS inserted_rows_mart,
+         CAST(sum(n) {w} - sum(v) {w} AS BIGINT) AS invalid_rows,
+         CAST(sum(n) {w} - sum(nw) {w} AS BIGINT) AS duplicates_rows,
+         CASE WHEN sum(n) {w} = 0 THEN 0.0 ELSE (sum(n) {w} - sum(nw) {w}) / sum(n) {w} END AS duplicates_ratio
+  FROM (
+    SELECT a.day, a.n, a.v, coalesce(b.nw, 0) AS nw
+    FROM (SELECT CAST(ingested_at AS DATE) AS day, count(*) AS n, count_if(coalesce(is_valid, false)) AS v
+          FROM norm_{e}_h GROUP BY 1) a
+    LEFT JOIN (SELECT d AS day, count(*) AS nw
+               FROM (SELECT {QUALITY_KEYS[e]} AS k, min(CAST(ingested_at AS DATE)) AS d FROM norm_{e}_h GROUP BY 1)
+               GROUP BY 1) b ON a.day = b.day)"""
+
+
+HISTORY = {f"hist_{e}": _history(e) for e in QUALITY_KEYS}
+HISTORY["qlog"] = "\n  UNION ALL ".join(f"SELECT * FROM hist_{e}" for e in QUALITY_KEYS)
+
+
 def all_defs(as_of: str = AS_OF) -> dict[str, str]:
-    return {**LENS, **MSG, **norm_ctes(as_of), **MART_CTES, **norm_ctes(as_of, "msg", "_m"), **mart_ctes("_m")}
+    return {**LENS, **MSG, **norm_ctes(as_of), **MART_CTES, **norm_ctes(as_of, "msg", "_m"), **mart_ctes("_m"),
+            **norm_ctes(as_of, "msg", "_h", a_expr="ingested_at"), **HISTORY}
 
 
 def _deps(defs: dict[str, str], name: str) -> list[str]:
