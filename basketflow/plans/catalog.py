@@ -16,7 +16,7 @@ from .. import config as C
 from ..functions.norm import ts_text
 from ..operators import alerts, features, latest, mart, metrics, quality
 from . import oracle as O
-from .tables import AS_OF, mart_table, payload_fields, raw_table
+from .tables import AS_OF, mart_table, messages, payload_fields, raw_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -477,3 +477,86 @@ def q_alert_duplicates_ratio(spark, d):
     now = F.timestamp_seconds(F.unix_seconds(F.max("_last").over(Window.partitionBy())) + 600)
     out = alerts.dispatch(latest_rows, events, now, ALERT_THRESHOLD)
     return out.select("rule_name", "entity", "severity", "observed_value", "threshold_value", "status")
+
+
+# ----- counts and KPIs ---------------------------------------------------------------
+
+def _union_sql(parts: list[tuple[str, str]]) -> str:
+    return "\nUNION ALL\n".join(f"SELECT '{n}' AS t, CAST({expr} AS BIGINT) AS c FROM {src}" for n, (expr, src) in parts)
+
+
+_RAW_COUNT = [("stores_raw", ("count(*)", "msg_stores")), ("products_raw", ("count(*)", "msg_products")),
+              ("customers_raw", ("count(*)", "msg_customers")), ("purchases_raw", ("count(*)", "msg_purchases")),
+              ("purchase_items_raw", ("count(*)", "msg_items"))]
+
+
+@register("raw_row_counts", _sql([s for _, (_, s) in _RAW_COUNT], _union_sql(_RAW_COUNT)))
+def q_raw_row_counts(spark, d):
+    return metrics.row_counts({
+        "stores_raw": messages(spark, d, "stores"),
+        "products_raw": messages(spark, d, "products"),
+        "customers_raw": messages(spark, d, "customers"),
+        "purchases_raw": messages(spark, d, "purchases"),
+        "purchase_items_raw": raw_table(spark, d, "purchase_items"),
+    })
+
+
+_FINAL_COUNT = [("customers_mart_final", ("count(*)", "mart_customers_m")),
+                ("purchases_mart_final", ("count(*)", "mart_purchases_m")),
+                ("purchase_items_mart_final", ("count(*)", "mart_items_m"))]
+
+
+def _final(spark, d, entity):
+    return latest.latest_mart(entity, mart.mart(entity, payload_fields(spark, d, entity), AS_OF))
+
+
+@register("mart_final_counts", _sql([s for _, (_, s) in _FINAL_COUNT], _union_sql(_FINAL_COUNT)))
+def q_mart_final_counts(spark, d):
+    return metrics.row_counts({
+        "customers_mart_final": _final(spark, d, "customers"),
+        "purchases_mart_final": _final(spark, d, "purchases"),
+        "purchase_items_mart_final": _final(spark, d, "purchase_items"),
+    })
+
+
+_UNIQ = [("stores", ("count(DISTINCT store_id)", "msg_stores")),
+         ("products", ("count(DISTINCT product_id)", "msg_products")),
+         ("purchases", ("count(DISTINCT purchase_id)", "msg_purchases")),
+         ("customers", ("count(DISTINCT customer_id)", "msg_customers"))]
+
+
+@register("raw_unique_counts", _sql([s for _, (_, s) in _UNIQ], _union_sql(_UNIQ)))
+def q_raw_unique_counts(spark, d):
+    return metrics.unique_counts({
+        "stores": (raw_table(spark, d, "stores"), "store_id"),
+        "products": (raw_table(spark, d, "products"), "product_id"),
+        "purchases": (raw_table(spark, d, "purchases"), "purchase_id"),
+        "customers": (raw_table(spark, d, "customers"), "customer_id"),
+    })
+
+
+@register("stores_by_network", _sql(["msg_stores"], """
+SELECT store_network, CAST(count(*) AS BIGINT) AS stores_count FROM msg_stores GROUP BY store_network"""))
+def q_stores_by_network(spark, d):
+    return metrics.stores_by_network(raw_table(spark, d, "stores"))
+
+
+@register("kpi_overview", _sql(["mart_stores_m", "mart_purchases_m", "mart_customers_m", "mart_products_m"], """
+SELECT (SELECT CAST(count(DISTINCT store_id) AS BIGINT) FROM mart_stores_m) AS stores_uniq,
+       (SELECT CAST(count(DISTINCT purchase_id) AS BIGINT) FROM mart_purchases_m) AS purchases_uniq,
+       (SELECT CAST(count(*) AS BIGINT) FROM mart_customers_m) AS customers_mart,
+       (SELECT CAST(count(DISTINCT product_id) AS BIGINT) FROM mart_products_m) AS items_mart"""))
+def q_kpi_overview(spark, d):
+    return metrics.kpi_overview(_final(spark, d, "stores"), _final(spark, d, "purchases"),
+                                _final(spark, d, "customers"), _final(spark, d, "products"))
+
+
+INGEST_AS_OF = "2001-08-03 00:00:00"  # just after the last purchase message
+
+
+@register("ingestion_series", _sql(["msg_purchases"], f"""
+SELECT CAST(ingested_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS rows
+FROM msg_purchases WHERE ingested_at >= TIMESTAMP '{INGEST_AS_OF}' - INTERVAL 30 DAY
+GROUP BY 1"""))
+def q_ingestion_series(spark, d):
+    return metrics.ingestion_series(raw_table(spark, d, "purchases"), INGEST_AS_OF, days=30)
