@@ -175,3 +175,18 @@ DRIVER_AS_OF = "1996-01-01 00:00:00"
 RETAIL_AS_OF = "2025-07-10 12:00:00"
 
 PROFILES = {"retail": RETAIL, "driver": DRIVER}
+
+# The PII salt is configuration: real jobs pass it in or set BASKETFLOW_PII_SALT.
+# The catalog's PII queries run on invented contact data (see lens
+# ``customer_contacts``) and use this fixed, non-secret demo salt so that the
+# SQL oracle can reproduce the hashes.
+DEMO_PII_SALT = "synthetic-demo-salt-not-a-secret"
+
+
+def pii_salt(explicit: str | None = None) -> str:
+    import os
+
+    s = explicit or os.environ.get("BASKETFLOW_PII_SALT", "")
+    if not s.strip():
+        raise ValueError("PII hash salt is required (argument or BASKETFLOW_PII_SALT)")
+    return s

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.norm import ts_text
-from ..operators import alerts, features, latest, mart, metrics, quality
+from ..functions import pii as pii_fn
+from ..operators import alerts, features, latest, mart, metrics, pii, quality
+from ..sources import lens
 from . import oracle as O
 from .tables import AS_OF, mart_table, messages, payload_fields, raw_table
 
@@ -560,3 +562,73 @@ FROM msg_purchases WHERE ingested_at >= TIMESTAMP '{INGEST_AS_OF}' - INTERVAL 30
 GROUP BY 1"""))
 def q_ingestion_series(spark, d):
     return metrics.ingestion_series(raw_table(spark, d, "purchases"), INGEST_AS_OF, days=30)
+
+
+# ----- PII ---------------------------------------------------------------------------
+
+SALT = C.DEMO_PII_SALT
+
+
+def _contacts_sql(body: str) -> str:
+    return _sql([], "").rstrip()[:0] + f"WITH contacts AS ({O.CONTACTS}\n)\n{body}"
+
+
+@register("pii_normalize_email", _contacts_sql(
+    f"SELECT customer_id, lower({O.strip_sql('email')}) AS email_norm FROM contacts"))
+def q_pii_normalize_email(spark, d):
+    c = lens.customer_contacts(spark, d)
+    return c.select("customer_id", pii_fn.normalize_email("email").alias("email_norm"))
+
+
+_PV, _POK = O.phone_norm_sql("phone")
+
+
+@register("pii_normalize_phone", _contacts_sql(
+    f"SELECT customer_id, {_PV} AS phone_norm, CAST({_POK} AS INTEGER) AS ok FROM contacts"))
+def q_pii_normalize_phone(spark, d):
+    c = lens.customer_contacts(spark, d)
+    p = pii_fn.normalize_phone("phone")
+    return c.select("customer_id", p.getField("value").alias("phone_norm"), p.getField("ok").cast("int").alias("ok"))
+
+
+@register("pii_normalize_phone_digits", _contacts_sql("""
+SELECT customer_id, CASE WHEN length(d11) > 0 THEN '+' || d11 ELSE d11 END AS phone_digits FROM (
+  SELECT customer_id, CASE WHEN length(d10) = 11 AND starts_with(d10, '8') THEN '7' || substr(d10, 2) ELSE d10 END AS d11
+  FROM (SELECT customer_id, CASE WHEN length(dg) = 10 THEN '7' || dg ELSE dg END AS d10
+        FROM (SELECT customer_id, regexp_replace(phone, '\\D', '', 'g') AS dg FROM contacts)))"""))
+def q_pii_normalize_phone_digits(spark, d):
+    c = lens.customer_contacts(spark, d)
+    return c.select("customer_id", pii_fn.normalize_phone_digits("phone").alias("phone_digits"))
+
+
+_HASH_SQL = (f"SELECT customer_id, {O.hash_sql('lower(' + O.strip_sql('email') + ')', SALT)} AS email_hash, "
+             f"{O.hash_sql(_PV, SALT)} AS phone_hash FROM contacts")
+
+
+@register("pii_hash", _contacts_sql(_HASH_SQL))
+def q_pii_hash(spark, d):
+    c = lens.customer_contacts(spark, d)
+    return c.select(
+        "customer_id",
+        pii_fn.hash_value(pii_fn.normalize_email("email"), SALT).alias("email_hash"),
+        pii_fn.hash_value(pii_fn.normalize_phone("phone").getField("value"), SALT).alias("phone_hash"),
+    )
+
+
+@register("pii_hash_document", _contacts_sql(
+    f"SELECT customer_id, email_hash AS email, phone_hash AS phone, store_id FROM ("
+    f"SELECT *, printf('store-%03d', c.c_nationkey) AS store_id FROM ({_HASH_SQL}) h "
+    f"JOIN customer c ON h.customer_id = printf('cus-%06d', c.c_custkey))"))
+def q_pii_hash_document(spark, d):
+    """Schema-driven hashing of whole contact documents (nested fields kept)."""
+    docs = pii.hash_document(lens.customer_contact_documents(spark, d), "doc", SALT)
+    return docs.select("customer_id", F.col("doc.email").alias("email"), F.col("doc.phone").alias("phone"),
+                       F.col("doc.purchase_location.store_id").alias("store_id"))
+
+
+@register("pii_unnormalized_report", _contacts_sql(
+    f"SELECT 'customers' AS entity, CAST(count(*) AS BIGINT) AS unnormalized FROM contacts "
+    f"WHERE phone IS NOT NULL AND NOT {_POK}"))
+def q_pii_unnormalized_report(spark, d):
+    c = lens.customer_contacts(spark, d)
+    return pii.phone_report_counts(pii.phone_report(c, "customers", "customer_id", "phone"))

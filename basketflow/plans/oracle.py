@@ -355,3 +355,35 @@ FEATURE_CTE_ORDER = ["f_base", "f_pflags", "f_pagg", "f_products", "f_items", "f
 
 def with_features(body: str, profile: C.FeatureProfile, as_of: str = AS_OF) -> str:
     return with_ctes(FEATURE_CTE_ORDER, body, as_of, extra=feature_ctes(profile, as_of))
+
+
+CONTACTS = """
+  SELECT printf('cus-%06d', c_custkey) AS customer_id,
+         CASE WHEN c_custkey % 7 = 0 THEN '  ' || upper(lower(c_name) || '@example.com') || chr(9)
+              ELSE lower(c_name) || '@example.com' END AS email,
+         CASE c_custkey % 5
+           WHEN 0 THEN '8 (' || substr(d, 1, 3) || ') ' || substr(d, 4, 3) || '-' || substr(d, 7, 2) || '-' || substr(d, 9, 2)
+           WHEN 1 THEN '+7-' || substr(d, 1, 3) || '-' || substr(d, 4, 3) || '-' || substr(d, 7, 2) || '-' || substr(d, 9, 2)
+           WHEN 2 THEN d
+           WHEN 3 THEN 'tel ' || d
+           ELSE ' 7' || d || chr(9) END AS phone
+  FROM (SELECT *, printf('%010d', 9000000000 + c_custkey) AS d FROM customer)"""
+
+WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+
+
+def strip_sql(x: str) -> str:
+    return f"trim({x}, {WS})"
+
+
+def phone_norm_sql(x: str) -> tuple[str, str]:
+    cleaned = f"regexp_replace({strip_sql(x)}, '[\\s()\\-]', '', 'g')"
+    ok = f"(starts_with({cleaned}, '+') OR regexp_matches({cleaned}, '^[78][0-9]{{10}}$'))"
+    value = (f"CASE WHEN starts_with({cleaned}, '+') THEN {cleaned} "
+             f"WHEN regexp_matches({cleaned}, '^[78][0-9]{{10}}$') THEN '+7' || substr({cleaned}, 2) ELSE {x} END")
+    return value, ok
+
+
+def hash_sql(x: str, salt: str) -> str:
+    v = strip_sql(x)
+    return f"CASE WHEN {x} IS NULL OR {v} = '' THEN '' ELSE sha256('{salt}:' || {v}) END"

@@ -257,3 +257,42 @@ def messages(spark: SparkSession, sf_dir: str, entity: str, resend: bool = True)
     )
     out = out.withColumn("ingested_at", _plus_seconds(F.col("ingested_at"), F.col("_copy") * 3600))
     return out.drop("_k", "_copy")
+
+
+# --------------------------------------------------------------------------
+# Plain-text contact data for the PII jobs (before hashing).
+# --------------------------------------------------------------------------
+
+def customer_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with clear-text email and phone in assorted spellings:
+    ``8 (900) 000-00-01``, ``+7-900-…``, ten bare digits, ``tel …`` text,
+    `` 7900…\\t``; every 7th email upper case and tab padded."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    k = F.col("c_custkey")
+    d = F.format_string("%010d", F.lit(9000000000) + k)
+
+    def part(i, n):
+        return F.substring(d, i, n)
+
+    phone = (
+        F.when(k % 5 == 0, F.concat(F.lit("8 ("), part(1, 3), F.lit(") "), part(4, 3), F.lit("-"), part(7, 2),
+                                    F.lit("-"), part(9, 2)))
+        .when(k % 5 == 1, F.concat(F.lit("+7-"), part(1, 3), F.lit("-"), part(4, 3), F.lit("-"), part(7, 2),
+                                   F.lit("-"), part(9, 2)))
+        .when(k % 5 == 2, d)
+        .when(k % 5 == 3, F.concat(F.lit("tel "), d))
+        .otherwise(F.concat(F.lit(" 7"), d, F.lit("\t")))
+    )
+    email = F.concat(F.lower("c_name"), F.lit("@example.com"))
+    email = F.when(k % 7 == 0, F.concat(F.lit("  "), F.upper(email), F.lit("\t"))).otherwise(email)
+    return c.select(
+        F.format_string("cus-%06d", k).alias("customer_id"),
+        email.alias("email"),
+        phone.alias("phone"),
+        F.struct(F.format_string("store-%03d", "c_nationkey").alias("store_id")).alias("purchase_location"),
+    )
+
+
+def customer_contact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = customer_contacts(spark, sf_dir)
+    return c.select("customer_id", F.struct("customer_id", "email", "phone", "purchase_location").alias("doc"))
