@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.norm import ts_text
 from ..functions import pii as pii_fn
-from ..operators import alerts, features, latest, mart, metrics, pii, quality
+from ..operators import alerts, features, imports, latest, mart, metrics, pii, quality
 from ..sources import lens
 from . import oracle as O
 from .tables import AS_OF, mart_table, messages, payload_fields, raw_table
@@ -632,3 +632,103 @@ def q_pii_hash_document(spark, d):
 def q_pii_unnormalized_report(spark, d):
     c = lens.customer_contacts(spark, d)
     return pii.phone_report_counts(pii.phone_report(c, "customers", "customer_id", "phone"))
+
+
+# ----- managed imports --------------------------------------------------------------
+
+_CUS_BATCH = "driver-customers"
+_PRD_BATCH = "driver-products"
+
+
+def _validated_customers(spark, d):
+    return imports.validate(lens.customer_import_rows(spark, d), "customers")
+
+
+def _validated_products(spark, d):
+    return imports.validate(lens.product_import_rows(spark, d), "products")
+
+
+_CUS_SQL = """
+  SELECT c_custkey + 2 AS row_number,
+         CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN 'required_field_missing' ELSE '' END AS error_codes,
+         CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN NULL ELSE printf('cus-%06d', c_custkey) END
+           AS business_key
+  FROM customer"""
+_PRD_SQL = """
+  SELECT p_partkey + 2 AS row_number,
+         CASE WHEN p_partkey % 7 = 0 THEN 'required_field_missing' ELSE '' END AS error_codes,
+         CASE WHEN p_partkey % 7 = 0 THEN NULL
+              WHEN p_partkey % 3 = 0 THEN (CASE WHEN p_partkey % 5 = 0 THEN CAST(p_partkey AS VARCHAR)
+                                                ELSE 'p-' || CAST(p_partkey AS VARCHAR) END)
+              ELSE printf('prd-%04d', p_partkey) END AS business_key
+  FROM part"""
+
+
+def _codes(v: DataFrame) -> DataFrame:
+    return v.select("row_number", F.array_join(F.transform("errors", lambda e: e["error_code"]), ",")
+                    .alias("error_codes"), "business_key")
+
+
+@register("import_validate", f"WITH v AS ({_CUS_SQL}) SELECT * FROM v")
+def q_import_validate(spark, d):
+    return _codes(_validated_customers(spark, d))
+
+
+@register("import_validate_products", f"WITH v AS ({_PRD_SQL}) SELECT * FROM v")
+def q_import_validate_products(spark, d):
+    """Either ``product_id`` or ``id`` satisfies the products contract."""
+    return _codes(_validated_products(spark, d))
+
+
+@register("import_row_errors", f"""WITH v AS ({_CUS_SQL})
+SELECT '{_CUS_BATCH}' AS batch_id, row_number, 'customer_id' AS field_name, 'required_field_missing' AS error_code,
+       'Required field is missing: customer_id.' AS message
+FROM v WHERE error_codes <> '' ORDER BY row_number LIMIT {C.IMPORT_MAX_STORED_ERRORS}""")
+def q_import_row_errors(spark, d):
+    """At most 500 error rows are kept: the lowest row numbers (top-k)."""
+    e = imports.row_errors(_validated_customers(spark, d), _CUS_BATCH)
+    return e.drop("raw_fragment")
+
+
+@register("import_staging", f"""WITH v AS ({_CUS_SQL})
+SELECT '{_CUS_BATCH}' AS batch_id, 'customers' AS entity_type, row_number, business_key FROM v WHERE error_codes = ''""")
+def q_import_staging(spark, d):
+    return imports.staging(_validated_customers(spark, d), _CUS_BATCH, "customers").drop("payload")
+
+
+def _summary_sql(src: str, batch: str, entity: str) -> str:
+    return f"""WITH v AS ({src}), a AS (SELECT count(*) AS t, count_if(error_codes = '') AS ok FROM v)
+SELECT '{batch}' AS batch_id, '{entity}' AS entity_type, '' AS file_name, '' AS file_format,
+       CASE WHEN t = 0 OR ok = 0 THEN 'failed' WHEN t - ok > 0 THEN 'partial' ELSE 'success' END AS status,
+       CAST(t AS BIGINT) AS total_rows, CAST(ok AS BIGINT) AS valid_rows, CAST(t - ok AS BIGINT) AS invalid_rows,
+       CAST(ok AS BIGINT) AS staged_rows,
+       CASE WHEN t = 0 THEN 'Uploaded file does not contain data rows.'
+            WHEN ok = 0 THEN 'No valid rows matched the schema contract.' END AS error_message
+FROM a"""
+
+
+@register("import_summary", _summary_sql(_CUS_SQL, _CUS_BATCH, "customers"))
+def q_import_summary(spark, d):
+    return imports.summary(_validated_customers(spark, d), _CUS_BATCH, "customers")
+
+
+@register("import_summary_products", _summary_sql(_PRD_SQL, _PRD_BATCH, "products"))
+def q_import_summary_products(spark, d):
+    return imports.summary(_validated_products(spark, d), _PRD_BATCH, "products")
+
+
+@register("import_errors_page", f"""WITH v AS ({_CUS_SQL})
+SELECT '{_CUS_BATCH}' AS batch_id, row_number, 'customer_id' AS field_name, 'required_field_missing' AS error_code,
+       'Required field is missing: customer_id.' AS message
+FROM v WHERE error_codes <> '' ORDER BY row_number LIMIT 50""")
+def q_import_errors_page(spark, d):
+    e = imports.row_errors(_validated_customers(spark, d), _CUS_BATCH).drop("raw_fragment")
+    return imports.page(e, 50, 1000)
+
+
+@register("import_staging_page", f"""WITH v AS ({_CUS_SQL})
+SELECT '{_CUS_BATCH}' AS batch_id, 'customers' AS entity_type, row_number, business_key FROM v
+WHERE error_codes = '' ORDER BY row_number LIMIT 100""")
+def q_import_staging_page(spark, d):
+    s = imports.staging(_validated_customers(spark, d), _CUS_BATCH, "customers").drop("payload")
+    return imports.page(s, 100, 500)

@@ -296,3 +296,34 @@ def customer_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_contact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customer_contacts(spark, sf_dir)
     return c.select("customer_id", F.struct("customer_id", "email", "phone", "purchase_location").alias("doc"))
+
+
+# --------------------------------------------------------------------------
+# Import records: driver rows as uploaded records (row numbers as in a CSV
+# export ordered by key: header on line 1).
+# --------------------------------------------------------------------------
+
+def customer_import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 11th customer id is whitespace only, every 13th is absent."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    k = F.col("c_custkey")
+    cid = (F.when(k % 11 == 0, F.lit("  \t")).when(k % 13 == 0, F.lit(None).cast("string"))
+           .otherwise(F.format_string(" cus-%06d", k)))
+    row = F.struct(cid.alias("customer_id"), F.col("c_name").alias("name"),
+                   F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    return c.select((k + 2).alias("row_number"), F.to_variant_object(row).alias("row"))
+
+
+def product_import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products carry ``product_id``, or only ``id`` (every 3rd), or neither
+    (every 7th); every 5th ``id`` is a number."""
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    k = F.col("p_partkey")
+    none = F.lit(None)
+    pid = F.when((k % 7 == 0) | (k % 3 == 0), none.cast("string")).otherwise(F.format_string("prd-%04d", k))
+    rid = (F.when(k % 7 == 0, none.cast("variant"))
+           .when(k % 5 == 0, F.parse_json(k.cast("string")))
+           .otherwise(F.parse_json(F.concat(F.lit('"p-'), k.cast("string"), F.lit('"')))))
+    row = F.struct(pid.alias("product_id"), rid.alias("id"), F.col("p_name").alias("name"),
+                   F.col("p_retailprice").alias("price"))
+    return p.select((k + 2).alias("row_number"), F.to_variant_object(row).alias("row"))
