@@ -732,3 +732,69 @@ WHERE error_codes = '' ORDER BY row_number LIMIT 100""")
 def q_import_staging_page(spark, d):
     s = imports.staging(_validated_customers(spark, d), _CUS_BATCH, "customers").drop("payload")
     return imports.page(s, 100, 500)
+
+
+# ----- exports -----------------------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import exports  # noqa: E402
+
+RUN_DATE = _dt.date.fromisoformat(AS_OF[:10])
+
+
+@register("sink_features_csv", O.with_features("SELECT * FROM f_matrix", PROFILE))
+def q_sink_features_csv(spark, d):
+    """Matrix written as the dated CSV export (parallel parts), read back."""
+    path = exports.write_csv(matrix(spark, d), scratch_path(spark, "exports"), RUN_DATE, prefix="features")
+    return exports.read_export(spark, path)
+
+
+@register("sink_features_parquet", O.with_features("SELECT * FROM f_matrix", PROFILE))
+def q_sink_features_parquet(spark, d):
+    path = exports.write_parquet(matrix(spark, d), scratch_path(spark, "exports"), RUN_DATE)
+    return spark.read.parquet(path)
+
+
+@register("feat_parse_export", O.with_features("SELECT * FROM f_matrix", PROFILE))
+def q_feat_parse_export(spark, d):
+    """The one-file CSV layout, read back with flag coercion."""
+    path = exports.write_csv(matrix(spark, d), scratch_path(spark, "exports"), RUN_DATE, single_file=True)
+    return exports.read_export(spark, path)
+
+
+@register("check_features_export", O.with_features(f"""
+SELECT {len(C.FEATURE_COLUMNS) + 1} AS columns, true AS columns_ok, CAST(count(*) AS BIGINT) AS rows,
+       CAST(0 AS BIGINT) AS blank_ids, CAST(0 AS BIGINT) AS bad_values, true AS ok FROM f_matrix""", PROFILE))
+def q_check_features_export(spark, d):
+    path = exports.write_csv(matrix(spark, d), scratch_path(spark, "exports"), RUN_DATE)
+    return exports.check_export(exports.read_export(spark, path))
+
+
+def _export_history(spark, d) -> str:
+    """Three daily runs plus a mis-named folder, as a listing would find them."""
+    base = scratch_path(spark, "exports")
+    m = matrix(spark, d)
+    for delta in (2, 1, 0):
+        exports.write_csv(m, base, RUN_DATE - _dt.timedelta(days=delta))
+    m.limit(1).write.mode("overwrite").option("header", "true").csv(f"{base}/analytic_result_1995_02_30.csv")
+    return base
+
+
+@register("src_latest_export", f"""
+SELECT 'analytic_result_{RUN_DATE:%Y_%m_%d}.csv' AS filename, DATE '{RUN_DATE}' AS file_date""")
+def q_src_latest_export(spark, d):
+    """Newest valid export name; the impossible date 1995-02-30 is skipped."""
+    return exports.latest_export(exports.list_exports(spark, _export_history(spark, d))).select("filename", "file_date")
+
+
+@register("export_listing", f"""
+SELECT filename, file_date FROM (VALUES
+  ('analytic_result_{RUN_DATE - _dt.timedelta(days=1):%Y_%m_%d}.csv', DATE '{RUN_DATE - _dt.timedelta(days=1)}'),
+  ('analytic_result_{RUN_DATE - _dt.timedelta(days=2):%Y_%m_%d}.csv', DATE '{RUN_DATE - _dt.timedelta(days=2)}'))
+  AS t(filename, file_date)""")
+def q_export_listing(spark, d):
+    """Exports whose name or date contains ``1995-12``, newest first."""
+    ex = exports.list_exports(spark, _export_history(spark, d))
+    return exports.export_listing(ex, "1995-12", limit=50).select("filename", "file_date")
