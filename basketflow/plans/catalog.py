@@ -798,3 +798,41 @@ def q_export_listing(spark, d):
     """Exports whose name or date contains ``1995-12``, newest first."""
     ex = exports.list_exports(spark, _export_history(spark, d))
     return exports.export_listing(ex, "1995-12", limit=50).select("filename", "file_date")
+
+
+# ----- streaming ---------------------------------------------------------------------
+
+from ..streaming import ingest  # noqa: E402
+
+
+def _stamped_topic(spark, d, entity: str) -> str:
+    """Publish the entity's messages (with their arrival times) as a topic
+    folder of JSON lines."""
+    path = scratch_path(spark, f"topic-{entity}")
+    messages(spark, d, entity).write.mode("overwrite").json(path)
+    return path
+
+
+@register("stream_ingest_raw", _sql(["msg_purchases"], _RAW_SQL["raw_purchases"]))
+def q_stream_ingest_raw(spark, d):
+    """Continuous consume of the purchases topic into RAW (availableNow run,
+    checkpointed), read back."""
+    topic = _stamped_topic(spark, d, "purchases")
+    out, ck = scratch_path(spark, "raw-purchases"), scratch_path(spark, "ck-raw-purchases")
+    ingest.run_available(ingest.write_parquet(ingest.to_raw(ingest.read_stamped(spark, topic), "purchases"), out, ck))
+    return spark.read.parquet(out).select("purchase_id", "customer_id", "store_id", "total_amount",
+                                          _tss("purchase_datetime"), _tss("ingested_at"))
+
+
+@register("mart_from_raw_stream", _sql(["norm_purchases_h"], """
+SELECT purchase_id, customer_id, store_id, total_amount, payment_method, is_delivery,
+       strftime(purchase_dt, '%Y-%m-%d %H:%M:%S') AS purchase_dt, strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS ingested_at
+FROM norm_purchases_h WHERE is_valid"""))
+def q_mart_from_raw_stream(spark, d):
+    """RAW stream → MART stream, validity judged at each row's arrival."""
+    topic = _stamped_topic(spark, d, "purchases")
+    out, ck = scratch_path(spark, "mart-purchases"), scratch_path(spark, "ck-mart-purchases")
+    m = ingest.to_mart(ingest.read_stamped(spark, topic), "purchases")
+    ingest.run_available(ingest.write_parquet(m, out, ck))
+    return spark.read.parquet(out).select("purchase_id", "customer_id", "store_id", "total_amount", "payment_method",
+                                          "is_delivery", _tss("purchase_dt"), _tss("ingested_at"))
