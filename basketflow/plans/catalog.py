@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.norm import ts_text
 from ..functions import pii as pii_fn
-from ..operators import alerts, features, imports, latest, mart, metrics, pii, quality
+from ..operators import alerts, features, imports, latest, mart, metrics, pii, quality, raw
 from ..sources import lens
 from . import oracle as O
 from .tables import AS_OF, mart_table, messages, payload_fields, raw_table
@@ -836,3 +836,108 @@ def q_mart_from_raw_stream(spark, d):
     ingest.run_available(ingest.write_parquet(m, out, ck))
     return spark.read.parquet(out).select("purchase_id", "customer_id", "store_id", "total_amount", "payment_method",
                                           "is_delivery", _tss("purchase_dt"), _tss("ingested_at"))
+
+
+# ----- document sources and sinks ------------------------------------------------------
+
+from ..sources import documents  # noqa: E402
+
+_PRODUCT_DOC_SCHEMA = ("id string, name string, `group` string, price double, unit string, is_organic boolean")
+
+
+@register("src_json_documents", O.with_ctes(["lens_products"], """
+SELECT product_id AS id, name, "group", price, unit, is_organic FROM lens_products"""))
+def q_src_json_documents(spark, d):
+    """Product documents written as a JSON document folder and read back with
+    a declared schema."""
+    path = scratch_path(spark, "docs-products")
+    lens.product_documents(spark, d).select("doc.*").write.mode("overwrite").json(path)
+    from pyspark.sql.types import _parse_datatype_string
+    schema = _parse_datatype_string(_PRODUCT_DOC_SCHEMA)
+    return documents.read_documents(spark, path, schema, one_per_file=False)
+
+
+def _upsert_inputs(spark, d):
+    p = lens.products(spark, d).select(F.col("product_id").alias("id"), "name", "group", "price", "unit")
+    k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    existing = p.where(k % 3 != 0)
+    incoming = p.where(k % 2 == 0).select(
+        "id", F.lit(None).cast("string").alias("name"), "group", (F.col("price") + 1.0).alias("price"), "unit")
+    return existing, incoming
+
+
+_UPSERT_SQL = """
+, e AS (SELECT product_id AS id, name, "group", price, unit FROM lens_products WHERE _k % 3 <> 0),
+i AS (SELECT product_id AS id, "group", price + 1.0 AS price, unit FROM lens_products WHERE _k % 2 = 0)"""
+
+
+@register("src_upsert_documents", O.with_ctes(["lens_products"], "").rstrip() + _UPSERT_SQL + """
+SELECT coalesce(e.id, i.id) AS id, e.name AS name, coalesce(i."group", e."group") AS "group",
+       coalesce(i.price, e.price) AS price, coalesce(i.unit, e.unit) AS unit
+FROM e FULL OUTER JOIN i ON e.id = i.id""")
+def q_src_upsert_documents(spark, d):
+    """Field-level merge: incoming documents without ``name`` keep the stored
+    name; new ids are inserted."""
+    existing, incoming = _upsert_inputs(spark, d)
+    merged, _ = documents.upsert(existing, incoming, "id")
+    return merged
+
+
+@register("src_upsert_counts", O.with_ctes(["lens_products"], "").rstrip() + _UPSERT_SQL + """
+SELECT CAST(count(i.id) AS BIGINT) AS processed,
+       CAST(count_if(i.id IS NOT NULL AND e.id IS NULL) AS BIGINT) AS inserted,
+       CAST(count_if(i.id IS NOT NULL AND e.id IS NOT NULL) AS BIGINT) AS updated
+FROM e FULL OUTER JOIN i ON e.id = i.id""")
+def q_src_upsert_counts(spark, d):
+    existing, incoming = _upsert_inputs(spark, d)
+    return documents.upsert(existing, incoming, "id")[1]
+
+
+@register("src_replace_documents", O.with_ctes(["lens_stores"], """
+SELECT store_id, store_name, store_network, city FROM lens_stores"""))
+def q_src_replace_documents(spark, d):
+    """Delete-all + insert: a second load replaces, never appends."""
+    path = scratch_path(spark, "collection-stores")
+    s = lens.stores(spark, d).drop("ingested_at")
+    documents.replace_collection(s, path)
+    documents.replace_collection(s, path)
+    return spark.read.parquet(path)
+
+
+@register("src_publish_stream", """
+SELECT 'stores' AS topic, CAST(count(*) AS BIGINT) AS messages FROM supplier
+UNION ALL SELECT 'products', CAST(count(*) AS BIGINT) FROM part
+UNION ALL SELECT 'customers', CAST(count(*) AS BIGINT) FROM customer
+UNION ALL SELECT 'purchases', CAST(count(*) AS BIGINT) FROM orders""")
+def q_src_publish_stream(spark, d):
+    """Every document → one JSON message on its entity's topic; counts."""
+    return documents.publish_counts({e: documents.publish(fn(spark, d)) for e, fn in lens.DOCUMENTS.items()})
+
+
+ENVELOPE_TS = "2024-01-01 00:00:00"
+
+
+@register("src_publish_envelope", O.with_ctes(["lens_customers"], f"""
+SELECT customer_id AS key, 'customers' AS source, customer_id AS object_id,
+       '{ENVELOPE_TS.replace(' ', 'T')}.000000Z' AS event_ts FROM lens_customers"""))
+def q_src_publish_envelope(spark, d):
+    e = documents.envelope(lens.customer_documents(spark, d), "customers", ENVELOPE_TS)
+    return e.select("key", "source", "object_id", "event_ts")
+
+
+@register("src_envelope_roundtrip", O.with_ctes(["lens_customers"], """
+SELECT customer_id, store_id, email AS email_enc, phone AS phone_enc FROM lens_customers"""))
+def q_src_envelope_roundtrip(spark, d):
+    """Enveloped messages unwrapped and extracted by the RAW layer."""
+    e = documents.envelope(lens.customer_documents(spark, d), "customers", ENVELOPE_TS)
+    msgs = documents.unwrap_envelope(e.select(F.to_json(F.struct("source", "object_id", "payload", "event_ts"))
+                                              .alias("value")))
+    return raw.raw_customers(msgs).select("customer_id", "store_id", "email_enc", "phone_enc")
+
+
+@register("src_table_scan", """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'""")
+def q_src_table_scan(spark, d):
+    """Named-table scan with projection and a filter pushed into the scan."""
+    t = documents.table_scan(spark, "orders", d)
+    return t.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_totalprice")
