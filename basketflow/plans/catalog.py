@@ -941,3 +941,78 @@ def q_src_table_scan(spark, d):
     """Named-table scan with projection and a filter pushed into the scan."""
     t = documents.table_scan(spark, "orders", d)
     return t.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+# ----- contract checks, generator ----------------------------------------------------
+
+from ..operators import checks, generate  # noqa: E402
+
+
+@register("check_raw_counts", O.with_ctes(["msg_stores", "msg_products", "msg_purchases", "msg_customers"], """
+SELECT 'raw_stores_uniq' AS "check", (SELECT count(*) FROM supplier) AS expected,
+       (SELECT count(DISTINCT store_id) FROM msg_stores) AS actual
+UNION ALL SELECT 'raw_products_uniq', (SELECT count(*) FROM part), (SELECT count(DISTINCT product_id) FROM msg_products)
+UNION ALL SELECT 'raw_purchases_uniq', (SELECT count(*) FROM orders),
+                 (SELECT count(DISTINCT purchase_id) FROM msg_purchases)
+UNION ALL SELECT 'raw_customers_uniq', (SELECT count(*) FROM customer),
+                 (SELECT count(DISTINCT customer_id) FROM msg_customers)""").replace(
+    "SELECT 'raw_stores_uniq'", "SELECT *, actual = expected AS ok FROM (SELECT 'raw_stores_uniq'") + ")")
+def q_check_raw_counts(spark, d):
+    """Every source document reached RAW exactly once per id."""
+    src = {n: lens.read(spark, d, t) for n, t in
+           (("stores", "supplier"), ("products", "part"), ("purchases", "orders"), ("customers", "customer"))}
+    return checks.compare({
+        f"raw_{n}_uniq": (src[n], F.count(F.lit(1)), raw_table(spark, d, n), F.count_distinct(k))
+        for n, k in (("stores", "store_id"), ("products", "product_id"), ("purchases", "purchase_id"),
+                     ("customers", "customer_id"))
+    })
+
+
+@register("check_mart_counts", _sql(["mart_customers_m", "mart_purchases_m", "mart_items_m"], """
+SELECT 'mart_customers_final' AS "check", '>= 45' AS expected, CAST(count(*) AS BIGINT) AS actual, count(*) >= 45 AS ok
+FROM mart_customers_m
+UNION ALL SELECT 'mart_purchases_final', '>= 200', CAST(count(*) AS BIGINT), count(*) >= 200 FROM mart_purchases_m
+UNION ALL SELECT 'mart_items_gt_purchases', '> purchases', (SELECT CAST(count(*) AS BIGINT) FROM mart_items_m),
+                 (SELECT count(*) FROM mart_items_m) > (SELECT count(*) FROM mart_purchases_m)"""))
+def q_check_mart_counts(spark, d):
+    return checks.mart_counts(_final(spark, d, "customers"), _final(spark, d, "purchases"),
+                              _final(spark, d, "purchase_items"))
+
+
+@register("check_quality_bounds", """
+SELECT 'invalid_rows_non_negative' AS "check", '0 violations' AS expected, CAST(0 AS BIGINT) AS actual, true AS ok
+UNION ALL SELECT 'ratio_in_unit_interval', '0 violations', CAST(0 AS BIGINT), true""")
+def q_check_quality_bounds(spark, d):
+    return checks.quality_bounds(quality.snapshot({e: payload_fields(spark, d, e) for e in _Q_ENTITIES}, AS_OF))
+
+
+@register("check_pii_hash", """
+SELECT 'same_after_normalising' AS "check", '0 violations' AS expected, CAST(0 AS BIGINT) AS actual, true AS ok
+UNION ALL SELECT 'different_values_differ', '0 collisions', CAST(0 AS BIGINT), true
+UNION ALL SELECT 'hex64', '0 violations', CAST(0 AS BIGINT), true
+UNION ALL SELECT 'blank_is_empty', '0 violations', CAST(0 AS BIGINT), true""")
+def q_check_pii_hash(spark, d):
+    return checks.pii_hash(lens.customer_contacts(spark, d), SALT)
+
+
+def _generated(spark, d):
+    keys = lens.read(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("k"))
+    return (generate.stores(spark), generate.products(spark), generate.customers(spark),
+            generate.purchases(keys, "k"))
+
+
+@register("gen_documents", None)
+def q_gen_documents(spark, d):
+    """One generated purchase document per driver order (seeded picks)."""
+    p = _generated(spark, d)[3]
+    return p.select("purchase_id", F.col("customer.customer_id").alias("customer_id"),
+                    F.col("store.store_id").alias("store_id"), F.size("items").alias("n_items"), "total_amount",
+                    "payment_method", "is_delivery", "purchase_datetime")
+
+
+@register("check_generated", """
+SELECT 'stores' AS "check", true AS ok UNION ALL SELECT 'products', true
+UNION ALL SELECT 'products_per_category', true UNION ALL SELECT 'customers', true
+UNION ALL SELECT 'purchases', (SELECT count(*) >= 200 FROM orders)""")
+def q_check_generated(spark, d):
+    return generate.self_check(*_generated(spark, d)).select("check", "ok")
