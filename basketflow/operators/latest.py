@@ -48,3 +48,10 @@ MART_KEYS = {
 
 def latest_mart(entity: str, mart_df: DataFrame) -> DataFrame:
     return latest_by_key(mart_df, MART_KEYS[entity])
+
+
+def compact(df: DataFrame, keys: Sequence[str], out_path: str, version: str = "ingested_at") -> str:
+    """Batch form of the background merge: write the newest version per key
+    to ``out_path`` (a fresh dataset; readers switch to it afterwards)."""
+    latest_by_key(df, keys, version).write.mode("overwrite").parquet(out_path)
+    return out_path

@@ -1016,3 +1016,89 @@ UNION ALL SELECT 'products_per_category', true UNION ALL SELECT 'customers', tru
 UNION ALL SELECT 'purchases', (SELECT count(*) >= 200 FROM orders)""")
 def q_check_generated(spark, d):
     return generate.self_check(*_generated(spark, d)).select("check", "ok")
+
+
+# ----- run log, audit, compaction, registry, dq errors -----------------------------------
+
+_RUNS_SQL = """
+  SELECT event_id AS id, event_type AS job_name,
+         CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 = 0 THEN 'running'
+              WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
+         CAST(ts AS TIMESTAMP) AS started_at,
+         CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 = 0 THEN NULL
+              ELSE CAST(ts AS TIMESTAMP) + to_microseconds(CAST(value * 1000000 AS BIGINT)) END AS finished_at,
+         CAST(ts AS TIMESTAMP) AS created_at
+  FROM events"""
+
+
+@register("job_run_duration", f"""WITH runs AS ({_RUNS_SQL})
+SELECT id, job_name, status, epoch_ms(finished_at) - epoch_ms(started_at) AS duration_ms FROM runs""")
+def q_job_run_duration(spark, d):
+    r = metrics.job_run_duration(lens.job_runs(spark, d))
+    return r.select("id", "job_name", "status", "duration_ms")
+
+
+@register("job_run_recent", f"""WITH runs AS ({_RUNS_SQL})
+SELECT id, job_name, status, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at
+FROM runs ORDER BY created_at DESC, id DESC LIMIT 10""")
+def q_job_run_recent(spark, d):
+    """Newest 10 runs (a top-k report)."""
+    r = metrics.job_run_recent(lens.job_runs(spark, d), 10)
+    return r.select("id", "job_name", "status", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+                    .alias("created_at"))
+
+
+@register("export_audit", None)
+def q_export_audit(spark, d):
+    """One audit row for an export run: key, bytes written, status."""
+    base = scratch_path(spark, "exports")
+    path = exports.write_csv(matrix(spark, d), base, RUN_DATE)
+    return exports.audit(spark, path)
+
+
+@register("compact_latest", _mart_sql("purchases", True))
+def q_compact_latest(spark, d):
+    """Background merge as a batch rewrite: newest version per key written to
+    a fresh dataset (the old one is left for readers until the swap)."""
+    m = mart.mart("purchases", payload_fields(spark, d, "purchases"), AS_OF)
+    path = latest.compact(m, ["purchase_id"], scratch_path(spark, "compact-purchases"))
+    plain, times = _MART_OUT["purchases"]
+    return spark.read.parquet(path).select(*plain, *[_tss(t) for t in times], _tss("ingested_at"))
+
+
+def _registry_values() -> str:
+    rows = features.registry(PROFILE)
+    vals = ", ".join(
+        f"('{r['feature']}', '{r['family']}', {r['lookback_days'] if r['lookback_days'] is not None else 'NULL'}, "
+        f"'{r['rule']}', '{r['sources']}')" for r in rows)
+    return f"(VALUES {vals}) AS reg(feature, family, lookback_days, rule, sources)"
+
+
+@register("feat_registry", O.with_features(
+    f"SELECT reg.feature, reg.family, CAST(reg.lookback_days AS INTEGER) AS lookback_days, reg.rule, reg.sources, "
+    f"s.ones FROM {_registry_values()} JOIN (" + _UNPIVOT + ") s ON reg.feature = s.feature", PROFILE))
+def q_feat_registry(spark, d):
+    """Feature definitions (from the same config that builds them) with the
+    number of customers currently flagged."""
+    reg = spark.createDataFrame(features.registry(PROFILE),
+                                "feature string, family string, lookback_days int, rule string, sources string")
+    return reg.join(features.summary(matrix(spark, d)), "feature")
+
+
+_DQ_REASONS = [
+    ("purchase_id", f"NOT (purchase_id <> '' AND regexp_matches(purchase_id, '{C.PURCHASE_ID_PATTERN}'))"),
+    ("customer_id", f"NOT (customer_id <> '' AND regexp_matches(customer_id, '{C.CUSTOMER_ID_PATTERN}'))"),
+    ("store_id", f"NOT (store_id <> '' AND regexp_matches(store_id, '{C.STORE_ID_PATTERN}'))"),
+    ("total_amount", "NOT (total_amount >= 0)"),
+    ("payment_method", "NOT (payment_method IN (" + ", ".join(f"'{m}'" for m in C.PAYMENT_METHODS) + "))"),
+    ("purchase_dt", f"NOT coalesce(purchase_dt IS NOT NULL AND purchase_dt <= TIMESTAMP '{AS_OF}', false)"),
+]
+
+
+@register("dq_errors", _sql(["norm_purchases_m"], "\nUNION ALL\n".join(
+    f"SELECT purchase_id AS business_key, '{n}' AS reason, strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS ingested_at "
+    f"FROM norm_purchases_m WHERE {cond}" for n, cond in _DQ_REASONS)))
+def q_dq_errors(spark, d):
+    """Rejected purchase messages, one row per failed rule."""
+    e = mart.dq_errors("purchases", payload_fields(spark, d, "purchases"), AS_OF, "purchase_id")
+    return e.select("business_key", "reason", _tss("ingested_at"))

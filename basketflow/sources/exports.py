@@ -126,3 +126,14 @@ def export_listing(exports: DataFrame, search: str = "", limit: int = 50, offset
         s = search.strip().lower()
         e = e.where(F.lower("filename").contains(s) | F.date_format("file_date", "yyyy-MM-dd").contains(s))
     return e.orderBy(F.desc("file_date"), F.desc("key")).offset(max(int(offset), 0)).limit(n)
+
+
+def audit(spark: SparkSession, path: str, error: str | None = None) -> DataFrame:
+    """One audit row for an export run: key, bytes written (from the file
+    listing, contents not read), uploaded/failed, error text ≤ 500 chars."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("length")
+    a = files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("size_bytes"),
+                  F.count(F.lit(1)).alias("files"))
+    status = "failed" if error else "uploaded"
+    return a.select(F.lit(path).alias("key"), "size_bytes", "files", F.lit(status).alias("status"),
+                    F.lit((error or "")[:500] or None).cast("string").alias("error_message"))

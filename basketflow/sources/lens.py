@@ -327,3 +327,20 @@ def product_import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.struct(pid.alias("product_id"), rid.alias("id"), F.col("p_name").alias("name"),
                    F.col("p_retailprice").alias("price"))
     return p.select((k + 2).alias("row_number"), F.to_variant_object(row).alias("row"))
+
+
+def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's ``events`` as a job-run log: one run per event, named by
+    the event type; an ``error`` event is a failed run; ``value`` seconds is
+    its length; every 10th ``props.k`` has not finished yet."""
+    e = read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    started = F.col("ts").cast("timestamp")
+    finished = F.when(k % 10 == 0, F.lit(None).cast("timestamp")).otherwise(
+        F.timestamp_micros(F.unix_micros(started) + (F.col("value") * 1000000).cast("long")))
+    return e.select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("job_name"),
+        F.when(k % 10 == 0, "running").when(F.col("event_type") == "error", "failed").otherwise("success")
+        .alias("status"),
+        started.alias("started_at"), finished.alias("finished_at"), started.alias("created_at"),
+    )
