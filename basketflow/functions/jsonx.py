@@ -83,3 +83,16 @@ def with_doc(df, payload: str = "payload", name: str = "_doc"):
     keep = [c for c in df.columns]
     row = F.struct(parse(payload).alias(name), *[F.col(c) for c in keep])
     return df.select(F.inline(F.array(row)))
+
+
+def strict_parse(text: Column | str) -> Column:
+    """Parse text that must hold exactly one JSON value.
+
+    ``parse_json`` stops after the first complete value and ignores what
+    follows (``{"a": 1} junk`` parses).  Wrapping the text in ``[...]`` makes
+    any trailing content a syntax error, and a second value an array of two,
+    so only a single well-formed value survives.
+    """
+    c = F.col(text) if isinstance(text, str) else text
+    arr = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(arr) == 1, F.element_at(arr, 1))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.jsonx import strict_parse
 
 ROW_MASK = (1 << 33) - 1
 
@@ -89,7 +90,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     first = nonblank.groupBy("_file").agg(F.min("_idx").alias("_first"))
     parsed = nonblank.join(F.broadcast(first), "_file").select(
         "_file", (F.col("_idx") - F.col("_first") + 1).alias("row_number"),
-        F.try_parse_json("line").alias("row"))
+        strict_parse("line").alias("row"))
     stats = parsed.groupBy("_file").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("row").isNull(), F.col("row_number"))).alias("bad"),
@@ -99,8 +100,8 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     single = [r["_file"] for r in stats if r["n"] == 1 or r["bad"] is not None]
     out = parsed.where(~F.col("_file").isin(single)) if single else parsed
     if single:
-        whole = spark.read.option("wholetext", "true").text(path).select(
-            F.input_file_name().alias("_file"), F.try_parse_json(F.regexp_replace("value", "^﻿", "")).alias("doc")
+        whole = spark.read.text(path, wholetext=True).select(
+            F.input_file_name().alias("_file"), strict_parse(F.regexp_replace("value", "^﻿", "")).alias("doc")
         ).where(F.col("_file").isin(single))
         bad_files = {r["_file"]: r["bad"] for r in stats if r["bad"] is not None}
         kinds = whole.select("_file", F.schema_of_variant("doc").alias("kind"), F.col("doc").isNull().alias("bad")) \
