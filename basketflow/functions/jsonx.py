@@ -71,6 +71,14 @@ def js_text(doc: Column) -> Column:
     return F.to_json(doc)
 
 
+def materialize_row(df):
+    """Emit every row through a one-element ``inline``: the columns computed
+    above become generator outputs, so later filters are evaluated on them
+    instead of being pushed down and re-evaluating each column's expression
+    once per predicate that reads it."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def with_doc(df, payload: str = "payload", name: str = "_doc"):
     """Add the parsed document as a column, parsed exactly once per row.
 

@@ -60,3 +60,19 @@ def int_flag(cond: Column) -> Column:
 def nonblank(c: Column | str) -> Column:
     x = col(c)
     return x.isNotNull() & (x != "")
+
+
+def zpad(x: Column | str, width: int) -> Column:
+    """Integer → text zero-padded to ``width`` (like ``%0<width>d``), never
+    truncated: ``lpad`` alone cuts longer text, and ``format_string`` runs
+    Java's formatter per row (several times slower)."""
+    v = col(x).cast("long")
+    s = F.abs(v).cast("string")
+    digits = F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))
+    neg = F.concat(F.lit("-"), F.when(F.length(s) >= width - 1, s).otherwise(F.lpad(s, width - 1, "0")))
+    return F.when(v < 0, neg).otherwise(digits)
+
+
+def key_id(prefix: str, x: Column | str, width: int) -> Column:
+    """``prefix`` + zero-padded integer, e.g. ``key_id('ord-', k, 6)``."""
+    return F.concat(F.lit(prefix), zpad(x, width))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..functions.jsonx import js_bool, js_double, js_str, with_doc
+from ..functions.jsonx import js_bool, js_double, js_str, materialize_row, with_doc
 from ..functions.norm import iso_date, iso_ts, norm
 
 
@@ -177,7 +177,7 @@ MART_COLUMNS = {
 def mart(entity: str, fields: DataFrame, as_of) -> DataFrame:
     """Normalise + validate one entity.  ``as_of`` replaces the wall clock in
     the "not in the future" rules."""
-    n = NORMALIZE[entity](fields)
+    n = materialize_row(NORMALIZE[entity](fields))
     keep = MART_COLUMNS[entity] + _keep(n, "is_organic", "payload", "ingested_at")
     return n.where(P.is_valid(entity, as_of_col(as_of))).select(*keep)
 

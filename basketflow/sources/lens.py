@@ -9,9 +9,9 @@
 
 Every function returns the entity's fields *as a source document would carry
 them* (un-normalised strings, ISO time text), so the same MART normalisation
-and validation run on them as on parsed JSON documents.  Ids use
-``format_string`` (``lpad`` would truncate long keys); keys that outgrow the
-id pattern (``prd-\\d{4}`` past part 9999) become natural invalid rows.
+and validation run on them as on parsed JSON documents.  Ids are zero-padded
+without truncation (``key_id``); keys that outgrow the id pattern
+(``prd-\\d{4}`` past part 9999) become natural invalid rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.norm import iso_text
+from ..functions.norm import iso_text, key_id, zpad
 
 BASE_INGEST = "1995-12-01 00:00:00"
 
@@ -42,7 +42,7 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     j = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey, "left")
     return j.select(
-        F.format_string("store-%03d", "s_suppkey").alias("store_id"),
+        key_id("store-", "s_suppkey", 3).alias("store_id"),
         F.col("s_name").alias("store_name"),
         F.when(F.col("n_regionkey") % 2 == 0, F.lit("north")).otherwise(F.lit("south")).alias("store_network"),
         F.coalesce(F.col("n_name"), F.lit("")).alias("city"),
@@ -53,7 +53,7 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     return p.select(
-        F.format_string("prd-%04d", "p_partkey").alias("product_id"),
+        key_id("prd-", "p_partkey", 4).alias("product_id"),
         F.col("p_name").alias("name"),
         F.col("p_type").alias("group"),
         F.col("p_retailprice").alias("price"),
@@ -74,7 +74,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 97 == 0, F.lit("not-a-hash"))
         .otherwise(F.sha2(F.concat(F.lit("lens:"), F.lower("c_name"), F.lit("@example.com")), 256))
     )
-    phone = F.sha2(F.concat(F.lit("lens:+7"), F.format_string("%010d", k)), 256)
+    phone = F.sha2(F.concat(F.lit("lens:+7"), zpad(k, 10)), 256)
     birth = F.when(k % 53 == 0, F.lit("")).otherwise(
         F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), k.cast("int")), "yyyy-MM-dd")
     )
@@ -82,8 +82,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         iso_text(_plus_seconds(F.lit("1990-01-01 00:00:00").cast("timestamp"), k * 3600))
     )
     return c.select(
-        F.format_string("cus-%06d", k).alias("customer_id"),
-        F.format_string("store-%03d", "c_nationkey").alias("store_id"),
+        key_id("cus-", k, 6).alias("customer_id"),
+        key_id("store-", "c_nationkey", 3).alias("store_id"),
         email.alias("email"),
         phone.alias("phone"),
         birth.alias("birth_date"),
@@ -117,9 +117,9 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     t = purchase_time(F.col("o_orderdate"), F.col("o_orderkey"))
     return o.select(
-        F.format_string("ord-%06d", "o_orderkey").alias("purchase_id"),
-        F.format_string("cus-%06d", "o_custkey").alias("customer_id"),
-        F.format_string("store-%03d", F.col("o_orderkey") % 100).alias("store_id"),
+        key_id("ord-", "o_orderkey", 6).alias("purchase_id"),
+        key_id("cus-", "o_custkey", 6).alias("customer_id"),
+        key_id("store-", F.col("o_orderkey") % 100, 3).alias("store_id"),
         F.col("o_totalprice").alias("total_amount"),
         _payment(F.col("o_orderpriority")).alias("payment_method"),
         (F.col("o_orderstatus") == "F").alias("is_delivery"),
@@ -140,7 +140,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _item_cols():
     return [
-        F.format_string("prd-%04d", "l_partkey").alias("product_id"),
+        key_id("prd-", "l_partkey", 4).alias("product_id"),
         F.when(F.col("l_linenumber") == 7, F.lit("")).otherwise(F.coalesce(F.col("p_type"), F.lit(""))).alias("category"),
         F.col("l_quantity").alias("quantity"),
         F.when(F.col("l_quantity") != 0, F.col("l_extendedprice") / F.col("l_quantity")).otherwise(F.lit(0.0)).alias("price_per_unit"),
@@ -154,9 +154,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = _lines(spark, sf_dir).join(o, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
     return j.select(
-        F.format_string("ord-%06d", "l_orderkey").alias("purchase_id"),
-        F.format_string("cus-%06d", "o_custkey").alias("customer_id"),
-        F.format_string("store-%03d", F.col("l_orderkey") % 100).alias("store_id"),
+        key_id("ord-", "l_orderkey", 6).alias("purchase_id"),
+        key_id("cus-", "o_custkey", 6).alias("customer_id"),
+        key_id("store-", F.col("l_orderkey") % 100, 3).alias("store_id"),
         *_item_cols(),
         purchase_time(F.col("o_orderdate"), F.col("o_orderkey")).alias("purchase_dt"),
         _ts("l_shipdate").alias("ingested_at"),
@@ -214,9 +214,9 @@ def purchase_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
     return j.select(
         F.struct(
-            F.format_string("ord-%06d", "o_orderkey").alias("purchase_id"),
-            F.struct(F.format_string("cus-%06d", "o_custkey").alias("customer_id")).alias("customer"),
-            F.struct(F.format_string("store-%03d", F.col("o_orderkey") % 100).alias("store_id")).alias("store"),
+            key_id("ord-", "o_orderkey", 6).alias("purchase_id"),
+            F.struct(key_id("cus-", "o_custkey", 6).alias("customer_id")).alias("customer"),
+            F.struct(key_id("store-", F.col("o_orderkey") % 100, 3).alias("store_id")).alias("store"),
             F.coalesce(F.col("items"), F.array().cast("array<struct<product_id:string,category:string,quantity:double,price_per_unit:double,total_price:double>>")).alias("items"),
             F.col("o_totalprice").alias("total_amount"),
             _payment(F.col("o_orderpriority")).alias("payment_method"),
@@ -269,7 +269,7 @@ def customer_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     `` 7900…\\t``; every 7th email upper case and tab padded."""
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     k = F.col("c_custkey")
-    d = F.format_string("%010d", F.lit(9000000000) + k)
+    d = zpad(F.lit(9000000000) + k, 10)
 
     def part(i, n):
         return F.substring(d, i, n)
@@ -286,10 +286,10 @@ def customer_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     email = F.concat(F.lower("c_name"), F.lit("@example.com"))
     email = F.when(k % 7 == 0, F.concat(F.lit("  "), F.upper(email), F.lit("\t"))).otherwise(email)
     return c.select(
-        F.format_string("cus-%06d", k).alias("customer_id"),
+        key_id("cus-", k, 6).alias("customer_id"),
         email.alias("email"),
         phone.alias("phone"),
-        F.struct(F.format_string("store-%03d", "c_nationkey").alias("store_id")).alias("purchase_location"),
+        F.struct(key_id("store-", "c_nationkey", 3).alias("store_id")).alias("purchase_location"),
     )
 
 
@@ -308,7 +308,7 @@ def customer_import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
     k = F.col("c_custkey")
     cid = (F.when(k % 11 == 0, F.lit("  \t")).when(k % 13 == 0, F.lit(None).cast("string"))
-           .otherwise(F.format_string(" cus-%06d", k)))
+           .otherwise(F.concat(F.lit(" "), key_id("cus-", k, 6))))
     row = F.struct(cid.alias("customer_id"), F.col("c_name").alias("name"),
                    F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
     return c.select((k + 2).alias("row_number"), F.to_variant_object(row).alias("row"))
@@ -320,7 +320,7 @@ def product_import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     k = F.col("p_partkey")
     none = F.lit(None)
-    pid = F.when((k % 7 == 0) | (k % 3 == 0), none.cast("string")).otherwise(F.format_string("prd-%04d", k))
+    pid = F.when((k % 7 == 0) | (k % 3 == 0), none.cast("string")).otherwise(key_id("prd-", k, 4))
     rid = (F.when(k % 7 == 0, none.cast("variant"))
            .when(k % 5 == 0, F.parse_json(k.cast("string")))
            .otherwise(F.parse_json(F.concat(F.lit('"p-'), k.cast("string"), F.lit('"')))))
