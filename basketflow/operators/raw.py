@@ -45,9 +45,12 @@ def raw_customers(msgs: DataFrame) -> DataFrame:
     )
 
 
-def raw_purchases(msgs: DataFrame) -> DataFrame:
+def raw_purchases(msgs: DataFrame, keep_doc: bool = False) -> DataFrame:
+    """``keep_doc`` carries the parsed document along so a downstream array
+    join in the same plan (``raw_purchase_items``) does not parse it again."""
     d = F.col("_doc")
     return with_doc(msgs).select(
+        *(["_doc"] if keep_doc else []),
         js_str(d, "purchase_id").alias("purchase_id"),
         js_str(d, "customer", "customer_id").alias("customer_id"),
         js_str(d, "store", "store_id").alias("store_id"),
@@ -64,7 +67,8 @@ def raw_purchase_items(purchases_raw: DataFrame) -> DataFrame:
     yields no row).  Lines without a purchase or product id are dropped; the
     element's JSON is kept as the line's payload."""
     d = F.col("_doc")
-    lines = with_doc(purchases_raw).select(
+    src = purchases_raw if "_doc" in purchases_raw.columns else with_doc(purchases_raw)
+    lines = src.select(
         norm("purchase_id").alias("purchase_id"),
         norm("customer_id").alias("customer_id"),
         norm("store_id").alias("store_id"),

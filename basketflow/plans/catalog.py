@@ -1102,3 +1102,59 @@ def q_dq_errors(spark, d):
     """Rejected purchase messages, one row per failed rule."""
     e = mart.dq_errors("purchases", payload_fields(spark, d, "purchases"), AS_OF, "purchase_id")
     return e.select("business_key", "reason", _tss("ingested_at"))
+
+
+# ----- import files ------------------------------------------------------------------
+
+from ..sources import imports as import_src  # noqa: E402
+
+
+def _customer_csv(spark, d) -> str:
+    """The customer table exported as CSV files with a header (blank ids on
+    every 11th key), as an uploaded import would arrive."""
+    path = scratch_path(spark, "upload-customers.csv")
+    c = lens.read(spark, d, "customer")
+    k = F.col("c_custkey")
+    c.select(F.when(k % 11 == 0, F.lit("  ")).otherwise(lens.key_id("cus-", k, 6)).alias("customer_id"),
+             "c_name", "c_mktsegment", "c_acctbal") \
+        .write.mode("overwrite").option("header", "true").csv(path)
+    return path
+
+
+def _order_jsonl(spark, d) -> str:
+    path = scratch_path(spark, "upload-purchases.jsonl")
+    o = lens.read(spark, d, "orders")
+    o.select(F.to_json(F.struct(lens.key_id("ord-", "o_orderkey", 6).alias("purchase_id"),
+                                F.col("o_totalprice").alias("total_amount"))).alias("value")) \
+        .write.mode("overwrite").text(path)
+    return path
+
+
+@register("src_import_csv", None)
+def q_src_import_csv(spark, d):
+    """Uploaded CSV → (file, row_number from 2, row) in file order."""
+    rows = import_src.read_csv(spark, _customer_csv(spark, d))
+    return rows.select("row_number", F.try_variant_get("row", "$.customer_id", "string").alias("customer_id"))
+
+
+@register("src_import_json", None)
+def q_src_import_json(spark, d):
+    """Uploaded JSON Lines → (row_number, row) by physical line."""
+    rows = import_src.read_json(spark, _order_jsonl(spark, d))
+    return rows.select("row_number", F.try_variant_get("row", "$.purchase_id", "string").alias("purchase_id"))
+
+
+@register("import_replay", None)
+def q_import_replay(spark, d):
+    """An import written, then replayed: the batch's errors and staging are
+    replaced (not appended) and its replay count goes up by one."""
+    out = scratch_path(spark, "imports")
+    path = _customer_csv(spark, d)
+    s, e, st = imports.run_batch(spark, path, "driver-upload", "customers", "customers.csv")
+    imports.write_batch(out, s, e, st)
+    s, e, st = imports.run_batch(spark, path, "driver-upload", "customers", "customers.csv")
+    imports.write_batch(out, s, e, st, replay=True)
+    errors = spark.read.parquet(f"{out}/errors").groupBy("batch_id").agg(F.count(F.lit(1)).alias("error_rows"))
+    staged = spark.read.parquet(f"{out}/staging").groupBy("batch_id").agg(F.count(F.lit(1)).alias("staging_rows"))
+    b = spark.read.parquet(f"{out}/batches").select("batch_id", "status", "total_rows", "valid_rows", "replay_count")
+    return b.join(errors, "batch_id", "left").join(staged, "batch_id", "left")

@@ -40,7 +40,7 @@ def messages(spark: SparkSession, d: str, entity: str) -> DataFrame:
 
 def raw_table(spark: SparkSession, d: str, entity: str) -> DataFrame:
     if entity == "purchase_items":
-        return raw.raw_purchase_items(raw.raw_purchases(messages(spark, d, "purchases")))
+        return raw.raw_purchase_items(raw.raw_purchases(messages(spark, d, "purchases"), keep_doc=True))
     return raw.RAW[entity](messages(spark, d, entity))
 
 

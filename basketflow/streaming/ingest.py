@@ -46,7 +46,7 @@ def read_stamped(spark: SparkSession, path: str) -> DataFrame:
 
 def to_raw(messages: DataFrame, entity: str) -> DataFrame:
     if entity == "purchase_items":
-        return raw.raw_purchase_items(raw.raw_purchases(messages))
+        return raw.raw_purchase_items(raw.raw_purchases(messages, keep_doc=True))
     return raw.RAW[entity](messages)
 
 
