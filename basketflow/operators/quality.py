@@ -150,9 +150,10 @@ def history(entity: str, fields: DataFrame) -> DataFrame:
     Validity is judged at each row's arrival (as the insert-time MART view
     does), which makes every counter additive over days: totals and valid
     counts are running sums of per-day counts, and the distinct count is a
-    running sum of "ids first seen that day".  Shuffles: one partial
-    aggregate by (id, day), then small ones by id and by day; the window runs
-    over one row per (entity, day) — bounded by the calendar, not the data.
+    running sum of "ids first seen that day".  Shuffles: a partial aggregate
+    by (id, day), then by id (each id's list holds at most one entry per
+    calendar day), then by day; the window runs over one row per
+    (entity, day) — bounded by the calendar, not the data.
     """
     n = NORMALIZE[entity](fields)
     rows = n.select(
@@ -160,12 +161,15 @@ def history(entity: str, fields: DataFrame) -> DataFrame:
         F.coalesce(P.is_valid(entity, F.col("ingested_at")), F.lit(False)).alias("_valid"),
         _dup_key(entity).alias("_key"),
     )
-    # one shuffle of the rows, keyed by (id, day); both day-level views below
-    # read that exchange (the second read is a reused exchange, not a rescan)
+    # (id, day) counts with a map-side partial step; then per id its first day
+    # and its (bounded: one entry per calendar day) list of day counts; then
+    # per day.  The RAW rows are read once.
     kd = rows.groupBy("_key", "day").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_valid").alias("_v"))
-    per_day = kd.groupBy("day").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"))
-    first = kd.groupBy("_key").agg(F.min("day").alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("_new"))
-    j = per_day.join(first, "day", "left")
+    per_key = kd.groupBy("_key").agg(F.min("day").alias("_first"),
+                                     F.collect_list(F.struct("day", "_n", "_v")).alias("_days"))
+    flat = per_key.select("_first", F.inline("_days"))
+    j = flat.groupBy("day").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"),
+                                F.count_if(F.col("day") == F.col("_first")).alias("_new"))
     w = Window.partitionBy(F.lit(entity)).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     tot = F.sum("_n").over(w)
     val = F.sum("_v").over(w)
