@@ -32,6 +32,20 @@ def get_spark(app: str = "basketflow", master: str | None = None, shuffle_partit
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
+                  min_partitions: int = 200) -> int:
+    """Size ``spark.sql.shuffle.partitions`` for the input at hand: about one
+    partition per ``target_partition_bytes`` of input (AQE then coalesces
+    small ones and splits skewed ones), never fewer than ``min_partitions``.
+    At 100 TB this gives ~400k partitions of 256 MB, which fit executor memory
+    without spilling the aggregation buffers."""
+    n = max(min_partitions, int(input_bytes // target_partition_bytes) + 1)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes // 2))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(target_partition_bytes, 512 << 20)))
+    return n
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 ENTITY_KEYS = {"stores": "store_id", "products": "id", "customers": "customer_id", "purchases": "purchase_id"}
 
 
@@ -73,11 +74,14 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str | None
     if incoming.where(F.col(key).isNull()).limit(1).count() > 0:
         raise ValueError(f"Missing key field {key!r} in an incoming document")
     fields = [c for c in existing.columns if c != key]
-    inc = incoming
-    if order:
-        inc = incoming.groupBy(key).agg(F.max_by(F.struct(*[c for c in incoming.columns if c != key]), order)
-                                        .alias("_r")).select(key, "_r.*")
-    inc = inc.select(key, *[F.col(c).alias(f"_n_{c}") for c in fields if c in inc.columns], F.lit(True).alias("_in"))
+    rest = [c for c in incoming.columns if c != key]
+    # one incoming document per key before the join (a key sent many times
+    # must not multiply rows): the last by ``order``, else the greatest in a
+    # fixed column order; ``_cnt`` keeps how many documents arrived
+    pick = F.max_by(F.struct(*rest), order) if order else F.max(F.struct(*rest))
+    inc = incoming.groupBy(key).agg(pick.alias("_r"), F.count(F.lit(1)).alias("_cnt")).select(key, "_r.*", "_cnt")
+    inc = inc.select(key, *[F.col(c).alias(f"_n_{c}") for c in fields if c in inc.columns], "_cnt",
+                     F.lit(True).alias("_in"))
     old = existing.select(key, *fields, F.lit(True).alias("_old"))
     j = old.join(inc, key, "full_outer")
     merged = [F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c) if f"_n_{c}" in inc.columns else F.col(c)
@@ -86,9 +90,9 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str | None
     for c in fields:
         if f"_n_{c}" in inc.columns:
             changed = changed | (F.col(f"_n_{c}").isNotNull() & ~F.col(f"_n_{c}").eqNullSafe(F.col(c)))
-    out = j.select(key, *merged, F.col("_in"), F.col("_old"), changed.alias("_changed"))
+    out = j.select(key, *merged, F.col("_in"), F.col("_old"), F.col("_cnt"), changed.alias("_changed"))
     counts = out.agg(
-        F.count_if(F.col("_in")).alias("processed"),
+        F.coalesce(F.sum("_cnt"), F.lit(0)).alias("processed"),
         F.count_if(F.col("_in") & F.col("_old").isNull()).alias("inserted"),
         F.count_if(F.col("_in") & F.col("_old") & F.col("_changed")).alias("updated"),
     )
