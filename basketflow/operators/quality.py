@@ -196,3 +196,9 @@ def history_all(fields_by_entity: dict[str, DataFrame]) -> DataFrame:
         h = history(entity, f)
         out = h if out is None else out.unionByName(h)
     return out
+
+
+def append_snapshot(snap: DataFrame, path: str) -> None:
+    """Append one snapshot to the quality log (a Parquet dataset partitioned
+    by entity; appends are atomic per write job)."""
+    snap.write.mode("append").partitionBy("entity").parquet(path)
