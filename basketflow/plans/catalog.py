@@ -1158,3 +1158,15 @@ def q_import_replay(spark, d):
     staged = spark.read.parquet(f"{out}/staging").groupBy("batch_id").agg(F.count(F.lit(1)).alias("staging_rows"))
     b = spark.read.parquet(f"{out}/batches").select("batch_id", "status", "total_rows", "valid_rows", "replay_count")
     return b.join(errors, "batch_id", "left").join(staged, "batch_id", "left")
+
+
+@register("import_detect_format", None)
+def q_import_detect_format(spark, d):
+    """Format of each file in an upload folder: the customer export as CSV,
+    orders as JSON Lines, and part files with an unsupported extension."""
+    folder = scratch_path(spark, "uploads")
+    lens.read(spark, d, "customer").write.mode("overwrite").option("header", "true").csv(f"{folder}/customers")
+    lens.read(spark, d, "orders").select(F.to_json(F.struct("o_orderkey")).alias("v")) \
+        .write.mode("overwrite").text(f"{folder}/orders")
+    lens.read(spark, d, "part").write.mode("overwrite").parquet(f"{folder}/parts")
+    return import_src.detect_formats(spark, folder).where(~F.col("file_name").startswith("_"))

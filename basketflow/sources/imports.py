@@ -123,3 +123,18 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def read_import(spark: SparkSession, path: str, file_name: str | None = None) -> DataFrame:
     fmt = detect_format(file_name or path)
     return read_csv(spark, path) if fmt == "csv" else read_json(spark, path)
+
+
+def detect_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """Format of every uploaded file under ``folder`` from its extension
+    (listing only; contents are not read): ``file_format`` is NULL and
+    ``error_code`` set for unsupported files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    fmt = F.element_at(F.create_map(*[x for kv in C.IMPORT_FORMATS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]),
+                       ext)
+    return files.select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
+        fmt.alias("file_format"),
+        F.when(fmt.isNull(), F.lit("import_unsupported_file")).alias("error_code"),
+    )
