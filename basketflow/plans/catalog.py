@@ -1170,3 +1170,29 @@ def q_import_detect_format(spark, d):
         .write.mode("overwrite").text(f"{folder}/orders")
     lens.read(spark, d, "part").write.mode("overwrite").parquet(f"{folder}/parts")
     return import_src.detect_formats(spark, folder).where(~F.col("file_name").startswith("_"))
+
+
+from ..streaming import alerts as stream_alerts  # noqa: E402
+
+
+@register("alert_replay_stream", _replay_sql(ALERT_THRESHOLD, C.ALERT_COOLDOWN_MINUTES) + """
+SELECT entity, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, duplicates_ratio, CAST(fired AS INTEGER) AS fired
+FROM r""")
+def q_alert_replay_stream(spark, d):
+    """The alert rule as a stateful stream over the quality log (state: last
+    fired time per entity), fed in time-ordered files, read back."""
+    log_dir = scratch_path(spark, "qlog")
+    log = quality_log(spark, d).select("entity", "event_time", "duplicates_ratio")
+    log = log.checkpoint(eager=True)  # the log is written year by year below: compute it once
+    # the log arrives in time order: one file per year, appended in sequence
+    # (a year of daily snapshots is a few thousand rows)
+    years = sorted(r[0] for r in log.select(F.year("event_time")).distinct().collect())
+    for y in years:
+        log.where(F.year("event_time") == y).coalesce(1).write.mode("append").parquet(log_dir)
+    schema = "entity string, event_time timestamp, duplicates_ratio double"
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(log_dir)
+    out, ck = scratch_path(spark, "alerts"), scratch_path(spark, "ck-alerts")
+    q = stream_alerts.alert_stream(src, ALERT_THRESHOLD).writeStream.format("parquet").outputMode("append") \
+        .option("checkpointLocation", ck).trigger(availableNow=True).start(out)
+    ingest.run_available(q)
+    return spark.read.parquet(out).withColumn("event_time", ts_text("event_time"))

@@ -72,3 +72,24 @@ def test_latest_by_entity_order(spark):
                                       "inserted_rows_mart long, invalid_rows long, duplicates_rows long, "
                                       "duplicates_ratio double")
     assert [r["entity"] for r in quality.latest_by_entity(log).collect()] == ["Purchases", "Stores", "Purchase_items"]
+
+
+def test_alert_stream_keeps_cooldown_across_batches(spark):
+    from basketflow.session import scratch_path
+    from basketflow.streaming import alerts as sa, ingest
+
+    t0 = dt.datetime(2025, 1, 1)
+    src = scratch_path(spark, "t-alert-src")
+    batches = [[(0, 0.9), (10, 0.9)], [(20, 0.9), (40, 0.1)], [(50, 0.9)]]
+    for b in batches:
+        spark.createDataFrame([("e", t0 + dt.timedelta(minutes=m), r) for m, r in b],
+                              "entity string, event_time timestamp, duplicates_ratio double") \
+            .coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("entity string, event_time timestamp, duplicates_ratio double") \
+        .option("maxFilesPerTrigger", "1").parquet(src)
+    out, ck = scratch_path(spark, "t-alert-out"), scratch_path(spark, "t-alert-ck")
+    q = sa.alert_stream(stream, 0.5, 15).writeStream.format("parquet").outputMode("append") \
+        .option("checkpointLocation", ck).trigger(availableNow=True).start(out)
+    ingest.run_available(q)
+    fired = [r["fired"] for r in spark.read.parquet(out).orderBy("event_time").collect()]
+    assert fired == [1, 0, 1, 0, 1]     # minute 20 is 20 > 15 after the fire at 0; 50 is 30 after 20
