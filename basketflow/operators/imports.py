@@ -141,9 +141,9 @@ def write_batch(out_dir: str, summary_df: DataFrame, errors_df: DataFrame, stagi
     """Persist a batch; a replay *replaces* that batch's errors and staging
     (dynamic partition overwrite on ``batch_id``), never other batches'."""
     spark = summary_df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     for name, df in (("errors", errors_df), ("staging", staging_df)):
-        df.write.mode("overwrite").partitionBy("batch_id").parquet(f"{out_dir}/{name}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id") \
+            .parquet(f"{out_dir}/{name}")
     s = summary_df.withColumn("replay_count", F.lit(1 if replay else 0))
     if replay:
         try:
@@ -156,7 +156,8 @@ def write_batch(out_dir: str, summary_df: DataFrame, errors_df: DataFrame, stagi
             s = s.checkpoint(eager=True)
         except Exception:  # noqa: BLE001 - first run: no batch table yet
             pass
-    s.write.mode("overwrite").partitionBy("batch_id").parquet(f"{out_dir}/batches")
+    s.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id") \
+        .parquet(f"{out_dir}/batches")
 
 
 def replay_allowed(status: str, file_exists: bool) -> None:

@@ -570,7 +570,7 @@ SALT = C.DEMO_PII_SALT
 
 
 def _contacts_sql(body: str) -> str:
-    return _sql([], "").rstrip()[:0] + f"WITH contacts AS ({O.CONTACTS}\n)\n{body}"
+    return f"WITH contacts AS ({O.CONTACTS}\n)\n{body}"
 
 
 @register("pii_normalize_email", _contacts_sql(
