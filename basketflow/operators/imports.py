@@ -153,6 +153,9 @@ def write_batch(out_dir: str, summary_df: DataFrame, errors_df: DataFrame, stagi
                 prev.groupBy("batch_id").agg((F.max("replay_count") + 1).alias("replay_count")), "batch_id", "left"
             ).withColumn("replay_count", F.coalesce("replay_count", F.lit(1)))
             # the batch table is rewritten below: cut the lineage to it first
+            from ..session import checkpoint_dir
+
+            checkpoint_dir(spark)
             s = s.checkpoint(eager=True)
         except Exception:  # noqa: BLE001 - first run: no batch table yet
             pass
