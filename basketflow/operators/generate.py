@@ -6,7 +6,7 @@ output is identical for any partitioning or scale — no driver-side random
 state, no per-row Python.  Purchases are keyed by an input key column (for
 example the driver's order keys), so the work grows with that input.
 
-Distribution, not byte parity with the original Faker-based generator.
+Distribution, not byte parity with the original single-machine fake-data generator.
 """
 
 from __future__ import annotations
