@@ -57,10 +57,16 @@ def with_row_index(df: DataFrame, name: str = "_idx") -> DataFrame:
     return j.select(*df.columns, "_file", (F.col("_off") + F.col("_rip") - F.col("_first")).alias(name))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """(file, row_number, row: map<string,string>) — every header column kept
-    as text, as ``csv.DictReader`` does."""
-    header_df = spark.read.option("header", "false").option("multiLine", "true").option("encoding", "UTF-8") \
+    as text, as ``csv.DictReader`` does.
+
+    ``multiline=True`` accepts quoted fields spanning lines, which Spark can
+    only read one file per task; uploads known to hold one record per line
+    can pass ``multiline=False`` to split a large file across tasks (the row
+    numbering is split-aware either way)."""
+    ml = "true" if multiline else "false"
+    header_df = spark.read.option("header", "false").option("multiLine", ml).option("encoding", "UTF-8") \
         .csv(path).limit(1)
     hdr = header_df.collect()
     if not hdr:
@@ -68,7 +74,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     names = [(v or "").lstrip("﻿") for v in hdr[0]]
     if not any(names):
         raise ImportError_("IMPORT_INVALID_CSV", "CSV file must include a header row.")
-    df = (spark.read.option("header", "true").option("multiLine", "true").option("quote", '"')
+    df = (spark.read.option("header", "true").option("multiLine", ml).option("quote", '"')
           .option("escape", '"').option("encoding", "UTF-8").csv(path))
     df = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
     idx = with_row_index(df)
