@@ -80,3 +80,23 @@ def test_business_key_types(spark, tmpdir_path):
     p = _write(tmpdir_path, "p.json", json.dumps([{"id": 7}, {"product_id": "  p-1 ", "id": "z"}, {"id": True}]))
     s, e, st = imports.run_batch(spark, p, "b4", "products")
     assert sorted(r["business_key"] for r in st.collect()) == ["7", "True", "p-1"]
+
+
+def test_row_numbers_exact_across_many_splits(spark, tmpdir_path):
+    n = 3000
+    p = _write(tmpdir_path, "big.jsonl", "\n".join(json.dumps({"purchase_id": f"p{i}"}) for i in range(1, n + 1)))
+    csvp = _write(tmpdir_path, "big.csv", "purchase_id,x\n" + "\n".join(f"p{i},{i}" for i in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")   # dozens of splits per file
+    try:
+        lines = src.read_json(spark, p)
+        assert lines.rdd.getNumPartitions() > 5
+        got = {(r["row_number"], r["pid"]) for r in lines.selectExpr(
+            "row_number", "try_variant_get(row, '$.purchase_id', 'string') AS pid").collect()}
+        assert got == {(i, f"p{i}") for i in range(1, n + 1)}
+        rows = src.read_csv(spark, csvp, multiline=False)
+        got = {(r["row_number"], r["pid"]) for r in rows.selectExpr(
+            "row_number", "try_variant_get(row, '$.purchase_id', 'string') AS pid").collect()}
+        assert got == {(i + 1, f"p{i}") for i in range(1, n + 1)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
