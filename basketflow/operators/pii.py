@@ -90,3 +90,57 @@ def phone_report(df: DataFrame, entity: str, id_col: str, phone_col: str) -> Dat
 
 def phone_report_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("entity").agg(F.count(F.lit(1)).alias("unnormalized"))
+
+
+class UnknownFieldsError(ValueError):
+    """Documents carry fields the declared schema does not know; hashing them
+    through the schema would drop them (or let PII pass unhashed)."""
+
+
+def _as_struct_ddl(variant_schema: str) -> str:
+    return variant_schema.replace("OBJECT<", "STRUCT<")
+
+
+def _paths(dt: T.DataType, prefix: str = "") -> set[str]:
+    out: set[str] = set()
+    if isinstance(dt, T.StructType):
+        for f in dt.fields:
+            p = f"{prefix}.{f.name}" if prefix else f.name
+            out.add(p)
+            out |= _paths(f.dataType, p)
+    elif isinstance(dt, T.ArrayType):
+        out |= _paths(dt.elementType, prefix + "[]")
+    elif isinstance(dt, T.MapType):
+        out.add(prefix + "{}")
+    return out
+
+
+def unknown_fields(df: DataFrame, text_col: str, schema: T.StructType) -> list[str]:
+    """Field paths present in any document but absent from ``schema``.  One
+    aggregation (``schema_of_variant_agg``) merges the shapes of all
+    documents into a single type string; no document value reaches the
+    driver."""
+    merged = df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(text_col))).alias("s")).first()["s"]
+    if not merged or not merged.startswith("OBJECT"):
+        return []
+    seen = T.DataType.fromDDL(_as_struct_ddl(merged))
+    known = _paths(schema)
+    # a map in the declared schema accepts any key below it
+    maps = {p[:-2] for p in known if p.endswith("{}")}
+    return sorted(p for p in _paths(seen)
+                  if p not in known and not any(p == m or p.startswith(m + ".") for m in maps))
+
+
+def hash_json_documents(df: DataFrame, text_col: str, schema: T.StructType, salt: str,
+                        keys=("email", "phone")) -> DataFrame:
+    """JSON text → documents with PII hashed → JSON text.  The batch fails if
+    any document has a field outside ``schema``.  Missing fields stay missing
+    (explicit JSON nulls are written as missing, which the RAW extractors
+    read the same way).  The clear-text input column is replaced, never kept
+    beside the hashed one."""
+    extra = unknown_fields(df, text_col, schema)
+    if extra:
+        raise UnknownFieldsError(f"documents carry fields outside the declared schema: {', '.join(extra[:20])}")
+    parsed = df.withColumn(text_col, F.from_json(F.col(text_col), schema))
+    hashed = hash_document(parsed, text_col, salt, keys)
+    return hashed.withColumn(text_col, F.to_json(F.col(text_col)))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .. import config as C
 from ..functions.norm import ts_text
@@ -852,8 +853,7 @@ def q_src_json_documents(spark, d):
     a declared schema."""
     path = scratch_path(spark, "docs-products")
     lens.product_documents(spark, d).select("doc.*").write.mode("overwrite").json(path)
-    from pyspark.sql.types import _parse_datatype_string
-    schema = _parse_datatype_string(_PRODUCT_DOC_SCHEMA)
+    schema = DataType.fromDDL(_PRODUCT_DOC_SCHEMA)
     return documents.read_documents(spark, path, schema, one_per_file=False)
 
 
@@ -1196,3 +1196,18 @@ def q_alert_replay_stream(spark, d):
         .option("checkpointLocation", ck).trigger(availableNow=True).start(out)
     ingest.run_available(q)
     return spark.read.parquet(out).withColumn("event_time", ts_text("event_time"))
+
+
+_CONTACT_SCHEMA = ("customer_id string, email string, phone string, purchase_location struct<store_id: string>")
+
+
+@register("pii_hash_json", _contacts_sql(
+    f"SELECT customer_id, email_hash AS email, phone_hash AS phone FROM ({_HASH_SQL})"))
+def q_pii_hash_json(spark, d):
+    """Contact documents as JSON text hashed through the declared schema (the
+    batch would fail on an unknown field), read back from the output text."""
+    schema = DataType.fromDDL(_CONTACT_SCHEMA)
+    docs = lens.customer_contact_documents(spark, d).select(F.to_json("doc").alias("payload"))
+    out = pii.hash_json_documents(docs, "payload", schema, SALT)
+    j = F.from_json("payload", schema)
+    return out.select(j["customer_id"].alias("customer_id"), j["email"].alias("email"), j["phone"].alias("phone"))

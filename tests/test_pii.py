@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from basketflow.functions import pii as X
 from basketflow.operators import pii
@@ -55,3 +56,20 @@ def test_unnormalized_report_has_no_number(spark):
     df = spark.createDataFrame([("c1", "call me"), ("c2", "+79991234567"), ("c3", None)], "id string, phone string")
     r = pii.phone_report(df, "customers", "id", "phone")
     assert r.columns == ["entity", "doc_id"] and [x["doc_id"] for x in r.collect()] == ["c1"]
+
+
+def test_json_documents_unknown_fields_fail(spark):
+
+    schema = DataType.fromDDL("customer_id string, email string, contacts array<struct<phone: string>>")
+    ok = spark.createDataFrame([('{"customer_id": "c1", "email": " X@Y.Z ", "contacts": [{"phone": "89991234567"}]}',),
+                                ('{"customer_id": "c2"}',)], "payload string")
+    out = pii.hash_json_documents(ok, "payload", schema, SALT)
+    rows = [r["payload"] for r in out.collect()]
+    assert hashlib.sha256(f"{SALT}:x@y.z".encode()).hexdigest() in rows[0]
+    assert hashlib.sha256(f"{SALT}:+79991234567".encode()).hexdigest() in rows[0]
+    assert "X@Y" not in rows[0] and rows[1] == '{"customer_id":"c2"}'
+    bad = spark.createDataFrame([('{"customer_id": "c3", "contacts": [{"phone": "1", "email2": "leak@x"}]}',)],
+                                "payload string")
+    with pytest.raises(pii.UnknownFieldsError) as ei:
+        pii.hash_json_documents(bad, "payload", schema, SALT)
+    assert "contacts[].email2" in str(ei.value) and "leak@x" not in str(ei.value)
