@@ -49,6 +49,8 @@ def test_feature_joins_reuse_aggregate_partitioning(spark):
         joined = features.assemble(base, pa, ia, C.DRIVER)
         parts = [_plan(x).count("Exchange hashpartitioning") for x in (base, pa, ia, joined)]
         assert parts[3] == parts[0] + parts[1] + parts[2]
+        # no broadcast hint on anything that grows with the data
+        assert "BroadcastExchange" not in _plan(joined)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
