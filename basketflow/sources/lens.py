@@ -203,21 +203,22 @@ def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purchase_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their lines nested as ``items`` (one shuffle of lineitem by
-    order key, map-side partial ``collect_list``).  Orders without lines get
-    an empty array."""
-    lines = _lines(spark, sf_dir).groupBy("l_orderkey").agg(
-        F.collect_list(F.struct(*_item_cols())).alias("items")
-    )
+    """Orders with their lines nested as ``items``.  The lines are joined to
+    their order first and collected on the join's own partitioning (the
+    grouping keys include the join key), so nesting costs no further shuffle;
+    an order without lines gets an empty array."""
     o = read(spark, sf_dir, "orders")
+    j = o.join(_lines(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    grouped = j.groupBy("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                        "o_orderpriority").agg(
+        F.collect_list(F.when(F.col("l_orderkey").isNotNull(), F.struct(*_item_cols()))).alias("items"))
     t = purchase_time(F.col("o_orderdate"), F.col("o_orderkey"))
-    j = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
-    return j.select(
+    return grouped.select(
         F.struct(
             key_id("ord-", "o_orderkey", 6).alias("purchase_id"),
             F.struct(key_id("cus-", "o_custkey", 6).alias("customer_id")).alias("customer"),
             F.struct(key_id("store-", F.col("o_orderkey") % 100, 3).alias("store_id")).alias("store"),
-            F.coalesce(F.col("items"), F.array().cast("array<struct<product_id:string,category:string,quantity:double,price_per_unit:double,total_price:double>>")).alias("items"),
+            F.col("items"),
             F.col("o_totalprice").alias("total_amount"),
             _payment(F.col("o_orderpriority")).alias("payment_method"),
             (F.col("o_orderstatus") == "F").alias("is_delivery"),
