@@ -1144,7 +1144,14 @@ def q_src_import_json(spark, d):
     return rows.select("row_number", F.try_variant_get("row", "$.purchase_id", "string").alias("purchase_id"))
 
 
-@register("import_replay", None)
+@register("import_replay", f"""
+SELECT 'driver-upload' AS batch_id,
+       CASE WHEN count(*) = 0 OR count_if(c_custkey % 11 <> 0) = 0 THEN 'failed'
+            WHEN count_if(c_custkey % 11 = 0) > 0 THEN 'partial' ELSE 'success' END AS status,
+       CAST(count(*) AS BIGINT) AS total_rows, CAST(count_if(c_custkey % 11 <> 0) AS BIGINT) AS valid_rows,
+       1 AS replay_count, CAST(least(count_if(c_custkey % 11 = 0), {C.IMPORT_MAX_STORED_ERRORS}) AS BIGINT) AS error_rows,
+       CAST(count_if(c_custkey % 11 <> 0) AS BIGINT) AS staging_rows
+FROM customer""")
 def q_import_replay(spark, d):
     """An import written, then replayed: the batch's errors and staging are
     replaced (not appended) and its replay count goes up by one."""
