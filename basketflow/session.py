@@ -28,6 +28,10 @@ def get_spark(app: str = "basketflow", master: str | None = None, shuffle_partit
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor; its heap must hold
+        # the shuffle and aggregation buffers of all task threads
+        b = b.config("spark.driver.memory", os.environ.get("BASKETFLOW_DRIVER_MEMORY", "8g"))
     spark = b.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
