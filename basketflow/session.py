@@ -54,12 +54,14 @@ def size_shuffles(spark: SparkSession, input_bytes: int, target_partition_bytes:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (a laptop or a test) is a private folder
-    created and registered, so jobs never write lineage cuts to a machine-local
-    path on a cluster.
+    Only when the setting is absent and the master is ``local*`` (a laptop or a
+    test) is a private folder created and registered; on a cluster a missing
+    setting is an error, so no job writes to a machine-local path.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="basketflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
