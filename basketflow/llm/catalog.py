@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from basketflow.llm.language import op6_ftrl_language
+from basketflow.llm.packing import op3_karmarkar_karp_packing
 from basketflow.llm.sharding import op10_feistel_shards
 
 QUERIES = {
+    "op6_ftrl_language": op6_ftrl_language,
+    "op3_karmarkar_karp_packing": op3_karmarkar_karp_packing,
     "op10_feistel_shards": op10_feistel_shards,
 }
 
