@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from basketflow.llm.language import op6_ftrl_language
+from basketflow.llm.near_dedup import OP8_SQL, op8_minhash_near_dedup
 from basketflow.llm.packing import op3_karmarkar_karp_packing
 from basketflow.llm.sharding import op10_feistel_shards
 
 QUERIES = {
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op6_ftrl_language": op6_ftrl_language,
     "op3_karmarkar_karp_packing": op3_karmarkar_karp_packing,
     "op10_feistel_shards": op10_feistel_shards,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_minhash_near_dedup": OP8_SQL,
+}
