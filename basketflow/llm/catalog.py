@@ -6,8 +6,10 @@ from basketflow.llm.language import op6_ftrl_language
 from basketflow.llm.near_dedup import OP8_SQL, op8_minhash_near_dedup
 from basketflow.llm.packing import op3_karmarkar_karp_packing
 from basketflow.llm.sharding import op10_feistel_shards
+from basketflow.llm.vectors import OP5_SQL, op5_fagin_top_k
 
 QUERIES = {
+    "op5_fagin_top_k": op5_fagin_top_k,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op6_ftrl_language": op6_ftrl_language,
     "op3_karmarkar_karp_packing": op3_karmarkar_karp_packing,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op5_fagin_top_k": OP5_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
 }
