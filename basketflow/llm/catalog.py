@@ -5,10 +5,12 @@ from __future__ import annotations
 from basketflow.llm.language import op6_ftrl_language
 from basketflow.llm.near_dedup import OP8_SQL, op8_minhash_near_dedup
 from basketflow.llm.packing import op3_karmarkar_karp_packing
+from basketflow.llm.repeats import OP4_SQL, op4_column_bwt_repeats
 from basketflow.llm.sharding import op10_feistel_shards
 from basketflow.llm.vectors import OP5_SQL, op5_fagin_top_k
 
 QUERIES = {
+    "op4_column_bwt_repeats": op4_column_bwt_repeats,
     "op5_fagin_top_k": op5_fagin_top_k,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op6_ftrl_language": op6_ftrl_language,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_column_bwt_repeats": OP4_SQL,
     "op5_fagin_top_k": OP5_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
 }
