@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from basketflow.llm.language import op6_ftrl_language
+from basketflow.llm.main_text import op2_nearest_url_main_text
 from basketflow.llm.near_dedup import OP8_SQL, op8_minhash_near_dedup
 from basketflow.llm.packing import op3_karmarkar_karp_packing
 from basketflow.llm.pii import op1_bootstrapped_pii
@@ -11,6 +12,7 @@ from basketflow.llm.sharding import op10_feistel_shards
 from basketflow.llm.vectors import OP5_SQL, op5_fagin_top_k
 
 QUERIES = {
+    "op2_nearest_url_main_text": op2_nearest_url_main_text,
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op4_column_bwt_repeats": op4_column_bwt_repeats,
     "op5_fagin_top_k": op5_fagin_top_k,

@@ -10,8 +10,10 @@ can hold the block and rises while the heaviest window exceeds the capacity.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,9 @@ PIECE = 256
 BLOCK_PIECES = 2048
 END_ID = 1
 #: distinct words whose ids a task keeps
-WORD_CACHE = 500_000
+WORD_CACHE = 400_000
+#: and the bytes of those that stay when there are more
+SHORT = 8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -44,43 +48,68 @@ class WordIds:
     """The ids of a text as little-endian unsigned 32-bit bytes. This tokenizer lower-cases, composes
     characters and splits at white space before it merges, so no token crosses ASCII white space: each
     distinct word is encoded once and kept. Most words are Latin-1 letters and perhaps one sign behind
-    them: the letters are exactly one unit of the tokenizer's own splitting, so many such words are
-    encoded in one call and told apart by the unit's number."""
+    them: the letters are exactly one unit of the tokenizer's own splitting and go to its merge model
+    directly, in its spelling of bytes; all other words go through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.cores = Tokenizer.from_file(path), {}, {}
+        self.merge = self.tokenizer.model.tokenize
+        self.signs = {c: self._whole(c) for c in ".,!?;:"}
+        self.spelling = _byte_spelling()
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [x.encode("utf-8", "replace").split() for x in texts]
         new = set().union(*split) - self.words.keys()
         if len(self.words) + len(new) > WORD_CACHE:
-            self.words.clear()
-            self.cores.clear()
-            new = set().union(*split)
-        self._learn({w: w.decode() for w in new})
+            # long words seldom come again
+            self.words = {w: x for w, x in self.words.items() if len(w) <= SHORT}
+            self.cores = {w: x for w, x in self.cores.items() if len(w) <= SHORT}
+            if len(self.words) > WORD_CACHE // 2:
+                self.words, self.cores = {}, {}
+            new = set().union(*split) - self.words.keys()
+        self._learn(new)
         return [b"".join(map(self.words.__getitem__, x)) for x in split]
 
-    def _learn(self, new: dict[bytes, str]) -> None:
-        plain, other = {}, []
-        for w, x in new.items():
-            core = x if x.isalpha() else x[:-1] if x[:-1].isalpha() and x[-1] in ".,!?;:" else ""
-            if core and max(core) < "\u0100":
-                plain[w] = (core.lower(), x[len(core):])
-            else:
+    def _learn(self, new: set[bytes]) -> None:
+        words, cores, merge, other = self.words, self.cores, self.merge, []
+        for w in new:
+            x, sign = w.decode(), b""
+            if not x.isalpha():
+                sign = self.signs.get(x[-1])
+                x = x[:-1]
+                if sign is None or not x.isalpha():
+                    other.append(w)
+                    continue
+            plain = x.isascii()
+            if not plain and max(x) >= "\u0100":
                 other.append(w)
-        missing = [*{c for core, sign in plain.values() for c in (core, sign) if c and c not in self.cores}]
-        if missing:
-            got = self.tokenizer.encode(" ".join(missing), add_special_tokens=False)
-            at = np.asarray(got.word_ids, dtype="int64")
-            cuts = np.searchsorted(at, np.arange(len(missing) + 1)) * 4
-            data = np.asarray(got.ids, dtype="<u4").tobytes()
-            self.cores.update((c, data[i:j]) for c, i, j in zip(missing, cuts[:-1].tolist(), cuts[1:].tolist()))
-        self.cores[""] = b""
-        self.words.update((w, self.cores[core] + self.cores[sign]) for w, (core, sign) in plain.items())
-        for w, e in zip(other, self.tokenizer.encode_batch([new[w] for w in other], add_special_tokens=False)):
-            self.words[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+                continue
+            x = x.lower()
+            ids = cores.get(x)
+            if ids is None:
+                spelled = x if plain else x.encode().decode("latin-1").translate(self.spelling)
+                ids = cores[x] = array("I", [t.id for t in merge(spelled)]).tobytes()
+            words[w] = ids + sign
+        for w, e in zip(other, self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)):
+            words[w] = array("I", e.ids).tobytes()
+
+
+def _byte_spelling() -> dict[int, str]:
+    """How byte-level models spell bytes: printable ones as themselves, the others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker: its words serve all its tasks."""
+    return WordIds(path)
 
 
 def some(doc_ids: list, texts, most_chars: int = 2_000_000):
@@ -101,7 +130,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, p
     """One row per piece: its document, first id, length, checksum and the document's id count."""
 
     def cut(batches):
-        ids, end_id = WordIds(tokenizer), np.asarray([END_ID], dtype="<u4").tobytes()
+        ids, end_id = word_ids(tokenizer), array("I", [END_ID]).tobytes()
         for batch in batches:
             for doc_ids, texts in some(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
