@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from basketflow.llm.decontaminate import OP7_SQL, op7_simhash_decontamination
 from basketflow.llm.language import op6_ftrl_language
+from basketflow.llm.licences import op9_minhash_licences
 from basketflow.llm.main_text import op2_nearest_url_main_text
 from basketflow.llm.near_dedup import OP8_SQL, op8_minhash_near_dedup
 from basketflow.llm.packing import op3_karmarkar_karp_packing
@@ -12,6 +14,8 @@ from basketflow.llm.sharding import op10_feistel_shards
 from basketflow.llm.vectors import OP5_SQL, op5_fagin_top_k
 
 QUERIES = {
+    "op7_simhash_decontamination": op7_simhash_decontamination,
+    "op9_minhash_licences": op9_minhash_licences,
     "op2_nearest_url_main_text": op2_nearest_url_main_text,
     "op1_bootstrapped_pii": op1_bootstrapped_pii,
     "op4_column_bwt_repeats": op4_column_bwt_repeats,
@@ -23,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op7_simhash_decontamination": OP7_SQL,
     "op4_column_bwt_repeats": OP4_SQL,
     "op5_fagin_top_k": OP5_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
