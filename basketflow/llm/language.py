@@ -209,7 +209,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 scores.append(float(min(1.0, p.max())))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(fields))], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(classify, schema)
+    return docs.select(*keep, F.col("text").alias("_text_for_language")).mapInArrow(classify, schema)
 
 
 def held_out() -> Column:

@@ -9,7 +9,7 @@ Jaccard similarity is 2/3 or more, and no band meets with a chance of (1 - (2/3)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketflow.llm.anchored import bag, prepared, proposed_windows
@@ -67,7 +67,8 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     (doc_id, text) that holds a template of ``known`` (template_id, text).
 
     Null and empty texts hold none; templates of fewer than five words count as one shingle. Repeated
-    rows (same doc_id and text) are reported once. A window that two templates fit has two rows."""
+    rows (same doc_id and text) are reported once. Of the templates that fit at one place (versions of
+    a notice differ by a word) the best contained ones are reported, equals all."""
     items = prepared(known.select(F.col("template_id").alias("id"), "text"), alnum_hashes(F.col("text")))
     windows = proposed_windows(docs, items, alnum_hashes).distinct()
     windows = stored(windows.withColumn("bag", bag(F.col("window"))).drop("window").filter(F.size("bag") > 0), "windows")
@@ -76,8 +77,11 @@ def scan_licences(docs: DataFrame, known: DataFrame) -> DataFrame:
     entries = bounded_broadcast(entries, entries.count(), MOST_ENTRIES)
     found = F.size(F.array_intersect("bag", "item_bag"))
     met = keyed.join(entries, ["n", "band", "key"]).withColumn("found", found).filter(100 * F.col("found") >= CONTAINED * F.size("item_bag"))
-    return met.select("doc_id", F.col("id").alias("template_id"), F.col("start").cast("long").alias("start_word"), F.col("n").cast("long").alias("n_words"),
-                      F.col("found").cast("long").alias("found"), F.size("item_bag").cast("long").alias("total")).distinct()
+    met = met.select("doc_id", "doc_key", F.col("id").alias("template_id"), F.col("start").cast("long").alias("start_word"), F.col("n").cast("long").alias("n_words"),
+                     F.col("found").cast("long").alias("found"), F.size("item_bag").cast("long").alias("total")).distinct()
+    place = Window.partitionBy("doc_id", "doc_key", "start_word")
+    share = F.col("found") / F.col("total")
+    return met.withColumn("best", F.max(share).over(place)).filter(share == F.col("best")).drop("best", "doc_key")
 
 
 def op9_minhash_licences(spark, sf_dir: str) -> DataFrame:
