@@ -36,8 +36,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: weaker shapes, only believed in a believed context
-AT, DOT = r"\s?(?:@|\[at\]|\(at\)|\sat\s)\s?", r"\s?(?:\.|\[dot\]|\(dot\)|\sdot\s)\s?"
-WEAK_EMAIL = re.compile(rf"(?<![\w.%+-])[\w.%+-]{{1,64}}(?:{AT})[\w-]{{1,63}}(?:(?:{DOT})[\w-]{{1,63}}){{0,5}}", re.I)
+AT, DOT = r"(?:\s?(?:@|\[at\]|\(at\))\s?|\sat\s)", r"(?:\.|\s?(?:\[dot\]|\(dot\))\s?|\sdot\s)"
+WEAK_EMAIL = re.compile(rf"(?<![\w.%+-])[\w.%+-]{{1,64}}(?:{AT}[\w-]{{1,63}}(?:{DOT}[\w-]{{1,63}}){{1,5}}|@[\w-]{{1,63}})", re.I)
+SPELLED = re.compile(r"[\[(](?:at|dot)[\])]|\bdot\b", re.I)
 WEAK_IP = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w.])")
 WEAK_NUMBER = re.compile(r"(?<![\w.+])\(?[0-9](?:[\x20()./-]{0,2}[0-9])+(?!\w)")
 WORD = re.compile(r"\S+")
@@ -89,8 +90,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidate_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Weaker shapes that overlap no rule's span and no candidate before them."""
     found = []
-    if "@" in text or re.search(r"[\[(]at[\])]|\bdot\b", text, re.I):
-        found += [("email", *m.span()) for m in WEAK_EMAIL.finditer(text) if "@" in m.group() or re.search(r"dot", m.group(), re.I)]
+    if "@" in text or SPELLED.search(text):
+        found += [("email", *m.span()) for m in WEAK_EMAIL.finditer(text)]
     found += [("ip", *m.span()) for m in WEAK_IP.finditer(text)]
     for m in WEAK_NUMBER.finditer(text):
         n = len(_digits(m.group()))
