@@ -80,13 +80,17 @@ STORE_ID_PATTERN = r"^store-[0-9]{3}$"
 PRODUCT_ID_PATTERN = r"^prd-[0-9]{4}$"
 CUSTOMER_ID_PATTERN = r"^cus-[0-9]{6}$"
 PURCHASE_ID_PATTERN = r"^ord-[0-9]{6}$"
+# Tables whose keys outgrow the fixed widths: at least as many digits.
+WIDE_STORE_ID_PATTERN = r"^store-[0-9]{3,}$"
+WIDE_PRODUCT_ID_PATTERN = r"^prd-[0-9]{4,}$"
+WIDE_CUSTOMER_ID_PATTERN = r"^cus-[0-9]{6,}$"
+WIDE_PURCHASE_ID_PATTERN = r"^ord-[0-9]{6,}$"
 HASH_PATTERN = r"^[0-9a-f]{64}$"
 PAYMENT_METHODS = ("card", "cash", "online_wallet", "sbp", "other")
 
 # Metric endpoints.
 DUPLICATES_BAD_THRESHOLD = 0.5
 QUALITY_ENTITY_ORDER = ["purchases", "customers", "stores", "products", "purchase_items"]
-QUALITY_SCAN_ROWS = 100
 ALERT_RULE_NAME = "duplicates_ratio_threshold"
 ALERT_COOLDOWN_MINUTES = 15
 
@@ -98,8 +102,6 @@ IMPORT_REQUIRED_FIELDS = {
     "customers": (("customer_id",),),
     "purchases": (("purchase_id",),),
 }
-IMPORT_MAX_RAW_FRAGMENT = 1000
-IMPORT_MAX_STORED_ERRORS = 500
 
 # Exports.
 EXPORT_NAME_PATTERN = r"^analytic_result_(\d{4})_(\d{2})_(\d{2})\.csv$"
@@ -119,6 +121,21 @@ def java_anchor(pattern: str) -> str:
     return pattern[:-1] + r"\z" if pattern.endswith("$") else pattern
 
 
+@dataclass(frozen=True)
+class IdPatterns:
+    """The id rules of the MART validation."""
+
+    store: str = STORE_ID_PATTERN
+    product: str = PRODUCT_ID_PATTERN
+    customer: str = CUSTOMER_ID_PATTERN
+    purchase: str = PURCHASE_ID_PATTERN
+
+
+RETAIL_IDS = IdPatterns()
+# validity must not depend on how many rows a table has
+DRIVER_IDS = IdPatterns(WIDE_STORE_ID_PATTERN, WIDE_PRODUCT_ID_PATTERN, WIDE_CUSTOMER_ID_PATTERN, WIDE_PURCHASE_ID_PATTERN)
+
+
 @dataclass(frozen=True)
 class FeatureProfile:
     """All knobs of the feature matrix.  ``windows`` maps the nominal window
@@ -169,9 +186,10 @@ DRIVER = FeatureProfile(
 )
 
 # The driver data's purchases span 1995-01-01 .. 2001-08-01; validity is "not in
-# the future", so a fixed clock inside that span leaves some customers without
-# purchases and exercises every branch.
-DRIVER_AS_OF = "1996-01-01 00:00:00"
+# the future", so the clock stands after the last purchase and keeps all of them.
+DRIVER_AS_OF = "2001-08-03 00:00:00"
+# One extra feature query runs at this clock, at which many customers have no purchase yet.
+EARLY_AS_OF = "1996-01-01 00:00:00"
 RETAIL_AS_OF = "2025-07-10 12:00:00"
 
 PROFILES = {"retail": RETAIL, "driver": DRIVER}

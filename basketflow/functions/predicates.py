@@ -22,26 +22,26 @@ def _hash_or_blank(c: str) -> Column:
     return (F.col(c) == "") | matches(c, C.HASH_PATTERN)
 
 
-def store_reasons() -> list[tuple[str, Column]]:
+def store_reasons(ids: C.IdPatterns = C.RETAIL_IDS) -> list[tuple[str, Column]]:
     return [
-        ("store_id", _id("store_id", C.STORE_ID_PATTERN)),
+        ("store_id", _id("store_id", ids.store)),
         ("store_network", F.col("store_network") != ""),
         ("city", F.col("city") != ""),
     ]
 
 
-def product_reasons() -> list[tuple[str, Column]]:
+def product_reasons(ids: C.IdPatterns = C.RETAIL_IDS) -> list[tuple[str, Column]]:
     return [
-        ("product_id", _id("product_id", C.PRODUCT_ID_PATTERN)),
+        ("product_id", _id("product_id", ids.product)),
         ("price", F.col("price") >= 0),
         ("unit", F.col("unit") != ""),
     ]
 
 
-def customer_reasons(as_of: Column) -> list[tuple[str, Column]]:
+def customer_reasons(as_of: Column, ids: C.IdPatterns = C.RETAIL_IDS) -> list[tuple[str, Column]]:
     return [
-        ("customer_id", _id("customer_id", C.CUSTOMER_ID_PATTERN)),
-        ("store_id", _id("store_id", C.STORE_ID_PATTERN)),
+        ("customer_id", _id("customer_id", ids.customer)),
+        ("store_id", _id("store_id", ids.store)),
         ("email_enc", _hash_or_blank("email_enc")),
         ("phone_enc", _hash_or_blank("phone_enc")),
         ("birth_date", F.col("birth_date").isNotNull() & (F.col("birth_date") <= F.to_date(as_of))),
@@ -49,23 +49,23 @@ def customer_reasons(as_of: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def purchase_reasons(as_of: Column) -> list[tuple[str, Column]]:
+def purchase_reasons(as_of: Column, ids: C.IdPatterns = C.RETAIL_IDS) -> list[tuple[str, Column]]:
     return [
-        ("purchase_id", _id("purchase_id", C.PURCHASE_ID_PATTERN)),
-        ("customer_id", _id("customer_id", C.CUSTOMER_ID_PATTERN)),
-        ("store_id", _id("store_id", C.STORE_ID_PATTERN)),
+        ("purchase_id", _id("purchase_id", ids.purchase)),
+        ("customer_id", _id("customer_id", ids.customer)),
+        ("store_id", _id("store_id", ids.store)),
         ("total_amount", F.col("total_amount") >= 0),
         ("payment_method", F.col("payment_method").isin(*C.PAYMENT_METHODS)),
         ("purchase_dt", F.col("purchase_dt").isNotNull() & (F.col("purchase_dt") <= as_of)),
     ]
 
 
-def item_reasons(as_of: Column) -> list[tuple[str, Column]]:
+def item_reasons(as_of: Column, ids: C.IdPatterns = C.RETAIL_IDS) -> list[tuple[str, Column]]:
     return [
-        ("purchase_id", _id("purchase_id", C.PURCHASE_ID_PATTERN)),
-        ("customer_id", _id("customer_id", C.CUSTOMER_ID_PATTERN)),
-        ("store_id", _id("store_id", C.STORE_ID_PATTERN)),
-        ("product_id", _id("product_id", C.PRODUCT_ID_PATTERN)),
+        ("purchase_id", _id("purchase_id", ids.purchase)),
+        ("customer_id", _id("customer_id", ids.customer)),
+        ("store_id", _id("store_id", ids.store)),
+        ("product_id", _id("product_id", ids.product)),
         ("category", F.col("category") != ""),
         ("purchase_dt", F.col("purchase_dt").isNotNull() & (F.col("purchase_dt") <= as_of)),
         ("quantity", F.col("quantity") > 0),
@@ -81,19 +81,19 @@ def all_of(reasons: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def reasons_for(entity: str, as_of: Column) -> list[tuple[str, Column]]:
+def reasons_for(entity: str, as_of: Column, ids: C.IdPatterns = C.RETAIL_IDS) -> list[tuple[str, Column]]:
     if entity == "stores":
-        return store_reasons()
+        return store_reasons(ids)
     if entity == "products":
-        return product_reasons()
+        return product_reasons(ids)
     if entity == "customers":
-        return customer_reasons(as_of)
+        return customer_reasons(as_of, ids)
     if entity == "purchases":
-        return purchase_reasons(as_of)
+        return purchase_reasons(as_of, ids)
     if entity == "purchase_items":
-        return item_reasons(as_of)
+        return item_reasons(as_of, ids)
     raise ValueError(f"unknown entity {entity!r}")
 
 
-def is_valid(entity: str, as_of: Column) -> Column:
-    return all_of(reasons_for(entity, as_of))
+def is_valid(entity: str, as_of: Column, ids: C.IdPatterns = C.RETAIL_IDS) -> Column:
+    return all_of(reasons_for(entity, as_of, ids))

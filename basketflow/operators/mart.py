@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions import predicates as P
 from ..functions.jsonx import js_bool, js_double, js_str, materialize_row, with_doc
 from ..functions.norm import iso_date, iso_ts, norm
@@ -174,12 +175,12 @@ MART_COLUMNS = {
 }
 
 
-def mart(entity: str, fields: DataFrame, as_of) -> DataFrame:
+def mart(entity: str, fields: DataFrame, as_of, ids: C.IdPatterns = C.RETAIL_IDS) -> DataFrame:
     """Normalise + validate one entity.  ``as_of`` replaces the wall clock in
     the "not in the future" rules."""
     n = materialize_row(NORMALIZE[entity](fields))
     keep = MART_COLUMNS[entity] + _keep(n, "is_organic", "payload", "ingested_at")
-    return n.where(P.is_valid(entity, as_of_col(as_of))).select(*keep)
+    return n.where(P.is_valid(entity, as_of_col(as_of), ids)).select(*keep)
 
 
 def mart_stores(raw: DataFrame, as_of=None) -> DataFrame:
@@ -202,10 +203,10 @@ def mart_purchase_items(items_raw: DataFrame, as_of) -> DataFrame:
     return mart("purchase_items", items_raw, as_of)
 
 
-def dq_errors(entity: str, fields: DataFrame, as_of, key: str) -> DataFrame:
+def dq_errors(entity: str, fields: DataFrame, as_of, key: str, ids: C.IdPatterns = C.RETAIL_IDS) -> DataFrame:
     """Rejected rows with one named reason per failed rule (one row per reason)."""
     n = NORMALIZE[entity](fields)
-    reasons = P.reasons_for(entity, as_of_col(as_of))
+    reasons = P.reasons_for(entity, as_of_col(as_of), ids)
     failed = F.array_compact(F.array(*[
         F.when(~F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in reasons
     ]))

@@ -16,7 +16,9 @@ from .mart import as_of_col
 
 
 def _clamp(v: int, lo: int, hi: int) -> int:
-    return min(max(int(v), lo), hi)
+    if not lo <= int(v) <= hi:
+        raise ValueError(f"{v} is outside {lo} to {hi}")
+    return int(v)
 
 
 def _since(as_of, days: int):

@@ -43,13 +43,13 @@ def _dup_key(entity: str):
     return F.col(ID_COLUMN[entity])
 
 
-def quality(entity: str, fields: DataFrame, as_of, event_time=None) -> DataFrame:
+def quality(entity: str, fields: DataFrame, as_of, event_time=None, ids: C.IdPatterns = C.RETAIL_IDS) -> DataFrame:
     """``fields`` = the entity's raw fields (``operators.mart.*_fields`` or the
     lens); normalisation happens here, as in the original counters."""
     n = NORMALIZE[entity](fields)
     agg = n.agg(
         F.count(F.lit(1)).alias("total_rows_raw"),
-        F.count_if(P.is_valid(entity, as_of_col(as_of))).alias("inserted_rows_mart"),
+        F.count_if(P.is_valid(entity, as_of_col(as_of), ids)).alias("inserted_rows_mart"),
         F.count_distinct(_dup_key(entity)).alias("_distinct"),
     )
     t = as_of_col(event_time if event_time is not None else as_of)
@@ -66,11 +66,11 @@ def quality(entity: str, fields: DataFrame, as_of, event_time=None) -> DataFrame
     )
 
 
-def snapshot(fields_by_entity: dict[str, DataFrame], as_of, event_time=None) -> DataFrame:
+def snapshot(fields_by_entity: dict[str, DataFrame], as_of, event_time=None, ids: C.IdPatterns = C.RETAIL_IDS) -> DataFrame:
     """All entities at one time, as rows to append to the quality log."""
     out = None
     for entity, f in fields_by_entity.items():
-        q = quality(entity, f, as_of, event_time)
+        q = quality(entity, f, as_of, event_time, ids)
         out = q if out is None else out.unionByName(q)
     return out
 
@@ -98,8 +98,9 @@ def status(log: DataFrame, entity: str = "purchases", threshold: float = C.DUPLI
 
 def trend(log: DataFrame, entity: str = "purchases", runs: int = 10) -> DataFrame:
     """Last ``runs`` (1..50) ratios of one entity, oldest first, numbered."""
-    n = min(max(int(runs), 1), 50)
-    last = log.where(F.col("entity") == entity).orderBy(F.desc("event_time")).limit(n)
+    if not 1 <= int(runs) <= 50:
+        raise ValueError("runs must be 1 to 50")
+    last = log.where(F.col("entity") == entity).orderBy(F.desc("event_time")).limit(int(runs))
     w = Window.orderBy("event_time")  # ≤ 50 rows after the top-k
     return last.select(
         F.row_number().over(w).alias("run"),
@@ -107,11 +108,10 @@ def trend(log: DataFrame, entity: str = "purchases", runs: int = 10) -> DataFram
     )
 
 
-def latest_by_entity(log: DataFrame, scan_rows: int = C.QUALITY_SCAN_ROWS) -> DataFrame:
-    """Newest row per entity among the newest ``scan_rows`` log rows, in the
-    fixed entity order, entity name capitalised."""
-    recent = log.orderBy(F.desc("event_time"), "entity").limit(scan_rows)
-    per = recent.groupBy("entity").agg(
+def latest_by_entity(log: DataFrame) -> DataFrame:
+    """Newest row of every entity over the whole log, in the fixed entity
+    order, entity name capitalised."""
+    per = log.groupBy("entity").agg(
         F.max_by(
             F.struct("total_rows_raw", "inserted_rows_mart", "duplicates_rows", "invalid_rows", "duplicates_ratio"),
             "event_time",
@@ -142,7 +142,7 @@ def last_any(log: DataFrame) -> DataFrame:
     )
 
 
-def history(entity: str, fields: DataFrame) -> DataFrame:
+def history(entity: str, fields: DataFrame, ids: C.IdPatterns = C.RETAIL_IDS) -> DataFrame:
     """The quality log a daily snapshot job would have written: for every
     ingest day of the entity, the counters over all RAW rows ingested up to
     the end of that day (``event_time`` = next midnight).
@@ -158,7 +158,7 @@ def history(entity: str, fields: DataFrame) -> DataFrame:
     n = NORMALIZE[entity](fields)
     rows = n.select(
         F.to_date("ingested_at").alias("day"),
-        F.coalesce(P.is_valid(entity, F.col("ingested_at")), F.lit(False)).alias("_valid"),
+        F.coalesce(P.is_valid(entity, F.col("ingested_at"), ids), F.lit(False)).alias("_valid"),
         _dup_key(entity).alias("_key"),
     )
     # (id, day) counts with a map-side partial step; then per id its first day
@@ -190,10 +190,10 @@ def history(entity: str, fields: DataFrame) -> DataFrame:
     )
 
 
-def history_all(fields_by_entity: dict[str, DataFrame]) -> DataFrame:
+def history_all(fields_by_entity: dict[str, DataFrame], ids: C.IdPatterns = C.RETAIL_IDS) -> DataFrame:
     out = None
     for entity, f in fields_by_entity.items():
-        h = history(entity, f)
+        h = history(entity, f, ids)
         out = h if out is None else out.unionByName(h)
     return out
 

@@ -29,7 +29,7 @@ LENS = {
               ELSE sha256('lens:' || lower(c_name) || '@example.com') END AS email,
          sha256('lens:+7' || printf('%010d', c_custkey)) AS phone,
          CASE WHEN c_custkey % 53 = 0 THEN ''
-              ELSE strftime(DATE '1950-01-01' + CAST(c_custkey AS INTEGER), '%Y-%m-%d') END AS birth_date,
+              ELSE strftime(DATE '1950-01-01' + CAST(c_custkey % 15000 AS INTEGER), '%Y-%m-%d') END AS birth_date,
          CASE WHEN c_acctbal < 0 THEN ''
               ELSE strftime(TIMESTAMP '1990-01-01 00:00:00' + to_seconds(c_custkey * 3600), '%Y-%m-%dT%H:%M:%SZ') END
            AS registration_date,
@@ -76,17 +76,17 @@ def norm_ctes(as_of: str = AS_OF, src: str = "lens", sfx: str = "", a_expr: str
     methods = ", ".join(f"'{m}'" for m in C.PAYMENT_METHODS)
     return {
         f"norm_stores{sfx}": f"""
-  SELECT *, ({_id('store_id', C.STORE_ID_PATTERN)} AND store_network <> '' AND city <> '') AS is_valid FROM (
+  SELECT *, ({_id('store_id', C.DRIVER_IDS.store)} AND store_network <> '' AND city <> '') AS is_valid FROM (
     SELECT lower(trim(store_id)) AS store_id, lower(trim(store_network)) AS store_network,
            lower(trim(store_name)) AS store_name, lower(trim(city)) AS city, ingested_at
     FROM {src}_stores)""",
         f"norm_products{sfx}": f"""
-  SELECT *, ({_id('product_id', C.PRODUCT_ID_PATTERN)} AND price >= 0 AND unit <> '') AS is_valid FROM (
+  SELECT *, ({_id('product_id', C.DRIVER_IDS.product)} AND price >= 0 AND unit <> '') AS is_valid FROM (
     SELECT lower(trim(product_id)) AS product_id, lower(trim("group")) AS "group", lower(trim(name)) AS name,
            coalesce(CAST(price AS DOUBLE), 0.0) AS price, lower(trim(unit)) AS unit, is_organic, ingested_at
     FROM {src}_products)""",
         f"norm_customers{sfx}": f"""
-  SELECT *, ({_id('customer_id', C.CUSTOMER_ID_PATTERN)} AND {_id('store_id', C.STORE_ID_PATTERN)}
+  SELECT *, ({_id('customer_id', C.DRIVER_IDS.customer)} AND {_id('store_id', C.DRIVER_IDS.store)}
              AND {_hash_or_blank('email_enc')} AND {_hash_or_blank('phone_enc')}
              AND birth_date IS NOT NULL AND birth_date <= CAST({a} AS DATE)
              AND (registration_raw = '' OR registration_dt IS NOT NULL)) AS is_valid FROM (
@@ -98,8 +98,8 @@ def norm_ctes(as_of: str = AS_OF, src: str = "lens", sfx: str = "", a_expr: str
            {_ts('trim(registration_date)')} AS registration_dt, ingested_at
     FROM {src}_customers)""",
         f"norm_purchases{sfx}": f"""
-  SELECT *, ({_id('purchase_id', C.PURCHASE_ID_PATTERN)} AND {_id('customer_id', C.CUSTOMER_ID_PATTERN)}
-             AND {_id('store_id', C.STORE_ID_PATTERN)} AND total_amount >= 0
+  SELECT *, ({_id('purchase_id', C.DRIVER_IDS.purchase)} AND {_id('customer_id', C.DRIVER_IDS.customer)}
+             AND {_id('store_id', C.DRIVER_IDS.store)} AND total_amount >= 0
              AND payment_method IN ({methods}) AND purchase_dt IS NOT NULL AND purchase_dt <= {a}) AS is_valid FROM (
     SELECT lower(trim(purchase_id)) AS purchase_id, lower(trim(customer_id)) AS customer_id,
            lower(trim(store_id)) AS store_id, coalesce(CAST(total_amount AS DOUBLE), 0.0) AS total_amount,
@@ -107,8 +107,8 @@ def norm_ctes(as_of: str = AS_OF, src: str = "lens", sfx: str = "", a_expr: str
            {_ts('trim(purchase_datetime)')} AS purchase_dt, ingested_at
     FROM {src}_purchases)""",
         f"norm_items{sfx}": f"""
-  SELECT *, ({_id('purchase_id', C.PURCHASE_ID_PATTERN)} AND {_id('customer_id', C.CUSTOMER_ID_PATTERN)}
-             AND {_id('store_id', C.STORE_ID_PATTERN)} AND {_id('product_id', C.PRODUCT_ID_PATTERN)}
+  SELECT *, ({_id('purchase_id', C.DRIVER_IDS.purchase)} AND {_id('customer_id', C.DRIVER_IDS.customer)}
+             AND {_id('store_id', C.DRIVER_IDS.store)} AND {_id('product_id', C.DRIVER_IDS.product)}
              AND category <> '' AND purchase_dt IS NOT NULL AND purchase_dt <= {a}
              AND quantity > 0 AND price_per_unit >= 0 AND total_price >= 0) AS is_valid FROM (
     SELECT lower(trim(purchase_id)) AS purchase_id, lower(trim(customer_id)) AS customer_id,

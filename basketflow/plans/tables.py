@@ -30,7 +30,7 @@ def fields(spark: SparkSession, d: str, entity: str) -> DataFrame:
 
 def mart_table(spark: SparkSession, d: str, entity: str, as_of=AS_OF, final: bool = True) -> DataFrame:
     """Valid rows of one entity; ``final`` keeps the newest version per key."""
-    m = mart.mart(entity, fields(spark, d, entity), as_of)
+    m = mart.mart(entity, fields(spark, d, entity), as_of, C.DRIVER_IDS)
     return latest.latest_mart(entity, m) if final else m
 
 

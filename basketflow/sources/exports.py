@@ -120,7 +120,9 @@ def check_export(export: DataFrame, expected_columns: int = len(C.FEATURE_COLUMN
 def export_listing(exports: DataFrame, search: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
     """Exports filtered by a substring of the name or date, newest first,
     paged (limit 1..200)."""
-    n = min(max(int(limit), 1), 200)
+    if not 1 <= int(limit) <= 200:
+        raise ValueError("limit must be 1 to 200")
+    n = int(limit)
     e = exports
     if search:
         s = search.strip().lower()
@@ -130,10 +132,10 @@ def export_listing(exports: DataFrame, search: str = "", limit: int = 50, offset
 
 def audit(spark: SparkSession, path: str, error: str | None = None) -> DataFrame:
     """One audit row for an export run: key, bytes written (from the file
-    listing, contents not read), uploaded/failed, error text ≤ 500 chars."""
+    listing, contents not read), uploaded/failed, whole error text."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("length")
     a = files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("size_bytes"),
                   F.count(F.lit(1)).alias("files"))
     status = "failed" if error else "uploaded"
     return a.select(F.lit(path).alias("key"), "size_bytes", "files", F.lit(status).alias("status"),
-                    F.lit((error or "")[:500] or None).cast("string").alias("error_message"))
+                    F.lit(error or None).cast("string").alias("error_message"))

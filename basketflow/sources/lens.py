@@ -76,7 +76,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     phone = F.sha2(F.concat(F.lit("lens:+7"), zpad(k, 10)), 256)
     birth = F.when(k % 53 == 0, F.lit("")).otherwise(
-        F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), k.cast("int")), "yyyy-MM-dd")
+        F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), (k % 15000).cast("int")), "yyyy-MM-dd")
     )
     reg = F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(
         iso_text(_plus_seconds(F.lit("1990-01-01 00:00:00").cast("timestamp"), k * 3600))
