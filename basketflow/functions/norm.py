@@ -38,9 +38,10 @@ def iso_date(c: Column | str) -> Column:
 
 def iso_ts(c: Column | str) -> Column:
     """ISO-8601 timestamp text with or without zone → TIMESTAMP; blank or
-    unparseable → NULL."""
+    unparseable → NULL. A text without a whole date is unparseable: Spark
+    would read ``12:30`` as today and ``2025`` as its first day."""
     x = col(c)
-    return F.when(F.length(x) > 0, F.try_to_timestamp(x))
+    return F.when(F.trim(x).rlike(r"^\d{4}-\d{2}-\d{2}(?!\d)"), F.try_to_timestamp(x))
 
 
 def iso_text(ts: Column | str) -> Column:

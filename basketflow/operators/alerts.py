@@ -7,7 +7,6 @@ side effect outside this library: both produce the event rows only.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +26,7 @@ EVENT_SCHEMA = T.StructType([
 
 
 def _message(entity, ratio, threshold: float):
-    return F.format_string(
-        "Alert: duplicates ratio for '%s' is %.3f, threshold is %.3f.", entity, ratio, F.lit(float(threshold))
-    )
+    return F.format_string("%s: %.3f of the rows are duplicates (allowed: %.3f)", entity, ratio, F.lit(float(threshold)))
 
 
 def cooldown_minutes(minutes: int = C.ALERT_COOLDOWN_MINUTES) -> int:
@@ -64,25 +61,23 @@ def dispatch(latest: DataFrame, events: DataFrame, now, threshold: float = C.DUP
 
 def replay(log: DataFrame, threshold: float = C.DUPLICATES_BAD_THRESHOLD,
            cooldown: int = C.ALERT_COOLDOWN_MINUTES) -> DataFrame:
-    """Which snapshots would have fired: a snapshot fires when its ratio
-    exceeds ``threshold`` and no earlier *fired* snapshot of the same entity
-    lies within the cooldown.  The cooldown restarts at each fired event, so
-    the rule is sequential per entity: ``applyInPandas`` per entity over its
-    time-ordered snapshots (one group per entity; a group holds one row per
-    snapshot, so its size follows the snapshot schedule, not the data)."""
-    cd = pd.Timedelta(minutes=cooldown_minutes(cooldown))
-    thr = float(threshold)
-    out_schema = "entity string, event_time timestamp, duplicates_ratio double, fired int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_time", kind="mergesort")
-        last = None
-        fired = []
-        for t, r in zip(pdf["event_time"], pdf["duplicates_ratio"]):
-            f = 0
-            if r is not None and r > thr and (last is None or t - last > cd):
-                f, last = 1, t
-            fired.append(f)
-        return pdf.assign(fired=fired)[["entity", "event_time", "duplicates_ratio", "fired"]]
+    """Which snapshots would have fired: a snapshot fires when its ratio exceeds ``threshold`` and no
+    earlier *fired* snapshot of the same entity lies within the cooldown.
 
-    return log.select("entity", "event_time", "duplicates_ratio").groupBy("entity").applyInPandas(run, out_schema)
+    The rule is sequential, but not over an entity's whole log: after a gap without a high ratio longer
+    than the cooldown the next high one always fires. So high snapshots are cut into islands at such
+    gaps, and only inside an island is the cooldown followed, by a fold over its times. Snapshots of
+    one entity at the same time share the decision."""
+    wait = cooldown_minutes(cooldown) * 60_000_000
+    high = log.where(F.col("duplicates_ratio") > float(threshold)).select("entity", F.unix_micros("event_time").alias("at")).distinct()
+    in_time = Window.partitionBy("entity").orderBy("at")
+    gap = F.col("at") - F.lag("at").over(in_time)
+    high = high.withColumn("starts", F.coalesce(gap > wait, F.lit(True)).cast("long"))
+    islands = high.withColumn("island", F.sum("starts").over(in_time)).groupBy("entity", "island").agg(F.sort_array(F.collect_list("at")).alias("times"))
+    none = F.array().cast("array<bigint>")
+    fired = F.aggregate("times", none, lambda got, t: F.when((F.size(got) > 0) & (t - F.try_element_at(got, F.lit(-1)) <= wait), got).otherwise(F.concat(got, F.array(t))))
+    hits = islands.select(F.col("entity").alias("_entity"), F.explode(fired).alias("_at"))
+    rows = log.select("entity", "event_time", "duplicates_ratio")
+    joined = rows.join(hits, (F.col("entity") == F.col("_entity")) & (F.unix_micros("event_time") == F.col("_at")), "left")
+    is_high = F.coalesce(F.col("duplicates_ratio") > float(threshold), F.lit(False))
+    return joined.select("entity", "event_time", "duplicates_ratio", (F.col("_at").isNotNull() & is_high).cast("int").alias("fired"))

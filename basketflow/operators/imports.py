@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.norm import strip_ws
@@ -53,10 +54,10 @@ def validate(rows: DataFrame, entity: str) -> DataFrame:
             ok = ok | _present(row, name)
         errs.append(F.when(is_obj & ~ok, F.struct(
             F.lit(label).alias("field_name"), F.lit("required_field_missing").alias("error_code"),
-            F.lit(f"Required field is missing: {label}.").alias("message"))))
+            F.lit(f"{label} is required").alias("message"))))
     not_obj = F.when(~is_obj | row.isNull(), F.struct(
         F.lit("").alias("field_name"), F.lit("invalid_row_type").alias("error_code"),
-        F.lit("Each imported row must be a JSON object or CSV record.").alias("message")))
+        F.lit("a row is a JSON object or a CSV record").alias("message")))
     errors = F.when(~is_obj | row.isNull(), F.array(not_obj)).otherwise(F.array_compact(F.array(*errs))) \
         if errs else F.array_compact(F.array(not_obj))
     key = None
@@ -68,14 +69,11 @@ def validate(rows: DataFrame, entity: str) -> DataFrame:
                        (key if key is not None else F.lit(None).cast("string")).alias("business_key"))
 
 
-def row_errors(validated: DataFrame, batch_id: str, max_errors: int = C.IMPORT_MAX_STORED_ERRORS) -> DataFrame:
-    """One row per error, the ``max_errors`` lowest row numbers kept (top-k),
-    with the first 1000 characters of the row."""
+def row_errors(validated: DataFrame, batch_id: str) -> DataFrame:
+    """One row per error, with the whole row as JSON text."""
     e = validated.where(F.size("errors") > 0).select(
         F.lit(batch_id).alias("batch_id"), F.greatest(F.col("row_number"), F.lit(0)).alias("row_number"),
-        F.posexplode("errors").alias("_pos", "_e"),
-        F.substring(F.to_json("row"), 1, C.IMPORT_MAX_RAW_FRAGMENT).alias("raw_fragment"))
-    e = e.orderBy("row_number", "_pos").limit(max_errors) if max_errors else e
+        F.explode("errors").alias("_e"), F.to_json("row").alias("raw_fragment"))
     return e.select("batch_id", "row_number", F.col("_e.field_name").alias("field_name"),
                     F.col("_e.error_code").alias("error_code"), F.col("_e.message").alias("message"),
                     "raw_fragment")
@@ -97,8 +95,8 @@ def summary(validated: DataFrame, batch_id: str, entity: str, file_name: str = "
     total, valid = F.col("total_rows"), F.col("valid_rows")
     status = (F.when(total == 0, "failed").when(valid == 0, "failed")
               .when(total - valid > 0, "partial").otherwise("success"))
-    msg = (F.when(total == 0, "Uploaded file does not contain data rows.")
-           .when(valid == 0, "No valid rows matched the schema contract."))
+    msg = (F.when(total == 0, "the file has no data rows")
+           .when(valid == 0, "no row passed validation"))
     return a.select(F.lit(batch_id).alias("batch_id"), F.lit(entity).alias("entity_type"),
                     F.lit(file_name).alias("file_name"), F.lit(file_format).alias("file_format"),
                     status.alias("status"), total.cast("long").alias("total_rows"),
@@ -136,45 +134,53 @@ def run_batch(spark, path: str, batch_id: str, entity: str, file_name: str | Non
     return summary(v, batch_id, entity, name, fmt), row_errors(v, batch_id), staging(v, batch_id, entity)
 
 
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_batch(out_dir: str, summary_df: DataFrame, errors_df: DataFrame, staging_df: DataFrame,
                 replay: bool = False) -> None:
-    """Persist a batch; a replay *replaces* that batch's errors and staging
-    (dynamic partition overwrite on ``batch_id``), never other batches'."""
+    """Persist one attempt at a batch. Errors and staging are appended under the attempt's number, and
+    the batch row, written last, names the live attempt: a replay that finds nothing, or fails on the
+    way, leaves no old row live and hides none of the rows that still are."""
     spark = summary_df.sparkSession
-    for name, df in (("errors", errors_df), ("staging", staging_df)):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id") \
-            .parquet(f"{out_dir}/{name}")
-    s = summary_df.withColumn("replay_count", F.lit(1 if replay else 0))
+    batch = summary_df.first()  # one row
+    attempt = 0
     if replay:
-        try:
-            prev = spark.read.parquet(f"{out_dir}/batches").where(
-                F.col("batch_id").isin([r[0] for r in summary_df.select("batch_id").collect()]))
-            s = s.drop("replay_count").join(
-                prev.groupBy("batch_id").agg((F.max("replay_count") + 1).alias("replay_count")), "batch_id", "left"
-            ).withColumn("replay_count", F.coalesce("replay_count", F.lit(1)))
-            # the batch table is rewritten below: cut the lineage to it first
-            from ..session import checkpoint_dir
-
-            checkpoint_dir(spark)
-            s = s.checkpoint(eager=True)
-        except Exception:  # noqa: BLE001 - first run: no batch table yet
-            pass
-    s.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id") \
-        .parquet(f"{out_dir}/batches")
+        attempt = 1
+        if _exists(spark, f"{out_dir}/batches"):
+            last = spark.read.parquet(f"{out_dir}/batches").where(F.col("batch_id") == batch["batch_id"]).agg(F.max("replay_count")).first()[0]
+            attempt = (last or 0) + 1
+    for name, df in (("errors", errors_df), ("staging", staging_df)):
+        df.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("batch_id", "attempt").parquet(f"{out_dir}/{name}")
+    spark.createDataFrame([batch], summary_df.schema).withColumn("replay_count", F.lit(attempt)) \
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/batches")
+
+
+def live_rows(spark, out_dir: str, name: str, schema) -> DataFrame:
+    """The ``errors`` or ``staging`` rows of every batch's live attempt (``schema``: their columns)."""
+    batches = spark.read.parquet(f"{out_dir}/batches").select("batch_id", F.col("replay_count").alias("attempt"))
+    if not _exists(spark, f"{out_dir}/{name}"):
+        return spark.createDataFrame([], schema)
+    path = f"{out_dir}/{name}"
+    rows = spark.read.schema(T.StructType(schema.fields + [T.StructField("attempt", T.IntegerType())])).parquet(path)
+    return rows.join(batches, ["batch_id", "attempt"], "left_semi").select(*schema.names)
 
 
 def replay_allowed(status: str, file_exists: bool) -> None:
     """Refuse a replay while the batch is queued/running or its file is gone."""
     if status in ("queued", "running"):
-        raise ImportError_("IMPORT_BUSY", "Import batch is still being processed.")
+        raise ImportError_("IMPORT_BUSY", "this batch is still running")
     if not file_exists:
-        raise ImportError_("IMPORT_FILE_MISSING", "Uploaded file not found.")
+        raise ImportError_("IMPORT_FILE_MISSING", "the uploaded file is gone")
 
 
 from ..sources.imports import ImportError_  # noqa: E402  (re-export for callers)
 
 
 def page(df: DataFrame, limit: int, max_limit: int) -> DataFrame:
-    """Rows ordered by row number, ``limit`` clamped to 1..max_limit."""
-    n = min(max(int(limit), 1), max_limit)
-    return df.orderBy("row_number").limit(n)
+    """The first ``limit`` (1..max_limit) rows by row number."""
+    if not 1 <= int(limit) <= max_limit:
+        raise ValueError(f"limit must be 1 to {max_limit}")
+    return df.orderBy("row_number").limit(int(limit))

@@ -46,8 +46,11 @@ MART_KEYS = {
 }
 
 
-def latest_mart(entity: str, mart_df: DataFrame) -> DataFrame:
-    return latest_by_key(mart_df, MART_KEYS[entity])
+def latest_mart(entity: str, mart_df: DataFrame, with_payload: bool = False) -> DataFrame:
+    """Newest row per key. The message text takes no part in the order, and is neither compared nor
+    shuffled unless asked for."""
+    rows = mart_df if with_payload else mart_df.drop("payload")
+    return latest_by_key(rows, MART_KEYS[entity], tiebreak=[c for c in rows.columns if c not in (*MART_KEYS[entity], "ingested_at", "payload")])
 
 
 def compact(df: DataFrame, keys: Sequence[str], out_path: str, version: str = "ingested_at") -> str:

@@ -97,38 +97,41 @@ class UnknownFieldsError(ValueError):
     through the schema would drop them (or let PII pass unhashed)."""
 
 
-def _as_struct_ddl(variant_schema: str) -> str:
-    return variant_schema.replace("OBJECT<", "STRUCT<")
+#: what an unreadable or non-object document is reported as
+NOT_AN_OBJECT = "(not a JSON object)"
 
 
-def _paths(dt: T.DataType, prefix: str = "") -> set[str]:
-    out: set[str] = set()
+def _unknown(value: Column, dt: T.DataType, path: str) -> Column:
+    """Paths inside the variant ``value`` that ``dt`` does not know, as an array: judged row by row,
+    so that one document of another shape cannot hide what the others carry."""
+    none = F.array().cast("array<string>")
     if isinstance(dt, T.StructType):
-        for f in dt.fields:
-            p = f"{prefix}.{f.name}" if prefix else f.name
-            out.add(p)
-            out |= _paths(f.dataType, p)
-    elif isinstance(dt, T.ArrayType):
-        out |= _paths(dt.elementType, prefix + "[]")
-    elif isinstance(dt, T.MapType):
-        out.add(prefix + "{}")
-    return out
+        known = {f.name: f.dataType for f in dt.fields}
+        fields = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+        here = F.transform(F.filter(fields, lambda k: ~k.isin(*known)), lambda k: F.concat(F.lit(path + "." if path else ""), k))
+        below = [_unknown(F.try_variant_get(value, f"$['{n}']", "variant"), t, f"{path}.{n}" if path else n)
+                 for n, t in known.items() if isinstance(t, (T.StructType, T.ArrayType))]
+        return F.coalesce(F.concat(here, *below) if below else here, _scalar(value, path))
+    if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, (T.StructType, T.ArrayType)):
+        parts = F.try_variant_get(value, "$", "array<variant>")
+        inner = F.transform(parts, lambda v: _unknown(v, dt.elementType, path + "[]"))
+        return F.coalesce(F.flatten(inner), _scalar(value, path))
+    return none
+
+
+def _scalar(value: Column, path: str) -> Column:
+    """A value that is no object or array where one is declared: nothing if it is missing or null."""
+    return F.when(value.isNull() | (F.schema_of_variant(value) == "VOID"), F.array().cast("array<string>")).otherwise(F.array(F.lit(path or NOT_AN_OBJECT)))
 
 
 def unknown_fields(df: DataFrame, text_col: str, schema: T.StructType) -> list[str]:
-    """Field paths present in any document but absent from ``schema``.  One
-    aggregation (``schema_of_variant_agg``) merges the shapes of all
-    documents into a single type string; no document value reaches the
-    driver."""
-    merged = df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(text_col))).alias("s")).first()["s"]
-    if not merged or not merged.startswith("OBJECT"):
-        return []
-    seen = T.DataType.fromDDL(_as_struct_ddl(merged))
-    known = _paths(schema)
-    # a map in the declared schema accepts any key below it
-    maps = {p[:-2] for p in known if p.endswith("{}")}
-    return sorted(p for p in _paths(seen)
-                  if p not in known and not any(p == m or p.startswith(m + ".") for m in maps))
+    """Field paths present in any document but absent from ``schema``, and `NOT_AN_OBJECT` if any text
+    is no JSON object. One distributed pass; paths, never values, reach the driver."""
+    value = F.try_parse_json(F.col(text_col))
+    broken = F.array(F.lit(NOT_AN_OBJECT))
+    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    bad = F.when(F.col(text_col).isNull(), F.array().cast("array<string>")).when(is_object, _unknown(value, schema, "")).otherwise(broken)
+    return sorted(r["p"] for r in df.select(F.explode(bad).alias("p")).distinct().collect())
 
 
 def hash_json_documents(df: DataFrame, text_col: str, schema: T.StructType, salt: str,
@@ -140,7 +143,7 @@ def hash_json_documents(df: DataFrame, text_col: str, schema: T.StructType, salt
     beside the hashed one."""
     extra = unknown_fields(df, text_col, schema)
     if extra:
-        raise UnknownFieldsError(f"documents carry fields outside the declared schema: {', '.join(extra[:20])}")
+        raise UnknownFieldsError(f"documents carry fields outside the declared schema: {', '.join(extra)}")
     parsed = df.withColumn(text_col, F.from_json(F.col(text_col), schema))
     hashed = hash_document(parsed, text_col, salt, keys)
     return hashed.withColumn(text_col, F.to_json(F.col(text_col)))

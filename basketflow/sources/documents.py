@@ -61,40 +61,46 @@ def unwrap_envelope(messages: DataFrame, value_col: str = "value") -> DataFrame:
                            F.try_to_timestamp(e.getField("event_ts")).alias("ingested_at"))
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Keyed upsert with field-level ``$set`` semantics.
-
-    Every incoming document must carry the key (else error).  Top-level
-    fields present (non-null) in the incoming document overwrite, others keep
-    the stored value; unknown keys are inserted.  Several incoming documents
-    for one key: the last by ``order`` wins.  Returns (collection, counts)
-    with counts = processed / inserted / updated (updated = matched and
-    actually changed).  One full-outer join on the key (both sides shuffled
-    by key; AQE splits a skewed key's partition)."""
-    if incoming.where(F.col(key).isNull()).limit(1).count() > 0:
-        raise ValueError(f"Missing key field {key!r} in an incoming document")
-    fields = [c for c in existing.columns if c != key]
-    rest = [c for c in incoming.columns if c != key]
-    # one incoming document per key before the join (a key sent many times
-    # must not multiply rows): the last by ``order``, else the greatest in a
-    # fixed column order; ``_cnt`` keeps how many documents arrived
-    pick = F.max_by(F.struct(*rest), order) if order else F.max(F.struct(*rest))
-    inc = incoming.groupBy(key).agg(pick.alias("_r"), F.count(F.lit(1)).alias("_cnt")).select(key, "_r.*", "_cnt")
-    inc = inc.select(key, *[F.col(c).alias(f"_n_{c}") for c in fields if c in inc.columns], "_cnt",
-                     F.lit(True).alias("_in"))
-    old = existing.select(key, *fields, F.lit(True).alias("_old"))
-    j = old.join(inc, key, "full_outer")
-    merged = [F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c) if f"_n_{c}" in inc.columns else F.col(c)
-              for c in fields]
-    changed = F.lit(False)
+def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str | None = None,
+           carried: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Keyed upsert, field by field.
+
+    A field that an incoming document carries replaces the stored one, all others keep their value;
+    unknown keys and unknown fields are added. ``carried`` names a column with the array of fields a
+    document carries, so that a carried null replaces a value; without it, non-null fields are
+    carried. Of several documents for one key, each field comes from the last (by ``order``, else the
+    greatest value) that carries it. A document without the key fails the job.
+
+    Returns (collection, counts): counts = processed / inserted / updated (matched and changed). Both
+    sides meet in one full join on the key, after a partial aggregation of the incoming documents."""
+    control = {key, carried}
+    new = [c for c in incoming.columns if c not in control]
+    stored_fields = [c for c in existing.columns if c != key]
+    fields = stored_fields + [c for c in new if c not in stored_fields]
+    checked = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"an incoming document has no {key}"))).otherwise(F.col(key))
+    last = {}
+    for c in new:
+        has = F.array_contains(carried, c) if carried else F.col(c).isNotNull()
+        by = F.col(order) if order else F.col(c)
+        # nulls of max_by's ordering are skipped: only documents that carry the field compete
+        rank = F.when(has, F.struct(by.isNotNull().alias("known"), by.alias("by")))
+        last[c] = F.max_by(F.struct(F.col(c).alias("v")), rank)
+    inc = incoming.withColumn(key, checked).groupBy(key).agg(*[x.alias(f"_n_{c}") for c, x in last.items()], F.count(F.lit(1)).alias("_cnt"))
+    old = existing.withColumn("_old", F.lit(True))
+    both = old.join(inc, key, "full_outer")
+    merged, changed = [], F.lit(False)
     for c in fields:
-        if f"_n_{c}" in inc.columns:
-            changed = changed | (F.col(f"_n_{c}").isNotNull() & ~F.col(f"_n_{c}").eqNullSafe(F.col(c)))
-    out = j.select(key, *merged, F.col("_in"), F.col("_old"), F.col("_cnt"), changed.alias("_changed"))
+        was = F.col(c) if c in stored_fields else F.lit(None).cast(incoming.schema[c].dataType)
+        if c in new:
+            now = F.when(F.col(f"_n_{c}").isNotNull(), F.col(f"_n_{c}.v")).otherwise(was)
+            changed = changed | ~now.eqNullSafe(was)
+            was = now
+        merged.append(was.alias(c))
+    out = both.select(key, *merged, "_old", "_cnt", changed.alias("_changed"))
     counts = out.agg(
         F.coalesce(F.sum("_cnt"), F.lit(0)).alias("processed"),
-        F.count_if(F.col("_in") & F.col("_old").isNull()).alias("inserted"),
-        F.count_if(F.col("_in") & F.col("_old") & F.col("_changed")).alias("updated"),
+        F.count_if(F.col("_cnt").isNotNull() & F.col("_old").isNull()).alias("inserted"),
+        F.count_if(F.col("_cnt").isNotNull() & F.col("_old") & F.col("_changed")).alias("updated"),
     )
     return out.select(key, *fields), counts
 
