@@ -92,6 +92,13 @@ def q_feat_matrix(spark: SparkSession, d: str) -> DataFrame:
     return matrix(spark, d)
 
 
+@register("feat_matrix_early", O.with_features("SELECT * FROM f_matrix", PROFILE, C.EARLY_AS_OF))
+def q_feat_matrix_early(spark: SparkSession, d: str) -> DataFrame:
+    """The same matrix at a clock at which many customers have no purchase yet."""
+    c, p, pr, i = feature_inputs(spark, d, C.EARLY_AS_OF)
+    return features.feature_matrix(c, p, pr, i, C.EARLY_AS_OF, PROFILE)
+
+
 @register("feat_customers_base", O.with_features("SELECT customer_id FROM f_base", PROFILE))
 def q_feat_customers_base(spark: SparkSession, d: str) -> DataFrame:
     return features.customers_base(mart_table(spark, d, "customers"))
@@ -107,7 +114,7 @@ def _round_sql(cols):
     out = []
     for c in cols:
         if c.startswith(("avg_", "max_total")) or c.endswith("_share"):
-            out.append(f"round({c}, 4) AS {c}")
+            out.append(f"round({c}, 6) AS {c}")
         else:
             out.append(f"CAST({c} AS BIGINT) AS {c}")
     return ", ".join(out)
@@ -117,7 +124,7 @@ def _round_sql(cols):
 def q_feat_purchase_agg(spark: SparkSession, d: str) -> DataFrame:
     agg = features.purchase_agg(features.purchase_flags(mart_table(spark, d, "purchases"), AS_OF, PROFILE))
     return agg.select("customer_id", *[
-        (F.round(c, 4) if c.startswith(("avg_", "max_total")) or c.endswith("_share") else F.col(c).cast("long")).alias(c)
+        (F.round(c, 6) if c.startswith(("avg_", "max_total")) or c.endswith("_share") else F.col(c).cast("long")).alias(c)
         for c in _PAGG_COLS
     ])
 
@@ -269,7 +276,7 @@ def _mart_sql(entity: str, final: bool) -> str:
 
 
 def _mart_spark(spark, d, entity: str, final: bool) -> DataFrame:
-    m = mart.mart(entity, payload_fields(spark, d, entity), AS_OF)
+    m = mart.mart(entity, payload_fields(spark, d, entity), AS_OF, ids=C.DRIVER_IDS)
     if final:
         m = latest.latest_mart(entity, m)
     plain, times = _MART_OUT[entity]
@@ -339,7 +346,7 @@ FROM norm_{e}_m"""
 
 
 def _quality_spark(spark, d, entity: str) -> DataFrame:
-    q = quality.quality(entity, payload_fields(spark, d, entity), AS_OF)
+    q = quality.quality(entity, payload_fields(spark, d, entity), AS_OF, ids=C.DRIVER_IDS)
     return q.withColumn("event_time", ts_text("event_time"))
 
 
@@ -355,13 +362,13 @@ for _e in _Q_ENTITIES:
 @register("quality_snapshot", _sql([f"norm_{_NORM_NAME[e]}_m" for e in _Q_ENTITIES],
                                    "\nUNION ALL\n".join(f"SELECT * FROM ({_quality_sql(e)})" for e in _Q_ENTITIES)))
 def q_quality_snapshot(spark, d):
-    snap = quality.snapshot({e: payload_fields(spark, d, e) for e in _Q_ENTITIES}, AS_OF)
+    snap = quality.snapshot({e: payload_fields(spark, d, e) for e in _Q_ENTITIES}, AS_OF, ids=C.DRIVER_IDS)
     return snap.withColumn("event_time", ts_text("event_time"))
 
 
 def quality_log(spark, d) -> DataFrame:
     """The daily quality log replayed over the whole message history."""
-    return quality.history_all({e: payload_fields(spark, d, e) for e in _Q_ENTITIES})
+    return quality.history_all({e: payload_fields(spark, d, e) for e in _Q_ENTITIES}, C.DRIVER_IDS)
 
 
 def _log_sql(body: str) -> str:
@@ -406,7 +413,7 @@ _RANK = " ".join(f"WHEN '{e}' THEN {i + 1}" for i, e in enumerate(C.QUALITY_ENTI
 SELECT upper(substr(entity, 1, 1)) || lower(substr(entity, 2)) AS entity, total_rows_raw AS total_raw,
        inserted_rows_mart AS valid_mart, duplicates_rows AS duplicates, invalid_rows AS invalid,
        round(duplicates_ratio, 6) AS ratio
-FROM (SELECT * FROM (SELECT * FROM qlog ORDER BY event_time DESC, entity LIMIT {C.QUALITY_SCAN_ROWS})
+FROM (SELECT * FROM qlog
       QUALIFY row_number() OVER (PARTITION BY entity ORDER BY event_time DESC) = 1)
 WHERE entity IN ({', '.join(repr(e) for e in C.QUALITY_ENTITY_ORDER)})
 ORDER BY CASE entity {_RANK} END"""))
@@ -510,7 +517,7 @@ _FINAL_COUNT = [("customers_mart_final", ("count(*)", "mart_customers_m")),
 
 
 def _final(spark, d, entity):
-    return latest.latest_mart(entity, mart.mart(entity, payload_fields(spark, d, entity), AS_OF))
+    return latest.latest_mart(entity, mart.mart(entity, payload_fields(spark, d, entity), AS_OF, ids=C.DRIVER_IDS))
 
 
 @register("mart_final_counts", _sql([s for _, (_, s) in _FINAL_COUNT], _union_sql(_FINAL_COUNT)))
@@ -683,10 +690,9 @@ def q_import_validate_products(spark, d):
 
 @register("import_row_errors", f"""WITH v AS ({_CUS_SQL})
 SELECT '{_CUS_BATCH}' AS batch_id, row_number, 'customer_id' AS field_name, 'required_field_missing' AS error_code,
-       'Required field is missing: customer_id.' AS message
-FROM v WHERE error_codes <> '' ORDER BY row_number LIMIT {C.IMPORT_MAX_STORED_ERRORS}""")
+       'customer_id is required' AS message
+FROM v WHERE error_codes <> ''""")
 def q_import_row_errors(spark, d):
-    """At most 500 error rows are kept: the lowest row numbers (top-k)."""
     e = imports.row_errors(_validated_customers(spark, d), _CUS_BATCH)
     return e.drop("raw_fragment")
 
@@ -703,8 +709,8 @@ SELECT '{batch}' AS batch_id, '{entity}' AS entity_type, '' AS file_name, '' AS
        CASE WHEN t = 0 OR ok = 0 THEN 'failed' WHEN t - ok > 0 THEN 'partial' ELSE 'success' END AS status,
        CAST(t AS BIGINT) AS total_rows, CAST(ok AS BIGINT) AS valid_rows, CAST(t - ok AS BIGINT) AS invalid_rows,
        CAST(ok AS BIGINT) AS staged_rows,
-       CASE WHEN t = 0 THEN 'Uploaded file does not contain data rows.'
-            WHEN ok = 0 THEN 'No valid rows matched the schema contract.' END AS error_message
+       CASE WHEN t = 0 THEN 'the file has no data rows'
+            WHEN ok = 0 THEN 'no row passed validation' END AS error_message
 FROM a"""
 
 
@@ -720,7 +726,7 @@ def q_import_summary_products(spark, d):
 
 @register("import_errors_page", f"""WITH v AS ({_CUS_SQL})
 SELECT '{_CUS_BATCH}' AS batch_id, row_number, 'customer_id' AS field_name, 'required_field_missing' AS error_code,
-       'Required field is missing: customer_id.' AS message
+       'customer_id is required' AS message
 FROM v WHERE error_codes <> '' ORDER BY row_number LIMIT 50""")
 def q_import_errors_page(spark, d):
     e = imports.row_errors(_validated_customers(spark, d), _CUS_BATCH).drop("raw_fragment")
@@ -776,10 +782,10 @@ def q_check_features_export(spark, d):
 def _export_history(spark, d) -> str:
     """Three daily runs plus a mis-named folder, as a listing would find them."""
     base = scratch_path(spark, "exports")
-    m = matrix(spark, d)
+    m = lens.customers(spark, d).select("customer_id")
     for delta in (2, 1, 0):
         exports.write_csv(m, base, RUN_DATE - _dt.timedelta(days=delta))
-    m.limit(1).write.mode("overwrite").option("header", "true").csv(f"{base}/analytic_result_1995_02_30.csv")
+    m.write.mode("overwrite").option("header", "true").csv(f"{base}/analytic_result_1995_02_30.csv")
     return base
 
 
@@ -792,13 +798,14 @@ def q_src_latest_export(spark, d):
 
 @register("export_listing", f"""
 SELECT filename, file_date FROM (VALUES
+  ('analytic_result_{RUN_DATE:%Y_%m_%d}.csv', DATE '{RUN_DATE}'),
   ('analytic_result_{RUN_DATE - _dt.timedelta(days=1):%Y_%m_%d}.csv', DATE '{RUN_DATE - _dt.timedelta(days=1)}'),
   ('analytic_result_{RUN_DATE - _dt.timedelta(days=2):%Y_%m_%d}.csv', DATE '{RUN_DATE - _dt.timedelta(days=2)}'))
   AS t(filename, file_date)""")
 def q_export_listing(spark, d):
-    """Exports whose name or date contains ``1995-12``, newest first."""
+    """Exports whose name or date contains the run's month, newest first."""
     ex = exports.list_exports(spark, _export_history(spark, d))
-    return exports.export_listing(ex, "1995-12", limit=50).select("filename", "file_date")
+    return exports.export_listing(ex, f"{RUN_DATE:%Y-%m}", limit=50).select("filename", "file_date")
 
 
 # ----- streaming ---------------------------------------------------------------------
@@ -814,29 +821,51 @@ def _stamped_topic(spark, d, entity: str) -> str:
     return path
 
 
-@register("stream_ingest_raw", _sql(["msg_purchases"], _RAW_SQL["raw_purchases"]))
-def q_stream_ingest_raw(spark, d):
-    """Continuous consume of the purchases topic into RAW (availableNow run,
-    checkpointed), read back."""
-    topic = _stamped_topic(spark, d, "purchases")
-    out, ck = scratch_path(spark, "raw-purchases"), scratch_path(spark, "ck-raw-purchases")
-    ingest.run_available(ingest.write_parquet(ingest.to_raw(ingest.read_stamped(spark, topic), "purchases"), out, ck))
-    return spark.read.parquet(out).select("purchase_id", "customer_id", "store_id", "total_amount",
-                                          _tss("purchase_datetime"), _tss("ingested_at"))
+_RAW_OUT = {
+    "stores": (["store_id", "store_network"], ["ingested_at"]),
+    "products": (["product_id", "group"], ["ingested_at"]),
+    "customers": (["customer_id", "store_id", "email_enc", "phone_enc"], ["ingested_at"]),
+    "purchases": (["purchase_id", "customer_id", "store_id", "total_amount"], ["purchase_datetime", "ingested_at"]),
+    "purchase_items": (["purchase_id", "customer_id", "store_id", "product_id", "category", "quantity", "price_per_unit",
+                        "total_price"], ["purchase_dt", "ingested_at"]),
+}
+
+
+def _streamed(stream: DataFrame, name: str) -> str:
+    """Drains a stream into a fresh table (checkpointed, one availableNow run)."""
+    out = scratch_path(stream.sparkSession, name)
+    ingest.run_available(ingest.write_parquet(stream, out, scratch_path(stream.sparkSession, f"ck-{name}")))
+    return out
 
 
-@register("mart_from_raw_stream", _sql(["norm_purchases_h"], """
-SELECT purchase_id, customer_id, store_id, total_amount, payment_method, is_delivery,
-       strftime(purchase_dt, '%Y-%m-%d %H:%M:%S') AS purchase_dt, strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS ingested_at
-FROM norm_purchases_h WHERE is_valid"""))
-def q_mart_from_raw_stream(spark, d):
-    """RAW stream → MART stream, validity judged at each row's arrival."""
-    topic = _stamped_topic(spark, d, "purchases")
-    out, ck = scratch_path(spark, "mart-purchases"), scratch_path(spark, "ck-mart-purchases")
-    m = ingest.to_mart(ingest.read_stamped(spark, topic), "purchases")
-    ingest.run_available(ingest.write_parquet(m, out, ck))
-    return spark.read.parquet(out).select("purchase_id", "customer_id", "store_id", "total_amount", "payment_method",
-                                          "is_delivery", _tss("purchase_dt"), _tss("ingested_at"))
+def _raw_stream(spark, d, entity: str) -> str:
+    """Topic → RAW table; the lines of purchases come from the RAW purchases table, itself a stream."""
+    if entity == "purchase_items":
+        purchases = ingest.read_table(spark, _raw_stream(spark, d, "purchases"))
+        return _streamed(ingest.to_raw(purchases.select("payload", "ingested_at"), entity), "raw-purchase_items")
+    return _streamed(ingest.to_raw(ingest.read_stamped(spark, _stamped_topic(spark, d, entity)), entity), f"raw-{entity}")
+
+
+def _reg_streams(entity: str, suffix: str) -> None:
+    def raw_query(spark, d):
+        plain, times = _RAW_OUT[entity]
+        return spark.read.parquet(_raw_stream(spark, d, entity)).select(*plain, *[_tss(t) for t in times])
+
+    def mart_query(spark, d):
+        m = ingest.to_mart(ingest.read_table(spark, _raw_stream(spark, d, entity)), entity, ids=C.DRIVER_IDS)
+        plain, times = _MART_OUT[entity]
+        return spark.read.parquet(_streamed(m, f"mart-{entity}")).select(*[c.strip('"') for c in plain], *[_tss(t) for t in times], _tss("ingested_at"))
+
+    raw_query.__doc__ = f"Continuous consume of the {entity} topic into RAW, read back."
+    mart_query.__doc__ = f"RAW {entity} as a stream into the MART, validity judged at each row's arrival."
+    msg, norm = ("msg_items", "norm_items_h") if entity == "purchase_items" else (f"msg_{entity}", f"norm_{entity}_h")
+    plain, times = _MART_OUT[entity]
+    register(f"stream_ingest_raw{suffix}", _sql([msg], _RAW_SQL[f"raw_{entity}"]))(raw_query)
+    register(f"mart_from_raw_stream{suffix}", _sql([norm], f"SELECT {', '.join(plain + [_tsq(t) for t in times] + [_tsq('ingested_at')])} FROM {norm} WHERE is_valid"))(mart_query)
+
+
+for _e in _RAW_OUT:
+    _reg_streams(_e, "" if _e == "purchases" else f"_{_e}")
 
 
 # ----- document sources and sinks ------------------------------------------------------
@@ -858,39 +887,44 @@ def q_src_json_documents(spark, d):
 
 
 def _upsert_inputs(spark, d):
+    """Stored: the products whose key is no multiple of 3. Incoming, for all others and every even
+    key: one document with a higher price, and a second one with a new field and no price."""
     p = lens.products(spark, d).select(F.col("product_id").alias("id"), "name", "group", "price", "unit")
     k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
     existing = p.where(k % 3 != 0)
-    incoming = p.where(k % 2 == 0).select(
-        "id", F.lit(None).cast("string").alias("name"), "group", (F.col("price") + 1.0).alias("price"), "unit")
-    return existing, incoming
+    sent = p.where((k % 3 == 0) | (k % 2 == 0))
+    first = sent.select("id", "group", (F.col("price") + 1.0).alias("price"), F.lit(None).cast("string").alias("shelf"), F.lit(1).alias("at"))
+    second = sent.select("id", F.lit(None).cast("string").alias("group"), F.lit(None).cast("double").alias("price"), F.concat(F.lit("shelf-"), k % 7).alias("shelf"), F.lit(2).alias("at"))
+    return existing, first.unionByName(second)
+
+
+def _upserted(spark, d):
+    existing, incoming = _upsert_inputs(spark, d)
+    merged, counts = documents.upsert(existing, incoming, "id", order="at")
+    return merged.drop("at"), counts
 
 
 _UPSERT_SQL = """
 , e AS (SELECT product_id AS id, name, "group", price, unit FROM lens_products WHERE _k % 3 <> 0),
-i AS (SELECT product_id AS id, "group", price + 1.0 AS price, unit FROM lens_products WHERE _k % 2 = 0)"""
+i AS (SELECT product_id AS id, "group", price + 1.0 AS price, 'shelf-' || (_k % 7) AS shelf FROM lens_products WHERE _k % 3 = 0 OR _k % 2 = 0)"""
 
 
 @register("src_upsert_documents", O.with_ctes(["lens_products"], "").rstrip() + _UPSERT_SQL + """
 SELECT coalesce(e.id, i.id) AS id, e.name AS name, coalesce(i."group", e."group") AS "group",
-       coalesce(i.price, e.price) AS price, coalesce(i.unit, e.unit) AS unit
+       coalesce(i.price, e.price) AS price, e.unit AS unit, i.shelf AS shelf
 FROM e FULL OUTER JOIN i ON e.id = i.id""")
 def q_src_upsert_documents(spark, d):
-    """Field-level merge: incoming documents without ``name`` keep the stored
-    name; new ids are inserted."""
-    existing, incoming = _upsert_inputs(spark, d)
-    merged, _ = documents.upsert(existing, incoming, "id")
-    return merged
+    """Field-level merge: documents keep what they don't carry, new fields and new ids are added."""
+    return _upserted(spark, d)[0]
 
 
 @register("src_upsert_counts", O.with_ctes(["lens_products"], "").rstrip() + _UPSERT_SQL + """
-SELECT CAST(count(i.id) AS BIGINT) AS processed,
+SELECT CAST(2 * count(i.id) AS BIGINT) AS processed,
        CAST(count_if(i.id IS NOT NULL AND e.id IS NULL) AS BIGINT) AS inserted,
        CAST(count_if(i.id IS NOT NULL AND e.id IS NOT NULL) AS BIGINT) AS updated
 FROM e FULL OUTER JOIN i ON e.id = i.id""")
 def q_src_upsert_counts(spark, d):
-    existing, incoming = _upsert_inputs(spark, d)
-    return documents.upsert(existing, incoming, "id")[1]
+    return _upserted(spark, d)[1]
 
 
 @register("src_replace_documents", O.with_ctes(["lens_stores"], """
@@ -983,7 +1017,7 @@ def q_check_mart_counts(spark, d):
 SELECT 'invalid_rows_non_negative' AS "check", '0 violations' AS expected, CAST(0 AS BIGINT) AS actual, true AS ok
 UNION ALL SELECT 'ratio_in_unit_interval', '0 violations', CAST(0 AS BIGINT), true""")
 def q_check_quality_bounds(spark, d):
-    return checks.quality_bounds(quality.snapshot({e: payload_fields(spark, d, e) for e in _Q_ENTITIES}, AS_OF))
+    return checks.quality_bounds(quality.snapshot({e: payload_fields(spark, d, e) for e in _Q_ENTITIES}, AS_OF, ids=C.DRIVER_IDS))
 
 
 @register("check_pii_hash", """
@@ -1060,7 +1094,7 @@ def q_export_audit(spark, d):
 def q_compact_latest(spark, d):
     """Background merge as a batch rewrite: newest version per key written to
     a fresh dataset (the old one is left for readers until the swap)."""
-    m = mart.mart("purchases", payload_fields(spark, d, "purchases"), AS_OF)
+    m = mart.mart("purchases", payload_fields(spark, d, "purchases"), AS_OF, ids=C.DRIVER_IDS)
     path = latest.compact(m, ["purchase_id"], scratch_path(spark, "compact-purchases"))
     plain, times = _MART_OUT["purchases"]
     return spark.read.parquet(path).select(*plain, *[_tss(t) for t in times], _tss("ingested_at"))
@@ -1086,12 +1120,12 @@ def q_feat_registry(spark, d):
 
 
 _DQ_REASONS = [
-    ("purchase_id", f"NOT (purchase_id <> '' AND regexp_matches(purchase_id, '{C.PURCHASE_ID_PATTERN}'))"),
-    ("customer_id", f"NOT (customer_id <> '' AND regexp_matches(customer_id, '{C.CUSTOMER_ID_PATTERN}'))"),
-    ("store_id", f"NOT (store_id <> '' AND regexp_matches(store_id, '{C.STORE_ID_PATTERN}'))"),
+    ("purchase_id", f"NOT (purchase_id <> '' AND regexp_matches(purchase_id, '{C.DRIVER_IDS.purchase}'))"),
+    ("customer_id", f"NOT (customer_id <> '' AND regexp_matches(customer_id, '{C.DRIVER_IDS.customer}'))"),
+    ("store_id", f"NOT (store_id <> '' AND regexp_matches(store_id, '{C.DRIVER_IDS.store}'))"),
     ("total_amount", "NOT (total_amount >= 0)"),
     ("payment_method", "NOT (payment_method IN (" + ", ".join(f"'{m}'" for m in C.PAYMENT_METHODS) + "))"),
-    ("purchase_dt", f"NOT coalesce(purchase_dt IS NOT NULL AND purchase_dt <= TIMESTAMP '{AS_OF}', false)"),
+    ("purchase_dt", f"NOT coalesce(purchase_dt IS NOT NULL AND purchase_dt <= TIMESTAMP '{C.EARLY_AS_OF}', false)"),
 ]
 
 
@@ -1099,8 +1133,8 @@ _DQ_REASONS = [
     f"SELECT purchase_id AS business_key, '{n}' AS reason, strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS ingested_at "
     f"FROM norm_purchases_m WHERE {cond}" for n, cond in _DQ_REASONS)))
 def q_dq_errors(spark, d):
-    """Rejected purchase messages, one row per failed rule."""
-    e = mart.dq_errors("purchases", payload_fields(spark, d, "purchases"), AS_OF, "purchase_id")
+    """Purchase messages rejected at the early clock, one row per failed rule."""
+    e = mart.dq_errors("purchases", payload_fields(spark, d, "purchases"), C.EARLY_AS_OF, "purchase_id", C.DRIVER_IDS)
     return e.select("business_key", "reason", _tss("ingested_at"))
 
 
@@ -1109,13 +1143,14 @@ def q_dq_errors(spark, d):
 from ..sources import imports as import_src  # noqa: E402
 
 
-def _customer_csv(spark, d) -> str:
-    """The customer table exported as CSV files with a header (blank ids on
-    every 11th key), as an uploaded import would arrive."""
+def _customer_csv(spark, d, bad: int | None = 11) -> str:
+    """The customer table exported as CSV files with a header, as an uploaded
+    import would arrive; ids are blank on every ``bad``-th key."""
     path = scratch_path(spark, "upload-customers.csv")
     c = lens.read(spark, d, "customer")
     k = F.col("c_custkey")
-    c.select(F.when(k % 11 == 0, F.lit("  ")).otherwise(lens.key_id("cus-", k, 6)).alias("customer_id"),
+    blank = k % bad == 0 if bad else F.lit(False)
+    c.select(F.when(blank, F.lit("  ")).otherwise(lens.key_id("cus-", k, 6)).alias("customer_id"),
              "c_name", "c_mktsegment", "c_acctbal") \
         .write.mode("overwrite").option("header", "true").csv(path)
     return path
@@ -1146,23 +1181,25 @@ def q_src_import_json(spark, d):
 
 @register("import_replay", f"""
 SELECT 'driver-upload' AS batch_id,
-       CASE WHEN count(*) = 0 OR count_if(c_custkey % 11 <> 0) = 0 THEN 'failed'
-            WHEN count_if(c_custkey % 11 = 0) > 0 THEN 'partial' ELSE 'success' END AS status,
-       CAST(count(*) AS BIGINT) AS total_rows, CAST(count_if(c_custkey % 11 <> 0) AS BIGINT) AS valid_rows,
-       1 AS replay_count, CAST(least(count_if(c_custkey % 11 = 0), {C.IMPORT_MAX_STORED_ERRORS}) AS BIGINT) AS error_rows,
-       CAST(count_if(c_custkey % 11 <> 0) AS BIGINT) AS staging_rows
+       CASE WHEN count(*) = 0 OR count_if(c_custkey % 22 <> 0) = 0 THEN 'failed'
+            WHEN count_if(c_custkey % 22 = 0) > 0 THEN 'partial' ELSE 'success' END AS status,
+       CAST(count(*) AS BIGINT) AS total_rows, CAST(count_if(c_custkey % 22 <> 0) AS BIGINT) AS valid_rows,
+       1 AS replay_count, CAST(nullif(count_if(c_custkey % 22 = 0), 0) AS BIGINT) AS error_rows,
+       CAST(count_if(c_custkey % 22 <> 0) AS BIGINT) AS staging_rows
+FROM customer
+UNION ALL
+SELECT 'repaired-upload', 'success', CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT), 1, NULL, CAST(count(*) AS BIGINT)
 FROM customer""")
 def q_import_replay(spark, d):
-    """An import written, then replayed: the batch's errors and staging are
-    replaced (not appended) and its replay count goes up by one."""
+    """Two uploads imported and, after a correction, replayed: of one, half of the bad rows are mended,
+    of the other all. Only the replay's errors and staging are live."""
     out = scratch_path(spark, "imports")
-    path = _customer_csv(spark, d)
-    s, e, st = imports.run_batch(spark, path, "driver-upload", "customers", "customers.csv")
-    imports.write_batch(out, s, e, st)
-    s, e, st = imports.run_batch(spark, path, "driver-upload", "customers", "customers.csv")
-    imports.write_batch(out, s, e, st, replay=True)
-    errors = spark.read.parquet(f"{out}/errors").groupBy("batch_id").agg(F.count(F.lit(1)).alias("error_rows"))
-    staged = spark.read.parquet(f"{out}/staging").groupBy("batch_id").agg(F.count(F.lit(1)).alias("staging_rows"))
+    for batch, bad_after in (("driver-upload", 22), ("repaired-upload", None)):
+        for replay, bad in ((False, 11), (True, bad_after)):
+            s, e, st = imports.run_batch(spark, _customer_csv(spark, d, bad), batch, "customers", "customers.csv")
+            imports.write_batch(out, s, e, st, replay=replay)
+    count = lambda name, df: imports.live_rows(spark, out, name, df.schema).groupBy("batch_id").agg(F.count(F.lit(1)).alias(f"{name[:7].rstrip('s')}_rows"))
+    errors, staged = count("errors", e), count("staging", st)
     b = spark.read.parquet(f"{out}/batches").select("batch_id", "status", "total_rows", "valid_rows", "replay_count")
     return b.join(errors, "batch_id", "left").join(staged, "batch_id", "left")
 

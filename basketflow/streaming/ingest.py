@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import config as C
 from ..operators import mart, raw
 
 MESSAGE_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
@@ -44,19 +45,24 @@ def read_stamped(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A written table as a stream of its files."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
 def to_raw(messages: DataFrame, entity: str) -> DataFrame:
     if entity == "purchase_items":
         return raw.raw_purchase_items(raw.raw_purchases(messages, keep_doc=True))
     return raw.RAW[entity](messages)
 
 
-def to_mart(raw_stream: DataFrame, entity: str, as_of=None) -> DataFrame:
+def to_mart(raw_stream: DataFrame, entity: str, as_of=None, ids: C.IdPatterns = C.RETAIL_IDS) -> DataFrame:
     """RAW rows → valid MART rows.  ``as_of=None`` judges "not in the future"
     against each row's arrival time, as an insert-time view does."""
     when = F.col("ingested_at") if as_of is None else as_of
     if entity == "purchase_items":
-        return mart.mart("purchase_items", raw_stream, when)
-    return mart.mart(entity, mart.FIELDS[entity](raw_stream), when)
+        return mart.mart("purchase_items", raw_stream, when, ids)
+    return mart.mart(entity, mart.FIELDS[entity](raw_stream), when, ids)
 
 
 def write_parquet(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, name: str | None = None):
