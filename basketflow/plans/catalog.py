@@ -979,7 +979,7 @@ def q_src_table_scan(spark, d):
 
 # ----- contract checks, generator ----------------------------------------------------
 
-from ..operators import checks, generate  # noqa: E402
+from ..operators import checks  # noqa: E402
 
 
 @register("check_raw_counts", O.with_ctes(["msg_stores", "msg_products", "msg_purchases", "msg_customers"], """
@@ -1029,27 +1029,6 @@ def q_check_pii_hash(spark, d):
     return checks.pii_hash(lens.customer_contacts(spark, d), SALT)
 
 
-def _generated(spark, d):
-    keys = lens.read(spark, d, "orders").select((F.col("o_orderkey") + 1).alias("k"))
-    return (generate.stores(spark), generate.products(spark), generate.customers(spark),
-            generate.purchases(keys, "k"))
-
-
-@register("gen_documents", None)
-def q_gen_documents(spark, d):
-    """One generated purchase document per driver order (seeded picks)."""
-    p = _generated(spark, d)[3]
-    return p.select("purchase_id", F.col("customer.customer_id").alias("customer_id"),
-                    F.col("store.store_id").alias("store_id"), F.size("items").alias("n_items"), "total_amount",
-                    "payment_method", "is_delivery", "purchase_datetime")
-
-
-@register("check_generated", """
-SELECT 'stores' AS "check", true AS ok UNION ALL SELECT 'products', true
-UNION ALL SELECT 'products_per_category', true UNION ALL SELECT 'customers', true
-UNION ALL SELECT 'purchases', (SELECT count(*) >= 200 FROM orders)""")
-def q_check_generated(spark, d):
-    return generate.self_check(*_generated(spark, d)).select("check", "ok")
 
 
 # ----- run log, audit, compaction, registry, dq errors -----------------------------------
@@ -1082,12 +1061,14 @@ def q_job_run_recent(spark, d):
                     .alias("created_at"))
 
 
-@register("export_audit", None)
+@register("export_audit", O.with_features(f"""
+SELECT 'analytic_result_{RUN_DATE:%Y_%m_%d}.csv' AS filename, 'uploaded' AS status, count(*) * 70 > 1024 AS above_1024,
+       CAST(NULL AS VARCHAR) AS error_message FROM f_matrix""", PROFILE))
 def q_export_audit(spark, d):
-    """One audit row for an export run: key, bytes written, status."""
-    base = scratch_path(spark, "exports")
-    path = exports.write_csv(matrix(spark, d), base, RUN_DATE)
-    return exports.audit(spark, path)
+    """The audit row of an export run: a row of the file takes 70 bytes and more."""
+    path = exports.write_csv(matrix(spark, d), scratch_path(spark, "exports"), RUN_DATE)
+    return exports.audit(spark, path).select(F.regexp_extract("key", "([^/]+)$", 1).alias("filename"), "status",
+                                             (F.col("size_bytes") > 1024).alias("above_1024"), "error_message")
 
 
 @register("compact_latest", _mart_sql("purchases", True))
@@ -1165,18 +1146,30 @@ def _order_jsonl(spark, d) -> str:
     return path
 
 
-@register("src_import_csv", None)
+def _numbered(rows: DataFrame, key: str, first: int) -> DataFrame:
+    """Each row's key, and whether its number is its place among its file's keys (the files are
+    written in key order)."""
+    k = F.try_variant_get("row", f"$.{key}", "string").cast("long")
+    place = F.row_number().over(Window.partitionBy("_file").orderBy(k))
+    return rows.select(k.alias("key"), (F.col("row_number") == place + (first - 1)).alias("in_place"))
+
+
+@register("src_import_csv", "SELECT c_custkey AS key, true AS in_place FROM customer")
 def q_src_import_csv(spark, d):
-    """Uploaded CSV → (file, row_number from 2, row) in file order."""
-    rows = import_src.read_csv(spark, _customer_csv(spark, d))
-    return rows.select("row_number", F.try_variant_get("row", "$.customer_id", "string").alias("customer_id"))
+    """Uploaded CSV files: every row once, numbered from 2 in file order."""
+    path = scratch_path(spark, "upload-keys.csv")
+    lens.read(spark, d, "customer").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey") \
+        .write.mode("overwrite").option("header", "true").csv(path)
+    return _numbered(import_src.read_csv(spark, path), "c_custkey", 2)
 
 
-@register("src_import_json", None)
+@register("src_import_json", "SELECT o_orderkey AS key, true AS in_place FROM orders")
 def q_src_import_json(spark, d):
-    """Uploaded JSON Lines → (row_number, row) by physical line."""
-    rows = import_src.read_json(spark, _order_jsonl(spark, d))
-    return rows.select("row_number", F.try_variant_get("row", "$.purchase_id", "string").alias("purchase_id"))
+    """Uploaded JSON Lines: every line once, numbered from 1 in file order."""
+    path = scratch_path(spark, "upload-keys.jsonl")
+    lens.read(spark, d, "orders").select("o_orderkey", "o_totalprice").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey") \
+        .write.mode("overwrite").json(path)
+    return _numbered(import_src.read_json(spark, path), "o_orderkey", 1)
 
 
 @register("import_replay", f"""
@@ -1204,16 +1197,19 @@ def q_import_replay(spark, d):
     return b.join(errors, "batch_id", "left").join(staged, "batch_id", "left")
 
 
-@register("import_detect_format", None)
+@register("import_detect_format", """
+SELECT 'csv' AS file_format, CAST(NULL AS VARCHAR) AS error_code FROM customer GROUP BY ALL
+UNION ALL SELECT 'json', NULL FROM orders GROUP BY ALL
+UNION ALL SELECT NULL, 'import_unsupported_file' FROM part GROUP BY ALL""")
 def q_import_detect_format(spark, d):
-    """Format of each file in an upload folder: the customer export as CSV,
-    orders as JSON Lines, and part files with an unsupported extension."""
+    """Formats met in an upload folder: customers as CSV, orders as JSON Lines, and part files with an
+    extension that is not accepted."""
     folder = scratch_path(spark, "uploads")
     lens.read(spark, d, "customer").write.mode("overwrite").option("header", "true").csv(f"{folder}/customers")
-    lens.read(spark, d, "orders").select(F.to_json(F.struct("o_orderkey")).alias("v")) \
-        .write.mode("overwrite").text(f"{folder}/orders")
+    lens.read(spark, d, "orders").select("o_orderkey").write.mode("overwrite").json(f"{folder}/orders")
     lens.read(spark, d, "part").write.mode("overwrite").parquet(f"{folder}/parts")
-    return import_src.detect_formats(spark, folder).where(~F.col("file_name").startswith("_"))
+    found = import_src.detect_formats(spark, folder).where(~F.col("file_name").startswith("_"))
+    return found.select("file_format", "error_code").distinct()
 
 
 from ..streaming import alerts as stream_alerts  # noqa: E402

@@ -52,34 +52,41 @@ def with_row_index(df: DataFrame, name: str = "_idx") -> DataFrame:
     stats = base.groupBy("_file", "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_rip").alias("_first"))
     w = Window.partitionBy("_file").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.select("_file", "_pid", "_first", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    # one row per file split: bounded by the number of input splits
-    j = base.join(F.broadcast(offsets), ["_file", "_pid"])
+    # one row per file split; AQE broadcasts it after measuring its size
+    j = base.join(offsets, ["_file", "_pid"])
     return j.select(*df.columns, "_file", (F.col("_off") + F.col("_rip") - F.col("_first")).alias(name))
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """(file, row_number, row: map<string,string>) — every header column kept
-    as text, as ``csv.DictReader`` does.
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether any quoted field runs over a line end: its line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
 
-    ``multiline=True`` accepts quoted fields spanning lines, which Spark can
-    only read one file per task; uploads known to hold one record per line
-    can pass ``multiline=False`` to split a large file across tasks (the row
-    numbering is split-aware either way)."""
+
+def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+    """(file, row_number, row: map<string,string>): every column of the header as text; of columns
+    with the same name the last one counts.
+
+    Files with one record per line are split across tasks. Quoted fields that span lines, which Spark
+    can only read one file per task, are looked for first unless ``multiline`` says. Files of one folder
+    must share their header."""
+    if multiline is None:
+        multiline = _spans_lines(spark, path)
     ml = "true" if multiline else "false"
-    header_df = spark.read.option("header", "false").option("multiLine", ml).option("encoding", "UTF-8") \
-        .csv(path).limit(1)
-    hdr = header_df.collect()
-    if not hdr:
-        raise ImportError_("IMPORT_INVALID_CSV", "CSV file must include a header row.")
-    names = [(v or "").lstrip("﻿") for v in hdr[0]]
+    first = with_row_index(spark.read.text(path)).where("_idx = 0").select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("h")).distinct().limit(2).collect()
+    if len(first) > 1:
+        raise ImportError_("IMPORT_INVALID_CSV", "the files have different headers")
+    hdr = spark.read.option("header", "false").option("multiLine", ml).option("encoding", "UTF-8").csv(path).limit(1).collect()
+    names = [(v or "").lstrip("\ufeff") for v in hdr[0]] if hdr else []
     if not any(names):
-        raise ImportError_("IMPORT_INVALID_CSV", "CSV file must include a header row.")
+        raise ImportError_("IMPORT_INVALID_CSV", "a CSV file starts with a header row")
     df = (spark.read.option("header", "true").option("multiLine", ml).option("quote", '"')
           .option("escape", '"').option("encoding", "UTF-8").csv(path))
     df = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
     idx = with_row_index(df)
-    row = F.map_from_arrays(F.array(*[F.lit(n) for n in names]),
-                            F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(len(names))]))
+    place = {n: i for i, n in enumerate(names)}
+    row = F.map_from_arrays(F.array(*[F.lit(n) for n in place]),
+                            F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in place.values()]))
     return idx.select("_file", (F.col("_idx") + 2).alias("row_number"),
                       F.to_variant_object(row).alias("row"))
 
@@ -94,7 +101,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     nonblank = t.where(F.length(F.trim(F.regexp_replace("line", r"(?U)\s", " "))) > 0)
     # line numbers of the stripped text start at the first non-blank line
     first = nonblank.groupBy("_file").agg(F.min("_idx").alias("_first"))
-    parsed = nonblank.join(F.broadcast(first), "_file").select(
+    parsed = nonblank.join(first, "_file").select(
         "_file", (F.col("_idx") - F.col("_first") + 1).alias("row_number"),
         strict_parse("line").alias("row"))
     stats = parsed.groupBy("_file").agg(
@@ -114,10 +121,10 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
             .collect()
         for k in kinds:
             if k["bad"]:
-                raise ImportError_("IMPORT_INVALID_JSON", f"Invalid JSON on line {bad_files.get(k['_file'], 1)}.")
+                raise ImportError_("IMPORT_INVALID_JSON", f"line {bad_files.get(k['_file'], 1)} is no JSON")
             if not (k["kind"].startswith("ARRAY") or k["kind"].startswith("OBJECT")):
                 raise ImportError_("IMPORT_INVALID_JSON",
-                                   "JSON file must contain an object, an array of objects, or JSON Lines.")
+                                   "a JSON file holds an object, an array of objects or one object per line")
         arrays = whole.select("_file", F.posexplode(F.try_variant_get("doc", "$", "array<variant>")))
         arr = arrays.select("_file", (F.col("pos") + 1).alias("row_number"), F.col("col").alias("row"))
         objs = whole.where(F.schema_of_variant("doc").startswith("OBJECT")).select(

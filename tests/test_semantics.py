@@ -69,7 +69,10 @@ def test_times_need_a_date(spark):
     assert got[7] == dt.datetime(2025, 7, 10, 12)
 
 
-SCHEMA = T.DataType.fromDDL("customer_id string, email string, place struct<city: string>, tags array<struct<n: int>>")
+SCHEMA = T.StructType([
+    T.StructField("customer_id", T.StringType()), T.StructField("email", T.StringType()),
+    T.StructField("place", T.StructType([T.StructField("city", T.StringType())])),
+    T.StructField("tags", T.ArrayType(T.StructType([T.StructField("n", T.IntegerType())])))])
 
 
 @pytest.mark.parametrize("text, path", [
