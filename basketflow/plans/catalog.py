@@ -1198,9 +1198,9 @@ def q_import_replay(spark, d):
 
 
 @register("import_detect_format", """
-SELECT 'csv' AS file_format, CAST(NULL AS VARCHAR) AS error_code FROM customer GROUP BY ALL
-UNION ALL SELECT 'json', NULL FROM orders GROUP BY ALL
-UNION ALL SELECT NULL, 'import_unsupported_file' FROM part GROUP BY ALL""")
+SELECT DISTINCT 'csv' AS file_format, CAST(NULL AS VARCHAR) AS error_code FROM customer
+UNION ALL SELECT DISTINCT 'json', NULL FROM orders
+UNION ALL SELECT DISTINCT NULL, 'import_unsupported_file' FROM part""")
 def q_import_detect_format(spark, d):
     """Formats met in an upload folder: customers as CSV, orders as JSON Lines, and part files with an
     extension that is not accepted."""
