@@ -8,8 +8,11 @@ star-shaped candidate edges, exact confirmation on full shingle sets, and connec
 3. In each bucket the member that meets most others (its hub) is paired with every other member, so
    a bucket of m classes gives m - 1 pairs. Pairs are confirmed on full sets. A hub whose pairs are
    done leaves the bucket; buckets whose other members are not all in one component go another
-   round, and small ones finish with all pairs between different components. So no bucket is capped
-   and no link between two components is missed by the star shape.
+   round. Before the second, members leave that cannot reach the similarity with anyone, because too
+   many of their shingles are in no other open member; then a bucket finishes with the pairs of its
+   few members outside its largest component, as far as sizes and shared shingles allow a pair
+   (a bucket with too many of them goes on with hubs). So no bucket is capped, and no link between
+   two components is missed by the star shape.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ ROWS, BANDS = 5, 24
 BINS = ROWS * BANDS
 #: similarity in percent
 SIMILAR = 85
-#: a bucket left with so few members is finished with all pairs between its components
-SMALL_BUCKET = 24
+#: in the first round, a bucket with so few members is finished with all pairs between components
+SMALL_BUCKET = 3
+#: after the first round, the most size comparisons (not pairs) that finish a bucket at once
+COMPARISONS = 4_000_000
 
 
 def densified(sets: list[np.ndarray]) -> np.ndarray:
@@ -115,9 +120,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * common >= SIMILAR * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
-def _could(a: str, b: str):
-    """Sizes alone do not rule the pair out."""
-    return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
+def _could(most, n: str, m):
+    """Sets of n and m shingles with ``most`` in common at most are not ruled out by that."""
+    most = F.col(most) if isinstance(most, str) else most
+    return 100 * most >= SIMILAR * (F.col(n) + m - most)
+
+
+def lone_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, lone: how many shingles of each member no other member has."""
+    asked = sets.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    held = asked.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
+    return held.filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -138,35 +151,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs_in = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     sets = stored(full_sets(docs_in.join(central.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])), "sets")
 
-    edges = None
-    labels = buckets.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
-    done = None
+    # `e`: the shingles that some other document still in question has too; no pair has more in common
+    buckets = buckets.withColumn("e", F.col("n"))
+    edges = labels = done = None
     while True:
         # members with their present component; a bucket goes on while it holds more than one
-        now = buckets.join(labels, buckets["rep"] == labels["node"], "left").select(
-            "key", "rep", "n", "central", F.coalesce("label", "rep").alias("label"))
-        state = now.groupBy("key").agg(
-            F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-            F.max(F.struct("central", (-F.col("rep")).alias("first"), "n", "label")).alias("hub")).filter("lo < hi")
-        now = stored(now.join(state.select("key", "members", "hub"), "key"), "open")
+        now = buckets.withColumn("label", F.col("rep"))
+        if labels is not None:
+            now = buckets.join(labels, buckets["rep"] == labels["node"], "left").select(*buckets.columns, F.coalesce("label", "rep").alias("label"))
+        state = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max(F.struct("central", (-F.col("rep")).alias("first"), "n", "e", "label")).alias("hub"))
+        state = state.groupBy("key").agg(
+            F.sum("size").alias("members"), F.max(F.struct("size", "label")).alias("main"), F.min("least").alias("least"), F.max("hub").alias("hub"))
+        # outside the largest component there are `members - main.size`: only they can still link two
+        few = F.col("members") <= SMALL_BUCKET
+        if done is not None:
+            few = (F.col("members") - F.col("main.size")) * F.col("members") <= COMPARISONS
+        state = state.filter("main.size < members").withColumn("few", few).withColumn("main", F.col("main.label"))
+        now = now.join(state.select("key", "main", "least", "hub", "few"), "key")
+        now = stored(now.filter(_could("e", "n", F.greatest("least", "e"))), "open")
         if not now.take(1):
             break
-        star = now.filter((F.col("members") > SMALL_BUCKET) & (F.col("rep") != -F.col("hub.first")) & (F.col("label") != F.col("hub.label")))
-        star = star.filter(100 * F.least("n", "hub.n") >= SIMILAR * F.greatest("n", "hub.n")).select((-F.col("hub.first")).alias("u"), F.col("rep").alias("v"))
-        few = now.filter(F.col("members") <= SMALL_BUCKET).select("key", "rep", "n", "label")
-        other = few.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-        rest = few.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & _could("n", "n2"))
+        star = now.filter(~F.col("few") & (F.col("rep") != -F.col("hub.first")) & (F.col("label") != F.col("hub.label")))
+        star = star.filter(_could(F.least("e", "hub.e"), "n", F.col("hub.n"))).select((-F.col("hub.first")).alias("u"), F.col("rep").alias("v"))
+        ending = now.filter("few").select("key", "rep", "n", "e", "label", "main")
+        # two members meet in several buckets: the first one counts
+        met = ending.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+        ending = ending.join(met, "rep")
+        other = ending.select("key", *[F.col(c).alias(c + "2") for c in ("rep", "n", "e", "label", "keys")])
+        once = (F.col("label2") == F.col("main")) | (F.col("rep") < F.col("rep2"))
+        able = (F.col("label") != F.col("label2")) & _could(F.least("e", "e2"), "n", F.col("n2"))
+        first = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
+        rest = ending.filter("label != main").join(other, "key").filter(once & able & first)
         pairs = star.unionByName(rest.select(F.col("rep").alias("u"), F.col("rep2").alias("v")))
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = stored(pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
         found = confirmed(pairs, sets)
-        edges = found if edges is None else labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(found)
+        edges = found if labels is None else labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(found)
         labels = components(edges)
-        buckets = now.filter((F.col("members") > SMALL_BUCKET) & (F.col("rep") != -F.col("hub.first"))).select("key", "rep", "n", "central")
+        buckets = now.filter(~F.col("few") & (F.col("rep") != -F.col("hub.first"))).select("key", "rep", "n", "central", "e")
+        if done is None:
+            alone = lone_shingles(buckets, sets)
+            buckets = stored(buckets.drop("e").join(alone, "rep", "left").select("key", "rep", "n", "central", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("e")), "left")
+        done = pairs if done is None else done.unionByName(pairs)
 
+    if labels is None:
+        labels = classes.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
     members = classes.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(
         "set_key", F.coalesce("label", "rep").alias("component"))
     out = sk.select("doc_id", "n_shingles", "set_key").join(members, "set_key", "left")
