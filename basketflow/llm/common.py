@@ -3,6 +3,7 @@ tables in the shared checkpoint folder, and the word rule of the near-duplicate
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,3 +59,10 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Marks ``df`` for broadcast only while its counted ``rows`` stay within ``limit``; beyond it
     the join shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def release(spark: SparkSession) -> None:
+    """Between written phases: Spark deletes a finished phase's shuffle files only when the driver
+    collects its garbage, which would else keep all phases' files on disk at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

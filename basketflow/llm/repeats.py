@@ -26,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import stored, table
+from basketflow.llm.common import release, stored, table
 from basketflow.llm.shingles import BASE, INVERSES, POWERS, mix
 
 LENGTH = 50
@@ -42,6 +43,17 @@ RUN_BYTES = 8_000_000
 #: text bytes for each bucket
 BUCKET_BYTES = 24_000_000
 LEAST_BUCKETS = 64
+#: segments of one collection: whole anchors are added up to this size, which keeps its columns in cache
+COLLECTION = 2000
+
+
+def _packed(data: bytes) -> bytes:
+    """For the shuffle: Spark's own codec leaves segments and small numbers much larger."""
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -156,7 +168,7 @@ def _anchors(buckets: int):
                 if len(own):
                     used, where = np.unique(at[own], return_inverse=True)
                     packed = h[own].astype("<u8").view("uint8").reshape(-1, 8)[:, :6].tobytes()
-                    out.append([(b, None, packed, where.astype("<u4").tobytes(), names[used].astype("<i8").tobytes())])
+                    out.append([(b, None, packed, _packed(where.astype("<u4").tobytes()), names[used].astype("<i8").tobytes())])
             rows = [r for part in out for r in part]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "doc_id", "hashes", "owners", "docs"])
 
@@ -179,7 +191,7 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
         wide = np.zeros((len(hashes) // 6, 8), dtype="uint8")
         wide[:, :6] = np.frombuffer(hashes, "uint8").reshape(-1, 6)
         h.append(wide.view("<u8").ravel())
-        owner.append(np.frombuffer(docs, "<i8")[np.frombuffer(owners, "<u4")])
+        owner.append(np.frombuffer(docs, "<i8")[np.frombuffer(_unpacked(owners), "<u4")])
     if h:
         h, owner = np.concatenate(h), np.concatenate(owner)
         order = np.lexsort((owner, h))
@@ -239,7 +251,7 @@ def _segments(buckets: int):
                 own = order[cuts[b]:cuts[b + 1]]
                 if len(own):
                     mine = [segs[i] for i in own.tolist()]
-                    rows.append((run, b, b"".join(mine), np.array([len(s) for s in mine], "u1").tobytes(), own.astype("<u4").tobytes(),
+                    rows.append((run, b, _packed(b"".join(mine)), np.array([len(s) for s in mine], "u1").tobytes(), own.astype("<u4").tobytes(),
                                  low[own].astype("<i8").tobytes(), high[own].astype("<i8").tobytes(), anchors[own].astype("<u8").tobytes(), None, None))
             kinds = [pa.string(), pa.int32(), *[pa.binary()] * 8]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=SEGMENT_NAMES)
@@ -247,46 +259,48 @@ def _segments(buckets: int):
     return send
 
 
-def collection_order(matrix: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Column-wise construction for strings that stand at the right of ``matrix``: all suffixes in
-    sorted order, as (string, length of the suffix).
+def collection_order(flat: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Column-wise construction for ``n`` strings that stand at the right of a matrix of symbols above 0
+    (``flat``, 0 before each string): all suffixes in sorted order, each as the place before it.
 
-    Round 0 holds every string's empty suffix; the BWT symbol of a suffix is the one before it.
-    Round j puts one more symbol of every string in: sorting the list stably by BWT symbol (sequential
-    passes over it) moves each suffix to where its longer one belongs, behind the empty ones."""
-    n, width = matrix.shape
-    none = np.arange(n, dtype="int32")
-    string, size = none, np.zeros(n, dtype="uint8")
-    for _ in range(width):
-        bwt = matrix[string, width - 1 - size.astype("int64")]
-        grows = np.flatnonzero(size < sizes[string])
-        by = grows[np.argsort(bwt[grows], kind="stable")]
-        string = np.concatenate([none, string[by]])
-        size = np.concatenate([np.zeros(n, dtype="uint8"), size[by] + np.uint8(1)])
-    return string, size
+    Round 0 holds every string's empty suffix; the BWT symbol of a suffix is the one before it, 0 where
+    the string begins. Round j puts one more symbol of every string in: sorting the list stably by
+    BWT symbol (sequential passes over it) moves each suffix to where its longer one belongs, behind
+    the empty ones; whole strings have no longer one, and come out again in every round."""
+    none = (np.arange(n, dtype="int32") + 1) * width - 1
+    before = none
+    for _ in range(width - 1):
+        bwt = flat[before]
+        by = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0):]
+        before = np.concatenate([none, before[by] - np.int32(1)])
+    return before
 
 
 def window_minima(segs: list[bytes], low: np.ndarray) -> list[np.ndarray]:
     """For each distinct segment the smallest document of each of its windows."""
     sizes = np.array([len(s) for s in segs])
-    width = int(sizes.max())
-    matrix = np.frombuffer(b"".join(s.rjust(width, b"\0") for s in segs), "uint8").reshape(len(segs), width)
-    string, size = collection_order(matrix, sizes.astype("uint8"))
-    whole = size >= LENGTH
-    string, at = string[whole], width - size[whole].astype("int64")
+    width = int(sizes.max()) + 1
+    raw = np.frombuffer(b"".join(segs), "uint8")
+    used = np.flatnonzero(np.bincount(raw, minlength=256))
+    code = np.zeros(256, dtype="uint8" if len(used) < 256 else "uint16")
+    code[used] = np.arange(1, len(used) + 1)
+    matrix = np.zeros((len(segs), width), dtype=code.dtype)
+    matrix[np.arange(width)[None, :] >= (width - sizes)[:, None]] = code[raw]
+    flat = matrix.ravel()
+    begin = collection_order(flat, len(segs), width).astype("int64") + 1
+    string = (begin - 1) // width
+    whole = (string + 1) * width - begin >= LENGTH
+    begin, string = begin[whole], string[whole]
     same = np.ones(len(string) - 1, dtype=bool)
     for j in range(LENGTH):  # neighbours that share their first symbols
-        column = matrix[string, at + j]
+        column = flat[begin + j]
         same &= column[1:] == column[:-1]
     group = np.concatenate([[0], np.cumsum(~same)])
     least = np.minimum.reduceat(low[string], np.flatnonzero(np.concatenate([[True], ~same])))
-    out = [np.empty(n - LENGTH + 1, dtype="int64") for n in sizes]
-    flat = np.empty(int((sizes - LENGTH + 1).sum()), dtype="int64")
-    offsets = np.concatenate([[0], np.cumsum(sizes - LENGTH + 1)[:-1]])
-    flat[offsets[string] + at - (width - sizes[string])] = least[group]
-    for i, o in enumerate(offsets.tolist()):
-        out[i] = flat[o:o + len(out[i])]
-    return out
+    offsets = np.concatenate([[0], np.cumsum(sizes - LENGTH + 1)])
+    minima = np.empty(offsets[-1], dtype="int64")
+    minima[offsets[string] + begin - string * width - (width - sizes[string])] = least[group]
+    return np.split(minima, offsets[1:-1])
 
 
 def _minima(rows: pd.DataFrame) -> pd.DataFrame:
@@ -296,7 +310,7 @@ def _minima(rows: pd.DataFrame) -> pd.DataFrame:
     sent = []
     for run, segs, sizes, ids, lo, hi, anchors in zip(*[rows[c] for c in ("run", "segs", "windows", "ids", "low", "high", "anchors")]):
         sizes, lo, anchors = np.frombuffer(sizes, "u1"), np.frombuffer(lo, "<i8"), np.frombuffer(anchors, "<u8")
-        ends = np.cumsum(sizes.astype("int64"))
+        ends, segs = np.cumsum(sizes.astype("int64")), _unpacked(segs)
         mine = [segs[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
         for s, d, x in zip(mine, lo.tolist(), anchors.tolist()):
             if d < low.get(s, d + 1):
@@ -304,8 +318,14 @@ def _minima(rows: pd.DataFrame) -> pd.DataFrame:
             variants.setdefault(x, set()).add(s)
         sent.append((run, mine, np.frombuffer(ids, "<u4"), np.frombuffer(hi, "<i8")))
     # segments that are the only ones of their anchor need no order: all their windows have one minimum
-    mixed = [s for group in variants.values() if len(group) > 1 for s in group]
-    minima = dict(zip(mixed, window_minima(mixed, np.array([low[s] for s in mixed])))) if mixed else {}
+    minima: dict[bytes, np.ndarray] = {}
+    mixed: list[bytes] = []
+    groups = [group for group in variants.values() if len(group) > 1]
+    for i, group in enumerate(groups):
+        mixed += group
+        if len(mixed) >= COLLECTION or i == len(groups) - 1:
+            minima.update(zip(mixed, window_minima(mixed, np.array([low[s] for s in mixed]))))
+            mixed = []
     runs, numbers, firsts, counts, leasts = [], [], [], [], []
     for run, mine, ids, hi in sent:
         got: tuple[list, list, list, list] = ([], [], [], [])
@@ -324,7 +344,7 @@ def _minima(rows: pd.DataFrame) -> pd.DataFrame:
             runs.append(run)
             for x, v, t in zip((numbers, firsts, counts, leasts), got, ("<u4", "u1", "u1", "<i8")):
                 x.append(np.array(v, dtype=t).tobytes())
-    return pd.DataFrame({"run": runs, "numbers": numbers, "firsts": firsts, "counts": counts, "leasts": leasts})
+    return pd.DataFrame({"run": pd.Series(runs, dtype=object), "numbers": numbers, "firsts": firsts, "counts": counts, "leasts": leasts})
 
 
 def _ranges(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -371,22 +391,28 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     A doc_id names one text; its rows may repeat. Rows with a null doc_id take no part and keep all."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     digests = stored(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha")), "digests")
-    first = digests.groupBy("sha").agg(F.min("doc_id").alias("rep"))
-    base = stored(digests.join(first, "sha"), "base")
+    # only texts that occur more than once are joined back; a plain join, whose hot texts AQE can split
+    copies = digests.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    base = digests.join(stored(copies.drop("n"), "copies"), "sha", "left")
+    base = stored(base.select("doc_id", "n_bytes", "sha", F.coalesce("first", "doc_id").alias("rep")), "base")
     total = base.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
 
     long_enough = docs.filter((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull())
     sent = long_enough.mapInArrow(_anchors(buckets), ANCHOR_ROWS)
     hits = stored(sent.groupBy("bucket").applyInPandas(_shared, "doc_id long, hashes binary"), "hits")
+    release(docs.sparkSession)
     reps = base.filter(F.col("rep") == F.col("doc_id")).select("doc_id").distinct()
     hits = hits.join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
     asked = long_enough.join(hits, "doc_id").select("doc_id", "text", "hashes")
     segs = stored(asked.mapInArrow(_segments(buckets), SEGMENT_ROWS), "segments")
+    release(docs.sparkSession)
     answers = segs.filter("bucket >= 0").groupBy("bucket").applyInPandas(_minima, "run string, numbers binary, firsts binary, counts binary, leasts binary")
     places = segs.filter("bucket < 0").select("run", "ids", "docs", "starts")
     ranges = places.groupBy("run").cogroup(answers.groupBy("run")).applyInPandas(_ranges, "doc_id long, n_removed long, n_spans long, ranges binary")
-    return base, stored(ranges.dropDuplicates(["doc_id"]), "ranges")
+    ranges = stored(ranges.dropDuplicates(["doc_id"]), "ranges")
+    release(docs.sparkSession)
+    return base, ranges
 
 
 def _kept(batches):
