@@ -44,6 +44,7 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced"),
+    ("Proprietary", "All rights reserved"),
 )
 
 

@@ -457,3 +457,11 @@ def test_op9(spark, folder):
     assert names == {(2, "Apache-2.0"): 1, (3, "GPL-3.0"): 1, (4, "CC-BY-NC-4.0"): 2, (6, "MIT"): 1}
     assert all(r["found"] == r["total"] for r in got)
     assert licences.scan_licences(spark.createDataFrame([], "doc_id long, text string"), licences.templates(spark)).count() == 0
+
+
+def test_op9_short_notice(spark, folder):
+    long = "All rights reserved. No part of this publication may be reproduced"
+    texts = [f"{prose(30)} All rights reserved.", "ALL RIGHTS\nRESERVED", "all the rights reserved", "rights reserved", f"{prose(5)} {long} in any form", f"all rights reserved {prose(4)} All rights reserved."]
+    got = licences.op9_minhash_licences(spark, folder(documents=(rows(texts), DOCS))).collect()
+    assert {r["licence"] for r in got} == {"Proprietary"} and all(r["found"] == r["total"] for r in got)
+    assert Counter((r["doc_id"], r["start_word"], r["n_words"]) for r in got) == {(0, 30, 3): 1, (1, 0, 3): 1, (4, 5, 3): 1, (4, 5, 11): 1, (5, 0, 3): 1, (5, 7, 3): 1}
