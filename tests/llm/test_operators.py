@@ -426,6 +426,21 @@ def test_op7_against_brute_force(spark, folder):
     assert want <= got and all(t in {x for x, _ in want} for t, _ in got)
 
 
+def test_op7_changed_ends_of_one_word_in_ten(spark):
+    rng = random.Random(9)
+    items, texts, want = [], [], set()
+    for i in range(120):
+        n = rng.choice([13, 22, 40, 60, 100])
+        w = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        m = (n - 4) // 9  # as many as similarity 0.8 allows: (n - 4 - m) / (n - 4 + m)
+        end = rng.choice([["-"] * m, [f"x{rng.randrange(10**9)}" for _ in range(m)]])
+        items.append((i, " ".join(w)))
+        texts.append((i, " ".join(rng.choice([[*w[:n - m], *end], [*end, *w[m:]]]))))
+        want.add((i, i))
+    docs, known = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, known).collect()} == want
+
+
 def test_multi_index_blocks_miss_nothing(spark):
     from pyspark.sql import functions as F
     rng = random.Random(1)
