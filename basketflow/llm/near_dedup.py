@@ -1,10 +1,11 @@
 """Near-duplicate documents: one-permutation MinHash with optimal densification, banded buckets,
 star-shaped candidate edges, exact confirmation on full shingle sets, and connected components.
 
-1. Each document's shingle set is hashed once; the hash's high part names one of `BINS` bins, whose
+1. Each document's shingle set is hashed once; the hash's high part names one of the bins, whose
    smallest hash is the bin's value. Empty bins borrow from a filled bin found by universal hashing.
-2. Documents with equal sets become one class; `BANDS` keys of `ROWS` bins each put classes into
-   buckets. At a similarity of 0.85 all keys of two classes differ with a chance below 1e-6.
+2. Documents with equal sets become one class; keys of `ROWS` bins each (24 at a similarity of 0.85, 35
+   at 0.8) put classes into buckets. At the similarity all keys of two classes differ with a chance
+   below 1e-6.
 3. In each bucket the member that meets most others (its hub) is paired with every other member, so
    a bucket of m classes gives m - 1 pairs. Pairs are confirmed on full sets. A hub whose pairs are
    done leaves the bucket; buckets whose other members are not all in one component go another
@@ -18,6 +19,7 @@ star-shaped candidate edges, exact confirmation on full shingle sets, and connec
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +30,27 @@ from basketflow.llm.common import stored, table
 from basketflow.llm.components import components
 from basketflow.llm.shingles import STEPS, mix, shingle_sets
 
-ROWS, BANDS = 5, 24
-BINS = ROWS * BANDS
-#: similarity in percent
+ROWS = 5
+#: op8's similarity in percent
 SIMILAR = 85
+#: the chance that two classes at the similarity meet in no bucket
+MISSED = 1e-6
 #: in the first round, a bucket with so few members is finished with all pairs between components
 SMALL_BUCKET = 3
 #: after the first round, the most size comparisons (not pairs) that finish a bucket at once
 COMPARISONS = 4_000_000
 
 
-def densified(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of `BINS` values for each non-empty set."""
-    values, filled = np.zeros((len(sets), BINS), dtype="uint64"), np.zeros((len(sets), BINS), dtype=bool)
+def bands_for(similar: int) -> int:
+    """How many keys a class needs at a similarity of ``similar`` percent."""
+    return math.ceil(math.log(MISSED) / math.log1p(-((similar / 100) ** ROWS))) if similar < 100 else 1
+
+
+def densified(sets: list[np.ndarray], n_bins: int) -> np.ndarray:
+    """One row of ``n_bins`` values for each non-empty set."""
+    values, filled = np.zeros((len(sets), n_bins), dtype="uint64"), np.zeros((len(sets), n_bins), dtype=bool)
     for i, s in enumerate(sets):
-        bins = ((s >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)  # rises with s: the first is the smallest
+        bins = ((s >> np.uint64(32)) * np.uint64(n_bins)) >> np.uint64(32)  # rises with s: the first is the smallest
         first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
         at = bins[first].astype("int64")
         values[i, at], filled[i, at] = s[first], True
@@ -50,16 +58,16 @@ def densified(sets: list[np.ndarray]) -> np.ndarray:
     attempt = 0
     while len(row):
         attempt += 1
-        source = (mix(col.astype("uint64") * STEPS[0] + mix(np.array([attempt], dtype="uint64"))) % np.uint64(BINS)).astype("int64")
+        source = (mix(col.astype("uint64") * STEPS[0] + mix(np.array([attempt], dtype="uint64"))) % np.uint64(n_bins)).astype("int64")
         ok = filled[row, source]
         values[row[ok], col[ok]] = values[row[ok], source[ok]]
         row, col = row[~ok], col[~ok]
     return values
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    v = densified(sets).reshape(len(sets), BANDS, ROWS)
-    keys = np.arange(BANDS, dtype="uint64")[None, :] * STEPS[2]
+def band_keys(sets: list[np.ndarray], n_bands: int) -> np.ndarray:
+    v = densified(sets, n_bands * ROWS).reshape(len(sets), n_bands, ROWS)
+    keys = np.arange(n_bands, dtype="uint64")[None, :] * STEPS[2]
     for j in range(ROWS):
         keys = mix(keys + v[:, :, j] * STEPS[j])
     return keys.view("int64")
@@ -79,7 +87,7 @@ def _texts(batch, column: int, most: int = 4_000_000):
         yield at, got
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, n_bands: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit digest of the set) and the band keys (none if empty)."""
 
     def sketch(batches):
@@ -87,7 +95,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             for at, texts in _texts(batch, 1):
                 sets = shingle_sets(texts)
                 some = [i for i, s in enumerate(sets) if len(s)]
-                keys = band_keys([sets[i] for i in some])
+                keys = band_keys([sets[i] for i in some], n_bands)
                 bands: list = [None] * len(sets)
                 for i, k in zip(some, keys.tolist()):
                     bands[i] = k
@@ -111,19 +119,19 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(build, "id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs ``u, v`` whose full sets are similar enough."""
     a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
     b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
     both = pairs.join(b, "v").join(a, "u")
     common = F.size(F.array_intersect("su", "sv"))
-    return both.filter(100 * common >= SIMILAR * (F.size("su") + F.size("sv") - common)).select("u", "v")
+    return both.filter(100 * common >= similar * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
-def _could(most, n: str, m):
+def _could(most, n: str, m, similar: int):
     """Sets of n and m shingles with ``most`` in common at most are not ruled out by that."""
     most = F.col(most) if isinstance(most, str) else most
-    return 100 * most >= SIMILAR * (F.col(n) + m - most)
+    return 100 * most >= similar * (F.col(n) + m - most)
 
 
 def lone_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -133,13 +141,13 @@ def lone_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
     return held.filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
-    Links: 100 * intersection >= 85 * union of the shingle sets. Null, empty and blank texts have no
+    Links: 100 * intersection >= ``similar`` * union of the shingle sets. Null, empty and blank texts have no
     shingles and are alone. Rows that repeat a doc_id get that document's component. A null doc_id
     is alone unless its text has copies. No documents give no rows."""
-    sk = stored(sketches(docs), "sketches")
+    sk = stored(sketches(docs, bands_for(similar)), "sketches")
     filled = sk.filter("n_shingles > 0")
     classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes.filter("rep is not null"), "classes")
@@ -168,18 +176,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             few = (F.col("members") - F.col("main.size")) * F.col("members") <= COMPARISONS
         state = state.filter("main.size < members").withColumn("few", few).withColumn("main", F.col("main.label"))
         now = now.join(state.select("key", "main", "least", "hub", "few"), "key")
-        now = stored(now.filter(_could("e", "n", F.greatest("least", "e"))), "open")
+        now = stored(now.filter(_could("e", "n", F.greatest("least", "e"), similar)), "open")
         if not now.take(1):
             break
         star = now.filter(~F.col("few") & (F.col("rep") != -F.col("hub.first")) & (F.col("label") != F.col("hub.label")))
-        star = star.filter(_could(F.least("e", "hub.e"), "n", F.col("hub.n"))).select((-F.col("hub.first")).alias("u"), F.col("rep").alias("v"))
+        star = star.filter(_could(F.least("e", "hub.e"), "n", F.col("hub.n"), similar)).select((-F.col("hub.first")).alias("u"), F.col("rep").alias("v"))
         ending = now.filter("few").select("key", "rep", "n", "e", "label", "main")
         # two members meet in several buckets: the first one counts
         met = ending.groupBy("rep").agg(F.collect_set("key").alias("keys"))
         ending = ending.join(met, "rep")
         other = ending.select("key", *[F.col(c).alias(c + "2") for c in ("rep", "n", "e", "label", "keys")])
         once = (F.col("label2") == F.col("main")) | (F.col("rep") < F.col("rep2"))
-        able = (F.col("label") != F.col("label2")) & _could(F.least("e", "e2"), "n", F.col("n2"))
+        able = (F.col("label") != F.col("label2")) & _could(F.least("e", "e2"), "n", F.col("n2"), similar)
         first = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
         rest = ending.filter("label != main").join(other, "key").filter(once & able & first)
         pairs = star.unionByName(rest.select(F.col("rep").alias("u"), F.col("rep2").alias("v")))
@@ -187,7 +195,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = stored(pairs, "pairs")
-        found = confirmed(pairs, sets)
+        found = confirmed(pairs, sets, similar)
         edges = found if labels is None else labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(found)
         labels = components(edges)
         buckets = now.filter(~F.col("few") & (F.col("rep") != -F.col("hub.first"))).select("key", "rep", "n", "central", "e")

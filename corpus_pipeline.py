@@ -18,6 +18,8 @@ from basketflow.llm.pii import redacted
 
 #: documents whose best language is less sure than this are rejected
 SURE = 0.5
+#: documents that share so many percent of their shingles are near duplicates
+SIMILAR = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document (the smallest doc_id) of each near-duplicate component, once."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = near_duplicates(docs.select("doc_id", "text"), SIMILAR).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
     return one.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
 

@@ -54,6 +54,19 @@ def test_stages(spark, tmp_path):
     assert max(per.values()) <= CAPACITY
 
 
+def test_near_duplicates_from_eighty_percent(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 60, 3):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(64)]
+        # of 60 shingles 6 differ (54 / 66 = 0.818), and 7 (53 / 67 = 0.791)
+        ends = [[f"x{rng.randrange(10**9)}" for _ in range(m)] for m in (6, 7)]
+        rows += [(i, " ".join(base)), (i + 1, " ".join([*base[:58], *ends[0]])), (i + 2, " ".join([*ends[1], *base[7:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == [i for i, _ in rows if i % 3 != 1]
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
