@@ -55,6 +55,19 @@ def with_array_bound(df: DataFrame, name: str, col) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(col.alias(name)))))
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of these (lower-case) names under free ones, and the names to give back."""
+    taken, back = {c.lower() for c in docs.columns} | set(names), {}
+    for c in docs.columns:
+        if c.lower() in names:
+            free = f"_{c}"
+            while free.lower() in taken:
+                free = f"_{free}"
+            taken.add(free.lower())
+            back[free] = c
+    return docs.withColumnsRenamed({c: free for free, c in back.items()}), back
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Marks ``df`` for broadcast only while its counted ``rows`` stay within ``limit``; beyond it
     the join shuffles."""

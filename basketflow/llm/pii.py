@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import stored, table
+from basketflow.llm.common import set_aside, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 TURNS = 3
@@ -197,6 +197,7 @@ def op1_bootstrapped_pii(spark, sf_dir: str) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by the kind in brackets; overlapping spans are
     replaced as one, under the first one's kind. n_chars, where present, follows the new text."""
+    docs, names = set_aside(docs, "spans", "_id", "_key", "_key0")
     found = find(docs.select("doc_id", "text")).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans")
     joined = docs.withColumn("_key0", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_key")), "left")
@@ -208,4 +209,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     out = joined.withColumn("text", F.when(F.col("spans").isNotNull(), new).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).withColumnsRenamed(names)

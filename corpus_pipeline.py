@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import stored, table
+from basketflow.llm.common import set_aside, stored, table
 from basketflow.llm.decontaminate import contaminated
 from basketflow.llm.language import held_out, predict, train
 from basketflow.llm.near_dedup import near_duplicates
@@ -25,29 +25,29 @@ SIMILAR = 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no letter, no text) and those whose best language is not
     even likely. A missing ``lang`` is filled in; a given one stays."""
+    docs, names = set_aside(docs, "lang_pred", "score", "_text_for_language")
     model = train(docs.filter(~held_out()))
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    got = predict(docs, model, keep)
+    got = predict(docs, model, docs.columns)
     # without a labelled document there is no model, and nothing is rejected for being unsure
     good = (F.col("lang_pred") != "und") & (F.col("score") >= SURE) if model else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     got = got.filter(good).withColumn("lang", F.coalesce("lang", F.when(F.col("lang_pred") != "und", F.col("lang_pred"))))
-    if keep == docs.columns:
-        return got.select(*docs.columns)
-    raise ValueError("documents have a column lang_pred or score")
+    return got.select(*docs.columns).withColumnsRenamed(names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document (the smallest doc_id) of each near-duplicate component, once."""
+    docs, names = set_aside(docs, "_kept_id", "_text_key")
     kept = near_duplicates(docs.select("doc_id", "text"), SIMILAR).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return one.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    return one.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns).withColumnsRenamed(names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    docs, names = set_aside(docs, "_bad_id", "_bad_key")
     bad = contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_key")), "left_anti").select(*docs.columns)
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_key")), "left_anti").select(*docs.columns).withColumnsRenamed(names)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,22 @@ def test_near_duplicates_from_eighty_percent(spark):
     assert kept == [i for i, _ in rows if i % 3 != 1]
 
 
+def test_columns_named_as_the_operators_results(spark, tmp_path):
+    rows, item = corpus()
+    names = ["lang_pred", "score", "spans", "Score_", "_key", "_id", "_text_key", "_bad_id"]
+    rows = [(*r, *(f"{n} of {r[0]}" for n in names)) for r in rows]
+    docs = spark.createDataFrame(rows, f"{DOCS}, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = docs.columns
+    for name, stage in pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    got = docs.collect()
+    assert len(got) == 81 and all(r[n] == f"{n} of {r['doc_id']}" for r in got for n in names)
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
