@@ -37,6 +37,12 @@ NO_ARTICLE_NAMES = {"nav", "navbar", "navigation", "menu", "footer", "sidebar",
                     "replies", "newsletter", "subscribe", "subscription", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs",
                     "popup", "modal", "form", "widget", "login", "signup", "search", "toolbar", "pagination", "pager", "contentinfo", "complementary", "alert"}
 HEADER_NAMES = {"header", "masthead", "topbar"}
+#: a name of several words is one of the above where its other words only say which or where: "site-footer", not "no-footer"
+AFFIXES = {"site", "page", "main", "top", "bottom", "left", "right", "center", "header", "body", "content", "area", "list", "item", "items", "section", "container",
+           "wrapper", "wrap", "box", "block", "bar", "inner", "outer", "primary", "secondary", "global", "local", "user", "mobile", "desktop", "sticky", "fixed",
+           "floating", "slot", "unit", "zone", "panel", "row", "col", "column", "group", "button", "buttons", "btn", "icon", "icons", "link", "links", "post", "posts",
+           "article", "articles", "entry", "story", "text", "title", "heading", "thread", "count", "input", "field", "media", "js", "wp", "fb", "facebook", "google",
+           "twitter", "dfp", "gdpr", "div", "the", "id", "my"}
 LEAVES_OPEN = {"nav", "header", "footer", "ad", "form", "menu"}
 ARTICLE_NAMES = {"articlebody", "main", "article", "content", "post", "entry", "story"}
 
@@ -50,24 +56,38 @@ class Line:
         self.text, self.place, self.running = text, place, running
 
 
+def _is(words: list[str], known: set[str]) -> bool:
+    """A name, given as its words, is one of the known ones or such a one with affixes and numbers."""
+    return any(x in known for x in words) and all(x in known or x in AFFIXES or x.isdigit() for x in words)
+
+
 def _container(tag: str, attributes: str, place: int) -> tuple[int, str]:
-    """Where the text of an element that opens inside ``place`` belongs, and what closes it early."""
+    """Where the text of an element that opens inside ``place`` belongs, and what closes it early.
+
+    An article, a main part or an element of an article's name is not dropped for its class or id."""
     names: set[str] = set()
+    styles: list[list[str]] = []
+    roles: list[list[str]] = []
     hidden = False
     if attributes:
         for key, *values in NAMES.findall(attributes):
-            value = "".join(values).lower()
-            if key.lower() in ("hidden", "aria-hidden"):
-                hidden |= key.lower() == "hidden" or value == "true"
+            key, value = key.lower(), "".join(values).lower()
+            if key in ("hidden", "aria-hidden"):
+                hidden |= key == "hidden" or value == "true"
             else:
-                names.update(SPLIT.split(value))
+                got = [[x for x in SPLIT.split(name) if x] for name in value.split()]
+                (styles if key in ("class", "id") else roles).extend(got)
+                names.update(x for words in got for x in words)
     if tag in ("html", "body"):
         return place, ""
-    if hidden or tag in NO_ARTICLE or names & NO_ARTICLE_NAMES:
+    if tag in ("article", "main") or any(len(x) == 1 and x[0] in ARTICLE_NAMES for x in styles + roles):
+        styles = []
+    called = styles + roles
+    if hidden or tag in NO_ARTICLE or any(_is(x, NO_ARTICLE_NAMES) for x in called):
         return DROPPED, tag if tag in LEAVES_OPEN else "ad" if names & {"ad", "ads", "advert", "banner"} else ""
     if place == DROPPED:
         return DROPPED, ""
-    if (tag == "header" or names & HEADER_NAMES) and place < NAMED:
+    if (tag == "header" or any(_is(x, HEADER_NAMES) for x in called)) and place < NAMED:
         return DROPPED, "header"
     if tag == "article":
         return ARTICLE, ""

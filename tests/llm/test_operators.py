@@ -364,6 +364,20 @@ def test_differencing_deletes_shared_lines_of_bare_pages():
     assert main_text.main_text([], a) == ""
 
 
+@pytest.mark.parametrize("opens", ["<article class='post tag-search'>", "<main class='with-sidebar'>", "<div class='content no-comments'>", "<article id='social-policy'>",
+                                   "<article class='post with-header'>", "<main id='search'>", "<div class='layout no-sidebar'>", "<div class='post share'>"])
+def test_names_do_not_empty_an_article(opens):
+    close = opens[1:].split()[0]
+    html = f"<nav>menu</nav>{opens}<p>whole text</p><div class='site-footer'>foot</div><div class='main-nav'>nav</div><div id='cookie-consent-2'>c</div></{close}>"
+    assert main_text.main_text(main_text.lines(html), None) == "whole text"
+
+
+@pytest.mark.parametrize("opens", ["<div class='comments-area'>", "<div class='related-posts x'>", "<article role='complementary'>", "<div class='post-share'>", "<article hidden>", "<div class='masthead'>"])
+def test_names_still_drop(opens):
+    close = opens[1:].split()[0].rstrip(">")
+    assert main_text.main_text(main_text.lines(f"<p>text</p>{opens}<p>other</p></{close}>"), None) == "text"
+
+
 # ---- language --------------------------------------------------------------------------------------
 
 def test_op6_held_out_accuracy(spark, folder):
