@@ -15,6 +15,8 @@ the result.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import struct
 import uuid
 import zlib
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketflow.llm.common import stored, table
-from basketflow.llm.packing import tokenizer_path, word_ids
+from basketflow.llm.packing import _byte_spelling, tokenizer_path
 from basketflow.session import scratch_path
 
 END_ID = 2
@@ -185,23 +187,98 @@ def open_file(path: str, vocabulary: str) -> Reader:
 
 # ---- tokenizing -----------------------------------------------------------------------------------------
 
+#: letters of Latin-1, perhaps with one sign behind them: units of the tokenizer's own splitting
+PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,!?;:]?$"
+SIGNS = ".,!?;:"
+#: words whose ids a Python worker keeps
+WORDS_KEPT = 400_000
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``places`` of ``flat``, one after the other, and the end of each."""
+    counts = sizes[places]
+    ends = np.cumsum(counts)
+    at = np.repeat(first[places] - (ends - counts), counts)
+    at += np.arange(len(at))
+    return flat[at], ends
+
+
+class WordTable:
+    """The ids of words (no white space in them) in flat arrays, learned as they come. No token of this
+    tokenizer crosses ASCII white space, it lower-cases, and a plain word's letters are one unit that goes to
+    its merge model directly (in its spelling of bytes), like the sign behind them; any other word goes
+    through the whole tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.spelling = _byte_spelling()
+        self._clear()
+
+    def _clear(self) -> None:
+        #: entries of whole words, and of the lower-cased letters of plain words
+        self.whole: dict[str, int] = {}
+        self.plain: dict[str, int] = {}
+        self.flat, self.first, self.sizes = np.empty(0, "<u4"), np.empty(0, "int64"), np.empty(0, "int64")
+        self._learn(["", *SIGNS], [])
+
+    def _learn(self, other: list[str], plain: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False)] if other else []
+        merge, spelling = self.tokenizer.model.tokenize, self.spelling
+        ids += [[t.id for t in merge(x if x.isascii() else x.encode().decode("latin-1").translate(spelling))] for x in plain]
+        sizes = np.fromiter(map(len, ids), "int64", len(ids))
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        at = len(self.sizes)
+        self.whole.update(zip(other, range(at, at + len(other))))
+        self.plain.update(zip(plain, range(at + len(other), at + len(ids))))
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(sizes.sum()))])
+        self.first, self.sizes = np.concatenate([self.first, starts]), np.concatenate([self.sizes, sizes])
+
+    def _places(self, other: list[str], plain: list[str]) -> tuple[list, list]:
+        """The entries of these words."""
+        new = [w for w in other if w not in self.whole], [w for w in plain if w not in self.plain]
+        if any(new):
+            if len(self.sizes) + len(new[0]) + len(new[1]) > WORDS_KEPT:
+                self._clear()
+                new = [w for w in other if w not in self.whole], plain
+            self._learn(*new)
+        return list(map(self.whole.__getitem__, other)), list(map(self.plain.__getitem__, plain))
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct words in a row, ids in each)."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        letters = pc.utf8_rtrim(words.filter(plain), SIGNS)
+        ends = pc.utf8_slice_codeunits(words.filter(plain), -1)
+        cores = pc.utf8_lower(letters).dictionary_encode()
+        whole, known = self._places(words.filter(pc.invert(plain)).to_pylist(), cores.dictionary.to_pylist())
+        signed = np.array([self.whole[c] if c in SIGNS else 0 for c in ends.dictionary_encode().dictionary.to_pylist()] or [0])
+        entries = np.zeros((len(words), 2), "int64")
+        mask = plain.to_numpy(zero_copy_only=False)
+        entries[~mask, 0] = whole
+        entries[mask, 0] = np.array(known, "int64")[cores.indices.to_numpy()] if len(cores) else []
+        entries[mask, 1] = signed[ends.dictionary_encode().indices.to_numpy()] if len(ends) else []
+        flat, ends_at = _gather(self.flat, self.first, self.sizes, entries.ravel())
+        return flat, np.diff(ends_at[1::2], prepend=0)
+
+
+@functools.cache
+def word_table(path: str) -> WordTable:
+    """One for each Python worker: its words serve all its tasks."""
+    return WordTable(path)
+
+
 def tokenize(texts: pa.Array, tokenizer: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in a row, each with the end id; ids in each text). No token of this tokenizer
-    crosses ASCII white space, so each distinct word of the batch is encoded once and its ids are put
-    in every place of the word. Null texts are empty."""
+    """(ids of all texts in a row, each with the end id; ids in each text): each distinct word of the batch is
+    looked up once, and its ids are put in every place of the word. Null texts are empty."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = split.flatten().dictionary_encode()
-    known = word_ids(tokenizer).texts(coded.dictionary.to_pylist())
-    flat = np.frombuffer(b"".join(known) + struct.pack("<I", end_id), "<u4")
-    sizes = np.array([len(x) // 4 for x in known] + [1], "int64")
-    first = np.cumsum(sizes) - sizes
+    flat, sizes = word_table(tokenizer).ids(coded.dictionary)
+    flat, sizes = np.append(flat, np.uint32(end_id)), np.append(sizes, 1)
     offsets = split.offsets.to_numpy()
-    places = np.insert(coded.indices.to_numpy(zero_copy_only=False), offsets[1:] - offsets[0], len(known))
-    counts = sizes[places]
-    ends = np.cumsum(counts)
-    at = np.repeat(first[places] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-    doc_ends = ends[offsets[1:] - offsets[0] + np.arange(len(texts))]
-    return flat[at], np.diff(doc_ends, prepend=0)
+    places = np.insert(coded.indices.to_numpy(zero_copy_only=False), offsets[1:] - offsets[0], len(sizes) - 1)
+    ids, ends = _gather(flat, np.cumsum(sizes) - sizes, sizes, places)
+    return ids, np.diff(ends[offsets[1:] - offsets[0] + np.arange(len(texts))], prepend=0)
 
 
 def _batches(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -220,35 +297,43 @@ def _binary(parts: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(cuts.astype("int64")), pa.py_buffer(np.ascontiguousarray(parts))]).cast(pa.binary())
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (unsigned 32-bit little-endian, with the end id) of every row."""
+def id_width(tokenizer: str, end_id: int) -> str:
+    """The smallest unsigned type for all ids of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, width: str) -> DataFrame:
+    """doc_id and ids (unsigned little-endian of this width, with the end id) of every row."""
 
     def run(batches):
         for batch in batches:
             for doc_ids, texts in _batches(batch):
                 ids, lengths = tokenize(texts, tokenizer, end_id)
-                yield pa.RecordBatch.from_arrays([doc_ids, _binary(ids, lengths)], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids, _binary(ids.astype(width), lengths)], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _flat(column: pa.Array, width: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a binary column, and the ids in each row."""
-    lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype("int64") // 4
+    size = np.dtype(width).itemsize
+    lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype("int64") // size
     offsets = np.frombuffer(column.buffers()[1], "<i4")[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
-    flat = np.frombuffer(data, "<u4", (offsets[-1] - offsets[0]) // 4, offsets[0]) if data is not None and len(column) else np.empty(0, "<u4")
+    flat = np.frombuffer(data, width, (offsets[-1] - offsets[0]) // size, offsets[0]) if data is not None and len(column) else np.empty(0, width)
     return flat, lengths
 
 
-def ranked_vocabulary(tokens: DataFrame) -> np.ndarray:
+def ranked_vocabulary(tokens: DataFrame, width: str) -> np.ndarray:
     """The ids met, by falling count over all documents, ties by id: one partial count vector a task,
     summed by Spark, so the driver gets a row for each id of the vocabulary."""
 
     def count(batches):
         total = np.zeros(0, "int64")
         for batch in batches:
-            got = np.bincount(_flat(batch.column(0))[0])
+            got = np.bincount(_flat(batch.column(0), width)[0])
             if len(got) > len(total):
                 total, got = got.astype("int64"), total
             total[:len(got)] += got
@@ -271,8 +356,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
     other by id count and content, and a hot doc_id is spread over files like any others, because the
     order goes on to a row number. An empty table writes no file."""
     spark: SparkSession = docs.sparkSession
-    tokens = stored(token_ids(docs, tokenizer, end_id), "tokens")
-    ids = ranked_vocabulary(tokens)
+    width = id_width(tokenizer, end_id)
+    tokens = stored(token_ids(docs, tokenizer, end_id, width), "tokens")
+    ids = ranked_vocabulary(tokens, width)
     folder = scratch_path(spark, "token-files")
     vocabulary = f"{folder}/vocabulary.u32"
     files, at = _place(folder)
@@ -296,7 +382,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
                 files, at = _place(folder)
                 files.create_dir(at, recursive=True)
                 writer = Writer(files.open_output_stream(f"{at}/{name}"))
-            flat, lengths = _flat(batch.column(1))
+            flat, lengths = _flat(batch.column(1), width)
             writer.add(batch.column(0).to_pylist(), lengths, codes[flat])
         if writer:
             n_docs, n_tokens, n_bytes = writer.close()

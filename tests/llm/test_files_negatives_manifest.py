@@ -100,7 +100,7 @@ def test_token_files_with_null_repeated_and_clashing(spark):
 
 def test_ranks_follow_counts(spark):
     tokens = spark.createDataFrame([(np.array(x, "<u4").tobytes(),) for x in ([5, 5, 9], [9, 300000], [], [9, 5, 1])], "ids binary")
-    assert token_files.ranked_vocabulary(tokens).tolist() == [5, 9, 1, 300000]
+    assert token_files.ranked_vocabulary(tokens, "<u4").tolist() == [5, 9, 1, 300000]
 
 
 # ---- hard negatives ---------------------------------------------------------------------------------------
