@@ -36,7 +36,7 @@ END_ID = 2
 #: ids in a block
 BLOCK = 1 << 16
 #: bytes of text that a task tokenizes at once, on average
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
 #: the rank table travels to the tasks; a larger vocabulary is an error
 MAX_VOCABULARY = 1 << 22
 MAGIC = b"BFTOKEN1"
@@ -191,7 +191,7 @@ def open_file(path: str, vocabulary: str) -> Reader:
 PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,!?;:]?$"
 SIGNS = ".,!?;:"
 #: words whose ids a Python worker keeps
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
 
 
 def _gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
