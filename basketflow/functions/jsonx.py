@@ -93,14 +93,19 @@ def with_doc(df, payload: str = "payload", name: str = "_doc"):
     return df.select(F.inline(F.array(row)))
 
 
+#: follows the text inside the brackets of `strict_parse`
+END = "\u0007end"
+
+
 def strict_parse(text: Column | str) -> Column:
     """Parse text that must hold exactly one JSON value.
 
     ``parse_json`` stops after the first complete value and ignores what
-    follows (``{"a": 1} junk`` parses).  Wrapping the text in ``[...]`` makes
-    any trailing content a syntax error, and a second value an array of two,
-    so only a single well-formed value survives.
+    follows (``{"a": 1} junk`` parses, and so does ``[1]]``).  The text is put into an array
+    before a mark: trailing content is a syntax error or closes the array before the mark, and
+    a second value makes the array longer, so only a single well-formed value survives.
     """
     c = F.col(text) if isinstance(text, str) else text
-    arr = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(arr) == 1, F.element_at(arr, 1))
+    arr = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit(', "\\u0007end"]'))), "$", "array<variant>")
+    marked = (F.size(arr) == 2) & (F.try_variant_get(F.element_at(arr, -1), "$", "string") == F.lit(END))
+    return F.when(marked, F.element_at(arr, 1))

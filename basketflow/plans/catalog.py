@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -1172,6 +1173,55 @@ def q_src_import_json(spark, d):
     return _numbered(import_src.read_json(spark, path), "o_orderkey", 1)
 
 
+def _upload(df: DataFrame, path: str, line, first: str, between: str, last: str) -> str:
+    """Writes each partition as one text file: ``first``, its lines with ``between`` after all but the last one, ``last``."""
+    def framed(batches):
+        lead, held = first, None
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                if held is not None:
+                    yield pa.RecordBatch.from_pydict({"value": [lead + held + between]})
+                    lead = ""
+                held = value
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"value": [lead + held + last]})
+
+    df.select(line.alias("value")).mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+    return path
+
+
+@register("src_import_json_array", """
+SELECT o_orderkey AS key, true AS in_place, '[1, "' || chr(123) || '"] \\ ,' AS note FROM orders""")
+def q_src_import_json_array(spark, d):
+    """Uploaded JSON arrays (elements over several lines, commas and brackets in strings): every element once,
+    numbered from 1 in file order."""
+    o = lens.read(spark, d, "orders").select("o_orderkey", "o_totalprice").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    note = F.lit('[1, "{"] \\ ,')
+    line = F.to_json(F.struct("o_orderkey", "o_totalprice", note.alias("note"), F.array(F.struct(F.lit(1).alias("x"))).alias("list")), {"pretty": "true"})
+    path = _upload(o, scratch_path(spark, "upload-array.json"), line, "[", ",", "]")
+    rows = import_src.read_json(spark, path).withColumn("note", F.try_variant_get("row", "$.note", "string"))
+    place = F.row_number().over(Window.partitionBy("_file").orderBy(F.try_variant_get("row", "$.o_orderkey", "long")))
+    return rows.select(F.try_variant_get("row", "$.o_orderkey", "long").alias("key"), (F.col("row_number") == place).alias("in_place"), "note")
+
+
+@register("src_import_csv_quoted", """
+SELECT c_custkey AS key, c_name || chr(10) || 'says "so", twice' AS name,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END AS segment,
+       CASE WHEN c_custkey % 5 = 0 AND c_custkey % 7 <> 0 THEN '["more","' || c_custkey || '"]' END AS rest
+FROM customer""")
+def q_src_import_csv_quoted(spark, d):
+    """Uploaded CSV with line ends and quotes inside fields, short records and fields beyond the header."""
+    c = lens.read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").repartitionByRange(4, "c_custkey")
+    name = F.concat(F.lit('"'), "c_name", F.lit('\nsays ""so"", twice"'))
+    more = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit(",more,"), "c_custkey")).otherwise(F.lit(""))
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), name, F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(","), "c_mktsegment", more)))
+    path = _upload(c, scratch_path(spark, "upload-quoted.csv"), line, "key,name,segment\n", "", "")
+    rows = import_src.read_csv(spark, path)
+    text = lambda f: F.try_variant_get("row", f"$.{f}", "string").alias(f)
+    rest = F.try_variant_get("row", f"$['{import_src.REST}']", "variant")
+    return rows.select(text("key").cast("long").alias("key"), text("name"), text("segment"), F.when(rest.isNotNull(), F.to_json(rest)).alias("rest"))
+
+
 @register("import_replay", f"""
 SELECT 'driver-upload' AS batch_id,
        CASE WHEN count(*) = 0 OR count_if(c_custkey % 22 <> 0) = 0 THEN 'failed'

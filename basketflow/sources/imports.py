@@ -1,22 +1,21 @@
 """Uploaded import files → (row_number, row) with the original numbering.
 
-* CSV: a header is required; records are numbered from 2 (the header is 1);
-  a UTF-8 BOM is tolerated.
+* CSV: a header is required; records are numbered from 2 (the header is 1), blank
+  lines are no records; a UTF-8 BOM is tolerated.
 * JSON: the stripped file text is one JSON value — an array gives its
   elements numbered from 1, an object gives row 1, a scalar is an error —
   or else JSON Lines: one value per non-blank line, numbered by physical line
   of the stripped text; the first line that does not parse fails the whole
   batch, naming the line.
 
-Row numbers come from ``with_row_index``: per-(file, partition) counts are
-turned into offsets (one small aggregate: a row per file split) and added to
-each row's position inside its partition, so numbering never funnels the
-file through one task.  Only a whole-file JSON array/object (which cannot be
-split without a streaming parser) is read as one value per file.
+No file funnels through one task: arrays and quoted records are cut over byte splits
+(``json_splits``, ``csv_splits``), and line numbers come from ``with_row_index``, which turns
+per-(file, partition) counts into offsets (a row per file split).
 """
 
 from __future__ import annotations
 
+import functools
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,7 +23,10 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.jsonx import strict_parse
+from . import csv_splits, json_splits
 
+#: the key of what a CSV record has beyond its header
+REST = "null"
 ROW_MASK = (1 << 33) - 1
 
 
@@ -41,13 +43,13 @@ def detect_format(file_name: str) -> str:
     suffix = PurePath(file_name).suffix.lower()
     fmt = C.IMPORT_FORMATS.get(suffix)
     if not fmt:
-        raise ImportError_("IMPORT_UNSUPPORTED_FILE", "Supported import formats: .json, .jsonl, .ndjson, .csv.")
+        raise ImportError_("IMPORT_UNSUPPORTED_FILE", f"cannot import {suffix or 'a file without suffix'}: it must be one of {', '.join(C.IMPORT_FORMATS)}")
     return fmt
 
 
 def with_row_index(df: DataFrame, name: str = "_idx") -> DataFrame:
     """0-based position of each row inside its source file, in file order."""
-    base = df.select("*", F.input_file_name().alias("_file"), F.spark_partition_id().alias("_pid"),
+    base = df.select("*", F.col("_metadata.file_path").alias("_file"), F.spark_partition_id().alias("_pid"),
                      (F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_MASK))).alias("_rip"))
     stats = base.groupBy("_file", "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_rip").alias("_first"))
     w = Window.partitionBy("_file").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,80 +59,62 @@ def with_row_index(df: DataFrame, name: str = "_idx") -> DataFrame:
     return j.select(*df.columns, "_file", (F.col("_off") + F.col("_rip") - F.col("_first")).alias(name))
 
 
-def _spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether any quoted field runs over a line end: its line has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, row_number, row: variant): every column of the header as text; of columns with the same name the
+    last one counts. A record shorter than the header has null for what is missing; what a longer one has
+    beyond it is a list under ``null``. Files of one folder must share their header.
 
-
-def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
-    """(file, row_number, row: map<string,string>): every column of the header as text; of columns
-    with the same name the last one counts.
-
-    Files with one record per line are split across tasks. Quoted fields that span lines, which Spark
-    can only read one file per task, are looked for first unless ``multiline`` says. Files of one folder
-    must share their header."""
-    if multiline is None:
-        multiline = _spans_lines(spark, path)
-    ml = "true" if multiline else "false"
-    first = with_row_index(spark.read.text(path)).where("_idx = 0").select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("h")).distinct().limit(2).collect()
-    if len(first) > 1:
-        raise ImportError_("IMPORT_INVALID_CSV", "the files have different headers")
-    hdr = spark.read.option("header", "false").option("multiLine", ml).option("encoding", "UTF-8").csv(path).limit(1).collect()
-    names = [(v or "").lstrip("\ufeff") for v in hdr[0]] if hdr else []
-    if not any(names):
+    Records are cut over byte splits, quoted line ends included (`csv_splits`); a file is read twice."""
+    splits = csv_splits.file_splits(spark, path)
+    if not splits.agg(F.min((~F.col("blank_first")).cast("int"))).first()[0]:
         raise ImportError_("IMPORT_INVALID_CSV", "a CSV file starts with a header row")
-    df = (spark.read.option("header", "true").option("multiLine", ml).option("quote", '"')
-          .option("escape", '"').option("encoding", "UTF-8").csv(path))
-    df = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    idx = with_row_index(df)
-    place = {n: i for i, n in enumerate(names)}
-    row = F.map_from_arrays(F.array(*[F.lit(n) for n in place]),
-                            F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in place.values()]))
-    return idx.select("_file", (F.col("_idx") + 2).alias("row_number"),
-                      F.to_variant_object(row).alias("row"))
+    records = csv_splits.records(spark, path, splits)
+    headers = records.where("number = 1").select("fields").distinct().limit(2).collect()
+    if len(headers) > 1:
+        raise ImportError_("IMPORT_INVALID_CSV", "the files have different headers")
+    names = headers[0]["fields"]
+    fields, place = F.col("fields"), {n: i for i, n in enumerate(names)}
+    plain = [F.get(fields, F.lit(i)).alias(n) for n, i in place.items()]
+    rest = F.slice(fields, len(names) + 1, F.greatest(F.size(fields) - len(names), F.lit(0))).alias(REST)
+    longer = F.struct(*[c for n, c in zip(place, plain) if n != REST], rest)
+    row = F.when(F.size(fields) > len(names), F.to_variant_object(longer)).otherwise(F.to_variant_object(F.struct(*plain)))
+    return records.where("number > 1").select(F.col("file").alias("_file"), (F.col("number")).alias("row_number"), row.alias("row"))
+
+
+def _json_lines(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """(_file, row_number, row) of every line that is not blank in ``files``; the numbers are those of
+    the stripped text, which starts at the first such line."""
+    idx = with_row_index(spark.read.text(path)).join(files, "_file", "left_semi")
+    text = F.when(F.col("_idx") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    t = idx.select("_file", "_idx", text.alias("line"))
+    nonblank = t.where(F.length(F.trim(F.regexp_replace("line", r"(?U)\s", " "))) > 0)
+    first = nonblank.groupBy("_file").agg(F.min("_idx").alias("_first"))
+    return nonblank.join(first, "_file").select("_file", (F.col("_idx") - F.col("_first") + 1).alias("row_number"), strict_parse("line").alias("row"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row_number, row: variant).  Raises ``ImportError_`` on a scalar
-    document or a bad JSON line."""
-    lines = spark.read.text(path)
-    idx = with_row_index(lines)
-    text = F.when(F.col("_idx") == 0, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))
-    t = idx.select("_file", F.col("_idx"), text.alias("line"))
-    nonblank = t.where(F.length(F.trim(F.regexp_replace("line", r"(?U)\s", " "))) > 0)
-    # line numbers of the stripped text start at the first non-blank line
-    first = nonblank.groupBy("_file").agg(F.min("_idx").alias("_first"))
-    parsed = nonblank.join(first, "_file").select(
-        "_file", (F.col("_idx") - F.col("_first") + 1).alias("row_number"),
-        strict_parse("line").alias("row"))
-    stats = parsed.groupBy("_file").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(F.col("row").isNull(), F.col("row_number"))).alias("bad"),
-    ).collect()
-    if not stats:
-        return parsed.limit(0)
-    single = [r["_file"] for r in stats if r["n"] == 1 or r["bad"] is not None]
-    out = parsed.where(~F.col("_file").isin(single)) if single else parsed
-    if single:
-        whole = spark.read.text(path, wholetext=True).select(
-            F.input_file_name().alias("_file"), strict_parse(F.regexp_replace("value", "^﻿", "")).alias("doc")
-        ).where(F.col("_file").isin(single))
-        bad_files = {r["_file"]: r["bad"] for r in stats if r["bad"] is not None}
-        kinds = whole.select("_file", F.schema_of_variant("doc").alias("kind"), F.col("doc").isNull().alias("bad")) \
-            .collect()
-        for k in kinds:
-            if k["bad"]:
-                raise ImportError_("IMPORT_INVALID_JSON", f"line {bad_files.get(k['_file'], 1)} is no JSON")
-            if not (k["kind"].startswith("ARRAY") or k["kind"].startswith("OBJECT")):
-                raise ImportError_("IMPORT_INVALID_JSON",
-                                   "a JSON file holds an object, an array of objects or one object per line")
-        arrays = whole.select("_file", F.posexplode(F.try_variant_get("doc", "$", "array<variant>")))
-        arr = arrays.select("_file", (F.col("pos") + 1).alias("row_number"), F.col("col").alias("row"))
-        objs = whole.where(F.schema_of_variant("doc").startswith("OBJECT")).select(
-            "_file", F.lit(1).cast("long").alias("row_number"), F.col("doc").alias("row"))
-        out = out.unionByName(arr).unionByName(objs)
-    return out
+    """(_file, row_number, row: variant), written once. Raises ``ImportError_`` on a scalar document or a bad
+    JSON line; of several the first by file and line is named.
+
+    Whole arrays and objects are found and cut over byte splits (`json_splits`), all other files are lines."""
+    splits = json_splits.file_splits(spark, path)
+    kinds = {r["kind"] for r in splits.select("kind").distinct().collect()}
+    found = []
+    if kinds - {"other"}:
+        values = json_splits.values(spark, path, splits)
+        # text between the brackets that is no JSON fails the whole text, whose first line is none either
+        found.append(values.select(F.col("file").alias("_file"), F.col("number").alias("row_number"), strict_parse("text").alias("row"), F.lit(1).cast("long").alias("line"), F.lit(True).alias("whole")))
+    if "other" in kinds or not kinds:
+        files = splits.where("kind = 'other'").select(F.col("file").alias("_file")).distinct()
+        found.append(_json_lines(spark, path, files).select("_file", "row_number", "row", F.col("row_number").alias("line"), F.lit(False).alias("whole")))
+    rows = json_splits.written(functools.reduce(DataFrame.unionByName, found), "json-rows")
+    bad = rows.where("row IS NULL").agg(F.min(F.struct("_file", "line"))["line"]).first()[0]
+    if bad is not None:
+        raise ImportError_("IMPORT_INVALID_JSON", f"line {bad} is no JSON")
+    # a text of one line that is neither array nor object
+    if rows.where("NOT whole").groupBy("_file").count().where("count = 1").limit(1).count():
+        raise ImportError_("IMPORT_INVALID_JSON", "a JSON file holds an object, an array of objects or one object per line")
+    return rows.select("_file", "row_number", "row")
 
 
 def read_import(spark: SparkSession, path: str, file_name: str | None = None) -> DataFrame:

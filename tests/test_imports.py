@@ -94,7 +94,7 @@ def test_row_numbers_exact_across_many_splits(spark, tmpdir_path):
         got = {(r["row_number"], r["pid"]) for r in lines.selectExpr(
             "row_number", "try_variant_get(row, '$.purchase_id', 'string') AS pid").collect()}
         assert got == {(i, f"p{i}") for i in range(1, n + 1)}
-        rows = src.read_csv(spark, csvp, multiline=False)
+        rows = src.read_csv(spark, csvp)
         got = {(r["row_number"], r["pid"]) for r in rows.selectExpr(
             "row_number", "try_variant_get(row, '$.purchase_id', 'string') AS pid").collect()}
         assert got == {(i + 1, f"p{i}") for i in range(1, n + 1)}
