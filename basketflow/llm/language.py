@@ -9,6 +9,7 @@ softmax temperature. The model is a matrix of `BUCKETS` x languages and applied
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import table
+from basketflow.llm.common import stored, table
 
 BUCKETS = 1 << 15
 #: documents of a language in the fitting sample, on average (the documented bound of the fit)
@@ -110,11 +111,14 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(BUCKETS, dtype="int64")
-    inner = rows[rows["bucket"] >= 0]
-    df[inner["bucket"].to_numpy()] = inner["n"].to_numpy()
-    return int(rows.loc[rows["bucket"] < 0, "n"].sum()), df
+    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    df, total = np.zeros(BUCKETS, dtype="int64"), 0
+    for bucket, n in rows:
+        if bucket < 0:
+            total = n
+        else:
+            df[bucket] = n
+    return total, df
 
 
 def _scaled(at: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -123,23 +127,23 @@ def _scaled(at: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / norm if norm else x
 
 
-def sample(docs: DataFrame, per_lang: int, salt: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """About ``per_lang`` documents of each language, picked by a hash of the document id, as
-    features (never texts) in a fixed order."""
+def sample(docs: DataFrame, per_lang: int, salt: int) -> DataFrame | None:
+    """About ``per_lang`` documents of each language, picked by a hash of the document id, as features (never
+    texts): salt, lang, roll, at, tf. None without documents."""
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return []
+        return None
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))]), F.col("lang"))
     roll = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def extract(batches):
         for batch in batches:
-            got = [(at.tolist(), tf.tolist()) for _, text in _batched(batch, 1) for at, tf in [features(text)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array([b for _, b in got], pa.list_(pa.int32()))], names=["lang", "roll", "at", "tf"])
+            got = [features(text) for _, text in _batched(batch, 1)]
+            lists = [pa.array([x[i].astype("int32") for x in got], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([salt] * len(got), pa.int32()), batch.column(0), batch.column(2), *lists], names=["salt", "lang", "roll", "at", "tf"])
 
-    rows = docs.withColumn("roll", roll).filter(F.col("roll") < share).select("lang", "text", "roll").mapInArrow(extract, "lang string, roll double, at array<int>, tf array<int>").toPandas()
-    rows = rows[[len(a) > 0 for a in rows["at"]]].sort_values(["roll", "lang"])
-    return [(r.lang, np.asarray(r.at, "int64"), np.asarray(r.tf, "int64")) for r in rows.itertuples()]
+    picked = docs.withColumn("roll", roll).filter(F.col("roll") < share).select("lang", "text", "roll")
+    return picked.mapInArrow(extract, "salt int, lang string, roll double, at array<int>, tf array<int>").filter(F.size("at") > 0)
 
 
 def fit_ftrl(rows: list, langs: list[str], idf: np.ndarray) -> np.ndarray:
@@ -174,16 +178,33 @@ def train(docs: DataFrame) -> Model | None:
     if not total:
         return None
     idf = np.log((1 + total) / (1 + df)) + 1
-    rows = sample(docs, SAMPLE_PER_LANG, 1)
-    langs = sorted({x for x, _, _ in rows})
-    if not langs:
-        return None
-    w = fit_ftrl(rows, langs, idf)
-    held = [(x, _scaled(at, tf, idf) @ w[at]) for x, at, tf in sample(docs, CALIBRATE_PER_LANG, 2) if x in langs]
-    held = held or [(x, _scaled(at, tf, idf) @ w[at]) for x, at, tf in rows]
-    scores, truth = np.array([s for _, s in held]), np.array([langs.index(x) for x, _ in held])
+    picked = stored(sample(docs, SAMPLE_PER_LANG, 1).unionByName(sample(docs, CALIBRATE_PER_LANG, 2)), "language-sample")
+
+    def fit(batches):
+        rows = {1: [], 2: []}
+        for batch in batches:
+            salts, langs, rolls = (batch.column(i).to_pylist() for i in range(3))
+            for salt, lang, roll, at, tf in zip(salts, langs, rolls, batch.column(3), batch.column(4)):
+                rows[salt].append((roll, lang, at.values.to_numpy(), tf.values.to_numpy()))
+        fitted, held = ([x[1:] for x in sorted(rows[salt], key=lambda x: x[:2])] for salt in (1, 2))
+        langs = sorted({x for x, _, _ in fitted})
+        if langs:
+            w = fit_ftrl(fitted, langs, idf)
+            model = Model(langs, idf, w, temperature(fitted, held, langs, idf, w))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task fits on the bounded sample; the driver gets the model only
+    fitted = picked.coalesce(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(bytes(fitted[0]["model"])) if fitted else None
+
+
+def temperature(fitted: list, held: list, langs: list[str], idf: np.ndarray, w: np.ndarray) -> float:
+    """The softmax temperature with the least loss on the held rows (on the fitted ones, if there are none)."""
+    scored = [(x, _scaled(at, tf, idf) @ w[at]) for x, at, tf in held if x in langs]
+    scored = scored or [(x, _scaled(at, tf, idf) @ w[at]) for x, at, tf in fitted]
+    scores, truth = np.array([s for _, s in scored]), np.array([langs.index(x) for x, _ in scored])
     loss = [-np.log(_softmax(scores / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in TEMPERATURES]
-    return Model(langs, idf, w, TEMPERATURES[int(np.argmin(loss))])
+    return TEMPERATURES[int(np.argmin(loss))]
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
@@ -191,14 +212,14 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     best language (ties: the first in order); ``und`` and 0 for a null text or one without a letter."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    fields = [docs.schema[c] for c in keep]
+    text_at = keep.index("text") if "text" in keep else len(keep)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def classify(batches):
         m = shared.value
         for batch in batches:
             langs, scores = [], []
-            for _, text in _batched(batch, len(fields)):
+            for _, text in _batched(batch, text_at):
                 at, tf = features(text) if m else (np.empty(0, "int64"), None)
                 if not len(at):
                     langs.append("und")
@@ -207,9 +228,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 p = _softmax(_scaled(at, tf, m.idf) @ m.weights[at] / m.temperature)
                 langs.append(m.langs[int(p.argmax())])
                 scores.append(float(min(1.0, p.max())))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(fields))], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text_for_language")).mapInArrow(classify, schema)
+    asked = [*keep] if "text" in keep else [*keep, F.col("text").alias("_text_for_language")]
+    return docs.select(*asked).mapInArrow(classify, schema)
 
 
 def held_out() -> Column:
