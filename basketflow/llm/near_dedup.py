@@ -11,9 +11,10 @@ star-shaped candidate edges, exact confirmation on full shingle sets, and connec
    done leaves the bucket; buckets whose other members are not all in one component go another
    round. Before the second, members leave that cannot reach the similarity with anyone, because too
    many of their shingles are in no other open member; then a bucket finishes with the pairs of its
-   few members outside its largest component, as far as sizes and shared shingles allow a pair
-   (a bucket with too many of them goes on with hubs). So no bucket is capped, and no link between
-   two components is missed by the star shape.
+   few members outside its largest component, as far as sizes, shared shingles and parity
+   signatures (two sets differ in at least as many shingles as their signatures do in bits) allow a
+   pair (a bucket with too many of them goes on with hubs). So no bucket is capped, and no link
+   between two components is missed by the star shape.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ MISSED = 1e-6
 SMALL_BUCKET = 3
 #: after the first round, the most size comparisons (not pairs) that finish a bucket at once
 COMPARISONS = 4_000_000
+#: bits of the parity signature that rules out most unlike pairs before they are made
+PARITY = 1024
 
 
 def bands_for(similar: int) -> int:
@@ -73,7 +76,7 @@ def band_keys(sets: list[np.ndarray], n_bands: int) -> np.ndarray:
     return keys.view("int64")
 
 
-def _texts(batch, column: int, most: int = 4_000_000):
+def _texts(batch, column: int, most: int = 1_000_000):
     """Positions and UTF-8 bytes of a batch's texts, some megabytes at a time; null is empty."""
     at, got, size = [], [], 0
     for i, x in enumerate(batch.column(column)):
@@ -141,6 +144,25 @@ def lone_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
     return held.filter("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
 
 
+def parities(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, parity: one bit for each of `PARITY` residues, whether an odd number of the member's shingles have it.
+    The bits in which two members differ are at most as many as the shingles that only one of them has."""
+    asked = sets.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "shingles")
+
+    def fold(batches):
+        for batch in batches:
+            got = [np.packbits(np.bincount(x.values.to_numpy() & (PARITY - 1), minlength=PARITY) & 1 == 1).view("int64") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["rep", "parity"])
+
+    return stored(asked.mapInArrow(fold, "rep long, parity array<long>"), "parity")
+
+
+def _differ(a: str, b: str):
+    """At least so many shingles are in one of two members only."""
+    bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda n, x: n + x)
+
+
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
@@ -161,7 +183,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
 
     # `e`: the shingles that some other document still in question has too; no pair has more in common
     buckets = buckets.withColumn("e", F.col("n"))
-    edges = labels = done = None
+    edges = labels = done = parity = None
     while True:
         # members with their present component; a bucket goes on while it holds more than one
         now = buckets.withColumn("label", F.col("rep"))
@@ -185,9 +207,13 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
         # two members meet in several buckets: the first one counts
         met = ending.groupBy("rep").agg(F.collect_set("key").alias("keys"))
         ending = ending.join(met, "rep")
-        other = ending.select("key", *[F.col(c).alias(c + "2") for c in ("rep", "n", "e", "label", "keys")])
+        if done is not None:
+            ending = ending.join(parity, "rep")
+        other = ending.select(F.col("key"), *[F.col(c).alias(c + "2") for c in ending.columns if c not in ("key", "main")])
         once = (F.col("label2") == F.col("main")) | (F.col("rep") < F.col("rep2"))
         able = (F.col("label") != F.col("label2")) & _could(F.least("e", "e2"), "n", F.col("n2"), similar)
+        if done is not None:
+            able &= _could(F.floor((F.col("n") + F.col("n2") - _differ("parity", "parity2")) / 2), "n", F.col("n2"), similar)
         first = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
         rest = ending.filter("label != main").join(other, "key").filter(once & able & first)
         pairs = star.unionByName(rest.select(F.col("rep").alias("u"), F.col("rep2").alias("v")))
@@ -200,7 +226,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
         labels = components(edges)
         buckets = now.filter(~F.col("few") & (F.col("rep") != -F.col("hub.first"))).select("key", "rep", "n", "central", "e")
         if done is None:
-            alone = lone_shingles(buckets, sets)
+            alone, parity = lone_shingles(buckets, sets), parities(buckets, sets)
             buckets = stored(buckets.drop("e").join(alone, "rep", "left").select("key", "rep", "n", "central", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("e")), "left")
         done = pairs if done is None else done.unionByName(pairs)
 

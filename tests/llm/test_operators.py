@@ -72,6 +72,38 @@ def test_sharding_replaces_clashing_columns(spark):
         sharding.shard_rows(df, ["doc_id"], 0)
 
 
+# ---- near duplicates: pairs of unlike members of one bucket -----------------------------------------
+
+def test_parity_never_exceeds_the_difference(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(3)
+    base = rng.integers(-2**62, 2**62, 300)
+    sets = [base, np.concatenate([base[:250], rng.integers(-2**62, 2**62, 60)]), base[:1], rng.integers(-2**62, 2**62, 5000), np.empty(0, "int64")]
+    df = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sets)], "id long, shingles array<long>")
+    got = near_dedup.parities(df.select(F.col("id").alias("rep")), df)
+    pairs = got.alias("a").crossJoin(got.alias("b")).select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"), near_dedup._differ("a.parity", "b.parity").alias("d")).collect()
+    for r in pairs:
+        true = len(set(sets[r.x].tolist()) ^ set(sets[r.y].tolist()))
+        assert r.d <= true and (r.d > 0.8 * true or true > 200)
+
+
+def test_templated_documents_make_few_pairs(spark, monkeypatch):
+    """Documents of one template with lines from a shared pool are alike, but none is a near duplicate."""
+    rng = random.Random(11)
+    pool = [prose(9, rng) for _ in range(60)]
+    common = [prose(40, rng) for _ in range(7)]
+    texts = ["\n".join(common + rng.sample(pool, 6)) for _ in range(250)]
+    seen = []
+    confirmed = near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *a: (seen.append(pairs.count()), confirmed(pairs, *a))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 85).collect()}
+    shingled = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = [(i, j) for i in range(250) for j in range(i) if 100 * len(shingled[i] & shingled[j]) >= 85 * len(shingled[i] | shingled[j])]
+    assert all(got[i] == got[j] for i, j in alike) and len(set(got.values())) >= 250 - len(alike)
+    assert sum(seen) <= 20 * len(texts)
+
+
 # ---- packing ---------------------------------------------------------------------------------------
 
 def test_differencing_is_balanced():
