@@ -68,6 +68,12 @@ def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     return docs.withColumnsRenamed({c: free for free, c in back.items()}), back
 
 
+def bounded_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Rows travel to Python workers in batches of so many bytes (one row at least): a batch of whole texts is
+    held several times on its way, and its rows alone are no bound."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Marks ``df`` for broadcast only while its counted ``rows`` stay within ``limit``; beyond it
     the join shuffles."""
