@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import set_aside, stored, table
+from basketflow.llm.common import bounded_batches, release, set_aside, stored, table
 from basketflow.llm.decontaminate import contaminated
 from basketflow.llm.language import held_out, predict, train
 from basketflow.llm.near_dedup import near_duplicates
@@ -25,6 +25,7 @@ SIMILAR = 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (no letter, no text) and those whose best language is not
     even likely. A missing ``lang`` is filled in; a given one stays."""
+    bounded_batches(spark)
     docs, names = set_aside(docs, "lang_pred", "score", "_text_for_language")
     model = train(docs.filter(~held_out()))
     got = predict(docs, model, docs.columns)
@@ -36,6 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document (the smallest doc_id) of each near-duplicate component, once."""
+    bounded_batches(spark)
     docs, names = set_aside(docs, "_kept_id", "_text_key")
     kept = near_duplicates(docs.select("doc_id", "text"), SIMILAR).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
@@ -44,6 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    bounded_batches(spark)
     docs, names = set_aside(docs, "_bad_id", "_bad_key")
     bad = contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("doc_key").alias("_bad_key")).distinct()
@@ -52,11 +55,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every span of personal data by its kind."""
+    bounded_batches(spark)
     return redacted(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenized pieces with their sequence and offset."""
+    bounded_batches(spark)
     return pack(document_pieces(docs, tokenizer_path()))
 
 
@@ -76,4 +81,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark)
     return docs
