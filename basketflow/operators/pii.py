@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import pii as X
+from ..functions.json_text import rewrite_members
 
 PII_ENTITIES = ("customers", "purchases")
 
@@ -92,6 +93,16 @@ def phone_report_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("entity").agg(F.count(F.lit(1)).alias("unnormalized"))
 
 
+def hash_any_json(df: DataFrame, text_col: str, salt: str, keys=("email", "phone")) -> DataFrame:
+    """JSON text with every string member named ``email`` or ``phone`` hashed, at any depth and without a schema:
+    unknown fields, maps and arrays are searched like any others, and all else stays byte for byte.
+
+    Any JSON value will do; null text stays null. Text that is no JSON fails the job without showing it, so nothing
+    passes in clear. Strings of an array under such a name are not members and stay, as in the original."""
+    X.check_salt(salt)
+    return rewrite_members(df, text_col, {k: lambda value, k=k: _hash_leaf(k, value, salt) for k in keys})
+
+
 class UnknownFieldsError(ValueError):
     """Documents carry fields the declared schema does not know; hashing them
     through the schema would drop them (or let PII pass unhashed)."""

@@ -454,11 +454,19 @@ r AS (
     return "WITH RECURSIVE" + w[len("WITH"):] + body
 
 
+def _written_log(spark, d) -> DataFrame:
+    """The quality log of all entities, written once: its readers do not rebuild it."""
+    log = quality_log(spark, d)
+    path = scratch_path(spark, "quality-log")
+    log.write.parquet(path)
+    return spark.read.schema(log.schema).parquet(path)
+
+
 @register("alert_replay", _replay_sql(ALERT_THRESHOLD, C.ALERT_COOLDOWN_MINUTES) + """
 SELECT entity, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, duplicates_ratio, CAST(fired AS INTEGER) AS fired
 FROM r""")
 def q_alert_replay(spark, d):
-    r = alerts.replay(quality_log(spark, d), ALERT_THRESHOLD, C.ALERT_COOLDOWN_MINUTES)
+    r = alerts.replay(_written_log(spark, d), ALERT_THRESHOLD, C.ALERT_COOLDOWN_MINUTES)
     return r.withColumn("event_time", ts_text("event_time"))
 
 
@@ -476,7 +484,7 @@ def q_alert_duplicates_ratio(spark, d):
     """The online rule run ten minutes after the last snapshot, with the
     replayed events as the event log: entities alerted inside the cooldown
     stay silent."""
-    log = quality_log(spark, d)
+    log = _written_log(spark, d)
     events = alerts.replay(log, ALERT_THRESHOLD).where("fired = 1").select(
         F.lit(C.ALERT_RULE_NAME).alias("rule_name"), "entity", F.col("event_time").alias("created_at"))
     latest_rows = log.groupBy("entity").agg(
@@ -1272,8 +1280,7 @@ def q_alert_replay_stream(spark, d):
     """The alert rule as a stateful stream over the quality log (state: last
     fired time per entity), fed in time-ordered files, read back."""
     log_dir = scratch_path(spark, "qlog")
-    log = quality_log(spark, d).select("entity", "event_time", "duplicates_ratio")
-    log = log.checkpoint(eager=True)  # the log is written year by year below: compute it once
+    log = _written_log(spark, d).select("entity", "event_time", "duplicates_ratio")
     # the log arrives in time order: one file per year, appended in sequence
     # (a year of daily snapshots is a few thousand rows)
     years = sorted(r[0] for r in log.select(F.year("event_time")).distinct().collect())
@@ -1288,6 +1295,31 @@ def q_alert_replay_stream(spark, d):
     return spark.read.parquet(out).withColumn("event_time", ts_text("event_time"))
 
 
+@register("alert_replay_stream_late", _replay_sql(ALERT_THRESHOLD, C.ALERT_COOLDOWN_MINUTES) + """
+SELECT entity, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, duplicates_ratio, CAST(fired AS INTEGER) AS fired
+FROM r""")
+def q_alert_replay_stream_late(spark, d):
+    """The alert rule over a log that arrives out of order: snapshots wait in the state until the watermark has
+    passed them; a clock row at the end moves it past the last one."""
+    log_dir = scratch_path(spark, "qlog-late")
+    log = _written_log(spark, d).select("entity", "event_time", "duplicates_ratio")
+    log.repartition(3, F.xxhash64("entity", "event_time")).write.parquet(log_dir)
+    src = spark.readStream.schema("entity string, event_time timestamp, duplicates_ratio double").option("maxFilesPerTrigger", "2").parquet(log_dir)
+    out, ck = scratch_path(spark, "alerts-late"), scratch_path(spark, "ck-alerts-late")
+
+    def drain():
+        q = stream_alerts.alert_stream_late(src, "3660 days", ALERT_THRESHOLD).writeStream.format("parquet").outputMode("append") \
+            .option("checkpointLocation", ck).trigger(availableNow=True).start(out)
+        ingest.run_available(q)
+
+    drain()
+    clock = F.max("event_time") + F.expr("INTERVAL 7400 DAYS")
+    log.agg(clock.alias("event_time")).select(F.lit(stream_alerts.CLOCK).alias("entity"), "event_time", F.lit(None).cast("double").alias("duplicates_ratio")) \
+        .write.mode("append").parquet(log_dir)
+    drain()
+    return spark.read.parquet(out).withColumn("event_time", ts_text("event_time"))
+
+
 _CONTACT_SCHEMA = ("customer_id string, email string, phone string, purchase_location struct<store_id: string>")
 
 
@@ -1301,3 +1333,19 @@ def q_pii_hash_json(spark, d):
     out = pii.hash_json_documents(docs, "payload", schema, SALT)
     j = F.from_json("payload", schema)
     return out.select(j["customer_id"].alias("customer_id"), j["email"].alias("email"), j["phone"].alias("phone"))
+
+
+@register("pii_hash_any_json", _contacts_sql(
+    f"SELECT customer_id, email_hash AS email, phone_hash AS phone, email_hash AS inner_email FROM ({_HASH_SQL})"))
+def q_pii_hash_any_json(spark, d):
+    """Contact documents of no declared schema (the contact in a list in a map under the customer's own key) hashed at
+    any depth, read back from the output text."""
+    docs = lens.customer_contact_documents(spark, d).select("doc", F.col("doc.customer_id").alias("id"))
+    inner = F.array(F.struct(F.create_map(F.concat(F.lit('a "key" of '), "id"), F.struct(F.col("doc.email").alias("email"))).alias("by")))
+    payload = F.to_json(F.struct("id", F.col("doc").alias("contact"), inner.alias("list")), {"ignoreNullFields": "false"})
+    out = pii.hash_any_json(docs.select(payload.alias("payload")), "payload", SALT)
+    v = F.try_parse_json("payload")
+    by = F.from_json(F.to_json(F.try_variant_get(v, "$.list[0].by", "variant")), "map<string,struct<email:string>>")
+    text = lambda path, name: F.try_variant_get(v, path, "string").alias(name)
+    return out.select(text("$.id", "customer_id"), text("$.contact.email", "email"), text("$.contact.phone", "phone"),
+                      F.element_at(F.map_values(by), 1)["email"].alias("inner_email"))

@@ -73,3 +73,75 @@ def test_json_documents_unknown_fields_fail(spark):
     with pytest.raises(pii.UnknownFieldsError) as ei:
         pii.hash_json_documents(bad, "payload", schema, SALT)
     assert "contacts[].email2" in str(ei.value) and "leak@x" not in str(ei.value)
+
+
+def _brute(value):
+    """The rule on a parsed document."""
+    if isinstance(value, dict):
+        out = {}
+        for k, v in value.items():
+            if k == "email" and isinstance(v, str):
+                v = v.strip().lower()
+                out[k] = hashlib.sha256(f"{SALT}:{v}".encode()).hexdigest() if v else ""
+            elif k == "phone" and isinstance(v, str):
+                out[k] = ("phone", v)
+            else:
+                out[k] = _brute(v)
+        return out
+    return [_brute(v) for v in value] if isinstance(value, list) else value
+
+
+def _random_value(rng, depth=0):
+    kind = rng.randint(0, 9 if depth < 4 else 5)
+    if kind < 4:
+        return "".join(rng.choice(['a', "B", '"', "\\", ":", ",", " ", "é", "\n", "{", "]", "@", "/"]) for _ in range(rng.randint(0, 8)))
+    if kind < 6:
+        return rng.choice([None, True, 5, -0.5])
+    if kind < 7:
+        return [_random_value(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+    names = rng.sample(["email", "phone", "Email", "e", 'x"email', "email\\", "emails", "", "m:"], rng.randint(0, 5))
+    return {n: _random_value(rng, depth + 1) for n in names}
+
+
+def test_any_json_is_hashed_without_a_schema(spark):
+    import json
+    import random
+    rng = random.Random(4)
+    docs = [_random_value(rng) for _ in range(400)]
+    texts = [json.dumps(d, ensure_ascii=i % 2 == 0, indent=[None, 1][i % 3 == 0]) for i, d in enumerate(docs)]
+    texts.append('{"e\\u006dail" : "A@B.C", "x": {"phone"\n:\t"8 (999) 123-45-67"}, "list": [{"email": "q@r.s"}], "n": {"email": ["z@z.z"]}}')
+    docs.append(json.loads(texts[-1]))
+    texts.append('{"t": "' + "y" * 300_000 + "\\\\" * 20_000 + '", "email": " L@M.N "}')
+    docs.append(json.loads(texts[-1]))
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, payload string").withColumn("_json_parts", F.lit(1))
+    rows = {r["i"]: r for r in pii.hash_any_json(df, "payload", SALT).collect()}
+    assert rows[-1]["payload"] is None and rows[0]["_json_parts"] == 1
+    phones, expected = {}, [_brute(d) for d in docs]
+
+    def walk(e, g):
+        if isinstance(e, tuple):
+            phones.setdefault(e[1], g)
+            assert phones[e[1]] == g and (g == "" or len(g) == 64)
+        elif isinstance(e, dict):
+            assert list(e) == list(g)
+            for k in e:
+                walk(e[k], g[k])
+        elif isinstance(e, list):
+            assert len(e) == len(g)
+            for a, b in zip(e, g):
+                walk(a, b)
+        else:
+            assert e == g
+
+    for i, e in enumerate(expected):
+        walk(e, json.loads(rows[i]["payload"]))
+    probe = spark.createDataFrame([(p,) for p in phones], "p string").select("p", X.hash_value(X.normalize_phone("p").getField("value"), SALT).alias("h"))
+    assert {r["p"]: r["h"] for r in probe.collect()} == phones and len(phones) > 20
+
+
+@pytest.mark.parametrize("text", ["", "{", '{"email": "a@b.c"', '{"email": "a@b.c"} x', '{"a": "\x01"}', "[1]]", '{"email": "a@b.c",}'])
+def test_text_that_is_no_json_fails_without_being_shown(spark, text):
+    df = spark.createDataFrame([(text,)], "payload string")
+    with pytest.raises(Exception) as e:
+        pii.hash_any_json(df, "payload", SALT).collect()
+    assert "no JSON value" in str(e.value) and "a@b" not in str(e.value).split("== SQL")[0].split("JVM stacktrace")[0]

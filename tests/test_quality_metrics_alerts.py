@@ -1,4 +1,6 @@
 import datetime as dt
+
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -93,3 +95,45 @@ def test_alert_stream_keeps_cooldown_across_batches(spark):
     ingest.run_available(q)
     fired = [r["fired"] for r in spark.read.parquet(out).orderBy("event_time").collect()]
     assert fired == [1, 0, 1, 0, 1]     # minute 20 is 20 > 15 after the fire at 0; 50 is 30 after 20
+
+
+def _brute_replay(rows, threshold, minutes):
+    fired, last = [], {}
+    for e, t, r in sorted(rows, key=lambda x: (x[0], x[1])):
+        hit = r is not None and r > threshold and (e not in last or t == last[e] or t - last[e] > dt.timedelta(minutes=minutes))
+        if hit:
+            last[e] = t
+        fired.append((e, t, r, int(hit)))
+    return sorted(fired, key=str)
+
+
+@pytest.mark.parametrize("n,entities,days,minutes", [(400, 3, 20, 60), (200, 1, 90, 4000), (150, 2, 1, 1)])
+def test_alert_replay_follows_chains_over_days(spark, n, entities, days, minutes):
+    import random
+    rng = random.Random(n)
+    rows = [(f"e{rng.randrange(entities)}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(days * 86400) // 60 * 60), rng.choice([0.1, 0.6, 0.9, None])) for _ in range(n)]
+    schema = "entity string, event_time timestamp, duplicates_ratio double"
+    got = alerts.replay(spark.createDataFrame(rows, schema), 0.5, minutes).collect()
+    assert sorted(map(tuple, got), key=str) == _brute_replay(rows, 0.5, minutes)
+    odd = spark.createDataFrame([(None, dt.datetime(2024, 1, 1), 0.9), ("z", None, 0.9)], schema)
+    assert [r.fired for r in alerts.replay(odd, 0.5, minutes).collect()] == [0, 0]
+    assert alerts.replay(odd.limit(0), 0.5, minutes).count() == 0
+
+
+def test_alert_stream_late_equals_the_replay_after_restarts(spark):
+    import random
+    from basketflow.session import scratch_path
+    from basketflow.streaming import alerts as sa, ingest
+    rng, t0, schema = random.Random(8), dt.datetime(2025, 1, 1), "entity string, event_time timestamp, duplicates_ratio double"
+    rows = [(f"e{m % 2}", t0 + dt.timedelta(minutes=m), rng.choice([0.1, 0.9])) for m in range(0, 240, 3)]
+    src, out, ck = (scratch_path(spark, f"t-late-{x}") for x in ("src", "out", "ck"))
+    # up to half an hour out of order, over several runs of the query; then one that is far too late, then the clock
+    jumbled = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rng.randint(0, 25)))
+    late = ("e0", t0 - dt.timedelta(days=1), 0.95)
+    clock = (sa.CLOCK, t0 + dt.timedelta(days=2), None)
+    for batch in (jumbled[:25], jumbled[25:60], jumbled[60:], [clock], [late], [(sa.CLOCK, t0 + dt.timedelta(days=3), None)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        ingest.run_available(sa.alert_stream_late(stream, "30 minutes", 0.5, 15).writeStream.format("parquet").outputMode("append")
+                             .option("checkpointLocation", ck).trigger(availableNow=True).start(out))
+    assert sorted(map(tuple, spark.read.parquet(out).collect()), key=str) == _brute_replay(rows, 0.5, 15)
