@@ -357,7 +357,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
     order goes on to a row number. An empty table writes no file."""
     spark: SparkSession = docs.sparkSession
     width = id_width(tokenizer, end_id)
-    tokens = stored(token_ids(docs, tokenizer, end_id, width), "tokens")
+    path = scratch_path(spark, "tokens")
+    tokens = token_ids(docs, tokenizer, end_id, width)
+    tokens.write.option("compression", "zstd").parquet(path)
+    tokens = spark.read.schema(tokens.schema).parquet(path)
     ids = ranked_vocabulary(tokens, width)
     folder = scratch_path(spark, "token-files")
     vocabulary = f"{folder}/vocabulary.u32"
