@@ -36,7 +36,7 @@ SCHEMA = [
 ]
 
 
-def _dup_key(entity: str):
+def dup_key(entity: str):
     if entity == "purchase_items":
         # lines are keyed by (purchase, product)
         return F.concat_ws("|", F.col("purchase_id"), F.col("product_id"))
@@ -50,19 +50,23 @@ def quality(entity: str, fields: DataFrame, as_of, event_time=None, ids: C.IdPat
     agg = n.agg(
         F.count(F.lit(1)).alias("total_rows_raw"),
         F.count_if(P.is_valid(entity, as_of_col(as_of), ids)).alias("inserted_rows_mart"),
-        F.count_distinct(_dup_key(entity)).alias("_distinct"),
+        F.count_distinct(dup_key(entity)).alias("_distinct"),
     )
     t = as_of_col(event_time if event_time is not None else as_of)
-    dup = F.col("total_rows_raw") - F.col("_distinct")
-    return agg.select(
-        t.alias("event_time"),
-        F.lit(entity).alias("entity"),
-        F.col("total_rows_raw").cast("long").alias("total_rows_raw"),
-        F.col("inserted_rows_mart").cast("long").alias("inserted_rows_mart"),
-        (F.col("total_rows_raw") - F.col("inserted_rows_mart")).cast("long").alias("invalid_rows"),
+    return counters(agg, F.lit(entity), t, "total_rows_raw", "inserted_rows_mart", "_distinct")
+
+
+def counters(df: DataFrame, entity, event_time, total: str, valid: str, distinct: str) -> DataFrame:
+    """Quality rows from counts of all rows, valid rows and distinct ids."""
+    n, dup = F.col(total), F.col(total) - F.col(distinct)
+    return df.select(
+        event_time.alias("event_time"),
+        entity.alias("entity"),
+        n.cast("long").alias("total_rows_raw"),
+        F.col(valid).cast("long").alias("inserted_rows_mart"),
+        (n - F.col(valid)).cast("long").alias("invalid_rows"),
         dup.cast("long").alias("duplicates_rows"),
-        F.when(F.col("total_rows_raw") == 0, F.lit(0.0))
-        .otherwise(dup / F.col("total_rows_raw")).alias("duplicates_ratio"),
+        F.when(n == 0, F.lit(0.0)).otherwise(dup / n).alias("duplicates_ratio"),
     )
 
 
@@ -159,7 +163,7 @@ def history(entity: str, fields: DataFrame, ids: C.IdPatterns = C.RETAIL_IDS) ->
     rows = n.select(
         F.to_date("ingested_at").alias("day"),
         F.coalesce(P.is_valid(entity, F.col("ingested_at"), ids), F.lit(False)).alias("_valid"),
-        _dup_key(entity).alias("_key"),
+        dup_key(entity).alias("_key"),
     )
     # (id, day) counts with a map-side partial step; then per id its first day
     # and its (bounded: one entry per calendar day) list of day counts; then

@@ -1349,3 +1349,40 @@ def q_pii_hash_any_json(spark, d):
     text = lambda path, name: F.try_variant_get(v, path, "string").alias(name)
     return out.select(text("$.id", "customer_id"), text("$.contact.email", "email"), text("$.contact.phone", "phone"),
                       F.element_at(F.map_values(by), 1)["email"].alias("inner_email"))
+
+
+from ..streaming import quality as stream_quality  # noqa: E402
+
+_KEPT = ["stores", "customers", "purchases"]
+
+
+@register("quality_snapshot_kept", _sql([f"norm_{_NORM_NAME[e]}_m" for e in _KEPT], "\nUNION ALL\n".join(f"SELECT * FROM ({_quality_sql(e)})" for e in _KEPT)))
+def q_quality_snapshot_kept(spark, d):
+    """The snapshot from counters that streams over the RAW fields keep, fed in several micro-batches; the second
+    run of the streams finds nothing new."""
+    out, ck = scratch_path(spark, "kept-quality"), scratch_path(spark, "ck-kept-quality")
+    for entity in _KEPT:
+        src = scratch_path(spark, f"raw-{entity}")
+        payload_fields(spark, d, entity).repartition(3).write.parquet(src)
+        for _ in range(2):
+            fields = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", "2").parquet(src)
+            for q in stream_quality.count_stream(entity, fields, out, ck, AS_OF, C.DRIVER_IDS):
+                ingest.run_available(q)
+    return stream_quality.kept_snapshot(spark, out, AS_OF).withColumn("event_time", ts_text("event_time"))
+
+
+from ..operators import compacted  # noqa: E402
+
+
+@register("compact_latest_merged", _mart_sql("purchases", True))
+def q_compact_latest_merged(spark, d):
+    """Current purchases kept in a compacted table: three merges of the RAW history's parts (re-sent rows in other parts
+    than the first ones), read from the last version."""
+    m = mart.mart("purchases", payload_fields(spark, d, "purchases"), AS_OF, ids=C.DRIVER_IDS)
+    path = scratch_path(spark, "compacted-purchases")
+    m.withColumn("_third", F.pmod(F.xxhash64("purchase_id", "ingested_at"), F.lit(3))).write.parquet(f"{path}-in")
+    rows, t = spark.read.parquet(f"{path}-in"), compacted.CompactedTable(spark, path, ["purchase_id"], buckets=8)
+    for third in range(3):
+        t.merge(rows.where(F.col("_third") == third).drop("_third"))
+    plain, times = _MART_OUT["purchases"]
+    return t.read().select(*plain, *[_tss(x) for x in times], _tss("ingested_at"))
