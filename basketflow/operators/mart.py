@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import predicates as P
 from ..functions.jsonx import js_bool, js_double, js_str, materialize_row, with_doc
-from ..functions.norm import iso_date, iso_ts, norm
+from ..functions.norm import iso_date, norm
+from ..functions.times import best_effort_ts
 
 
 def _keep(df: DataFrame, *names: str) -> list[str]:
@@ -124,7 +125,7 @@ def normalize_customers(f: DataFrame) -> DataFrame:
         F.trim(F.col("phone")).alias("phone_enc"),
         iso_date(F.trim(F.col("birth_date"))).alias("birth_date"),
         reg.alias("registration_raw"),
-        iso_ts(reg).alias("registration_dt"),
+        best_effort_ts(reg).alias("registration_dt"),
         *_keep(f, "payload", "ingested_at"),
     )
 
@@ -137,7 +138,7 @@ def normalize_purchases(f: DataFrame) -> DataFrame:
         F.coalesce(F.col("total_amount").cast("double"), F.lit(0.0)).alias("total_amount"),
         norm("payment_method").alias("payment_method"),
         F.coalesce(F.col("is_delivery").cast("int"), F.lit(0)).alias("is_delivery"),
-        iso_ts(F.trim(F.col("purchase_datetime"))).alias("purchase_dt"),
+        best_effort_ts(F.trim(F.col("purchase_datetime"))).alias("purchase_dt"),
         *_keep(f, "payload", "ingested_at"),
     )
 

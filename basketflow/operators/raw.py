@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import js_array, js_double, js_str, js_text, with_doc
-from ..functions.norm import iso_ts, norm
+from ..functions.norm import norm
+from ..functions.times import best_effort_ts
 
 
 def raw_stores(msgs: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def raw_purchases(msgs: DataFrame, keep_doc: bool = False) -> DataFrame:
         js_str(d, "customer", "customer_id").alias("customer_id"),
         js_str(d, "store", "store_id").alias("store_id"),
         js_double(d, "total_amount").alias("total_amount"),
-        iso_ts(js_str(d, "purchase_datetime")).alias("purchase_datetime"),
+        best_effort_ts(js_str(d, "purchase_datetime")).alias("purchase_datetime"),
         "payload",
         "ingested_at",
     )

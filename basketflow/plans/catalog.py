@@ -1386,3 +1386,26 @@ def q_compact_latest_merged(spark, d):
         t.merge(rows.where(F.col("_third") == third).drop("_third"))
     plain, times = _MART_OUT["purchases"]
     return t.read().select(*plain, *[_tss(x) for x in times], _tss("ingested_at"))
+
+
+from ..functions.times import best_effort_ts  # noqa: E402
+
+_TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "dd.MM.yyyy HH:mm:ss", "d/M/yyyy hh:mm:ss a", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "MMMM d, yyyy HH:mm:ss",
+                 "yyyy/M/d HH:mm:ss '+00:00'", "yyyyMMddHHmmss", "'on' yyyy-MM-dd HH:mm:ss"]
+
+
+@register("raw_purchase_times", f"""
+SELECT o_orderkey AS key, CASE WHEN o_orderkey % {len(_TIME_FORMATS)} <> {len(_TIME_FORMATS) - 1}
+       THEN strftime(CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(o_orderkey * 7919 % 86400 AS BIGINT)), '%Y-%m-%d %H:%M:%S') END AS purchase_datetime
+FROM orders""")
+def q_raw_purchase_times(spark, d):
+    """RAW times from texts of many formats; the last format is refused."""
+    o = lens.read(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    at = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") * 7919 % 86400)
+    text = F.lit(None).cast("string")
+    for i, fmt in enumerate(_TIME_FORMATS):
+        text = F.when(F.col("o_orderkey") % len(_TIME_FORMATS) == i, F.date_format(at, fmt)).otherwise(text)
+    payload = F.to_json(F.struct(lens.key_id("ord-", "o_orderkey", 6).alias("purchase_id"), text.alias("purchase_datetime")))
+    r = raw.raw_purchases(o.select("o_orderkey", payload.alias("payload"), F.lit(AS_OF).cast("timestamp").alias("ingested_at")))
+    key = F.regexp_extract("purchase_id", "([0-9]+)$", 1).cast("long")
+    return r.select(key.alias("key"), ts_text("purchase_datetime").alias("purchase_datetime"))
