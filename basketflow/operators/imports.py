@@ -8,7 +8,7 @@ or whitespace-only text; any non-null non-string value counts as present.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,25 +139,98 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _create_new(spark, path: str) -> bool:
+    """Creates an empty file; False if it is there already, also if another writer was faster."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    return fs.createNewFile(p)
+
+
+def claim_attempt(spark, out_dir: str, batch_id: str) -> int:
+    """The number of a new attempt at a batch (from 1), which no other replay can get."""
+    last = None
+    if _exists(spark, f"{out_dir}/batches"):
+        last = spark.read.parquet(f"{out_dir}/batches").where(F.col("batch_id") == batch_id).agg(F.max("replay_count")).first()[0]
+    attempt = (last or 0) + 1
+    while not _create_new(spark, f"{out_dir}/attempts/{batch_id}/{attempt}"):
+        attempt += 1
+    return attempt
+
+
 def write_batch(out_dir: str, summary_df: DataFrame, errors_df: DataFrame, staging_df: DataFrame,
                 replay: bool = False) -> None:
-    """Persist one attempt at a batch. Errors and staging are appended under the attempt's number, and
-    the batch row, written last, names the live attempt: a replay that finds nothing, or fails on the
-    way, leaves no old row live and hides none of the rows that still are."""
+    """Persist one attempt at a batch. Errors and staging are appended under the attempt's number, in files of
+    successive row numbers with an index of them, and the batch row, written last, names the live attempt: a
+    replay that finds nothing, or fails on the way, leaves no old row live and hides none of the rows that
+    still are."""
     spark = summary_df.sparkSession
     batch = summary_df.first()  # one row
-    attempt = 0
-    if replay:
-        attempt = 1
-        if _exists(spark, f"{out_dir}/batches"):
-            last = spark.read.parquet(f"{out_dir}/batches").where(F.col("batch_id") == batch["batch_id"]).agg(F.max("replay_count")).first()[0]
-            attempt = (last or 0) + 1
+    attempt = claim_attempt(spark, out_dir, batch["batch_id"]) if replay else 0
     for name, df in (("errors", errors_df), ("staging", staging_df)):
-        df.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("batch_id", "attempt").parquet(f"{out_dir}/{name}")
+        rows = df.withColumn("attempt", F.lit(attempt)).repartitionByRange("row_number").sortWithinPartitions("row_number")
+        rows.write.mode("append").partitionBy("batch_id", "attempt").parquet(f"{out_dir}/{name}")
+        _write_index(spark, out_dir, name, batch["batch_id"], attempt)
     spark.createDataFrame([batch], summary_df.schema).withColumn("replay_count", F.lit(attempt)) \
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out_dir}/batches")
 
 
+INDEX = "first_row long, last_row long, rows long, batch_id string, attempt int"
+
+
+def _write_index(spark, out_dir: str, name: str, batch_id: str, attempt: int) -> None:
+    """One row for each file of the attempt: its row numbers and how many rows it has."""
+    path = f"{out_dir}/{name}/batch_id={batch_id}/attempt={attempt}"
+    if not _exists(spark, path):  # no rows
+        return
+    files = spark.read.schema("row_number long").parquet(path).groupBy(F.input_file_name().alias("file")).agg(
+        F.min("row_number").alias("first_row"), F.max("row_number").alias("last_row"), F.count(F.lit(1)).alias("rows"))
+    files.drop("file").withColumns({"batch_id": F.lit(batch_id), "attempt": F.lit(attempt)}).coalesce(1) \
+        .write.mode("append").partitionBy("batch_id", "attempt").parquet(f"{out_dir}/{name}_index")
+
+
+def stored_page(spark, out_dir: str, name: str, batch_id: str, schema, limit: int, max_limit: int, offset: int = 0) -> tuple[DataFrame, int]:
+    """Rows ``offset`` to ``offset + limit`` (1..max_limit) of a batch's live ``errors`` or ``staging`` by row number,
+    and how many there are. The total comes from the index, and only files that the page touches are opened."""
+    if not 1 <= int(limit) <= max_limit or offset < 0:
+        raise ValueError(f"limit must be 1 to {max_limit}")
+    batch = spark.read.parquet(f"{out_dir}/batches").where(F.col("batch_id") == batch_id).select("replay_count").first()
+    none = spark.createDataFrame([], schema)
+    if batch is None or not _exists(spark, f"{out_dir}/{name}_index"):
+        return none, 0
+    attempt = batch["replay_count"]
+    index = spark.read.schema(INDEX).parquet(f"{out_dir}/{name}_index").where((F.col("batch_id") == batch_id) & (F.col("attempt") == attempt))
+    # one row a file of one batch
+    order = Window.orderBy("first_row", "last_row")
+    index = index.select("first_row", "last_row", "rows", (F.sum("rows").over(order) - F.col("rows")).alias("before"))
+    touched = (F.col("before") < offset + limit) & (F.col("before") + F.col("rows") > offset)
+    at = index.agg(F.sum("rows").alias("total"), F.min(F.when(touched, F.col("first_row"))).alias("low"), F.max(F.when(touched, F.col("last_row"))).alias("high"),
+                   F.min(F.when(touched, F.col("before"))).alias("before")).first()
+    if at["low"] is None:
+        return none, at["total"] or 0
+    path = f"{out_dir}/{name}"
+    rows = spark.read.schema(T.StructType(schema.fields + [T.StructField("attempt", T.IntegerType())])).parquet(path)
+    rows = rows.where((F.col("batch_id") == batch_id) & (F.col("attempt") == attempt) & F.col("row_number").between(at["low"], at["high"]))
+    rest = [c for c in schema.names if c != "row_number"]
+    page = rows.orderBy("row_number", *rest).offset(offset - at["before"]).limit(int(limit))
+    return page.select(*schema.names), at["total"]
+
+
+def replay_batch(spark, out_dir: str, path: str, batch_id: str, entity: str, file_name: str | None = None) -> None:
+    """Imports the file of a batch again and makes the new attempt live. Refused while another import or replay of the
+    batch runs, and when the file is gone."""
+    running = f"{out_dir}/running/{batch_id}"
+    replay_allowed("running" if _exists(spark, running) else "done", _exists(spark, path))
+    if not _create_new(spark, running):
+        replay_allowed("running", True)
+    try:
+        s, e, st = run_batch(spark, path, batch_id, entity, file_name)
+        write_batch(out_dir, s, e, st, replay=True)
+    finally:
+        p = spark._jvm.org.apache.hadoop.fs.Path(running)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+
+
 def live_rows(spark, out_dir: str, name: str, schema) -> DataFrame:
     """The ``errors`` or ``staging`` rows of every batch's live attempt (``schema``: their columns)."""
     batches = spark.read.parquet(f"{out_dir}/batches").select("batch_id", F.col("replay_count").alias("attempt"))

@@ -1246,15 +1246,28 @@ def q_import_replay(spark, d):
     of the other all. Only the replay's errors and staging are live."""
     out = scratch_path(spark, "imports")
     for batch, bad_after in (("driver-upload", 22), ("repaired-upload", None)):
-        for replay, bad in ((False, 11), (True, bad_after)):
-            s, e, st = imports.run_batch(spark, _customer_csv(spark, d, bad), batch, "customers", "customers.csv")
-            imports.write_batch(out, s, e, st, replay=replay)
+        s, e, st = imports.run_batch(spark, _customer_csv(spark, d, 11), batch, "customers", "customers.csv")
+        imports.write_batch(out, s, e, st)
+        imports.replay_batch(spark, out, _customer_csv(spark, d, bad_after), batch, "customers", "customers.csv")
     count = lambda name, df: imports.live_rows(spark, out, name, df.schema).groupBy("batch_id").agg(F.count(F.lit(1)).alias(f"{name[:7].rstrip('s')}_rows"))
     errors, staged = count("errors", e), count("staging", st)
     b = spark.read.parquet(f"{out}/batches").select("batch_id", "status", "total_rows", "valid_rows", "replay_count")
     return b.join(errors, "batch_id", "left").join(staged, "batch_id", "left")
 
 
+@register("import_stored_page", """
+WITH e AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n, count(*) OVER () AS total FROM customer WHERE c_custkey % 11 = 0)
+SELECT n - 3 AS place, total, 'customer_id' AS field_name FROM e WHERE n > 3 AND n <= 23""")
+def q_import_stored_page(spark, d):
+    """The fourth to twenty-third stored error of an upload, with the total of all, through the row index."""
+    out = scratch_path(spark, "imports-page")
+    s, e, st = imports.run_batch(spark, _customer_csv(spark, d, 11), "paged", "customers", "customers.csv")
+    imports.write_batch(out, s, e, st)
+    rows, total = imports.stored_page(spark, out, "errors", "paged", e.schema, 20, 1000, offset=3)
+    place = F.row_number().over(Window.orderBy("row_number"))  # a page
+    return rows.select(place.cast("long").alias("place"), F.lit(total).cast("long").alias("total"), "field_name")
+
+
 @register("import_detect_format", """
 SELECT DISTINCT 'csv' AS file_format, CAST(NULL AS VARCHAR) AS error_code FROM customer
 UNION ALL SELECT DISTINCT 'json', NULL FROM orders

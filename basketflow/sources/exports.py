@@ -89,9 +89,9 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     df = df.toDF(*cols)
     cols = [c for c in cols if c]
     if not cols:
-        raise ValueError("Feature mart CSV has no columns.")
+        raise ValueError(f"no header in the export {path}")
     if "customer_id" not in cols:
-        raise ValueError("Feature mart CSV must contain 'customer_id' column.")
+        raise ValueError(f"the export {path} has no customer_id among its columns")
     feats = [c for c in cols if c != "customer_id"]
     cid = F.trim(F.coalesce(F.col("customer_id"), F.lit("")))
     return df.select(cid.alias("customer_id"), *[to_flag(F.col(f"`{c}`")).alias(c) for c in feats]) \

@@ -100,3 +100,38 @@ def test_row_numbers_exact_across_many_splits(spark, tmpdir_path):
         assert got == {(i + 1, f"p{i}") for i in range(1, n + 1)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_pages_of_a_stored_batch_open_only_their_files(spark, tmpdir_path):
+    rows = [("b1", i // 2, f"f{i % 2}", "c", "m", "{}") for i in range(400)] + [("b2", 5, "f", "c", "m", "{}")]
+    schema = "batch_id string, row_number long, field_name string, error_code string, message string, raw_fragment string"
+    all_rows = spark.createDataFrame(rows, schema)
+    for batch in ("b1", "b2"):
+        s = imports.failed_batch(spark, batch, "customers", "X", "m")[0]
+        st = imports.failed_batch(spark, batch, "customers", "X", "m")[2]
+        imports.write_batch(tmpdir_path, s, all_rows.where(f"batch_id = '{batch}'").repartition(3), st)
+    want = sorted((r[1], r[2]) for r in rows if r[0] == "b1")
+    for offset, limit in ((0, 7), (3, 100), (390, 50), (400, 5), (199, 2)):
+        page, total = imports.stored_page(spark, tmpdir_path, "errors", "b1", all_rows.schema, limit, 1000, offset)
+        assert total == 400 and [(r.row_number, r.field_name) for r in page.collect()] == want[offset:offset + limit]
+    assert imports.stored_page(spark, tmpdir_path, "staging", "b1", st.schema, 5, 500)[1] == 0
+    assert imports.stored_page(spark, tmpdir_path, "errors", "gone", all_rows.schema, 5, 500)[1] == 0
+    with pytest.raises(ValueError):
+        imports.stored_page(spark, tmpdir_path, "errors", "b1", all_rows.schema, 0, 1000)
+
+
+def test_replays_are_guarded_and_numbered_once(spark, tmpdir_path):
+    out = os.path.join(tmpdir_path, "out")
+    p = _write(tmpdir_path, "c.jsonl", '{"customer_id": "c1"}\n{"customer_id": ""}\n')
+    s, e, st = imports.run_batch(spark, p, "b1", "customers")
+    imports.write_batch(out, s, e, st)
+    imports.replay_batch(spark, out, p, "b1", "customers")
+    assert spark.read.parquet(f"{out}/batches").first()["replay_count"] == 1
+    assert [imports.claim_attempt(spark, out, "b1") for _ in range(2)] == [2, 3]
+    with pytest.raises(src.ImportError_) as gone:
+        imports.replay_batch(spark, out, p + ".gone", "b1", "customers")
+    assert gone.value.code == "IMPORT_FILE_MISSING"
+    assert imports._create_new(spark, f"{out}/running/b1") and not imports._create_new(spark, f"{out}/running/b1")
+    with pytest.raises(src.ImportError_) as busy:
+        imports.replay_batch(spark, out, p, "b1", "customers")
+    assert busy.value.code == "IMPORT_BUSY"
