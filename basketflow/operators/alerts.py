@@ -27,7 +27,8 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
-DAY = 86_400_000_000
+#: microseconds in a piece of an entity's log: 30 days, 43,200 snapshots if there is one a minute
+PIECE = 30 * 86_400_000_000
 
 
 def _message(entity, ratio, threshold: float):
@@ -114,7 +115,7 @@ def _chains(wait: int):
 def _first_after(probes: DataFrame, high: DataFrame, starts: DataFrame) -> DataFrame:
     """``probes`` (entity, time, ...) with ``at``: the entity's first high time after ``time`` (null if there is
     none). It is in the probe's own piece, or it is the first of the next piece that has any."""
-    piece = F.floor(F.col("time") / DAY)
+    piece = F.floor(F.col("time") / PIECE)
     p = probes.withColumn("piece", piece).alias("p")
     inside = p.join(high.select("entity", "piece", F.col("at").alias("h")), ["entity", "piece"]).where("h > time")
     inside = inside.groupBy(*[f"p.{c}" if c not in ("entity", "piece") else c for c in probes.columns], "piece").agg(F.min("h").alias("at"))
@@ -130,11 +131,11 @@ def fired_times(high: DataFrame, wait: int) -> DataFrame:
     """(entity, at) of the distinct high times (entity, at in microseconds) that fire: an entity's first one,
     and from each fired one the first that is more than ``wait`` later.
 
-    The chain of an entity is followed inside (entity, day) pieces, each in a task of its own, up to the
-    last time in the piece that it reaches from any entry; these few chain ends are then linked from
-    piece to piece, and those on the way from the first one are marked by pointer jumping, in as many
-    rounds as the number of days has binary digits."""
-    high = _stored(high.withColumn("piece", F.floor(F.col("at") / DAY)), "high")
+    The chain of an entity is followed inside pieces of 30 days, each in a task of its own, up to the last
+    time in the piece that it reaches from any entry; these few chain ends are then linked from piece
+    to piece, and those on the way from the first one are marked by pointer jumping, in as many rounds
+    as the number of an entity's chain ends has binary digits."""
+    high = _stored(high.withColumn("piece", F.floor(F.col("at") / PIECE)), "high")
     keyed = high.groupBy("entity", "piece")
     ends = _stored(keyed.applyInArrow(_ends(wait), "entity string, piece long, at long, last long"), "chain-ends")
     starts = high.groupBy("entity", "piece").agg(F.min("at").alias("first"))
@@ -146,16 +147,17 @@ def fired_times(high: DataFrame, wait: int) -> DataFrame:
     nodes = _stored(nodes.join(reach, ["entity", "entry"], "left").select("entity", "last", "entry", "next"), "chain-nodes")
     marked = heads.join(ends, ["entity", "at"]).select("entity", "last")
     jump = nodes.where("next IS NOT NULL").select("entity", F.col("last").alias("here"), F.col("next").alias("there"))
-    while True:
-        marked = _stored(marked, "marked")
+    longest = nodes.groupBy("entity").count().agg(F.max("count")).first()[0] or 1
+    rounds = (longest - 1).bit_length()
+    for done in range(rounds):
+        # after each round twice as many nodes from the first one on are marked, and pointers reach twice as far
         step = marked.join(jump, (marked["entity"] == jump["entity"]) & (marked["last"] == jump["here"])).select(marked["entity"], F.col("there").alias("last"))
-        if not step.take(1):
-            break
-        marked = marked.unionByName(step).distinct()
-        on = jump.select(F.col("entity").alias("e2"), F.col("here").alias("h2"), F.col("there").alias("t2"))
-        jump = _stored(jump.join(on, (F.col("entity") == F.col("e2")) & (F.col("there") == F.col("h2"))).select("entity", "here", F.col("t2").alias("there")), "jump")
+        marked = _stored(marked.unionByName(step).distinct(), "marked")
+        if done + 1 < rounds:
+            on = jump.select(F.col("entity").alias("e2"), F.col("here").alias("h2"), F.col("there").alias("t2"))
+            jump = _stored(jump.join(on, (F.col("entity") == F.col("e2")) & (F.col("there") == F.col("h2"))).select("entity", "here", F.col("t2").alias("there")), "jump")
     entries = nodes.join(marked, ["entity", "last"], "left_semi").where("entry IS NOT NULL").select("entity", F.col("entry").alias("at"))
-    entries = _stored(heads.unionByName(entries).withColumn("piece", F.floor(F.col("at") / DAY)), "chain-entries")
+    entries = _stored(heads.unionByName(entries).withColumn("piece", F.floor(F.col("at") / PIECE)), "chain-entries")
     return keyed.cogroup(entries.groupBy("entity", "piece")).applyInArrow(_chains(wait), "entity string, at long")
 
 

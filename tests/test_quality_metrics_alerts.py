@@ -107,7 +107,7 @@ def _brute_replay(rows, threshold, minutes):
     return sorted(fired, key=str)
 
 
-@pytest.mark.parametrize("n,entities,days,minutes", [(400, 3, 20, 60), (200, 1, 90, 4000), (150, 2, 1, 1)])
+@pytest.mark.parametrize("n,entities,days,minutes", [(400, 3, 900, 60), (300, 1, 2000, 60 * 24 * 40), (150, 2, 1, 1)])
 def test_alert_replay_follows_chains_over_days(spark, n, entities, days, minutes):
     import random
     rng = random.Random(n)
