@@ -953,8 +953,29 @@ UNION ALL SELECT 'products', CAST(count(*) AS BIGINT) FROM part
 UNION ALL SELECT 'customers', CAST(count(*) AS BIGINT) FROM customer
 UNION ALL SELECT 'purchases', CAST(count(*) AS BIGINT) FROM orders""")
 def q_src_publish_stream(spark, d):
-    """Every document → one JSON message on its entity's topic; counts."""
-    return documents.publish_counts({e: documents.publish(fn(spark, d)) for e, fn in lens.DOCUMENTS.items()})
+    """Every document → one JSON message on its entity's topic, written and read back; counts."""
+    paths = documents.publish_topics({e: documents.publish(fn(spark, d)) for e, fn in lens.DOCUMENTS.items()}, scratch_path(spark, "topics"))
+    return documents.publish_counts({e: spark.read.text(path) for e, path in paths.items()})
+
+
+@register("src_published_messages", O.with_ctes(["lens_products"], """
+SELECT product_id AS id, name, "group", price, unit, is_organic FROM lens_products"""))
+def q_src_published_messages(spark, d):
+    """The product topic's messages as a reader gets them."""
+    paths = documents.publish_topics({"products": documents.publish(lens.product_documents(spark, d))}, scratch_path(spark, "topic"))
+    return spark.read.text(paths["products"]).select(F.from_json("value", DataType.fromDDL(_PRODUCT_DOC_SCHEMA)).alias("doc")).select("doc.*")
+
+
+@register("src_json_document_files", O.with_ctes(["lens_stores"], """
+SELECT store_id, store_name, city, true AS has_file FROM lens_stores"""))
+def q_src_json_document_files(spark, d):
+    """Store documents, one pretty-printed object a file, read whole per file."""
+    path = scratch_path(spark, "doc-files")
+    docs = lens.store_documents(spark, d).select(F.to_json("doc", {"pretty": "true"}).alias("value"))
+    docs.repartition(4).write.option("maxRecordsPerFile", 1).text(path)
+    schema = DataType.fromDDL("store_id string, store_name string, store_network string, location struct<city: string>")
+    got = documents.read_documents(spark, path, schema, file_column="file")
+    return got.select("store_id", "store_name", "location.city", F.col("file").contains("part-").alias("has_file"))
 
 
 ENVELOPE_TS = "2024-01-01 00:00:00"

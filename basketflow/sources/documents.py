@@ -12,14 +12,16 @@ from pyspark.sql import types as T
 ENTITY_KEYS = {"stores": "store_id", "products": "id", "customers": "customer_id", "purchases": "purchase_id"}
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType, one_per_file: bool = True) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: T.StructType, one_per_file: bool = True, file_column: str | None = None) -> DataFrame:
     """A folder of JSON documents with a declared schema (no inference pass).
     ``one_per_file``: each file holds one (possibly pretty-printed) object,
-    read whole per file; otherwise JSON Lines, split across tasks."""
+    read whole per file; otherwise JSON Lines, split across tasks. ``file_column`` adds each document's file
+    path, by which a later document of a key is told from an earlier one (files count in name order)."""
     r = spark.read.schema(schema).option("mode", "PERMISSIVE")
     if one_per_file:
         r = r.option("multiLine", "true")
-    return r.json(path)
+    docs = r.json(path)
+    return docs.select("*", F.col("_metadata.file_path").alias(file_column)) if file_column else docs
 
 
 def publish(docs: DataFrame, doc_col: str = "doc", drop=("_id",)) -> DataFrame:
@@ -32,6 +34,14 @@ def publish(docs: DataFrame, doc_col: str = "doc", drop=("_id",)) -> DataFrame:
     return docs.select(F.to_json(d, {"ignoreNullFields": "false"}).alias("value"))
 
 
+def publish_topics(topics: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Writes each topic's messages, one JSON text a line, to a folder of its own; topic → folder."""
+    paths = {name: f"{folder}/{name}" for name in topics}
+    for name, messages in topics.items():
+        messages.select("value").write.text(paths[name])
+    return paths
+
+
 def publish_counts(topics: dict[str, DataFrame]) -> DataFrame:
     """Messages per topic (entity)."""
     out = None

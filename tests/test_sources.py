@@ -1,6 +1,7 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from basketflow import config as C
 from basketflow.operators import generate
@@ -70,3 +71,20 @@ def test_generator_self_check(spark):
 
 def test_feature_columns_fixed():
     assert len(C.FEATURE_COLUMNS) == 30 and len(set(C.FEATURE_COLUMNS)) == 30
+
+
+def test_one_pretty_printed_document_a_file(spark, tmpdir_path):
+    import json
+    docs = [{"store_id": f"store-{i:03d}", "location": {"city": "A\nB" if i else None}} for i in range(5)]
+    for i, d in enumerate(docs):
+        with open(f"{tmpdir_path}/{i}.json", "w", encoding="utf-8") as f:
+            f.write(json.dumps(d, indent=2))
+    got = documents.read_documents(spark, tmpdir_path, DataType.fromDDL("store_id string, location struct<city: string>"), file_column="file")
+    rows = sorted(got.collect(), key=lambda r: r["file"])
+    assert [{"store_id": r.store_id, "location": {"city": r.location.city}} for r in rows] == docs
+
+
+def test_published_topics_hold_the_documents(spark, tmpdir_path):
+    df = spark.createDataFrame([(("c1", None),), (("c2", 'say "x"'),)], "doc struct<customer_id: string, note: string>")
+    paths = documents.publish_topics({"customers": documents.publish(df)}, f"{tmpdir_path}/topics")
+    assert sorted(r.value for r in spark.read.text(paths["customers"]).collect()) == ['{"customer_id":"c1","note":null}', '{"customer_id":"c2","note":"say \\"x\\""}']
