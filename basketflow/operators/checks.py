@@ -52,21 +52,29 @@ def compare(pairs: dict[str, tuple[DataFrame, object, DataFrame, object]], op: s
 
 def mart_counts(customers: DataFrame, purchases: DataFrame, items: DataFrame,
                 min_customers: int = 45, min_purchases: int = 200) -> DataFrame:
-    c = _row(customers, "mart_customers_final", f">= {min_customers}", F.count(F.lit(1)), lambda a: a >= min_customers)
-    p = _row(purchases, "mart_purchases_final", f">= {min_purchases}", F.count(F.lit(1)), lambda a: a >= min_purchases)
-    i = compare({"mart_items_gt_purchases": (purchases, F.count(F.lit(1)), items, F.count(F.lit(1)))}, ">") \
-        .select("check", F.lit("> purchases").alias("expected"), "actual", "ok")
-    return _union([c, p, i])
+    """Each table is counted once; the checks are rows over the three counts."""
+    counts = _union([df.select(F.lit(name).alias("t"), F.count(F.lit(1)).alias("c"))
+                     for name, df in (("c", customers), ("p", purchases), ("i", items))])
+    one = counts.agg(*[F.max(F.when(F.col("t") == t, F.col("c"))).alias(t) for t in "cpi"])
+
+    def check(name: str, expected: str, actual: str, ok) -> F.Column:
+        return F.struct(F.lit(name).alias("check"), F.lit(expected).alias("expected"), F.col(actual).cast("long").alias("actual"), ok.alias("ok"))
+
+    return one.select(F.inline(F.array(
+        check("mart_customers_final", f">= {min_customers}", "c", F.col("c") >= min_customers),
+        check("mart_purchases_final", f">= {min_purchases}", "p", F.col("p") >= min_purchases),
+        check("mart_items_gt_purchases", "> purchases", "i", F.col("i") > F.col("p")))))
 
 
 def quality_bounds(snapshot: DataFrame) -> DataFrame:
-    """invalid_rows ≥ 0 and 0 ≤ ratio ≤ 1 for every snapshot row."""
-    return _union([
-        _row(snapshot, "invalid_rows_non_negative", "0 violations", F.count_if(F.col("invalid_rows") < 0),
-             lambda a: a == 0),
-        _row(snapshot, "ratio_in_unit_interval", "0 violations",
-             F.count_if((F.col("duplicates_ratio") < 0) | (F.col("duplicates_ratio") > 1)), lambda a: a == 0),
-    ])
+    """invalid_rows ≥ 0 and 0 ≤ ratio ≤ 1 for every snapshot row; the snapshot is read once."""
+    ratio = F.col("duplicates_ratio")
+    one = snapshot.agg(F.count_if(F.col("invalid_rows") < 0).alias("n"), F.count_if((ratio < 0) | (ratio > 1)).alias("r"))
+
+    def check(name: str, actual: str) -> F.Column:
+        return F.struct(F.lit(name).alias("check"), F.lit("0 violations").alias("expected"), F.col(actual).alias("actual"), (F.col(actual) == 0).alias("ok"))
+
+    return one.select(F.inline(F.array(check("invalid_rows_non_negative", "n"), check("ratio_in_unit_interval", "r"))))
 
 
 def pii_hash(contacts: DataFrame, salt: str) -> DataFrame:

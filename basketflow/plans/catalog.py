@@ -7,6 +7,7 @@ cannot be said in SQL: the driver then checks row counts only).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -17,10 +18,10 @@ from pyspark.sql.types import DataType
 from .. import config as C
 from ..functions.norm import ts_text
 from ..functions import pii as pii_fn
-from ..operators import alerts, features, imports, latest, mart, metrics, pii, quality, raw
+from ..operators import alerts, feature_history, features, imports, latest, mart, metrics, pii, quality, raw, search
 from ..sources import lens
 from . import oracle as O
-from .tables import AS_OF, mart_table, messages, payload_fields, raw_table
+from .tables import AS_OF, mart_table, messages, payload_fields, raw_table, written_purchases
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +101,22 @@ def q_feat_matrix_early(spark: SparkSession, d: str) -> DataFrame:
     return features.feature_matrix(c, p, pr, i, C.EARLY_AS_OF, PROFILE)
 
 
+#: the clocks of the history: year starts, the clock of the early matrix among them, and midnights between
+HISTORY_DATES = tuple(f"{y}-{m:02d}-01 00:00:00" for y in (1993, 1996, 1999) for m in (1, 8))
+
+
+def _history_sql() -> str:
+    one = "SELECT TIMESTAMP '{0}' AS as_of, * FROM ({1})"
+    return "\nUNION ALL\n".join(one.format(a, O.with_features("SELECT * FROM f_matrix", PROFILE, a)) for a in HISTORY_DATES)
+
+
+@register("feat_matrix_history", f"SELECT * REPLACE (strftime(as_of, '%Y-%m-%d %H:%M:%S') AS as_of) FROM ({_history_sql()})")
+def q_feat_matrix_history(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix at six dates from one pass; the oracle runs the matrix date by date."""
+    c, p, pr, i = feature_inputs(spark, d, max(HISTORY_DATES))
+    return feature_history.feature_history(c, p, pr, i, HISTORY_DATES, PROFILE).withColumn("as_of", ts_text("as_of"))
+
+
 @register("feat_customers_base", O.with_features("SELECT customer_id FROM f_base", PROFILE))
 def q_feat_customers_base(spark: SparkSession, d: str) -> DataFrame:
     return features.customers_base(mart_table(spark, d, "customers"))
@@ -360,16 +377,25 @@ for _e in _Q_ENTITIES:
     _reg_quality(_e)
 
 
+def _fields(spark, d) -> dict[str, DataFrame]:
+    """The fields of all entities; purchases and their lines read the same written messages."""
+    sent = written_purchases(spark, d)
+    return {e: payload_fields(spark, d, e, sent) for e in _Q_ENTITIES}
+
+
+def _snapshot(spark, d) -> DataFrame:
+    return quality.snapshot(_fields(spark, d), AS_OF, ids=C.DRIVER_IDS)
+
+
 @register("quality_snapshot", _sql([f"norm_{_NORM_NAME[e]}_m" for e in _Q_ENTITIES],
                                    "\nUNION ALL\n".join(f"SELECT * FROM ({_quality_sql(e)})" for e in _Q_ENTITIES)))
 def q_quality_snapshot(spark, d):
-    snap = quality.snapshot({e: payload_fields(spark, d, e) for e in _Q_ENTITIES}, AS_OF, ids=C.DRIVER_IDS)
-    return snap.withColumn("event_time", ts_text("event_time"))
+    return _snapshot(spark, d).withColumn("event_time", ts_text("event_time"))
 
 
 def quality_log(spark, d) -> DataFrame:
     """The daily quality log replayed over the whole message history."""
-    return quality.history_all({e: payload_fields(spark, d, e) for e in _Q_ENTITIES}, C.DRIVER_IDS)
+    return quality.history_all(_fields(spark, d), C.DRIVER_IDS)
 
 
 def _log_sql(body: str) -> str:
@@ -511,12 +537,13 @@ _RAW_COUNT = [("stores_raw", ("count(*)", "msg_stores")), ("products_raw", ("cou
 
 @register("raw_row_counts", _sql([s for _, (_, s) in _RAW_COUNT], _union_sql(_RAW_COUNT)))
 def q_raw_row_counts(spark, d):
+    sent = written_purchases(spark, d)
     return metrics.row_counts({
         "stores_raw": messages(spark, d, "stores"),
         "products_raw": messages(spark, d, "products"),
         "customers_raw": messages(spark, d, "customers"),
-        "purchases_raw": messages(spark, d, "purchases"),
-        "purchase_items_raw": raw_table(spark, d, "purchase_items"),
+        "purchases_raw": sent,
+        "purchase_items_raw": raw_table(spark, d, "purchase_items", sent),
     })
 
 
@@ -525,17 +552,14 @@ _FINAL_COUNT = [("customers_mart_final", ("count(*)", "mart_customers_m")),
                 ("purchase_items_mart_final", ("count(*)", "mart_items_m"))]
 
 
-def _final(spark, d, entity):
-    return latest.latest_mart(entity, mart.mart(entity, payload_fields(spark, d, entity), AS_OF, ids=C.DRIVER_IDS))
+def _final(spark, d, entity, purchases=None):
+    return latest.latest_mart(entity, mart.mart(entity, payload_fields(spark, d, entity, purchases), AS_OF, ids=C.DRIVER_IDS))
 
 
 @register("mart_final_counts", _sql([s for _, (_, s) in _FINAL_COUNT], _union_sql(_FINAL_COUNT)))
 def q_mart_final_counts(spark, d):
-    return metrics.row_counts({
-        "customers_mart_final": _final(spark, d, "customers"),
-        "purchases_mart_final": _final(spark, d, "purchases"),
-        "purchase_items_mart_final": _final(spark, d, "purchase_items"),
-    })
+    sent = written_purchases(spark, d)
+    return metrics.row_counts({f"{e}_mart_final": _final(spark, d, e, sent) for e in ("customers", "purchases", "purchase_items")})
 
 
 _UNIQ = [("stores", ("count(DISTINCT store_id)", "msg_stores")),
@@ -788,33 +812,36 @@ def q_check_features_export(spark, d):
     return exports.check_export(exports.read_export(spark, path))
 
 
+_EXPORT_DAYS = 3
+
+
 def _export_history(spark, d) -> str:
-    """Three daily runs plus a mis-named folder, as a listing would find them."""
+    """A daily export of the customers who bought on it, for each of the last purchase days, plus a mis-named
+    folder, as a listing would find them."""
     base = scratch_path(spark, "exports")
-    m = lens.customers(spark, d).select("customer_id")
-    for delta in (2, 1, 0):
-        exports.write_csv(m, base, RUN_DATE - _dt.timedelta(days=delta))
-    m.write.mode("overwrite").option("header", "true").csv(f"{base}/analytic_result_1995_02_30.csv")
+    bought = lens.read(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"))
+    days = [r["day"] for r in bought.select("day").distinct().orderBy(F.desc("day")).limit(_EXPORT_DAYS).collect()]
+    for day in days:
+        exports.write_csv(bought.where(F.col("day") == F.lit(day)).select(F.concat(F.lit("cus-"), F.col("o_custkey")).alias("customer_id")).distinct(), base, day)
+    bought.limit(1).select("o_custkey").write.option("header", "true").csv(f"{base}/analytic_result_1995_02_30.csv")
     return base
 
 
-@register("src_latest_export", f"""
-SELECT 'analytic_result_{RUN_DATE:%Y_%m_%d}.csv' AS filename, DATE '{RUN_DATE}' AS file_date""")
+_EXPORTS_SQL = f"""
+SELECT strftime(day, 'analytic_result_%Y_%m_%d.csv') AS filename, day AS file_date
+FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY day DESC LIMIT {_EXPORT_DAYS})"""
+
+
+@register("src_latest_export", f"SELECT * FROM ({_EXPORTS_SQL}) ORDER BY file_date DESC LIMIT 1")
 def q_src_latest_export(spark, d):
     """Newest valid export name; the impossible date 1995-02-30 is skipped."""
     return exports.latest_export(exports.list_exports(spark, _export_history(spark, d))).select("filename", "file_date")
 
 
-@register("export_listing", f"""
-SELECT filename, file_date FROM (VALUES
-  ('analytic_result_{RUN_DATE:%Y_%m_%d}.csv', DATE '{RUN_DATE}'),
-  ('analytic_result_{RUN_DATE - _dt.timedelta(days=1):%Y_%m_%d}.csv', DATE '{RUN_DATE - _dt.timedelta(days=1)}'),
-  ('analytic_result_{RUN_DATE - _dt.timedelta(days=2):%Y_%m_%d}.csv', DATE '{RUN_DATE - _dt.timedelta(days=2)}'))
-  AS t(filename, file_date)""")
+@register("export_listing", f"SELECT * FROM ({_EXPORTS_SQL}) WHERE contains(filename, '0') ORDER BY file_date DESC")
 def q_export_listing(spark, d):
-    """Exports whose name or date contains the run's month, newest first."""
-    ex = exports.list_exports(spark, _export_history(spark, d))
-    return exports.export_listing(ex, f"{RUN_DATE:%Y-%m}", limit=50).select("filename", "file_date")
+    """Exports whose name or date contains a text, newest first."""
+    return exports.export_listing(exports.list_exports(spark, _export_history(spark, d)), "0", limit=50).select("filename", "file_date")
 
 
 # ----- streaming ---------------------------------------------------------------------
@@ -1039,15 +1066,20 @@ UNION ALL SELECT 'mart_purchases_final', '>= 200', CAST(count(*) AS BIGINT), cou
 UNION ALL SELECT 'mart_items_gt_purchases', '> purchases', (SELECT CAST(count(*) AS BIGINT) FROM mart_items_m),
                  (SELECT count(*) FROM mart_items_m) > (SELECT count(*) FROM mart_purchases_m)"""))
 def q_check_mart_counts(spark, d):
-    return checks.mart_counts(_final(spark, d, "customers"), _final(spark, d, "purchases"),
-                              _final(spark, d, "purchase_items"))
+    sent = written_purchases(spark, d)
+    return checks.mart_counts(*[_final(spark, d, e, sent) for e in ("customers", "purchases", "purchase_items")])
+
+
+_SNAPSHOT_SQL = "\nUNION ALL\n".join(f"SELECT * FROM ({_quality_sql(e)})" for e in _Q_ENTITIES)
 
 
-@register("check_quality_bounds", """
-SELECT 'invalid_rows_non_negative' AS "check", '0 violations' AS expected, CAST(0 AS BIGINT) AS actual, true AS ok
-UNION ALL SELECT 'ratio_in_unit_interval', '0 violations', CAST(0 AS BIGINT), true""")
+@register("check_quality_bounds", _sql([f"norm_{_NORM_NAME[e]}_m" for e in _Q_ENTITIES], f"""
+, snap AS ({_SNAPSHOT_SQL}),
+found AS (SELECT 'invalid_rows_non_negative' AS "check", CAST(count_if(invalid_rows < 0) AS BIGINT) AS actual FROM snap
+          UNION ALL SELECT 'ratio_in_unit_interval', CAST(count_if(NOT duplicates_ratio BETWEEN 0 AND 1) AS BIGINT) FROM snap)
+SELECT "check", '0 violations' AS expected, actual, actual = 0 AS ok FROM found"""))
 def q_check_quality_bounds(spark, d):
-    return checks.quality_bounds(quality.snapshot({e: payload_fields(spark, d, e) for e in _Q_ENTITIES}, AS_OF, ids=C.DRIVER_IDS))
+    return checks.quality_bounds(_snapshot(spark, d))
 
 
 @register("check_pii_hash", """
@@ -1061,6 +1093,24 @@ def q_check_pii_hash(spark, d):
 
 
 
+_SEARCHED = ("0001", "13", "cus-00000", "7")  # four pages: a few trigrams, short texts, a prefix that many share
+
+
+def _searched_sql() -> str:
+    one = "SELECT '{0}' AS text, * FROM (SELECT * FROM f_matrix WHERE contains(customer_id, '{0}') ORDER BY customer_id LIMIT 25)"
+    return " UNION ALL ".join(one.format(t) for t in _SEARCHED)
+
+
+@register("feat_search_indexed", O.with_features(_searched_sql(), PROFILE))
+def q_feat_search_indexed(spark, d):
+    """First pages of searches through the gram index of the written matrix (a page is the feature)."""
+    rows = exports.write_parquet(matrix(spark, d), scratch_path(spark, "searched"), RUN_DATE)
+    rows = spark.read.parquet(rows)
+    index = search.build(rows, "customer_id", scratch_path(spark, "grams"))
+    pages = [search.page(spark, index, rows, "customer_id", t, 1, 25).select(F.lit(t).alias("text"), "*") for t in _SEARCHED]
+    return functools.reduce(DataFrame.unionByName, pages)
+
+
 # ----- run log, audit, compaction, registry, dq errors -----------------------------------
 
 _RUNS_SQL = """

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import config as C
 from ..operators import latest, mart, raw
+from ..session import scratch_path
 from ..sources import lens
 
 AS_OF = C.DRIVER_AS_OF
@@ -38,14 +39,24 @@ def messages(spark: SparkSession, d: str, entity: str) -> DataFrame:
     return lens.messages(spark, d, entity)
 
 
-def raw_table(spark: SparkSession, d: str, entity: str) -> DataFrame:
+def written_purchases(spark: SparkSession, d: str) -> DataFrame:
+    """The purchase messages, written once: purchases and their lines are then two readers of one table
+    instead of two builds of the documents."""
+    sent = messages(spark, d, "purchases")
+    path = scratch_path(spark, "messages-purchases")
+    sent.write.parquet(path)
+    return spark.read.schema(sent.schema).parquet(path)
+
+
+def raw_table(spark: SparkSession, d: str, entity: str, purchases: DataFrame | None = None) -> DataFrame:
+    """``purchases`` are written purchase messages, if there are such."""
     if entity == "purchase_items":
-        return raw.raw_purchase_items(raw.raw_purchases(messages(spark, d, "purchases"), keep_doc=True))
-    return raw.RAW[entity](messages(spark, d, entity))
+        return raw.raw_purchase_items(raw.raw_purchases(purchases or messages(spark, d, "purchases"), keep_doc=True))
+    return raw.RAW[entity](purchases if purchases and entity == "purchases" else messages(spark, d, entity))
 
 
-def payload_fields(spark: SparkSession, d: str, entity: str) -> DataFrame:
+def payload_fields(spark: SparkSession, d: str, entity: str, purchases: DataFrame | None = None) -> DataFrame:
     """Entity fields read back from the JSON messages (RAW → MART path)."""
     if entity == "purchase_items":
-        return raw_table(spark, d, "purchase_items")
-    return mart.FIELDS[entity](messages(spark, d, entity))
+        return raw_table(spark, d, "purchase_items", purchases)
+    return mart.FIELDS[entity](purchases if purchases and entity == "purchases" else messages(spark, d, entity))
