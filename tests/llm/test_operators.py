@@ -520,6 +520,27 @@ def test_op9(spark, folder):
     assert licences.scan_licences(spark.createDataFrame([], "doc_id long, text string"), licences.templates(spark)).count() == 0
 
 
+@pytest.mark.parametrize("text,names", [
+    ("SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+     "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+     "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE", {"MIT"}),
+    ("Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES OR "
+     "CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n# limitations under the License.", {"Apache-2.0"}),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", {"BSD"}),
+    ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007", {"GPL-3.0"}), ("// SPDX-License-Identifier: Apache-2.0", {"Apache-2.0"}),
+    ("Licensed under the MIT License", {"MIT"}),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
+     "either version 2 of the License, or (at your option) any later version.", {"GPL", "GPL-2.0"}),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", {"GPL"})])
+def test_op9_texts_of_licences(spark, text, names):
+    known = licences.templates(spark)
+    held = f"{prose(20)} {text} {prose(7)}"
+    docs = spark.createDataFrame([(1, held), (2, prose(50)), (2, None), (1, held), (None, text)], "doc_id long, text string")
+    got = licences.scan_licences(docs, known.select("template_id", "text")).join(known, "template_id").collect()
+    assert {r["licence"] for r in got} == names and {r["doc_id"] for r in got} == {1, None}
+    assert Counter((r["doc_id"], r["licence"]) for r in got) == {(i, n): 1 for i in (1, None) for n in names}
+
+
 def test_op9_short_notice(spark, folder):
     long = "All rights reserved. No part of this publication may be reproduced"
     texts = [f"{prose(30)} All rights reserved.", "ALL RIGHTS\nRESERVED", "all the rights reserved", "rights reserved", f"{prose(5)} {long} in any form", f"all rights reserved {prose(4)} All rights reserved."]
