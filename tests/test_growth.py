@@ -40,3 +40,11 @@ def test_kept_quality_reads_as_many_files_as_a_shuffle_has_partitions(spark, mad
     (kept,) = made("kept-quality")
     assert len(glob.glob(f"{kept}/rows/entity=purchases/batch=*")) == 2
     assert {r["entity"]: r["total_rows_raw"] for r in rows}["purchases"] == tables.messages(spark, D, "purchases").count()
+
+
+def test_document_files_lie_in_folders_of_their_tasks(spark, made):
+    got = catalog.QUERIES["src_json_document_files"](spark, D)
+    stores = spark.read.parquet(f"{D}/supplier.parquet").count()
+    assert got.where("has_file").count() == stores
+    (folder,) = made("doc-files")
+    assert len(glob.glob(f"{folder}/folder=*/part-*")) == stores and not glob.glob(f"{folder}/part-*")
