@@ -48,3 +48,8 @@ def test_document_files_lie_in_folders_of_their_tasks(spark, made):
     assert got.where("has_file").count() == stores
     (folder,) = made("doc-files")
     assert len(glob.glob(f"{folder}/folder=*/part-*")) == stores and not glob.glob(f"{folder}/part-*")
+
+
+def test_counts_do_not_make_the_texts_of_lines(spark):
+    assert "to_json(item" not in plan(catalog._final(spark, D, "purchase_items"))
+    assert "payload" not in catalog._final(spark, D, "purchases").columns
