@@ -108,9 +108,10 @@ class CompactedTable:
     # ---- merging ----------------------------------------------------------------------
 
     def _write(self, rows: DataFrame) -> dict[str, str]:
-        """Bucket → part of ``rows``, each bucket in files of its own."""
+        """Bucket → part of ``rows``, each bucket in files of its own. The rows are written as they lie, by key: a
+        bucket is many tasks' work and travels no second time."""
         folder = f"data/run={uuid.uuid4().hex}"
-        rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        rows.write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         at, fs = self._files(f"{self.path}/{folder}")
         names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
         return {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith("_bucket=")}

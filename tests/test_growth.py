@@ -53,3 +53,9 @@ def test_document_files_lie_in_folders_of_their_tasks(spark, made):
 def test_counts_do_not_make_the_texts_of_lines(spark):
     assert "to_json(item" not in plan(catalog._final(spark, D, "purchase_items"))
     assert "payload" not in catalog._final(spark, D, "purchases").columns
+
+
+def test_compacted_parts_travel_once_and_without_message_texts(spark, made):
+    catalog.QUERIES["compact_latest_merged"](spark, D)
+    (rows,) = [p for p in made("compacted-purchases") if p.endswith("-in")]
+    assert "payload" not in spark.read.parquet(rows).columns
