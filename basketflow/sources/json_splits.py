@@ -114,39 +114,61 @@ class Scan:
         return out, depth, np.flatnonzero(out & (self.bytes == COMMA))
 
 
-def _levels(scan: Scan, out: np.ndarray, depth: np.ndarray, commas: np.ndarray, base: int, into: dict) -> None:
-    """Adds relative depth -> [commas, others] to ``into``."""
+class Levels:
+    """Numbers of commas and of other characters by relative depth. Depths change in steps of one, so the counts are
+    an array; text scanned under the wrong assumption may drift by a level an element."""
+
+    def __init__(self):
+        self.low, self.counts = 0, np.zeros((2, 1), "int64")
+
+    def add(self, kind: int, depths: np.ndarray) -> None:
+        """Counts characters of a ``kind`` (0 commas, 1 others) at these depths."""
+        if not len(depths):
+            return
+        low = int(depths.min())
+        got = np.bincount(depths - low)
+        n = self.counts.shape[1]
+        left, right = max(0, self.low - low), max(0, low + len(got) - self.low - n)
+        if left or right:  # at least half as much again, so that a drift is not copied at every step
+            wide = [max(x, n // 2) if x else 0 for x in (left, right)]
+            self.counts, self.low = np.pad(self.counts, ((0, 0), wide)), self.low - wide[0]
+        self.counts[kind, low - self.low:low - self.low + len(got)] += got
+
+    def listed(self) -> pa.Array:
+        """One list of (depth, commas, others), by depth."""
+        held = np.flatnonzero(self.counts.any(axis=0))
+        rows = pa.StructArray.from_arrays([pa.array(held + self.low, pa.int64()), *[pa.array(c[held]) for c in self.counts]], names=["depth", "commas", "others"])
+        return pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), rows)
+
+
+def _count(scan: Scan, out: np.ndarray, depth: np.ndarray, commas: np.ndarray, base: int, into: Levels) -> None:
     others = ~out | ~BLANK[scan.bytes]
     others[commas] = False
-    low = int(depth.min(initial=0))
-    for i, at in ((0, depth[commas]), (1, depth[others])):
-        counts = np.bincount(at - low)
-        for level in np.flatnonzero(counts):
-            into.setdefault(int(level) + low + base, [0, 0])[i] += int(counts[level])
+    for kind, at in ((0, depth[commas]), (1, depth[others])):
+        into.add(kind, at + base)
 
 
 def scan_batches(batches):
-    level = pa.struct([("depth", pa.int64()), ("commas", pa.int64()), ("others", pa.int64())])
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(level), pa.list_(level)]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in SCANNED.replace(LEVELS, "levels").split(", ")]
-    key, size, first, inside, depth, levels = None, 0, None, [False, True], [0, 0], [{}, {}]
+    key, size, first, inside, depth, levels = None, 0, None, [False, True], [0, 0], [Levels(), Levels()]
 
     def report():
-        listed = [[{"depth": d, "commas": c, "others": o} for d, (c, o) in sorted(x.items())] for x in levels]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, size, first, inside[0], *depth, *listed), types)], names=names)
+        plain = [pa.array([x], t) for x, t in zip((*key, size, first, inside[0], *depth), types)]
+        return pa.RecordBatch.from_arrays([*plain, *[x.listed() for x in levels]], names=names)
 
     for _, _, file, start, data, n in stretches(batches, b","):
         if (file, start) != key:
             if key:
                 yield report()
-            key, size, first, inside, depth, levels = (file, start), 0, None, [False, True], [0, 0], [{}, {}]
+            key, size, first, inside, depth, levels = (file, start), 0, None, [False, True], [0, 0], [Levels(), Levels()]
         size += n
         if first is None and (text := data.lstrip(b" \t\r\n")):
             first = text[0]
         scan = Scan(data)
         for i in (0, 1):
             out, at, commas = scan.view(inside[i])
-            _levels(scan, out, at, commas, depth[i], levels[i])
+            _count(scan, out, at, commas, depth[i], levels[i])
             depth[i] += int(at[-1]) if len(at) else 0
             inside[i] ^= scan.turns
     if key:

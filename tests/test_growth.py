@@ -59,3 +59,43 @@ def test_compacted_parts_travel_once_and_without_message_texts(spark, made):
     catalog.QUERIES["compact_latest_merged"](spark, D)
     (rows,) = [p for p in made("compacted-purchases") if p.endswith("-in")]
     assert "payload" not in spark.read.parquet(rows).columns
+
+
+def test_uploads_are_written_in_batches(spark, tmp_path):
+    seen = []
+    lines = spark.range(5).select(F.col("id").cast("string").alias("x")).coalesce(1)
+
+    class Rows:
+        def select(self, _):
+            return self
+
+        def mapInArrow(self, framed, _):
+            batches = [pa.RecordBatch.from_pydict({"value": v}) for v in (["a", "b", "c"], [], ["d"], [None, "e"])]
+            seen.extend(b.column(0).to_pylist() for b in framed(batches))
+            return lines.select(F.col("x").alias("value"))
+
+    catalog._upload(Rows(), str(tmp_path / "up"), F.col("x"), "[", ",", "]")
+    assert seen == [["[a,", "b,"], ["c,"], ["d,"], ["e]"]]
+
+
+def test_levels_of_a_drifting_text():
+    rng = np.random.default_rng(5)
+    levels, known = json_splits.Levels(), {}
+    for base in (0, -700, 900, 5000):
+        for kind in (0, 1):
+            depths = base + np.cumsum(rng.integers(-1, 2, 400))
+            levels.add(kind, depths)
+            for d in depths.tolist():
+                known.setdefault(d, [0, 0])[kind] += 1
+    got = levels.listed().to_pylist()[0]
+    assert got == [{"depth": d, "commas": c, "others": o} for d, (c, o) in sorted(known.items())]
+    # two counts a level, not Python objects
+    assert levels.counts.nbytes < 16 * 2 * (5000 + 2000)
+
+
+def test_scanned_stretch_of_wrongly_read_strings():
+    text = ",".join('{"note": "[1, \\"{\\"] ,"}' for _ in range(500))
+    batch = pa.RecordBatch.from_pydict({"piece": [p.encode() for p in text.split(",")], "file": ["f"] * (text.count(",") + 1), "start": [0] * (text.count(",") + 1)})
+    (row,) = [r for b in json_splits.scan_batches([batch]) for r in b.to_pylist()]
+    commas = sum(x["commas"] for x in row["levels_out"])
+    assert (row["depth_out"], row["turns"]) == (0, False) and commas == 499
