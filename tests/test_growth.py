@@ -99,3 +99,8 @@ def test_scanned_stretch_of_wrongly_read_strings():
     (row,) = [r for b in json_splits.scan_batches([batch]) for r in b.to_pylist()]
     commas = sum(x["commas"] for x in row["levels_out"])
     assert (row["depth_out"], row["turns"]) == (0, False) and commas == 499
+def test_topics_are_compressed(spark, made):
+    catalog._stamped_topic(spark, D, "stores")
+    (topic,) = made("topic-stores")
+    files = glob.glob(f"{topic}/part-*")
+    assert files and all(f.endswith(".lz4") for f in files)
