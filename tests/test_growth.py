@@ -104,3 +104,15 @@ def test_topics_are_compressed(spark, made):
     (topic,) = made("topic-stores")
     files = glob.glob(f"{topic}/part-*")
     assert files and all(f.endswith(".lz4") for f in files)
+
+
+def test_line_ids_are_extracted_once(spark):
+    items = raw.raw_purchase_items(raw.raw_purchases(tables.messages(spark, D, "purchases"), keep_doc=True))
+    text = plan(items.drop("payload"))
+    # its type and its value
+    assert text.count("$['product_id']") == 2
+
+
+def test_the_time_grammar_names_its_text_once(spark):
+    sent = tables.messages(spark, D, "purchases")
+    assert plan(raw.raw_purchases(sent).select("purchase_datetime")).count("$['purchase_datetime']") == 2
