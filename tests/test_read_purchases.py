@@ -67,7 +67,10 @@ def test_quality_log_parses_messages_once(spark, monkeypatch):
 
 
 def test_small_files_are_dealt_to_all_tasks(spark):
+    from basketflow.plans import catalog
     from basketflow.sources import lens
-    for entity in ("customers", "products"):
-        text = _text(lens.messages(spark, "/root/testdata/sf0.001", entity))
-        assert text.index("Project") < text.index("Exchange") < text.index("FileScan")
+    d = "/root/testdata/sf0.001"
+    c, _, p, _ = catalog.feature_inputs(spark, d, spread=True)
+    for rows in (lens.messages(spark, d, "customers"), lens.messages(spark, d, "products"), c, p):
+        text = _text(rows)
+        assert text.rindex("Project") < text.rindex("Exchange") < text.rindex("FileScan") and "REPARTITION_BY_COL" in text
