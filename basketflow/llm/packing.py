@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import functools
 import heapq
+import os
 import zlib
 from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,12 @@ PIECE = 256
 #: tail pieces in a block, on average (the bound of one differencing run)
 BLOCK_PIECES = 2048
 END_ID = 1
-#: distinct words whose ids a task keeps
+#: words whose ids a Python worker keeps, about, the ones used last
 WORD_CACHE = 400_000
-#: and the bytes of those that stay when there are more
-SHORT = 8
+SIGNS = ".,!?;:"
+LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
+#: bytes of text whose distinct words are looked up at once
+GROUP_BYTES = 16_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -47,56 +51,62 @@ def tokenizer_path() -> str:
 class WordIds:
     """The ids of a text as little-endian unsigned 32-bit bytes. This tokenizer lower-cases, composes
     characters and splits at white space before it merges, so no token crosses ASCII white space: each
-    distinct word is encoded once and kept. Most words are Latin-1 letters and perhaps one sign behind
-    them: the letters are exactly one unit of the tokenizer's own splitting and go to its merge model
-    directly, in its spelling of bytes; all other words go through the whole tokenizer."""
+    distinct word of a group of texts is looked up once, and its ids are dealt to all its places. Most
+    words are Latin-1 letters and perhaps one sign behind them: the letters are exactly one unit of the
+    tokenizer's own splitting and go to its merge model directly, in lower case and its spelling of
+    bytes; all other words go through the whole tokenizer. The ids of letters and other words are kept
+    in two generations: a full one becomes the older, and the older one's are lost unless used again."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.cores = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         self.merge = self.tokenizer.model.tokenize
-        self.signs = {c: self._whole(c) for c in ".,!?;:"}
+        self.signs = pa.array([self._whole(c) for c in SIGNS] + [b""], pa.large_binary())
         self.spelling = _byte_spelling()
 
     def _whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [x.encode("utf-8", "replace").split() for x in texts]
-        new = set().union(*split) - self.words.keys()
-        if len(self.words) + len(new) > WORD_CACHE:
-            # long words seldom come again
-            self.words = {w: x for w, x in self.words.items() if len(w) <= SHORT}
-            self.cores = {w: x for w, x in self.cores.items() if len(w) <= SHORT}
-            if len(self.words) > WORD_CACHE // 2:
-                self.words, self.cores = {}, {}
-            new = set().union(*split) - self.words.keys()
-        self._learn(new)
-        return [b"".join(map(self.words.__getitem__, x)) for x in split]
-
-    def _learn(self, new: set[bytes]) -> None:
-        words, cores, merge, other = self.words, self.cores, self.merge, []
-        for w in new:
-            x, sign = w.decode(), b""
-            if not x.isalpha():
-                sign = self.signs.get(x[-1])
-                x = x[:-1]
-                if sign is None or not x.isalpha():
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """The ids of every text, none of them null."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids = self._words(coded.dictionary).take(coded.indices)
+        ends = np.cumsum(np.concatenate([[0], pc.binary_length(ids).to_numpy()]), dtype="int64")
+        cuts = ends[np.cumsum(np.concatenate([[0], pc.list_value_length(split).to_numpy()]), dtype="int64")].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [data[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        sign = pc.index_in(pc.utf8_slice_codeunits(words, -1), pa.array(list(SIGNS), words.type))
+        letters = pc.if_else(pc.is_valid(sign), pc.utf8_slice_codeunits(words, 0, -1), words)
+        plain = pc.match_substring_regex(letters, LETTERS)
+        names = pc.if_else(plain, pc.utf8_lower(letters), words).dictionary_encode()
+        got = pa.array(self._ids(names.dictionary.to_pylist()), pa.large_binary()).take(names.indices)
+        behind = self.signs.take(pc.fill_null(pc.if_else(plain, sign, None), len(SIGNS)))
+        return pc.binary_join_element_wise(got, behind, pa.scalar(b"", pa.large_binary()))
+
+    def _ids(self, names: list[str]) -> list[bytes]:
+        if len(self.known) > WORD_CACHE // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        got = list(map(known.get, names))
+        lost = [i for i, x in enumerate(got) if x is None]
+        other = []
+        for i in lost:
+            w = names[i]
+            x = older.get(w)
+            if x is None:
+                if not w.isalpha() or max(w) >= "\u0100":
                     other.append(w)
                     continue
-            plain = x.isascii()
-            if not plain and max(x) >= "\u0100":
-                other.append(w)
-                continue
-            x = x.lower()
-            ids = cores.get(x)
-            if ids is None:
-                spelled = x if plain else x.encode().decode("latin-1").translate(self.spelling)
-                ids = cores[x] = array("I", [t.id for t in merge(spelled)]).tobytes()
-            words[w] = ids + sign
-        for w, e in zip(other, self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)):
-            words[w] = array("I", e.ids).tobytes()
+                spelled = w if w.isascii() else w.encode().decode("latin-1").translate(self.spelling)
+                x = array("I", [t.id for t in self.merge(spelled)]).tobytes()
+            known[w] = got[i] = x
+        for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
+        return [known[w] if x is None else x for w, x in zip(names, got)] if other else got
 
 
 def _byte_spelling() -> dict[int, str]:
@@ -108,22 +118,21 @@ def _byte_spelling() -> dict[int, str]:
 
 @functools.cache
 def word_ids(path: str) -> WordIds:
-    """One for each Python worker: its words serve all its tasks."""
+    """One for each Python worker: its words serve all its tasks. The tasks are as many as the cores, so
+    the tokenizer runs in one thread."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordIds(path)
 
 
-def some(doc_ids: list, texts, most_chars: int = 2_000_000):
-    """A batch's documents, about ``most_chars`` at a time; null texts are empty."""
-    ids, got, size = [], [], 0
-    for doc_id, text in zip(doc_ids, texts):
-        ids.append(doc_id)
-        got.append(text.as_py() or "")
-        size += len(got[-1])
-        if size >= most_chars:
-            yield ids, got
-            ids, got, size = [], [], 0
-    if ids:
-        yield ids, got
+def some(batch: pa.RecordBatch, most_bytes: int = GROUP_BYTES):
+    """A batch's documents, about ``most_bytes`` of text at a time; null texts are empty."""
+    doc_ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype="int64")
+    first, done = 0, 0
+    while first < len(doc_ids):
+        last = max(first + 1, int(np.searchsorted(ends, done + most_bytes, "right")))
+        yield doc_ids[first:last], texts[first:last]
+        first, done = last, int(ends[last - 1])
 
 
 def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
@@ -132,7 +141,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, p
     def cut(batches):
         ids, end_id = word_ids(tokenizer), array("I", [END_ID]).tobytes()
         for batch in batches:
-            for doc_ids, texts in some(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_ids, texts in some(batch):
                 rows = []
                 for doc_id, data in zip(doc_ids, ids.texts(texts)):
                     data += end_id

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basketflow.llm import decontaminate, language, licences, main_text, near_dedup, packing, pii, repeats, sharding, vectors
@@ -151,6 +152,26 @@ def test_op3_round_trip(spark, folder):
     assert total / (2048 * len(by_seq)) > 0.9
 
 
+def test_words_used_again_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(packing, "WORD_CACHE", 40)
+    ids, asked = packing.WordIds(packing.tokenizer_path()), []
+    merge = ids.merge
+    ids.merge = lambda word: asked.append(word) or merge(word)
+    for i in range(0, 300, 10):  # ten new words and an old one each time: more than are kept
+        text = " ".join(["internationally", *(chr(97 + j // 26) + "q" + chr(97 + j % 26) for j in range(i, i + 10))])
+        assert ids.texts(pa.array([text])) == [ids._whole(text)]
+    assert asked.count("internationally") == 1 and len(ids.known) + len(ids.older) < 80
+
+
+def test_word_ids_are_those_of_the_whole_text():
+    texts = ["", " \t", " a\x0bb\x0cc\td\re\nf ", "a\x1cb\x1fc\x85d\xa0e\u3000f", "Straße, NAÏVE. ªº µm ÿ Ÿ 中文 字。 don't x.y ,", "\x00 a. . a,"]
+    ids = packing.WordIds(packing.tokenizer_path())
+    assert ids.texts(pa.array(texts)) == [ids._whole(t) for t in texts]
+    assert ids.texts(pa.array(texts)[2:4]) == [ids._whole(t) for t in texts[2:4]]
+    batch = pa.record_batch({"doc_id": [1, 2, 3, 4], "text": ["ab", None, "abcdef", "ü"]})
+    assert [(d, t.to_pylist()) for d, t in packing.some(batch, 4)] == [([1, 2], ["ab", ""]), ([3], ["abcdef"]), ([4], ["ü"])]
+
+
 def test_pack_edges(spark):
     empty = spark.createDataFrame([], packing.PIECES)
     assert packing.pack(empty).count() == 0
