@@ -30,8 +30,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.llm.common import release, stored, table
+from basketflow.llm.common import discard, release, stored, table
 from basketflow.llm.shingles import BASE, INVERSES, POWERS, mix
+from basketflow.session import scratch_path
 
 LENGTH = 50
 ANCHOR = 20
@@ -56,6 +57,16 @@ def _unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _numbers(values, kind: str) -> bytes:
+    """Numbers packed by the place of their bytes: high bytes are often alike, low ones seldom."""
+    return _packed(np.ascontiguousarray(np.asarray(values).astype(kind)).view("u1").reshape(-1, np.dtype(kind).itemsize).T.tobytes())
+
+
+def _unnumbers(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(_unpacked(data), "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
 def _grams(raw: np.ndarray) -> np.ndarray:
     n = len(raw)
     sums = np.zeros(n + 1, dtype="uint64")
@@ -210,7 +221,7 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": np.array(docs_out, "int64"), "hashes": hashes_out})
 
 
-SEGMENT_ROWS = "run string, bucket int, segs binary, windows binary, ids binary, low binary, high binary, anchors binary, docs binary, starts binary"
+SEGMENT_ROWS = "run string, bucket int, segs binary, windows binary, ids binary, low binary, above binary, anchors binary, docs binary, starts binary"
 SEGMENT_NAMES = [x.split()[0] for x in SEGMENT_ROWS.split(", ")]
 
 
@@ -246,13 +257,13 @@ def _segments(buckets: int):
             run, segs = uuid.uuid4().hex, [s for s, _ in known]
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(run, -1, None, None, number.astype("<u4").tobytes(), None, None, None, docs.astype("<i8").tobytes(), starts.astype("<i8").tobytes())]
+            rows = [(run, -1, None, None, _numbers(number, "<u4"), None, None, None, _numbers(docs, "<i8"), _numbers(starts, "<i8"))]
             for b in range(buckets):
                 own = order[cuts[b]:cuts[b + 1]]
                 if len(own):
                     mine = [segs[i] for i in own.tolist()]
-                    rows.append((run, b, _packed(b"".join(mine)), np.array([len(s) for s in mine], "u1").tobytes(), own.astype("<u4").tobytes(),
-                                 low[own].astype("<i8").tobytes(), high[own].astype("<i8").tobytes(), anchors[own].astype("<u8").tobytes(), None, None))
+                    rows.append((run, b, _packed(b"".join(mine)), _numbers([len(s) for s in mine], "u1"), _numbers(own, "<u4"),
+                                 _numbers(low[own], "<i8"), _numbers(high[own] - low[own], "<i8"), _numbers(anchors[own], "<u8"), None, None))
             kinds = [pa.string(), pa.int32(), *[pa.binary()] * 8]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=SEGMENT_NAMES)
 
@@ -308,15 +319,15 @@ def _minima(rows: pd.DataFrame) -> pd.DataFrame:
     low: dict[bytes, int] = {}
     variants: dict[int, set] = {}
     sent = []
-    for run, segs, sizes, ids, lo, hi, anchors in zip(*[rows[c] for c in ("run", "segs", "windows", "ids", "low", "high", "anchors")]):
-        sizes, lo, anchors = np.frombuffer(sizes, "u1"), np.frombuffer(lo, "<i8"), np.frombuffer(anchors, "<u8")
+    for run, segs, sizes, ids, lo, hi, anchors in zip(*[rows[c] for c in ("run", "segs", "windows", "ids", "low", "above", "anchors")]):
+        sizes, lo, anchors = _unnumbers(sizes, "u1"), _unnumbers(lo, "<i8"), _unnumbers(anchors, "<u8")
         ends, segs = np.cumsum(sizes.astype("int64")), _unpacked(segs)
         mine = [segs[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
         for s, d, x in zip(mine, lo.tolist(), anchors.tolist()):
             if d < low.get(s, d + 1):
                 low[s] = d
             variants.setdefault(x, set()).add(s)
-        sent.append((run, mine, np.frombuffer(ids, "<u4"), np.frombuffer(hi, "<i8")))
+        sent.append((run, mine, _unnumbers(ids, "<u4"), lo + _unnumbers(hi, "<i8")))
     # segments that are the only ones of their anchor need no order: all their windows have one minimum
     minima: dict[bytes, np.ndarray] = {}
     mixed: list[bytes] = []
@@ -343,7 +354,7 @@ def _minima(rows: pd.DataFrame) -> pd.DataFrame:
         if got[0]:
             runs.append(run)
             for x, v, t in zip((numbers, firsts, counts, leasts), got, ("<u4", "u1", "u1", "<i8")):
-                x.append(np.array(v, dtype=t).tobytes())
+                x.append(_numbers(v, t))
     return pd.DataFrame({"run": pd.Series(runs, dtype=object), "numbers": numbers, "firsts": firsts, "counts": counts, "leasts": leasts})
 
 
@@ -351,11 +362,11 @@ def _ranges(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """The merged removed byte ranges of each document of a run."""
     docs_out, n_removed, n_spans, out = [], [], [], []
     if len(own) and len(answers):
-        number, first, count, least = [np.concatenate([np.frombuffer(x, t) for x in answers[c]]).astype("int64") for c, t in (("numbers", "<u4"), ("firsts", "u1"), ("counts", "u1"), ("leasts", "<i8"))]
+        number, first, count, least = [np.concatenate([_unnumbers(x, t) for x in answers[c]]).astype("int64") for c, t in (("numbers", "<u4"), ("firsts", "u1"), ("counts", "u1"), ("leasts", "<i8"))]
         order = np.argsort(number, kind="stable")
         number, first, count, least = number[order], first[order], count[order], least[order]
-        seg = np.frombuffer(own["ids"].iloc[0], "<u4").astype("int64")
-        docs, starts = np.frombuffer(own["docs"].iloc[0], "<i8"), np.frombuffer(own["starts"].iloc[0], "<i8")
+        seg = _unnumbers(own["ids"].iloc[0], "<u4").astype("int64")
+        docs, starts = _unnumbers(own["docs"].iloc[0], "<i8"), _unnumbers(own["starts"].iloc[0], "<i8")
         a, b = np.searchsorted(number, seg), np.searchsorted(number, seg, "right")
         times = b - a
         use = np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -400,17 +411,20 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     long_enough = docs.filter((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull())
     sent = long_enough.mapInArrow(_anchors(buckets), ANCHOR_ROWS)
-    hits = stored(sent.groupBy("bucket").applyInPandas(_shared, "doc_id long, hashes binary"), "hits")
+    hit_folder, segment_folder = (scratch_path(docs.sparkSession, "llm") for _ in range(2))
+    hits = stored(sent.groupBy("bucket").applyInPandas(_shared, "doc_id long, hashes binary"), "hits", hit_folder)
     release(docs.sparkSession)
     reps = base.filter(F.col("rep") == F.col("doc_id")).select("doc_id").distinct()
     hits = hits.join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
     asked = long_enough.join(hits, "doc_id").select("doc_id", "text", "hashes")
-    segs = stored(asked.mapInArrow(_segments(buckets), SEGMENT_ROWS), "segments")
+    segs = stored(asked.mapInArrow(_segments(buckets), SEGMENT_ROWS), "segments", segment_folder)
+    discard(docs.sparkSession, hit_folder)
     release(docs.sparkSession)
     answers = segs.filter("bucket >= 0").groupBy("bucket").applyInPandas(_minima, "run string, numbers binary, firsts binary, counts binary, leasts binary")
     places = segs.filter("bucket < 0").select("run", "ids", "docs", "starts")
     ranges = places.groupBy("run").cogroup(answers.groupBy("run")).applyInPandas(_ranges, "doc_id long, n_removed long, n_spans long, ranges binary")
     ranges = stored(ranges.dropDuplicates(["doc_id"]), "ranges")
+    discard(docs.sparkSession, segment_folder)
     release(docs.sparkSession)
     return base, ranges
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small rows: nulls, empty and long texts, ties, repeated rows,
 empty tables, extra columns."""
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -290,6 +291,20 @@ def test_op4_empty_and_repeated_rows(spark, folder):
     assert got == [(-1, 0), (3, 0), (3, 0), (8, len(t))]
 
 
+def test_op4_work_tables_go_and_numbers_are_packed(spark, monkeypatch):
+    made, write = {}, repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda df, name, *folder: made.setdefault(name, write(df, name, *folder)))
+    t = prose(60)
+    _, ranges = repeats.repeated_ranges(spark.createDataFrame([(1, t), (2, "x " + t), (3, None)], "doc_id long, text string"))
+    assert [r["doc_id"] for r in ranges.collect()] == [2]
+    files = {name: pathlib.Path(re.sub("^file:/*", "/", df.inputFiles()[0])) for name, df in made.items()}
+    assert files["ranges"].exists() and files["base"].exists()
+    assert not files["hits"].parent.exists() and not files["segments"].parent.exists()
+    for kind, values in (("<i8", np.arange(-5, 10**6, 1999)), ("<u4", np.arange(500)[::-1] * 7), ("u1", np.arange(50, 81).repeat(40)), ("<i8", np.array([], "int64"))):
+        data = repeats._numbers(values, kind)
+        assert repeats._unnumbers(data, kind).tolist() == values.tolist() and len(data) < 20 + values.astype(kind).nbytes / 2
+
+
 def test_column_bwt_uses_all_byte_values():
     data = bytes(range(256)) * 2
     segs = [data[i:i + 60] for i in range(200)]
