@@ -523,6 +523,33 @@ def test_op7_changed_ends_of_one_word_in_ten(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, known).collect()} == want
 
 
+def test_op7_windows_at_every_offset(spark):
+    """Windows without a shingle in line with the item: halves that changed places, parts moved about."""
+    rng = random.Random(21)
+    items, texts = [], []
+    for i in range(12):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([50, 64, 90]))]
+        if i % 3 == 2:
+            w[20:30] = w[:10]  # repeated shingles count as often as they occur
+        cut = rng.choice([len(w) // 3, len(w) // 2 + 1])
+        moved = [*w[cut:], *w[:cut]] if i % 2 else [*w[cut:2 * cut], *w[:cut], *w[2 * cut:]]
+        texts.append([f"x{rng.randrange(10**6)}" for _ in range(rng.randint(0, 30))] + moved + [f"y{rng.randrange(10**6)}" for _ in range(rng.randint(0, 30))])
+        items.append(w)
+    best = {}
+    for i, w in enumerate(texts):
+        for j, v in enumerate(items):
+            for s in range(1 - len(v), len(w)):
+                a, b = bag(w[max(0, s):s + len(v)]), bag(v)
+                common, union = sum((a & b).values()), sum((a | b).values())
+                if 100 * common >= 80 * union:
+                    best[i, j] = max(best.get((i, j), (0,)), (common / union, common, union))
+    assert len(best) >= 8
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["common_shingles"], r["union_shingles"]) for r in decontaminate.contaminated(docs, known).collect()}
+    assert got == {k: v[1:] for k, v in best.items()}
+
+
 def test_multi_index_blocks_miss_nothing(spark):
     from pyspark.sql import functions as F
     rng = random.Random(1)
