@@ -8,13 +8,13 @@ star-shaped candidate edges, exact confirmation on full shingle sets, and connec
    below 1e-6.
 3. In each bucket the member that meets most others (its hub) is paired with every other member, so
    a bucket of m classes gives m - 1 pairs. Pairs are confirmed on full sets. A hub whose pairs are
-   done leaves the bucket; buckets whose other members are not all in one component go another
-   round. Before the second, members leave that cannot reach the similarity with anyone, because too
+   done leaves the bucket; buckets whose other members are not all in one component go a second
+   round. Before it, members leave that cannot reach the similarity with anyone, because too
    many of their shingles are in no other open member; then a bucket finishes with the pairs of its
-   few members outside its largest component, as far as sizes, shared shingles and parity
+   members outside its largest component, as far as sizes, shared shingles and parity
    signatures (two sets differ in at least as many shingles as their signatures do in bits) allow a
-   pair (a bucket with too many of them goes on with hubs). So no bucket is capped, and no link
-   between two components is missed by the star shape.
+   pair. Large buckets are compared in blocks, each in a task of its own. So no bucket is capped, none
+   goes a third round, and no link between two components is missed by the star shape.
 """
 
 from __future__ import annotations
@@ -38,8 +38,10 @@ SIMILAR = 85
 MISSED = 1e-6
 #: in the first round, a bucket with so few members is finished with all pairs between components
 SMALL_BUCKET = 3
-#: after the first round, the most size comparisons (not pairs) that finish a bucket at once
-COMPARISONS = 4_000_000
+#: after the first round, a bucket with more comparisons (not pairs) is compared in blocks
+COMPARISONS = 10_000
+#: members outside the largest component, and members, that a block compares
+BLOCK, ACROSS = 512, 2048
 #: bits of the parity signature that rules out most unlike pairs before they are made
 PARITY = 1024
 
@@ -163,6 +165,49 @@ def _differ(a: str, b: str):
     return F.aggregate(bits, F.lit(0), lambda n, x: n + x)
 
 
+def _block_pairs(similar: int):
+    """Compares the rows of a block that stand left with those that stand right, as `near_duplicates` does with the
+    rows of a small bucket: other components, sizes, shared shingles, parities, and each pair in its first key."""
+
+    def could(most, n, m):
+        return 100 * most >= similar * (n + m - most)
+
+    def compare(block):
+        key, main = block["key"][0].as_py(), block["main"][0].as_py()
+        rep, n, e, label = (block[c].to_numpy() for c in ("rep", "n", "e", "label"))
+        parity = block["parity"].combine_chunks().flatten().to_numpy().view("uint64").reshape(len(rep), -1)
+        keys, left = block["keys"].to_pylist(), block["left"].to_numpy(zero_copy_only=False)
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        met: dict[int, set] = {}
+        keys_of = lambda i: met.get(i) or met.setdefault(i, set(keys[i]))
+        us, vs = [], []
+        for i in a.tolist():
+            j = b[(label[b] != label[i]) & ((label[b] == main) | (rep[i] < rep[b])) & could(np.minimum(e[i], e[b]), n[i], n[b])]
+            differ = np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1, dtype="int64")
+            j = j[could((n[i] + n[j] - differ) // 2, n[i], n[j])]
+            for k in j.tolist():
+                if min(keys_of(i) & keys_of(k)) == key:
+                    us.append(rep[i])
+                    vs.append(rep[k])
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return compare
+
+
+def block_pairs(rows: DataFrame, similar: int) -> DataFrame:
+    """u, v: the pairs of large buckets. Members outside the largest component are dealt into blocks, all members into
+    others; every block of the first meets every block of the second in one task."""
+    counts = rows.groupBy("key").agg(
+        F.ceil(F.count(F.when(F.col("label") != F.col("main"), 1)) / BLOCK).cast("int").alias("lefts"), F.ceil(F.count(F.lit(1)) / ACROSS).cast("int").alias("rights"))
+    rows = rows.join(counts.filter("lefts > 0"), "key")
+    part = lambda side: F.pmod(F.xxhash64("rep"), F.col(side)).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    columns = ["key", "rep", "n", "e", "label", "main", "keys", "parity"]
+    left = rows.filter("label != main").select(*columns, F.lit(True).alias("left"), part("lefts").alias("i"), every("rights").alias("j"))
+    right = rows.select(*columns, F.lit(False).alias("left"), every("lefts").alias("i"), part("rights").alias("j"))
+    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_block_pairs(similar), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
@@ -193,23 +238,23 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
         state = state.groupBy("key").agg(
             F.sum("size").alias("members"), F.max(F.struct("size", "label")).alias("main"), F.min("least").alias("least"), F.max("hub").alias("hub"))
         # outside the largest component there are `members - main.size`: only they can still link two
-        few = F.col("members") <= SMALL_BUCKET
-        if done is not None:
-            few = (F.col("members") - F.col("main.size")) * F.col("members") <= COMPARISONS
-        state = state.filter("main.size < members").withColumn("few", few).withColumn("main", F.col("main.label"))
-        now = now.join(state.select("key", "main", "least", "hub", "few"), "key")
+        few = F.col("members") <= SMALL_BUCKET if done is None else F.lit(True)
+        large = F.lit(False) if done is None else (F.col("members") - F.col("main.size")) * F.col("members") > COMPARISONS
+        state = state.filter("main.size < members").withColumn("few", few).withColumn("large", large).withColumn("main", F.col("main.label"))
+        now = now.join(state.select("key", "main", "least", "hub", "few", "large"), "key")
         now = stored(now.filter(_could("e", "n", F.greatest("least", "e"), similar)), "open")
         if not now.take(1):
             break
         star = now.filter(~F.col("few") & (F.col("rep") != -F.col("hub.first")) & (F.col("label") != F.col("hub.label")))
         star = star.filter(_could(F.least("e", "hub.e"), "n", F.col("hub.n"), similar)).select((-F.col("hub.first")).alias("u"), F.col("rep").alias("v"))
-        ending = now.filter("few").select("key", "rep", "n", "e", "label", "main")
+        ending = now.filter("few").select("key", "rep", "n", "e", "label", "main", "large")
         # two members meet in several buckets: the first one counts
         met = ending.groupBy("rep").agg(F.collect_set("key").alias("keys"))
         ending = ending.join(met, "rep")
         if done is not None:
             ending = ending.join(parity, "rep")
-        other = ending.select(F.col("key"), *[F.col(c).alias(c + "2") for c in ending.columns if c not in ("key", "main")])
+        blocks, ending = ending.filter("large"), ending.filter(~F.col("large"))
+        other = ending.select(F.col("key"), *[F.col(c).alias(c + "2") for c in ending.columns if c not in ("key", "main", "large")])
         once = (F.col("label2") == F.col("main")) | (F.col("rep") < F.col("rep2"))
         able = (F.col("label") != F.col("label2")) & _could(F.least("e", "e2"), "n", F.col("n2"), similar)
         if done is not None:
@@ -217,6 +262,8 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
         first = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
         rest = ending.filter("label != main").join(other, "key").filter(once & able & first)
         pairs = star.unionByName(rest.select(F.col("rep").alias("u"), F.col("rep2").alias("v")))
+        if done is not None:
+            pairs = pairs.unionByName(block_pairs(blocks, similar))
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")

@@ -230,6 +230,29 @@ def test_op8_against_brute_force(spark, folder, monkeypatch):
     assert [(got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) for i in range(len(texts))] == [(sizes[i], comp[i], comp[i] == i) for i in range(len(texts))]
 
 
+def test_large_buckets_finish_in_the_second_round(spark, monkeypatch):
+    """Buckets with many members outside their largest component are compared in blocks, not one hub a round."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(near_dedup, "COMPARISONS", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4, raising=False)
+    monkeypatch.setattr(near_dedup, "ACROSS", 8, raising=False)
+    confirmed, rounds = near_dedup.confirmed, []
+
+    def counted(*a):
+        rounds.append(1)
+        assert len(rounds) <= 2
+        return confirmed(*a)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    rng = random.Random(8)
+    pool, common = [prose(9, rng) for _ in range(12)], [prose(40, rng) for _ in range(5)]
+    texts = ["\n".join(common + rng.sample(pool, 6)) for _ in range(60)]
+    texts += [" ".join(w for w in rng.choice(texts).split() if rng.random() > 0.01) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)[1]
+
+
 def test_near_duplicates_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(empty).count() == 0
